@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import langid, quality, toxicity
+from . import chat, langid, mixing, packing, quality, topk, toxicity, urlrules
 
 
 def queries() -> dict:
     return {
         "op1_language": langid.op1_language,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_topk": topk.op3_topk,
+        "op4_chat": chat.op4_chat,
+        "op6_packing": packing.op6_packing,
+        "op7_urlrules": urlrules.op7_urlrules,
+        "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.OP9_SQL}
