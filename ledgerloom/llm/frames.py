@@ -83,28 +83,39 @@ def sampled_docs(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(sample), "doc_id")
 
 
-def keep_ids(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_bits: int = 1 << 28) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the one-column table ``ids`` (distinct, not null).
+def _marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_bits: int = 1 << 28) -> DataFrame:
+    """Adds ``_hit``: false only where ``key`` is surely not among ``ids`` (one column of that name, distinct, not null).
 
-    A bit table of ids, at most ``max_bits`` / 8 bytes (32 MB) whatever the input, is broadcast first and drops
-    most other rows in place; the exact semi-join then shuffles only what is left. A table that is too full
-    lets more rows through but loses none.
+    A bit table of the ids, at most ``max_bits`` / 8 bytes (32 MB) whatever the input, is broadcast in slices of 4 KB.
     """
     n = ids.count()
     bits = 1 << 15
-    while bits < min(max_bits, bits_per_id * max(n, 1)):
+    while bits < min(max_bits, bits_per_id * n):
         bits *= 2
-    place = lambda c: F.pmod(F.xxhash64(c, F.lit(77)), F.lit(bits))
-    marks = (
-        ids.select(place(F.col(key)).alias("p"))
-        .groupBy(F.floor(F.col("p") / 32768).cast("long").alias("_bucket"))
-        .agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("long")).alias("_bits"))
-    )
-    # 4 KB a bucket, at most max_bits / 32768 buckets
-    p = place(F.col(key))
-    near = df.join(F.broadcast(marks), F.floor(p / 32768).cast("long") == F.col("_bucket"))
-    at = F.floor((p % 32768) / 8).cast("int")
-    byte = F.conv(F.hex(F.col("_bits").substr(at + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.floor(byte / F.pow(F.lit(2.0), p % 8)) % 2 == 1
-    near = near.filter(hit).drop("_bucket", "_bits")
-    return near.join(ids, key, "left_semi")
+    p = F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(bits))
+    marks = ids.select((p % 32768).alias("_p"), F.floor(p / 32768).cast("long").alias("_slice"))
+    marks = marks.groupBy("_slice").agg(F.bitmap_construct_agg("_p").alias("_bits"))
+    byte = F.conv(F.hex(F.col("_bits").substr(F.floor((p % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), p % 8)) % 2 == 1, F.lit(False))
+    joined = df.join(F.broadcast(marks), F.floor(p / 32768).cast("long") == F.col("_slice"), "left")
+    return joined.withColumn("_hit", hit).drop("_slice", "_bits")
+
+
+def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the one-column table ``ids`` (distinct, not null).
+
+    The bit table drops most other rows in place; the exact semi-join then shuffles only what is left. A table that is too full
+    lets more rows through but loses none.
+    """
+    return _marked(df, key, ids).filter("_hit").drop("_hit").join(ids, key, "left_semi")
+
+
+def drop_ids(df: DataFrame, key: str, ids: DataFrame, once: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids``; of those in ``once`` one row for each key.
+
+    Rows that the bit table of both clears stay where they are; only the others are joined.
+    """
+    marked = _marked(df, key, ids.union(once).distinct())
+    near = marked.filter("_hit").drop("_hit").join(ids, key, "left_anti")
+    twice = near.join(once, key, "left_semi").dropDuplicates([key])
+    return marked.filter("not _hit").drop("_hit").unionByName(near.join(once, key, "left_anti")).unionByName(twice)

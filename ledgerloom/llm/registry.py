@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, packing, quality, topk, toxicity, urlrules
+from . import chat, jaccard, langid, mixing, neardup, packing, quality, topk, toxicity, urlrules
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_topk": topk.op3_topk,
         "op4_chat": chat.op4_chat,
+        "op5_neardup": neardup.op5_neardup,
         "op6_packing": packing.op6_packing,
         "op7_urlrules": urlrules.op7_urlrules,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
     }
