@@ -121,10 +121,14 @@ STEPS = "array<struct<turn:int,action:string,references:map<string,string>,produ
 
 def classify_steps(stop_reason: Column, steps: Column, answer: Column, expected: Column, wanted: dict[str, dict[str, str]]) -> Column:
     """Outcome of a slot-bound trial; steps as STEPS; wanted: the slot that belongs to each parameter of each action."""
+
+    def misses(action: str, param: str, key: str) -> Column:
+        return F.exists(steps, lambda s: (s["action"] == action) & ~F.try_element_at(s["references"], F.lit(param)).eqNullSafe(F.lit(key)))
+
     wrong = F.lit(False)
     for action, params in wanted.items():
         for param, key in params.items():
-            wrong = wrong | F.exists(steps, lambda s, a=action, p=param, k=key: (s["action"] == a) & ~F.try_element_at(s["references"], F.lit(p)).eqNullSafe(F.lit(k)))
+            wrong = wrong | misses(action, param, key)
     return (
         F.when(stop_reason == "turn-cap", "turn-cap")
         .when(stop_reason != "terminal", "other")
