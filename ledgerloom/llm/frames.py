@@ -83,7 +83,7 @@ def sampled_docs(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(sample), "doc_id")
 
 
-def _marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_bits: int = 1 << 28) -> DataFrame:
+def marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_bits: int = 1 << 28) -> DataFrame:
     """Adds ``_hit``: false only where ``key`` is surely not among ``ids`` (one column of that name, distinct, not null).
 
     A bit table of the ids, at most ``max_bits`` / 8 bytes (32 MB) whatever the input, is broadcast in slices of 4 KB.
@@ -101,21 +101,12 @@ def _marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_
     return joined.withColumn("_hit", hit).drop("_slice", "_bits")
 
 
-def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the one-column table ``ids`` (distinct, not null).
-
-    The bit table drops most other rows in place; the exact semi-join then shuffles only what is left. A table that is too full
-    lets more rows through but loses none.
-    """
-    return _marked(df, key, ids).filter("_hit").drop("_hit").join(ids, key, "left_semi")
-
-
 def drop_ids(df: DataFrame, key: str, ids: DataFrame, once: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``ids``; of those in ``once`` one row for each key.
 
     Rows that the bit table of both clears stay where they are; only the others are joined.
     """
-    marked = _marked(df, key, ids.union(once).distinct())
-    near = marked.filter("_hit").drop("_hit").join(ids, key, "left_anti")
+    rows = marked(df, key, ids.union(once).distinct())
+    near = rows.filter("_hit").drop("_hit").join(ids, key, "left_anti")
     twice = near.join(once, key, "left_semi").dropDuplicates([key])
-    return marked.filter("not _hit").drop("_hit").unionByName(near.join(once, key, "left_anti")).unionByName(twice)
+    return rows.filter("not _hit").drop("_hit").unionByName(near.join(once, key, "left_anti")).unionByName(twice)

@@ -12,7 +12,8 @@ A document's row holds its distinct 5-word shingles, as 64-bit hashes. Two docum
 * columns are cut into blocks by hash. A block's task multiplies its part: for each column, all pairs of rows whose sizes
   allow a link and whose remaining columns could still reach the least overlap that the sizes ask for. Counts are summed over
   blocks, and pairs whose count is below the size-derived bound are discarded.
-* what is left is counted exactly over the whole sets, rebuilt from the texts of just these documents.
+* a sketch of parities bounds from below in how many elements two sets differ, and rules out most pairs left over.
+* what then is left is counted exactly over the whole sets, rebuilt from the texts of just these documents.
 
 A column held by more than ``LIST_ROWS`` rows is split into salted pairs of sub-lists over several tasks.
 
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .components import components
-from .frames import drop_ids, keep_ids, stored, text_batches
+from .frames import drop_ids, marked, stored, text_batches
 
 N = 5
 LEAST = 80  # per cent
 #: Columns whose place in the order is by count: the most common ones, at most; each at least so many rows of a partition.
 COMMON_COLUMNS = 1 << 17
-COMMON_ROWS = 8
-BLOCK_ENTRIES = 1 << 20
+COMMON_ROWS = 3
+BLOCK_ENTRIES = 1 << 21
 LIST_ROWS = 20_000
 #: Documents compared with one copy of another's set before it is sent again.
 FAN_OUT = 256
@@ -120,7 +121,7 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> tuple[np.ndar
                 if size > 2_000_000:
                     merge()
         merge()
-        often = counts >= max(COMMON_ROWS, docs // 1000)
+        often = counts >= max(COMMON_ROWS, docs // 4000)
         yield pa.RecordBatch.from_arrays([pa.array(kept[often].view(np.int64)), pa.array(counts[often])], ["h", "n"])
 
     found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -128,11 +129,33 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> tuple[np.ndar
     return top.column("h").to_numpy().view(np.uint64)[::-1].copy(), top.column("n").to_numpy()[::-1].copy()
 
 
-_ROW = "doc_id long, n long, f1 long, f2 long, keys array<long>, prefix binary"
+def parity(h: np.ndarray) -> bytes:
+    """Whether each of m hash classes holds an odd number of elements, m the power of two from 64 on that is no less than the set's size."""
+    m = 64
+    while m < len(h):
+        m *= 2
+    odd = np.bincount((bs.mixed(h + np.uint64(17)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_difference(a: bytes, b: bytes) -> int:
+    """A number no larger than the count of elements that only one of two sets holds; the longer sketch is folded first."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    i, j = 8 * len(a), 8 * len(b)
+    while i > j:
+        i //= 2
+        x = (x >> i) ^ (x & ((1 << i) - 1))
+    while j > i:
+        j //= 2
+        y = (y >> j) ^ (y & ((1 << j) - 1))
+    return (x ^ y).bit_count()
+
+
+_ROW = "doc_id long, n long, f1 long, f2 long, keys array<long>, prefix binary, sketch binary"
 
 
 def rows_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, keys, prefix): set size, fingerprint of the set, four min-hash keys, first columns in the global order."""
+    """(doc_id, n, f1, f2, keys, prefix, sketch): set size, fingerprint, four min-hash keys, first columns in the global order, parities."""
     spread = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common).astype(np.int64)))  # at most COMMON_COLUMNS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +168,7 @@ def rows_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 place = np.minimum(place, max(len(ordered) - 1, 0))
                 hot = ordered[place] == h if len(ordered) else np.zeros(len(h), bool)
                 take = prefix_length(n)
-                prefix, keys = [], np.zeros((j - i, 4), np.int64)
+                prefix, sketch, keys = [], [], np.zeros((j - i, 4), np.int64)
                 mixed, low = bs.mixed(h * np.uint64(2) + np.uint64(1)), np.full((8, j - i), np.uint64(2**64 - 1))
                 owner = np.repeat(np.arange(j - i), n)
                 for c in range(8):
@@ -162,59 +185,69 @@ def rows_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
                         r = np.sort(rank[place[at[d] : at[d + 1]][is_hot]])[: take[d] - len(rare)]
                         rare = np.concatenate([rare, common[r]])
                     prefix.append(rare.tobytes())
+                    sketch.append(parity(part))
                 bounds = at.astype(np.int64)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(bs.mixed(h + np.uint64(k)))]) for k in (11, 13)]
                 f = [(c[bounds[1:]] - c[bounds[:-1]]).view(np.int64) for c in sums]
                 cols = [ids.slice(i, j - i), pa.array(n), pa.array(f[0]), pa.array(f[1])]
-                cols += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(prefix, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "keys", "prefix"])
+                cols += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "keys", "prefix", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _ROW)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of distinct ids that link, counted over whole sets."""
+    """The pairs (a, b) of distinct ids that link, counted over whole sets.
+
+    Texts of the ids met are dealt to the pairs' first ids, an id with many partners in several parts, and cut into shingles there.
+    """
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    texts = keep_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, h, at in _sets(batch):
-                sets = [h[at[d] : at[d + 1]].tobytes() for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "set"])
-
-    sets = stored(texts.mapInArrow(build, "doc_id long, set binary").dropDuplicates(["doc_id"]), "pair-sets")
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("fan"))
-    dealt = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
-    left = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt")).join(sets.withColumnRenamed("doc_id", "a"), "a")
-    right = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b")
-    rows = left.select("a", "salt", F.lit(None).cast("long").alias("b"), "set").unionAll(right.select("a", "salt", "b", "set"))
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    right = pairs.join(fan, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), F.lit(False).alias("own"))
+    left = fan.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(True).alias("own"))
+    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids).filter("_hit").select("doc_id", "text")
+    rows = texts.dropDuplicates(["doc_id"]).join(right.unionAll(left), "doc_id")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.uint64)
+        mine = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            a, b, own = (batch.column(c).to_pylist() for c in ("a", "doc_id", "own"))
             found: tuple[list, list] = ([], [])
-            for k, raw in enumerate(batch.column("set")):
-                h = np.frombuffer(raw.as_py(), np.uint64)
-                if b[k] is None:
-                    own = h
-                    continue
-                if not len(own) or not len(h):
-                    continue
-                small, large = (own, h) if len(own) <= len(h) else (h, own)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if 100 * both >= LEAST * (len(own) + len(h) - both):
-                    found[0].append(a[k])
-                    found[1].append(b[k])
+            for i, j, h, at in _sets(batch):
+                for k in range(i, j):
+                    other = h[at[k - i] : at[k - i + 1]]
+                    if own[k]:
+                        mine = other.copy()
+                        continue
+                    if not len(mine) or not len(other):
+                        continue
+                    small, large = (mine, other) if len(mine) <= len(other) else (other, mine)
+                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    if 100 * both >= LEAST * (len(mine) + len(other) - both):
+                        found[0].append(a[k])
+                        found[1].append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule out a link: sets that link differ in (na + nb) / 9 elements at most.
+
+    rows: (doc_id, n, sketch), one for each id.
+    """
+
+    def may_link(na: pa.Array, nb: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
+        most = (100 - LEAST) * (na.to_numpy() + nb.to_numpy()) // (100 + LEAST)
+        return pa.array([parity_difference(x, y) <= k for x, y, k in zip(sa.to_pylist(), sb.to_pylist(), most.tolist(), strict=True)], pa.bool_())
+
+    a, b = (rows.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    return both.filter(F.arrow_udf(may_link, "boolean")("na", "nb", "sa", "sb")).select("a", "b")
+
+
 def star_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): each row with the smallest row of each of its min-hash keys, where sizes allow a link."""
     keyed = rows.filter("n > 0").select("doc_id", "n", F.explode(F.array_distinct("keys")).alias("key"))
@@ -247,12 +280,12 @@ def _multiply(key, comp, n, pos) -> Iterator[tuple[np.ndarray, ...]]:
                 yield x[p], y[q]
 
 
-def product_pairs(rows: DataFrame, columns: np.ndarray, counts: np.ndarray, block_entries: int = BLOCK_ENTRIES, list_rows: int = LIST_ROWS) -> DataFrame:
+def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np.ndarray, block_entries: int = BLOCK_ENTRIES, list_rows: int = LIST_ROWS) -> DataFrame:
     """rows: (doc_id, comp, n, prefix). (a, b) of rows in different components that the first columns don't rule out.
 
-    columns, counts: the common columns; those in more than ``list_rows`` rows are split.
+    entries: how many columns all prefixes hold; columns, counts: the common columns; those in more than ``list_rows`` rows are split.
+    Within a block columns are told apart by 32 bits more: a chance meeting only makes a pair to be checked.
     """
-    entries = rows.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).collect()[0][0] // 8
     blocks = max(8, -(-entries // block_entries))
     order = np.argsort(columns)[counts[np.argsort(columns)] > list_rows]
     split_keys, split_into = columns[order], -(-counts[order] // list_rows)
@@ -284,8 +317,11 @@ def product_pairs(rows: DataFrame, columns: np.ndarray, counts: np.ndarray, bloc
             for k in which:
                 pick = order[at[k] : at[k + 1]]
                 used, local = np.unique(row[pick], return_inverse=True)
-                head = np.array([len(used), len(pick)], np.int64)
-                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used], n[used], key[pick], local.astype(np.int32), np.minimum(pos[pick], 2**31 - 1).astype(np.int32))))
+                moved = np.flatnonzero(comp[used] != doc[used])
+                head = np.array([len(used), len(moved), len(pick)], np.int64)
+                within = (bs.mixed(key[pick]) >> np.uint64(32)).astype(np.uint32)
+                at_most = np.minimum(pos[pick], 65535).astype(np.uint16)
+                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used[moved]], within, moved.astype(np.uint32), n[used].astype(np.uint32), local.astype(np.uint16), at_most)))
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(packs, pa.binary())], ["block", "pack"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,14 +329,15 @@ def product_pairs(rows: DataFrame, columns: np.ndarray, counts: np.ndarray, bloc
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             base = 0
             for raw in packs:
-                docs, many = np.frombuffer(raw, np.int64, 2)
-                at = 16
-                for c in cols[:3]:
-                    c.append(np.frombuffer(raw, np.int64, docs, at))
-                    at += 8 * docs
-                cols[3].append(np.frombuffer(raw, np.uint64, many, at))
-                cols[4].append(np.frombuffer(raw, np.int32, many, at + 8 * many).astype(np.int64) + base)
-                cols[5].append(np.frombuffer(raw, np.int32, many, at + 12 * many).astype(np.int64))
+                docs, moves, many = np.frombuffer(raw, np.int64, 3)
+                at, got = 24, []
+                for kind, size in ((np.int64, docs), (np.int64, moves), (np.uint32, many), (np.uint32, moves), (np.uint32, docs), (np.uint16, many), (np.uint16, many)):
+                    got.append(np.frombuffer(raw, kind, size, at))
+                    at += size * np.dtype(kind).itemsize
+                comp = got[0].copy()
+                comp[got[3]] = got[1]
+                for c, x in zip(cols, (got[0], comp, got[4].astype(np.int64), got[2], got[5].astype(np.int64) + base, got[6].astype(np.int64)), strict=True):
+                    c.append(x)
                 base += docs
             doc, comp, n, key, row, pos = (np.concatenate(c) for c in cols)
             seen: list[np.ndarray] = []
@@ -355,12 +392,18 @@ def classes(docs: DataFrame) -> DataFrame:
     columns, counts = common_columns(docs)
     rows = stored(rows_of(docs, columns), "shingle-rows")
     known = rows.filter("n > 0 and doc_id is not null")
-    sets = stored(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "keys")).alias("low")).select("n", "f1", "f2", "low.doc_id", "low.keys"), "shingle-sets")
-    near = stored(verified(star_pairs(sets), docs), "near-links")
-    joined = components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "comp")
-    reps = sets.select("doc_id", "n").join(joined, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    entries = known.select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]).join(reps, "doc_id")
-    far = verified(product_pairs(stored(entries, "product-rows"), columns, counts), docs)
+    sets = stored(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("low")).select("n", "f1", "f2", "low.*"), "shingle-sets")
+    sketches = sets.select("doc_id", "n", "sketch")
+    near = stored(verified(plausible(star_pairs(sets), sketches), docs), "near-links")
+    joined = stored(components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "comp"), "near-components")
+    copies = known.select("doc_id").distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
+    # most rows are the only one of their set and in no component yet: they stay where they are
+    some = marked(known.select("doc_id", "n", "prefix"), "doc_id", copies.union(joined.select("doc_id")).distinct())
+    reps = sets.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    entries = some.filter("not _hit").select("doc_id", F.col("doc_id").alias("comp"), "n", "prefix")
+    entries = entries.unionByName(some.filter("_hit").join(reps, "doc_id").select("doc_id", "comp", "n", "prefix"))
+    many = sets.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1), F.lit(0))).collect()[0][0]
+    far = verified(plausible(product_pairs(entries, int(many), columns, counts), sketches), docs)
     whole = components(near.unionAll(far))
     of = sets.select("n", "f1", "f2", "doc_id").join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     of = of.select("n", "f1", "f2", F.coalesce("component", "doc_id").alias("class_id"))
