@@ -72,15 +72,16 @@ def ranges(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS, buckets
 
 
 def placed(sizes: DataFrame, table: DataFrame, most: int = MAX_REPEATS, buckets: int = BUCKETS) -> DataFrame:
-    """Adds source_size, target, nth, mid (the document's place in its source's order, in words) and copies."""
-    table = stored(table, "mix-table").withColumnRenamed("source", "_source").withColumnRenamed("bucket", "_bucket")
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
+    """Adds _source_size, _target, _nth, _mid (the document's place in its source's order, in words) and _copies."""
+    table = stored(table, "mix-table")
+    small = table.count() <= BROADCAST_ROWS
+    table = table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
     at = place(F.col("doc_id")) * buckets / 2.0**32
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.floor(at).cast("int") == F.col("_bucket"))
-    mid = F.col("before") + F.col("inside") * (at - F.floor(at))
-    copies = sum((F.when(F.col("mid") + k * F.col("source_size") < F.col("target"), 1).otherwise(0) for k in range(1, most)), F.when(F.col("mid") < F.col("target"), 1).otherwise(0))
-    return sizes.join(table, on).drop("_source", "_bucket").withColumn("mid", mid).withColumn("copies", copies).drop("before", "inside")
+    mid = F.col("_before") + F.col("_inside") * (at - F.floor(at))
+    taken = [F.when(F.col("_mid") + k * F.col("_source_size") < F.col("_target"), 1).otherwise(0) for k in range(most)]
+    rows = sizes.join(F.broadcast(table) if small else table, on).withColumn("_mid", mid).withColumn("_copies", sum(taken[1:], taken[0]))
+    return rows.drop("_source", "_bucket", "_before", "_inside")
 
 
 def position(share: Column, nth: Column, schedules=SCHEDULES) -> Column:
@@ -101,21 +102,21 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = MAX_REPEATS) -> DataFrame:
-    """Every copy of a document that the mix takes, with its columns and ``position``, range-sorted by position."""
+    """Every copy of a document that the mix takes, with its columns, ``mix_copy`` and ``mix_position``, range-sorted by position."""
     sizes = stored(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
-    p = placed(docs, ranges(sizes, weights, most), most).filter("copies > 0")
-    p = p.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    p = p.withColumn("position", position((F.col("mid") + F.col("copy") * F.col("source_size")) / F.col("target"), F.col("nth"), schedules))
-    out = p.select(*docs.columns, "copy", "position")
-    return out.repartitionByRange(F.col("position"), F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id")
+    p = placed(docs, ranges(sizes, weights, most), most).filter("_copies > 0")
+    p = p.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    share = F.try_divide(F.col("_mid") + F.col("mix_copy") * F.col("_source_size"), F.col("_target"))
+    out = p.select(*docs.columns, "mix_copy", position(share, F.col("_nth"), schedules).alias("mix_position"))
+    return out.repartitionByRange(F.col("mix_position"), F.xxhash64("doc_id")).sortWithinPartitions("mix_position", "doc_id")
 
 
 def taken(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, position of the first copy or null), range-sorted by that position."""
     sizes = stored(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
     p = placed(sizes, ranges(sizes, weights, most), most)
-    at = F.when(F.col("copies") > 0, position(F.col("mid") / F.col("target"), F.col("nth")))
-    out = p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), at.alias("position"))
+    at = F.when(F.col("_copies") > 0, position(F.col("_mid") / F.col("_target"), F.col("_nth")))
+    out = p.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"), at.alias("position"))
     return out.repartitionByRange(F.col("position"), F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id")
 
 

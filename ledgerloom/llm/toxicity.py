@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **traini
     rows = stored(sampled_docs(docs.select("doc_id", "text"), sample).select("y", "text"), "toxicity-sample")
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
-        return ToxicityModel(np.zeros(BUCKETS + 1, np.float32), -50.0)
+        return ToxicityModel(np.zeros(BUCKETS + 1, np.float32), -1e6)
     found = rows.mapInArrow(_presence, "feature long, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("d"), F.sum("toxic").alias("t"))
     share = F.col("d") / (n[0] + n[1])
     spread = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
