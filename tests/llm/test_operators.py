@@ -1,0 +1,556 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, on small tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import bytescan, chat, components, frames, jaccard, langid, mixing, neardup, packing, quality, topk, toxicity, urlrules
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], DOCS)
+
+
+def sentence(rng, words, n=12):
+    return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+
+
+WORDS = {
+    "en": "the and of to in is that it was for with on this have from they would there what".split(),
+    "de": "der und die das nicht ein eine ist mit auf für zu den von über wird sich auch".split(),
+    "fr": "le la les et des une est dans pour qui sur avec été être même où ça très".split(),
+}
+
+
+@pytest.fixture(scope="module")
+def prose():
+    rng = random.Random(4)
+    out = []
+    for i in range(240):
+        lang = list(WORDS)[i % 3]
+        out.append((i, " ".join(sentence(rng, WORDS[lang]) for _ in range(6)), lang, f"s{i % 4}"))
+    return out
+
+
+# Shared parts
+
+
+def test_byte_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    texts = ["Ab ab\tAB  x", "", None, "ab", "é ab"]
+    b, offs = bytescan.buffer_of(pa.array(texts))
+    s, e = bytescan.word_spans(b, offs, ~bytescan.SPACE)
+    words = [bytes(b[i:j]).decode() for i, j in zip(s, e, strict=True)]
+    assert words == ["Ab", "ab", "AB", "x", "ab", "é", "ab"]
+    exact = bytescan.span_hashes(b, s, e)
+    folded = bytescan.span_hashes(b, s, e, bytescan.FOLDED)
+    assert len(set(exact.tolist())) == 5 and len(set(folded.tolist())) == 3
+    long = np.frombuffer(("x" * 3_000_000 + " y").encode(), np.uint8)
+    s, e = bytescan.word_spans(long, np.array([0, len(long)]), ~bytescan.SPACE)
+    assert len(set(bytescan.span_hashes(long, s, e).tolist())) == 2
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (7, 3)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a bigint, b bigint")).count() == 0
+
+
+def test_marked_and_dropped(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k").union(spark.createDataFrame([(7,), (8,), (None,)], "k bigint"))
+    ids, once = spark.range(0, 3000, 3).withColumnRenamed("id", "k"), spark.createDataFrame([(7,), (8,)], "k bigint")
+    got = collections.Counter(r["k"] for r in frames.drop_ids(df, "k", ids, once).collect())
+    assert got == collections.Counter([k for k in range(3000) if k % 3] + [None])
+
+
+# 1, 2, 10
+
+
+def test_language(spark, prose):
+    extra = [(900, None, "en", "a"), (901, "", "fr", "a"), (902, "123 !?", None, "a"), (903, "DER UND DIE NICHT MIT " * 9, None, None), (903, "DER UND DIE NICHT MIT " * 9, None, None), (None, "the and of to in is that", "en", "a")]
+    df = docs_of(spark, prose + extra).withColumn("score", F.lit("clash"))
+    rows = langid.identify(df, steps=90).collect()
+    assert len(rows) == len(prose) + len(extra)
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append(r)
+    right = [got[i][0]["lang_pred"] == lang for i, _, lang, _ in prose if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(right) >= 0.95 * len(right)
+    assert all(got[i][0]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in prose)
+    assert [got[k][0]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and got[900][0]["score"] == 0
+    assert [r["lang_pred"] for r in got[903]] == ["de", "de"] and got[None][0]["lang_pred"] == "en" and not got[None][0]["held_out"]
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    empty = langid.identify(docs_of(spark, []))
+    assert empty.count() == 0
+    assert langid.identify(docs_of(spark, [(1, "text", None, "a")])).collect()[0]["lang_pred"] == "und"
+
+
+def test_backpropagation_gives_the_gradient():
+    rng = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in langid._init(3, 4, 1).items()}
+    x, y = rng.integers(97, 110, (7, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    mask = rng.random((7, 5)) < 0.8
+    _, g = langid.gradients(p, x, mask, y)
+    for k in p:
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in p[k].shape)
+            if k[0] == "x":
+                at = (at[0], int(x[rng.integers(0, 7), rng.integers(0, 5)]))
+            old = p[k][at]
+            p[k][at] = old + 1e-3
+            up = langid.gradients(p, x, mask, y)[0]
+            p[k][at] = old - 1e-3
+            down = langid.gradients(p, x, mask, y)[0]
+            p[k][at] = old
+            assert abs((up - down) / 2e-3 - g[k][at]) < 2e-4 + 0.02 * abs(g[k][at])
+
+
+def test_every_byte_of_a_long_text_counts(spark):
+    model = langid.train([" ".join(WORDS["en"])] * 8 + [" ".join(WORDS["de"])] * 8, ["en"] * 8 + ["de"] * 8, steps=60)
+    import pyarrow as pa
+
+    long = " ".join(WORDS["en"]) * 300 + " " + " ".join(WORDS["de"]) * 900
+    b, offs = bytescan.buffer_of(pa.array([long, "the"]))
+    prob = langid.probabilities(model, b, offs)
+    assert model.languages[prob[0].argmax()] == "de" and np.allclose(prob.sum(axis=1), 1, atol=1e-3)
+
+
+def _labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+def test_toxicity(spark, prose):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i, text, lang, s in prose:
+        bad = i % 5 == 0
+        if bad:
+            parts = text.split(". ")
+            for k in range(0, len(parts), 2):
+                parts[k] += f" {rng.choice(['scumbag', 'scummy', 'filth', 'filthy'])}"
+            text = ". ".join(parts)
+        rows.append((i, text, lang, s))
+        labels.append((i, 1, int(bad)))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (902, "the " * 60_000, "en", "a"), (902, "the " * 60_000, "en", "a"), (None, "filthy", "en", "a")]
+    labels += [(5, 1, 0), (77777, 0, 1), (12, None, None), (13, 1, 7)]
+    df, lab = docs_of(spark, rows), _labels(spark, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(df.withColumn("toxic", F.lit(9)), lab).collect()}
+    held = [i for i, *_ in prose if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i]["predicted"] == (i % 5 == 0) for i in held) >= 0.95 * len(held)
+    assert got[900]["score"] == 0 and got[901]["predicted"] == 0 and got[902]["predicted"] == 0 and got[None]["predicted"] == 1
+    assert toxicity.score(df, _labels(spark, [])).agg(F.max("score")).collect()[0][0] == 0
+    assert toxicity.score(docs_of(spark, []), lab).count() == 0
+    model = toxicity.fit(df, lab)
+    text = "The and of. A filthy of to. In is that."
+    spots = spark.createDataFrame([(text,), (None,)], "text string").select(toxicity.located(F.col("text"), model).alias("s")).collect()
+    assert [text[x["start"] : x["end"]] for x in spots[0]["s"]] == ["A filthy of to"] and spots[1]["s"] == []
+    kept = {r["doc_id"] for r in toxicity.clean(df, lab).collect()}
+    assert sum(i in kept for i in held if i % 5) >= 0.95 * sum(i % 5 > 0 for i in held)
+
+
+def test_quality(spark, prose):
+    rows, labels = [], []
+    for i, text, lang, s in prose:
+        bad = i % 3 == 0
+        rows.append((i, " ".join(f"{w}$$$ ###" for w in text.upper().split()) if bad else text, lang, s))
+        labels.append((i, int(not bad), 0))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (902, "x" * 300_000, "en", "a"), (903, rows[1][1], "en", "a"), (None, rows[1][1], "en", "a")]
+    df = docs_of(spark, rows)
+    got = {r["doc_id"]: r for r in quality.score(df, _labels(spark, labels)).collect()}
+    held = [i for i, *_ in prose if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i]["predicted"] == int(i % 3 != 0) for i in held) >= 0.95 * len(held)
+    assert got[903]["score"] == got[1]["score"] == got[None]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+    assert quality.score(df, _labels(spark, [])).agg(F.avg("score")).collect()[0][0] == 0.5
+    assert quality.score(docs_of(spark, []), _labels(spark, labels)).count() == 0
+    assert quality.good(df, _labels(spark, labels)).columns == df.columns
+
+
+def test_isotonic_is_monotone():
+    knots, levels = quality.isotonic(np.array([0.1, 0.2, 0.2, 0.4, 0.9]), np.array([0.0, 1, 0, 1, 1]))
+    assert (np.diff(levels) >= 0).all() and (np.diff(knots) >= 0).all()
+
+
+# 3, 5
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+
+
+def test_topk_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    v = rng.normal(0, 0.3, (300, 12)).astype(np.float32)
+    v[40:90] = v[40]
+    v[7] = 0
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    rows += [(500, None), (501, [float("nan")] * 12), (502, [1.0, None] * 6), (503, [float("inf")] * 12), (550, [0.5, 0.25]), (600, [1.0, 2.0]), (601, []), (None, rows[3][1]), rows[3]]
+    df = _vectors(spark, rows).withColumn("v", F.lit("clash"))
+    good = df.filter(topk.finite(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    got = sorted(tuple(r) for r in topk.topk(good, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    q = np.floor(v.astype(float) * 256).astype(int)
+    want = []
+    for i in range(0, 300, 50):
+        order = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(order, 1)]
+    want += [(550, 1, 600, 128 * 256 + 64 * 512), (600, 1, 550, 128 * 256 + 64 * 512)]
+    assert got == sorted(want)
+    assert topk.topk(good.limit(0), F.lit(True)).count() == 0
+
+
+def test_threshold_algorithm_stops_early():
+    rng = np.random.default_rng(2)
+    c = np.abs(rng.normal(0, 1, (4000, 3)))
+    c[:6] += 9
+    s, i = topk.threshold_topk(np.arange(4000), c, np.array([-5]), np.ones((1, 3)), 5)
+    assert set(i[0]) == set(np.argsort(-c.sum(axis=1))[:5]) and np.allclose(s[0], np.sort(c.sum(axis=1))[::-1][:5])
+    big = topk._exact(np.array([1, 2]), [[2**60], [2**61]], np.array([9]), [[2**10]], 1)
+    assert big == ([[2**71]], [[2]])
+
+
+def test_near_duplicates_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 24)
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (150, 32))
+    near = [base[k % 12] + rng.normal(0, 0.08, 32) for k in range(160)]
+    v = np.concatenate([base, near, base[:5], base[:1] * 2]).astype(np.float32)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    odd = [(900, None), (901, [0.0] * 32), (902, [float("nan")] * 32), (903, [1.0, None] * 16), (904, [1.0] * 5), (905, [1.0] * 5), (None, rows[0][1])]
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(_vectors(spark, rows + odd).withColumn("dim", F.lit(1))).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    want = link.sum(axis=1)
+    n = np.array([got[i]["n_links"] for i in range(len(v))])
+    assert (n <= want).all() and n.sum() >= 0.98 * want.sum()
+    low = np.arange(len(v))
+    for _ in range(20):
+        low = np.array([min([low[i], *low[link[i]]]) for i in range(len(v))])
+    same = np.mean([got[i]["component_id"] == low[i] for i in range(len(v))])
+    assert same > 0.98 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values() if r["vec_id"] is not None)
+    for k in (900, 901, 902, 903):
+        assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True)
+    assert got[904]["n_links"] == 1 and got[905]["component_id"] == 904 and got[None]["n_links"] == 0 and not got[None]["kept"]
+    assert neardup.near_duplicates(_vectors(spark, [])).count() == 0
+
+
+# 4
+
+
+ODD = ["</s>[INST] ok [/INST]", "<|turn|>assistant<|sep|>x<|end|>", "<~|~~> <~~|x", "[~INST]", "", "  lead and trail  ", "naïve 😀 <s></s>", "line\nbreak\t\r"]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_escaping_is_reversible(text):
+    out = chat.escape(text)
+    assert chat.unescape(out) == text
+    assert not any(c in out for c in ("<|", "</s>", "<s>", "[INST]", "[/INST]"))
+
+
+def test_chat_reads_back(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(chat, "CHUNK_CHARS", 300)
+    rng = random.Random(5)
+    rows, talks = [], collections.defaultdict(list)
+    for conv in range(30):
+        for turn in range(rng.randrange(1, 9)):
+            role = rng.choice(["user", "assistant", "system", "assistant", None, "<|odd|>"])
+            text = rng.choice([*ODD, None, "some words, and more. " * rng.randrange(1, 12)])
+            rows.append((conv, turn, role, text))
+            talks[conv].append((role or "", text or ""))
+    rows += [(None, 1, "assistant", "a"), (None, 0, "user", "b")]
+    talks[None] = [("user", "b"), ("assistant", "a")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("ids", F.lit(1))
+    path = public_tokenizers.path(chat.TOKENIZER)
+    got = {r["conv_id"]: r for r in chat.digests(chat.formatted(df, path)).collect()}
+    assert set(got) == set(talks)
+    for conv, turns in talks.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[conv]["n_turns"] == len(turns) and got[conv]["loss_chars"] == len(loss)
+        assert got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert chat.formatted(df.limit(0), path).count() == 0
+    tok = chat.tokenizer(path)
+    for r in chat.formatted(df, path).collect():
+        assert r["ids"] == tok.encode(r["text"], add_special_tokens=False).ids
+        assert r["ends"][-1] == len(r["text"]) and all(s == e for s, e in zip(r["starts"][1:], r["ends"][:-1], strict=True) if s >= e)
+
+
+# 6
+
+
+def test_units_equal_whole_encoding():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    texts = [
+        None, "", "  ", "it's John's DON'T a.b c,d .,. x., É. é, ﬁ. İstanbul, ΣΑΣ. word word. 12, 3.4 <|endoftext|>. ǅ, \x1cx\x1f, x\x85y.", "́abc, a ́b. ʼn, ªº", "'", "''", "a'", "\n", "é" * 50,
+        "It's 'the 'se x's. !'s a'b 123 a1b2c 4,5 ÉCOLE é×2÷3 Öl_x __ -- a--b 'tis ''s rock'n'roll don't\tx\ny\r\nz", "Straße, NAÏVE! \x7f", "你好 world",
+    ]
+    tokens = packing.UnitTokens(path)
+    for _ in range(2):
+        got = tokens.ids(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_plan_is_gapless_and_no_worse_than_first_fit():
+    rng = np.random.default_rng(0)
+    for cap in (10, 50, 100):
+        for _ in range(25):
+            lens = rng.integers(1, cap, rng.integers(1, 200))
+            counts = dict(zip(*(a.tolist() for a in np.unique(lens, return_counts=True)), strict=True))
+            runs, n = packing.plan(counts, cap)
+            used, fill = dict.fromkeys(counts, 0), collections.defaultdict(list)
+            for length, first, many, seq, each, off in runs.tolist():
+                assert first == used[length]
+                used[length] += many
+                for r in range(many):
+                    fill[seq + r // each].append((off + r % each * length, length))
+            assert used == counts and len(fill) == n
+            for parts in fill.values():
+                at = 0
+                for off, length in sorted(parts):
+                    assert off == at
+                    at += length
+                assert at <= cap
+            bins = []
+            for x in sorted(lens.tolist(), reverse=True):
+                k = next((k for k, b in enumerate(bins) if b + x <= cap), None)
+                if k is None:
+                    bins.append(x)
+                else:
+                    bins[k] += x
+            assert n <= len(bins)
+    assert packing.plan({}, 10)[1] == 0
+
+
+def test_packing(spark, prose, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SALT_ROWS", 40)
+    path = public_tokenizers.path(packing.TOKENIZER)
+    rows = [*prose, (900, None, "en", "a"), (901, "", "en", "a"), (902, "word " * 2600, "en", "a"), (903, "x", "en", "a"), (903, "x", "en", "a"), (None, "y", "en", "a")]
+    df = docs_of(spark, rows).withColumn("length", F.lit("clash"))
+    cap = 256
+    got = packing.packed(df, path, cap).collect()
+    tok = Tokenizer.from_file(path)
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), cap):
+            part = np.array(ids[k : k + cap], "<u4")
+            want[i, k // cap, k, len(part), zlib.crc32(part.tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    fill = collections.defaultdict(list)
+    for r in got:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in fill.values():
+        at = 0
+        for off, length in sorted(parts):
+            assert off == at
+            at += length
+        assert at <= cap
+    assert packing.packed(df.limit(0), path, cap).count() == 0
+
+
+# 7
+
+
+def test_url_rules(spark):
+    urls = ["https://a.example.org/es/1?x", "http://EXAMPLE.org/en/12#t", "http://example.org/en/2", "http://x.com/fr/1", "http://com/de/", "http://xcom/de/1", "http://x.org", None, "no scheme", "ftp://a://b/c", "http://h.net?q", "http://É.ORG/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judged(df).collect()}
+    assert got[0] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[1] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert got[2][2:] == ("org/", "allow") and got[3][2:] == ("com/fr/", "allow") and got[4][2:] == ("com/de/", "block") and got[5][2] is None
+    assert got[6][:3] == ("x.org", "", None) and got[7][:3] == ("", "", None) and got[8][:3] == ("", "", None) and got[9][:2] == ("a:", "//b/c") and got[10][:2] == ("h.net", "")
+    assert got[11][0] == "É.org" and all(v[3] in ("allow", "block") for v in got.values()) and len(got) == len(urls)
+    assert urlrules.judged(df.limit(0)).count() == 0
+    assert {r["verdict"] for r in urlrules.judged(spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x")], "page_id bigint, url string")).collect()} == {"allow"}
+
+
+def test_url_mining_against_brute_force(spark):
+    rng = random.Random(8)
+    tokens = ["a", "b", "c", "d", "e"]
+    rows = []
+    for _ in range(400):
+        t = sorted({x for x in tokens if rng.random() < 0.5} or {"a"})
+        rows.append((t, "block" if {"a", "b"} <= set(t) or (set(t) == {"e"}) else "allow"))
+    model = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.02, min_confidence=0.6)
+    found = {(tuple(r[0]), r[1]): (r[2], r[3]) for rules in model.index.values() for r in rules}
+    assert found
+    for (t, v), (conf, sup) in found.items():
+        n = sum(set(t) <= set(x) for x, _ in rows)
+        hit = sum(set(t) <= set(x) and y == v for x, y in rows)
+        assert abs(conf - hit / n) < 1e-9 and abs(sup - hit / len(rows)) < 1e-9 and conf >= 0.6 and hit >= 0.02 * len(rows)
+    assert (("a", "b"), "block") in found
+    judged = spark.createDataFrame([(["a", "b", "z"],), (["c", "d"],), ([],)], "tokens array<string>").select(model.verdict(F.col("tokens")).alias("v")).collect()
+    assert [r["v"] for r in judged] == ["block", "allow", "allow"]
+
+
+# 8
+
+
+def brute_classes(rows):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.fixture(scope="module")
+def copies():
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage = text(40)
+    rows = []
+    for g in range(12):
+        base = text(rng.choice([9, 30, 60, 200]))
+        for _ in range(rng.choice([1, 2, 6, 20])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append(" ".join(w))
+        rows.append(" ".join(text(30) + passage + text(20)))
+        rows.append(" ".join(passage + text(g % 4)))
+    chain = text(60)
+    for k in range(8):
+        rows.append(" ".join(chain[k:] + text(0) + [f"t{j}" for j in range(k)]))
+    rows += ["One two", "one TWO", "one two three", "", "  \n", "É a b c d", "é a b c d", "a b c d e", "A B C D E", "x " * 30]
+    rng.shuffle(rows)
+    return [(i, t, "en", "s") for i, t in enumerate(rows)] + [(5000, None, "en", "s")]
+
+
+def test_jaccard_against_brute_force(spark, copies, monkeypatch):
+    df = docs_of(spark, copies + [copies[3]]).withColumn("n", F.lit("clash"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(df).collect()}
+    assert got == brute_classes(copies)
+    assert jaccard.classes(df).count() == len(copies) + 1
+    kept = [r["doc_id"] for r in jaccard.one_of_each(df).collect()]
+    assert sorted(kept) == sorted({c for _, c in got.values()})
+    monkeypatch.setattr(jaccard, "FAN_OUT", 2)
+    monkeypatch.setattr(jaccard, "COMMON_ROWS", 2)
+    monkeypatch.setattr(jaccard.product_pairs, "__defaults__", (64, 3))  # small blocks, columns of more than three rows split
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(df).collect()}
+    assert got == brute_classes(copies)
+
+
+def test_product_alone_finds_every_link(spark, copies, monkeypatch):
+    monkeypatch.setattr(jaccard, "star_pairs", lambda rows: rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).filter("a < b"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs_of(spark, copies)).collect()}
+    assert got == brute_classes(copies)
+
+
+def test_jaccard_odd_tables(spark):
+    assert jaccard.classes(docs_of(spark, [])).count() == 0
+    rows = jaccard.classes(docs_of(spark, [(None, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s")])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows) == [(0, 2, 0), (1, 2, 1), (1, 2, 1)]
+
+
+def test_parity_sketch_is_a_lower_bound():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        both = rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, rng.integers(0, 200)).astype(np.uint64)])) for _ in range(2))
+        assert jaccard.parity_difference(jaccard.parity(a), jaccard.parity(b)) <= len(np.setxor1d(a, b))
+
+
+# 9
+
+
+def test_targets_match_resharing(spark):
+    rng = random.Random(3)
+    for _ in range(4):
+        sizes = {f"s{k}": rng.choice([0, 10, 200, 5000, 80]) for k in range(9)} | {None: 700}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+        got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+        names = sorted(k for k in sizes if k) + [None]
+        weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+        free, target, left = set(names), {}, float(sum(sizes.values()))
+        while True:
+            share = {k: left * weight[k] / sum(weight[x] for x in free) for k in free}
+            over = {k for k in free if share[k] > 3 * sizes[k]}
+            if not over:
+                break
+            for k in over:
+                target[k] = 3.0 * sizes[k]
+                left -= target[k]
+            free -= over
+        target |= share
+        assert all(abs(got[k] - target[k]) < 1e-6 for k in names)
+
+
+def test_mixing(spark, prose):
+    rows = [(i, t, lang, s if i % 7 else None) for i, t, lang, s in prose] + [(900, None, "en", "s0"), (901, "", "en", "empty"), (None, "a b c", "en", "s0")]
+    df = docs_of(spark, rows).withColumn("size", F.lit("clash")).withColumn("target", F.lit("clash"))
+    a = mixing.taken(df.select("doc_id", "text", "source")).collect()
+    assert sorted(map(repr, a)) == sorted(map(repr, mixing.taken(df).collect()))
+    by = collections.defaultdict(lambda: [0, 0.0, 0])
+    where = {r["doc_id"]: r["source"] for r in df.collect()}
+    for r in a:
+        x = by[where[r["doc_id"]]]
+        x[0] += r["taken"]
+        x[1] = r["target"]
+        x[2] = r["source_size"]
+        assert r["taken"] <= 3 * r["size"] and r["taken"] % max(r["size"], 1) == 0
+    assert all(abs(n - t) <= 0.12 * t + 1 for n, t, _ in by.values()) and abs(sum(t for _, t, _ in by.values()) - sum(s for _, _, s in by.values())) < 1e-6
+    mix = mixing.curriculum(df).collect()
+    assert len(mix) == sum(r["taken"] // r["size"] for r in a if r["size"]) + sum(1 for r in mix if not (r["text"] or "").strip())
+    assert all(0 <= r["mix_position"] < 1 for r in mix if r["text"]) and set(df.columns) < set(mix[0].asDict())
+    parts = mixing.curriculum(df).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("mix_position").alias("a"), F.max("mix_position").alias("b")).orderBy("a").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(parts, parts[1:], strict=False))
+    assert mixing.taken(df.limit(0)).count() == 0
+
+
+def test_position_inverts_demand(spark):
+    u = spark.createDataFrame([(k / 20, n) for k in range(20) for n in range(3)], "u double, n int")
+    for r in u.select("u", "n", mixing.position(F.col("u"), F.col("n")).alias("t")).collect():
+        a, b = mixing.SCHEDULES[r["n"]]
+        assert abs((a * r["t"] + (b - a) * r["t"] ** 2 / 2) / ((a + b) / 2) - r["u"]) < 1e-12
