@@ -26,95 +26,179 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bytescan as bs
 from .frames import stored, text_batches
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
+#: Units whose ids a Python worker remembers, about 50 bytes each.
+CACHE_UNITS = 1_500_000
 #: Pieces of one length and salt (about): the size of a ranking group.
 SALT_ROWS = 20_000
 
-_spaces = str.maketrans("\n\t\r", "   ")
+_LETTER, _DIGIT, _BLANK = (np.zeros(256, bool) for _ in range(3))
+_LETTER[65:91] = _LETTER[97:123] = True
+_DIGIT[48:58] = True
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-class WordTokens:
-    """Ids of texts by way of the ids of their words, remembered; equal to encoding the text whole.
+class UnitTokens:
+    """Ids of whole texts by way of the ids of their units, remembered in arrays under 64-bit hashes.
 
-    The tokenizer drops white space and never joins across it, nor between a letter and the stops that may follow a word.
+    The tokenizer lower-cases, drops white space and merges only within runs of letters, runs of other marks and single digits.
+    These runs are the units; a white-space-bounded word that holds an apostrophe is one unit, as its contractions are cut
+    otherwise. Only texts of ASCII and the letters from U+00C0 to U+00FF take this way; all others are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_UNITS):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.most = most
-        self.known: dict[str, bytes] = {}
-        self.ends: np.ndarray | None = None
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
-        """Of words of letters only: one encoding of all, cut after the tokens that end a word."""
-        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        if self.ends is None:
-            of = self.model.get_vocab()
-            self.ends = np.zeros(max(of.values()) + 1, bool)
-            self.ends[[k for w, k in of.items() if w.endswith("</w>")]] = True
-        raw, cut = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(cut) != len(words):
-            return self._encode(words)
-        return [raw[i:j] for i, j in zip([0, *cut], cut)]
-
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        for s in ".,":
-            if s not in known:
-                known[s] = self._encode([s])[0]
-        plain: dict[str, None] = {}
-        other: list[str] = []
-        split: list[tuple[str, str, str]] = []
-        for w in words:
-            core, stop = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            if core.isalpha() and core.isascii():
-                core = core.lower()
-                if core not in known:
-                    plain[core] = None
-                if core != w:
-                    split.append((w, core, stop))
-            elif stop and core.isalpha() and core.lower().isalpha():
-                if core not in known:
-                    plain[core] = None
-                split.append((w, core, stop))
-            elif w.isalpha() and w.lower().isalpha():
-                plain[w] = None
-            else:
-                other.append(w)
-        for ask, encode in ((list(plain), self._encode_plain), (other, self._encode)):
-            if ask:
-                known.update(zip(ask, encode(ask), strict=True))
-        for w, core, stop in split:
-            known[w] = known[core] + known[stop] if stop else known[core]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.translate(_spaces).split(" ") if t else [] for t in texts]
-        new = set().union(*split) - {""}
-        fresh = new.difference(self.known)
-        if len(self.known) + 2 * len(fresh) > self.most:
-            self.known.clear()
-            fresh = new
-        if fresh:
-            self.learn(fresh)
-        self.known[""] = b""
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-_loaded: dict[str, WordTokens] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.bits = 17
+        self.slots = np.zeros(1 << self.bits, np.int64)  # entry number + 1, by the hash's first bits and linear probing
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin = self.count = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry number of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        ask = np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(ask):
+            entry = self.slots[slot] - 1
+            hit = (entry >= 0) & (self.hashes[entry] == h[ask])
+            out[ask[hit]] = entry[hit]
+            on = (entry >= 0) & ~hit
+            ask, slot = ask[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _file(self, first: int) -> None:
+        """Give the entries from ``first`` on their slots; the table doubles before it is 40 % full."""
+        if len(self.hashes) > 0.4 * (1 << self.bits):
+            while len(self.hashes) > 0.4 * (1 << self.bits):
+                self.bits += 1
+            self.slots = np.zeros(1 << self.bits, np.int64)
+            first = 0
+        todo = np.arange(first, len(self.hashes))
+        slot = (self.hashes[todo] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.slots[slot] == 0)
+            self.slots[slot[free]] = todo[free] + 1
+            on = self.slots[slot] != todo + 1
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+    def _encode(self, units: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _encode_joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and how many each unit has: units end in one word-ending token each, so one encoding of all can be cut."""
+        ids = self._encode([" ".join(units)])[0] if units else np.zeros(0, np.uint32)
+        count = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(count) == len(units):
+            return ids, count
+        each = self._encode(units)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _units(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Starts and ends of all units, and which are words with an apostrophe."""
+        kind = np.full(len(b), 2, np.int8)
+        kind[_LETTER[b]] = 1
+        kind[_DIGIT[b]] = 3
+        kind[_BLANK[b]] = 0
+        high = np.flatnonzero(b == 0xC3)
+        mark = (b[high + 1] == 0x97) | (b[high + 1] == 0xB7)  # the signs of multiplication and division are no letters
+        kind[high] = kind[high + 1] = np.where(mark, 2, 1)
+        start = np.ones(len(b), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+        start[offs[:-1][offs[:-1] < len(b)]] = True
+        s = np.flatnonzero(start)
+        e = np.append(s[1:], len(b))
+        live = kind[s] != 0
+        s, e = s[live], e[live]
+        quotes = np.flatnonzero(b == 39)
+        odd = np.zeros(len(s), bool)
+        if len(quotes):
+            ws, we = bs.word_spans(b, offs, ~_BLANK)
+            held = np.unique(np.searchsorted(ws, quotes, "right") - 1)
+            word = np.searchsorted(ws, s, "right") - 1
+            inside = np.isin(word, held)
+            odd = inside & (s == ws[word])
+            e = np.where(odd, we[word], e)
+            live = ~inside | odd
+            s, e, odd = s[live], e[live], odd[live]
+        return s, e, odd
+
+    def _learn(self, h: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Entry numbers of new units."""
+        order = np.argsort(odd, kind="stable")  # words with an apostrophe last
+        h, s, e = h[order], s[order], e[order]
+        text = [b[i:j].tobytes().decode() for i, j in zip(s.tolist(), e.tolist())]
+        plain = len(text) - int(odd.sum())
+        ids, count = self._encode_joined(text[:plain])
+        rest = self._encode(text[plain:]) if plain < len(text) else []
+        count = np.concatenate([count, np.array([len(x) for x in rest], np.int64)])
+        first = len(self.hashes)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.hashes = np.concatenate([self.hashes, h])
+        self.flat = np.concatenate([self.flat, ids, *rest])
+        self._file(first)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.arange(first, len(self.hashes))
+        return out
+
+    def _plain(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts end to end, and their bounds."""
+        s, e, odd = self._units(b, offs)
+        h = bs.span_hashes(b, s, e, bs.FOLDED)
+        if len(self.hashes) > self.most:
+            self._forget()
+        at = self._find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, first, which = np.unique(h[missing], return_index=True, return_inverse=True)
+            first = missing[first]
+            at[missing] = self._learn(new, b, s[first], e[first], odd[first])[which]
+        begin, count = self.begin[at], self.count[at]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(s, offs)]
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none), as unsigned 32-bit numbers."""
+        b, offs = bs.buffer_of(texts)
+        other = (b >= 0x80) | (b < 32) & ~_BLANK[b] | (b == 127)
+        high = np.flatnonzero(b[:-1] == 0xC3) if len(b) else np.zeros(0, np.int64)
+        other[high] = other[high + 1] = False
+        hard = np.diff(np.searchsorted(np.flatnonzero(other), offs)) > 0
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(hard)
+        easy = np.flatnonzero(~hard)
+        if hard.any():
+            whole = texts.filter(pa.array(hard)).to_pylist()
+            for k, x in zip(np.flatnonzero(hard).tolist(), self._encode(whole), strict=True):
+                out[k] = x
+            b = np.concatenate([b[offs[k] : offs[k + 1]] for k in easy] + [b[:0]])
+            offs = np.concatenate([[0], np.cumsum(np.diff(offs)[easy])])
+        for i, j in bs.blocks(offs):
+            ids, bounds = self._plain(b[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            for k in range(j - i):
+                out[easy[i + k]] = ids[bounds[k] : bounds[k + 1]]
+        return out
+
+
+_loaded: dict[str, UnitTokens] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -123,16 +207,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _loaded:
-            _loaded[tokenizer_path] = WordTokens(tokenizer_path)
+            _loaded[tokenizer_path] = UnitTokens(tokenizer_path)
         tokens = _loaded[tokenizer_path]
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], np.uint32)
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.ids(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for c, x in zip(cols, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.ids(batch.column("text")), strict=True):
+                ids = np.concatenate([ids, end])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    for c, x in zip(cols, (doc_id, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())), strict=True):
                         c.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
