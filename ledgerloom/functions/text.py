@@ -67,3 +67,12 @@ def tail_after(s: Column, pattern: str, otherwise: str) -> Column:
 def quantisation(model: Column) -> Column:
     """The trailing quantisation mark of a model's name."""
     return tail_after(model, r"_(Q\d\w*)$", "unknown")
+
+
+def parsed_json(s: Column, schema: str, shown: int = 120) -> Column:
+    """struct<value, error>: model output as JSON, or the start of what could not be read."""
+    clean = without_thoughts(s)
+    good = F.try_parse_json(clean).isNotNull()
+    return F.struct(
+        F.when(good, F.from_json(clean, schema)).alias("value"), F.when(~good, F.concat(F.lit("not JSON: "), F.substring(F.coalesce(clean, F.lit("")), 1, shown))).alias("error")
+    )

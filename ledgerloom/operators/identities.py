@@ -47,3 +47,9 @@ def by_field(found: DataFrame) -> DataFrame:
     rows = found.select("doc_id", F.posexplode("identities").alias("pos", "i")).select("doc_id", "pos", F.explode("i.fields").alias("field"), "i.ok", "i.name")
     bad = F.min(F.when(~F.col("ok"), F.struct("pos", "name")))
     return rows.groupBy("doc_id", "field").agg(F.bool_and("ok").alias("ok"), bad["name"].alias("identity"))
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """(name, judged, failed): over how many documents each identity could be judged."""
+    rows = found.select(F.explode("identities").alias("i"))
+    return rows.groupBy("i.name").agg(F.count(F.lit(1)).alias("judged"), F.count_if(~F.col("i.ok")).alias("failed"))

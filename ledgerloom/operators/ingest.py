@@ -159,3 +159,21 @@ def coerced_fields(raw: DataFrame, template: DataFrame) -> DataFrame:
 def _constant(template: DataFrame) -> Column:
     rows = sorted(template.select("pos", "key", "type").collect())
     return F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(r["type"]).alias("type")) for r in rows])
+
+
+# The JSON types of the field types.
+JSON_TYPES = {"string": "string", "amount": "string", "date": "string", "integer": "integer"}
+
+
+def answer_schema(template: list[tuple[int, str, str]]) -> dict:
+    """The JSON schema a model must answer in: every field of the template, required and nullable, and no other."""
+    unknown = {kind for _, _, kind in template} - set(JSON_TYPES)
+    if unknown:
+        raise ValueError(f"unknown field types: {sorted(unknown)}")
+    fields = sorted(template)
+    return {"type": "object", "properties": {key: {"type": [JSON_TYPES[kind], "null"]} for _, key, kind in fields}, "required": [key for _, key, _ in fields], "additionalProperties": False}
+
+
+def instruction(template: list[tuple[int, str, str, str]]) -> str:
+    """What to ask a model for: a line for each field."""
+    return "\n".join(f"{key}: {label} ({kind})" for _, key, kind, label in sorted(template))

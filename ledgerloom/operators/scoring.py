@@ -184,3 +184,10 @@ def upper_bounds(failures: Column, trials: Column, confidence: float = 0.95) ->
 
 def upper_bound_without_failures(trials: Column, confidence: float = 0.95) -> Column:
     return F.when(trials == 0, 1.0).otherwise(1 - F.pow(F.lit(1 - confidence), F.try_divide(F.lit(1.0), trials)))
+
+
+def lineup(runs: DataFrame) -> DataFrame:
+    """runs: (model, bytes, ms, tok_per_sec, correct, total): sums and means by model; rates over measured runs only."""
+    return runs.groupBy("model").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("bytes").alias("bytes"), F.sum("ms").alias("ms"), F.avg("tok_per_sec").alias("tok_per_sec"), F.sum("correct").alias("correct"), F.sum("total").alias("total")
+    )

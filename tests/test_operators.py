@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.geometry import BOX
-from ledgerloom.operators import binding, candidates, certificates, documents, gate, identities, ingest, layout, planner, reconcile, scoring, signing, trace
+from ledgerloom.functions import text
+from ledgerloom.operators import binding, candidates, certificates, documents, gate, identities, ingest, layout, planner, reconcile, run, scoring, signing, trace
 from ledgerloom.schemas import INVOICE, REGIONS
 from ledgerloom.sources import delimited, files, sinks
 from ledgerloom.streaming import logs
@@ -324,3 +325,45 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = logs.by_window(spark.read.schema(INFERENCE_LOG).json(str(tmp_path)))
     key = lambda df: sorted((r["start"], r["op"], r["calls"], r["failures"], r["total_ms"]) for r in df.collect())
     assert key(spark.table("windows")) == key(batch) and batch.count() == 8
+
+
+def test_run_from_regions_to_trace(spark):
+    box = lambda x, y, w=40.0: (x, y, x + w, y + 10.0)
+    page = [
+        ("d", 0, "Subtotal", box(0.0, 0.0), 0.9, None), ("d", 1, "432,90", box(60.0, 0.0), 0.9, None), ("d", 2, "Tax", box(0.0, 20.0), 0.9, None), ("d", 3, "90,", box(60.0, 20.0, 14.0), 0.9, None), ("d", 4, "91", box(75.0, 20.0, 14.0), 0.8, None),
+        ("d", 5, "Total due", box(0.0, 40.0), 0.9, None), ("d", 6, "523,81", box(60.0, 40.0), 0.7, None), ("t", 0, "523,99", box(0.0, 0.0), None, "text-layer"), ("t", 1, "432,90", box(0.0, 20.0), None, "text-layer"), ("t", 2, "90,91", box(0.0, 40.0), None, "text-layer"),
+    ]
+    regions = _regions(spark, page)
+    raw = spark.createDataFrame([("d", {"subtotal": "432.90", "tax": "90,91", "total": "523,81", "vendor": "Nobody", "date": "bad"}), ("t", {"subtotal": "432,90", "tax": "90,91", "total": "523,99"})], "doc_id string, fields map<string,string>")
+    routes = spark.createDataFrame([("d", "image"), ("t", "text")], "doc_id string, route string")
+    template = spark.createDataFrame([r[:3] for r in INVOICE], "pos int, key string, type string")
+    fields = run.judged_fields(raw, regions, routes, template).cache()
+    got = {(r["doc_id"], r["key"]): (r["verdict"]["check"] or "admitted", r["reason"]) for r in fields.collect()}
+    assert [got["d", k][0] for k in ("subtotal", "tax", "total", "vendor", "currency")] == ["admitted", "admitted", "admitted", "binding", "absent"] and ("d", "date") not in got
+    assert got["t", "total"] == ("arithmetic", "the document does not agree with itself: subtotal + tax = total")
+    records = run.trace_records(fields, routes).cache()
+    assert {r["run_id"]: r["n"] for r in records.groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {"d": 6, "t": 6}
+    from ledgerloom.functions.hashing import canonical
+
+    assert all(canonical(json.loads(r["body"])) == r["body"] for r in records.collect())
+    heads = trace.chained(records)
+    assert heads.count() == 2 and all(len(r["heads"]) == 6 for r in heads.collect())
+
+
+def test_model_answers(spark):
+    df = spark.createDataFrame([('<think>x</think>```json\n{"total": "5"}\n```',), ("sorry, " + "x" * 300,)], "s string")
+    got = df.select(text.parsed_json(F.col("s"), "total string").alias("j")).collect()
+    assert got[0]["j"]["value"]["total"] == "5" and got[0]["j"]["error"] is None and got[1]["j"]["value"] is None and len(got[1]["j"]["error"]) == 130
+    schema = ingest.answer_schema([r[:3] for r in INVOICE])
+    assert schema["required"][0] == "vendor" and schema["properties"]["tax_rate"]["type"] == ["integer", "null"]
+    with pytest.raises(ValueError):
+        ingest.answer_schema([(0, "a", "float")])
+    assert ingest.instruction(list(INVOICE)).splitlines()[-1] == "currency: Currency (string)"
+
+
+def test_line_up_and_runs(spark):
+    rows = [("m", 5, 10, 2.0, 1, 2), ("m", 5, 20, None, 2, 2), ("n", 1, 1, None, 0, 1)]
+    got = {r["model"]: r for r in scoring.lineup(spark.createDataFrame(rows, "model string, bytes bigint, ms bigint, tok_per_sec double, correct int, total int")).collect()}
+    assert got["m"]["ms"] == 30 and got["m"]["tok_per_sec"] == 2.0 and got["n"]["tok_per_sec"] is None
+    amounts = spark.createDataFrame([("a", 100, 21, 121, 21, None), ("b", 100, 21, 150, None, 100)], "doc_id string, subtotal bigint, tax bigint, total bigint, tax_rate bigint, lines bigint")
+    assert {r["name"]: (r["judged"], r["failed"]) for r in identities.runs(identities.checked(amounts)).collect()} == {identities.LINES: (1, 0), identities.TOTAL: (2, 1), identities.RATE: (1, 0)}
