@@ -41,8 +41,8 @@ def tiered(docs: DataFrame, ledger: DataFrame) -> DataFrame:
 def chosen(candidates: DataFrame, listed: int = 20) -> DataFrame:
     """For each document the record of lowest id, how many match, and the references of the first ``listed``."""
     of = F.struct("record_id", *[c for c in RECORD if c != "record_id"])
-    best = candidates.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matches"), F.min(of).alias("record"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("record_id"))
-    names = candidates.withColumn("nth", nth).filter(F.col("nth") <= listed).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("record_id", "reference"))).alias("l"))
-    names = names.select("doc_id", F.array_join(F.transform("l", lambda x: x["reference"]), ", ").alias("references"))
-    return best.join(names, "doc_id")
+    within = Window.partitionBy("doc_id")
+    ranked = candidates.withColumn("nth", F.row_number().over(within.orderBy("record_id"))).withColumn("matches", F.count(F.lit(1)).over(within))
+    # the windows' partitioning serves the aggregate, too
+    best = ranked.filter(F.col("nth") <= listed).groupBy("doc_id").agg(F.first("matches").alias("matches"), F.min(of).alias("record"), F.array_sort(F.collect_list(F.struct("record_id", "reference"))).alias("l"))
+    return best.select("doc_id", "matches", "record", F.array_join(F.transform("l", lambda x: x["reference"]), ", ").alias("references"))

@@ -29,8 +29,9 @@ def state_of(key: Column, admitted: Column) -> Column:
     return F.when(key.isNull(), "missing").when(~admitted, "withheld").otherwise("have")
 
 
-def decided(checks: Column) -> Column:
-    has = lambda outcome: F.exists(checks, lambda c: c["outcome"] == outcome)
+def decided(*outcomes: Column) -> Column:
+    """One failure is a mismatch, else one check left open leaves all open. Built on outcomes alone, so unused details are pruned."""
+    has = lambda outcome: F.array_contains(F.array(*outcomes), outcome)
     return F.when(has("fail"), "mismatch").when(has("indeterminate"), "indeterminate").otherwise("matched")
 
 
@@ -39,20 +40,24 @@ def reconciled(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     c = F.col
     d = docs.join(candidates, "doc_id", "left")
     r = c("record")
-    new = _check("document is new", F.when(c("seen"), "fail").otherwise("pass"), F.when(c("seen"), "this document has already been reconciled").otherwise("no earlier reconciliation for these bytes"))
+    is_new = F.when(c("seen"), "fail").otherwise("pass")
+    new = _check("document is new", is_new, F.when(c("seen"), "this document has already been reconciled").otherwise("no earlier reconciliation for these bytes"))
     none = _check("one record matches", F.lit("fail"), F.lit("no record matched by reference, or by vendor and amount"))
     many = c("matches") > 1
+    is_one = F.when(many, "indeterminate").otherwise("pass")
     one = _check(
         "one record matches",
-        F.when(many, "indeterminate").otherwise("pass"),
+        is_one,
         F.when(many, _text(c("matches"), " records match equally well: ", c("references"))).otherwise(_text(r["reference"], " for ", r["vendor_name"])),
     )
-    active = _check("vendor is active", F.when(r["active"], "pass").otherwise("fail"), F.when(r["active"], _text(r["vendor_name"], " is active")).otherwise(_text(r["vendor_name"], " is marked inactive")))
+    is_active = F.when(r["active"], "pass").otherwise("fail")
+    active = _check("vendor is active", is_active, F.when(r["active"], _text(r["vendor_name"], " is active")).otherwise(_text(r["vendor_name"], " is marked inactive")))
     same = (c("currency_state") == "have") & (loose(c("currency")) == loose(r["currency"]))
     same = F.coalesce(same, F.lit(False))
+    currency_fits = F.when(c("currency_state") != "have", "indeterminate").when(same, "pass").otherwise("fail")
     currency = _check(
         "currency agrees",
-        F.when(c("currency_state") != "have", "indeterminate").when(same, "pass").otherwise("fail"),
+        currency_fits,
         F.when(c("currency_state") == "withheld", _text("the gate withheld the currency on ", c("currency_by")))
         .when(c("currency_state") == "missing", "the document states no currency")
         .when(same, _text("both ", r["currency"]))
@@ -61,9 +66,11 @@ def reconciled(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     comparable = same & (c("total_state") == "have")
     difference = F.when(comparable, exact(c("total")) - exact(r["amount_minor"]))
     near = within_tolerance(difference)
+    amount_fits = F.when(~comparable, "indeterminate").when(near, "pass").otherwise("fail")
+    outcomes = (is_new, is_one, is_active, currency_fits, amount_fits)
     amount = _check(
         "amount agrees",
-        F.when(~comparable, "indeterminate").when(near, "pass").otherwise("fail"),
+        amount_fits,
         F.when(~same, "the currency does not agree, so the amounts are not comparable")
         .when(c("total_state") == "withheld", _text("the gate withheld the amount on ", c("total_by")))
         .when(c("total_state") == "missing", "the document states no total")
@@ -71,6 +78,6 @@ def reconciled(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     found = r.isNotNull()
     d = d.withColumn("checks", F.when(found, F.array(new, one, active, currency, amount)).otherwise(F.array(new, none)))
-    decision = F.when(~found, "no-candidate").otherwise(decided(c("checks")))
+    decision = F.when(~found, "no-candidate").otherwise(decided(*outcomes))
     share = F.try_divide(difference.cast("double"), r["amount_minor"].cast("double"))
     return d.select("doc_id", decision.alias("decision"), r["record_id"].alias("record_id"), difference.cast("bigint").alias("variance_minor"), share.alias("variance_share"), "checks")
