@@ -18,16 +18,20 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+_own_dirs: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where it is unset (local tests) a temporary folder is taken instead.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not found and app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="ledgerloom-")
+    return (found or _own_dirs[app]).rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,9 +42,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` wrote for this application, once their results have been written elsewhere."""
+    paths = _tables.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 4; null for a null id."""
     return F.crc32(doc_id.cast("string")) % 4

@@ -150,7 +150,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     sample = labelled_sample(labels.select("doc_id", "quality"), "quality", per_class)
     rows = sampled_docs(docs.select("doc_id", "text"), sample)
     rows = rows.select((fold(F.col("doc_id")) == 3).alias("calibrates"), "y", F.arrow_udf(text_statistics, "array<double>")("text").alias("x"))
-    rows = rows.coalesce(FIT_PARTITIONS) if rows.rdd.getNumPartitions() > 64 * FIT_PARTITIONS else rows
     rows = rows.select("calibrates", "y", "x").cache()
     try:
         return _fit(rows, features, seed)

@@ -86,6 +86,15 @@ def test_marked_and_dropped(spark):
     assert got == collections.Counter([k for k in range(3000) if k % 3] + [None])
 
 
+def test_stored_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    table = frames.stored(spark.range(10), "numbers")
+    at = Path(table.inputFiles()[0].removeprefix("file:")).parent
+    assert table.count() == 10 and at.exists()
+    assert frames.drop_stored(spark) >= 1 and not at.exists() and frames.drop_stored(spark) == 0
+
+
 # 1, 2, 10
 
 
