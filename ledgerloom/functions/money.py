@@ -12,6 +12,7 @@ from .text import SPACE
 CODES = ("ARS", "USD", "USDT", "EUR", "BRL", "CLP", "COP", "MXN", "PEN", "UYU", "GBP", "NOK", "SEK", "DKK", "CHF", "AUD", "CAD")
 SYMBOLS = (("R$", "BRL"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"))
 
+_MARKS = r"R\$|[$€£]"
 _CODE = f"(?i)(?<![A-Za-z0-9_])({'|'.join(CODES)})(?![A-Z])"
 
 
@@ -21,29 +22,45 @@ def parse_amount(raw: Column, decimals: int = 2) -> Column:
     The last separator is the decimal one, except that three digits after the only kind of separator are thousands.
     Only the first currency code is taken out, so a second one makes the text unreadable; the sign counts at the very start.
     """
+    signless = F.regexp_replace(F.regexp_replace(raw, f"(?s)^(.*?){_CODE}", "$1"), _MARKS, "")
+    body = F.regexp_replace(signless, f"^{SPACE}*-|{SPACE}+", "")
+    # what is used many times is bound by one-element transforms, which evaluate it a single time
+    read = F.element_at(F.transform(F.array(body), lambda b: _read(b, decimals)), 1)
     code = F.upper(F.regexp_extract(raw, _CODE, 1))
     symbol = F.lit(None).cast("string")
     for mark, iso in reversed(SYMBOLS):
         symbol = F.when(F.contains(raw, F.lit(mark)), iso).otherwise(symbol)
-    currency = F.when(code != "", code).otherwise(symbol)
-    body = F.regexp_replace(raw, f"(?s)^(.*?){_CODE}", "$1")
-    for mark, _ in SYMBOLS:
-        body = F.replace(body, F.lit(mark), F.lit(""))
-    body = F.regexp_replace(F.regexp_replace(body, f"^{SPACE}*-", ""), f"{SPACE}+", "")
-    readable = F.regexp_like(body, F.lit(r"^[0-9.,]+$")) & F.regexp_like(body, F.lit("[0-9]"))
-    tail = F.regexp_extract(body, r"[.,]([^.,]*)$", 1)
-    parted = F.regexp_like(body, F.lit("[.,]"))
-    thousands = (F.length(tail) == 3) & ~(F.contains(body, F.lit(".")) & F.contains(body, F.lit(",")))
-    cents = F.regexp_like(tail, F.lit("^[0-9]{1,2}$"))
-    digits = F.regexp_replace(body, "[.,]", "")
-    whole = F.when(~parted | thousands, digits).otherwise(F.regexp_replace(F.regexp_replace(body, r"[.,][^.,]*$", ""), "[.,]", ""))
-    part = F.when(~parted | thousands, "").otherwise(tail)
-    convention = F.when(~parted, "integer").when(F.regexp_like(body, F.lit(",[^.,]*$")), "latin").otherwise("anglo")
-    scaled = F.concat(whole, F.substring(F.rpad(part, decimals, "0"), 1, decimals)) if decimals else whole
-    minor = scaled.try_cast(EXACT)
-    minor = F.when(F.regexp_like(raw, F.lit(f"^{SPACE}*-")), -minor).otherwise(minor).cast(EXACT)
-    good = readable & (~parted | thousands | cents) & (whole != "") & minor.isNotNull()
-    return F.when(good, F.struct(minor.alias("minor"), currency.alias("currency"), convention.alias("convention")))
+    negative = F.regexp_like(raw, F.lit(f"^{SPACE}*-"))
+    return F.element_at(
+        F.transform(
+            F.array(read),
+            lambda r: F.when(
+                r["minor"].isNotNull(),
+                F.struct(
+                    F.when(negative, -r["minor"]).otherwise(r["minor"]).cast(EXACT).alias("minor"), F.when(code != "", code).otherwise(symbol).alias("currency"), r["convention"].alias("convention")
+                ),
+            ),
+        ),
+        1,
+    )
+
+
+def _read(body: Column, decimals: int) -> Column:
+    """struct<minor, convention> of bare digits and separators; minor is null for anything else."""
+    last = F.instr(F.reverse(F.translate(body, ",", ".")), ".")  # of the last separator from the end, 0 without any
+    parts = F.struct(body.alias("body"), F.translate(body, ".,", "").alias("digits"), last.alias("last"))
+
+    def minor(r: Column) -> Column:
+        one_kind = ~(F.contains(r["body"], F.lit(".")) & F.contains(r["body"], F.lit(",")))
+        thousands = (r["last"] == 0) | ((r["last"] == 4) & one_kind)
+        tail = F.when(thousands, 0).otherwise(r["last"] - 1)
+        bare = (r["digits"] != "") & (F.translate(r["digits"], "0123456789", "") == "")
+        fits = thousands | (tail.between(1, 2) & (F.length(r["digits"]) > tail))
+        scaled = F.concat(r["digits"], F.lit("0" * decimals)).substr(F.lit(1), F.length(r["digits"]) - tail + decimals)
+        convention = F.when(r["last"] == 0, "integer").when(r["body"].substr(-r["last"], F.lit(1)) == ",", "latin").otherwise("anglo")
+        return F.struct(F.when(bare & fits, scaled.try_cast(EXACT)).alias("minor"), convention.alias("convention"))
+
+    return F.element_at(F.transform(F.array(parts), minor), 1)
 
 
 def sign_suspect(raw: Column) -> Column:
