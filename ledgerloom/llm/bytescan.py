@@ -111,7 +111,7 @@ def run_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return c[bounds[1:]] - c[bounds[:-1]]
 
 
-def blocks(offs: np.ndarray, most: int = 8 << 20) -> list[tuple[int, int]]:
+def blocks(offs: np.ndarray, most: int = 2 << 20) -> list[tuple[int, int]]:
     """Runs [i, j) of texts of at most ``most`` bytes together, or one longer text."""
     out, i, n = [], 0, len(offs) - 1
     while i < n:

@@ -40,7 +40,7 @@ LEAST = 80  # per cent
 #: Columns whose place in the order is by count: the most common ones, at most; each at least so many rows of a partition.
 COMMON_COLUMNS = 1 << 17
 COMMON_ROWS = 3
-BLOCK_ENTRIES = 1 << 21
+BLOCK_ENTRIES = 1 << 20
 LIST_ROWS = 20_000
 #: Documents compared with one copy of another's set before it is sent again.
 FAN_OUT = 256
@@ -286,7 +286,7 @@ def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np
     entries: how many columns all prefixes hold; columns, counts: the common columns; those in more than ``list_rows`` rows are split.
     Within a block columns are told apart by 32 bits more: a chance meeting only makes a pair to be checked.
     """
-    blocks = max(8, -(-entries // block_entries))
+    blocks = max(16, -(-entries // block_entries))
     order = np.argsort(columns)[counts[np.argsort(columns)] > list_rows]
     split_keys, split_into = columns[order], -(-counts[order] // list_rows)
 
