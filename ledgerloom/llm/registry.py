@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, langid, mixing, neardup, packing, quality, topk, toxicity, urlrules
+from . import chat, jaccard, langid, mixing, neardup, oracles, packing, quality, topk, toxicity, urlrules
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.OP9_SQL}
+    return dict(oracles.ORACLE)

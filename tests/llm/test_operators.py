@@ -563,3 +563,27 @@ def test_position_inverts_demand(spark):
     for r in u.select("u", "n", mixing.position(F.col("u"), F.col("n")).alias("t")).collect():
         a, b = mixing.SCHEDULES[r["n"]]
         assert abs((a * r["t"] + (b - a) * r["t"] ** 2 / 2) / ((a + b) / 2) - r["u"]) < 1e-12
+
+
+# Against SQL
+
+
+def test_queries_against_sql(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from ledgerloom.llm import registry
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        df = registry.queries()[name](spark, data)
+        cur = con.execute(sql)
+        names = [c[0] for c in cur.description]
+        assert sorted(names) == sorted(df.columns), name
+        assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*names).collect()), name
