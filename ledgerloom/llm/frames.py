@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch for columns of whole texts; bounds a worker's memory.
-TEXT_BATCH_ROWS = 1000
+TEXT_BATCH_ROWS = 500
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches of texts small (at most ``rows`` rows and 32 MB)."""
+    """Keep Arrow batches of texts small (at most ``rows`` rows and 16 MB)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 _own_dirs: dict[str, str] = {}

@@ -109,8 +109,8 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> tuple[np.ndar
             both, at = np.unique(np.concatenate([kept, u]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, c]), len(both)).astype(np.int64)
             kept, waiting, size = both, [], 0
-            if len(kept) > 2_000_000:
-                few = np.partition(counts, -1_000_000)[-1_000_000]
+            if len(kept) > 500_000:
+                few = np.partition(counts, -250_000)[-250_000]
                 kept, counts = kept[counts >= few], counts[counts >= few]
 
         for batch in batches:
@@ -118,7 +118,7 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> tuple[np.ndar
             for _, _, h, _ in _sets(batch):
                 waiting.append(h)
                 size += len(h)
-                if size > 2_000_000:
+                if size > 500_000:
                     merge()
         merge()
         often = counts >= max(COMMON_ROWS, docs // 4000)
@@ -268,7 +268,7 @@ def _multiply(key, comp, n, pos) -> Iterator[tuple[np.ndarray, ...]]:
             continue
         m = n[rows]
         stop = np.searchsorted(m, 100 * m // LEAST, "right")  # sizes ascend: partners up to n / 0.8
-        width = max(1, min(len(rows), (1 << 22) // len(rows)))
+        width = max(1, min(len(rows), (1 << 19) // len(rows)))
         for i in range(0, len(rows), width):
             x, y = rows[i : i + width], rows[i : stop[min(i + width, len(rows)) - 1]]
             least = -(-LEAST * (n[x][:, None] + n[y][None, :]) // (100 + LEAST))
@@ -356,7 +356,7 @@ def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np
                 seen.append(np.minimum(a, b) * len(doc) + np.maximum(a, b))
                 many.append(np.ones(len(a), np.int64))
                 pending += len(a)
-                if pending > 4_000_000:
+                if pending > 1_000_000:
                     fold()
             fold()
             pair = seen[0] if seen else np.zeros(0, np.int64)

@@ -33,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 #: Units whose ids a Python worker remembers, about 50 bytes each.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 400_000
 #: Pieces of one length and salt (about): the size of a ranking group.
 SALT_ROWS = 20_000
 
