@@ -75,9 +75,9 @@ def share(key: Column, seed: int) -> Column:
 
 
 def labelled_sample(labels: DataFrame, label: str, per_class: int, seed: int = 11) -> DataFrame:
-    """About ``per_class`` learnable ids of each class of the 0/1 column ``label``: (doc_id, y).
+    """About ``per_class`` learnable ids of each class of the 0/1 column ``label``: (doc_id, y, w).
 
-    Ids labelled more than once take the largest label; the row count is bounded by 2 * per_class
+    ``w`` is the number of labelled ids that a drawn one stands for: 1 while its class is taken whole. Ids labelled more than once take the largest label; the row count is bounded by 2 * per_class
     (up to the spread of a binomial draw), whatever the table's size.
     """
     one = (
@@ -86,10 +86,11 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, seed: int = 1
         .agg(F.max(label).cast("int").alias("y"))
     )
     counts = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keep = F.lit(False)
+    keep, w = F.lit(False), F.lit(1.0)
     for y, n in counts.items():
         keep = keep | ((F.col("y") == y) & (share(F.col("doc_id"), seed) < per_class / n))
-    return one.filter(keep)
+        w = F.when(F.col("y") == y, max(1.0, n / per_class)).otherwise(w)
+    return one.filter(keep).withColumn("w", w)
 
 
 def sampled_docs(docs: DataFrame, sample: DataFrame) -> DataFrame:

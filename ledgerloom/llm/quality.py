@@ -3,7 +3,8 @@
 The features are D cosines that approximate a Gaussian kernel over the standardised statistics of a text.
 Each partition of the training rows sums its part of Z'Z and Z'y; the sums (fixed in size, one set for each of at
 most ``FIT_PARTITIONS`` partitions) are added and solved once. Learnable rows of fold 3 don't enter the fit: a
-monotone step function from ridge score to probability is fitted on them by pooling adjacent violators.
+monotone step function from ridge score to probability is fitted on them by pooling adjacent violators, each row
+weighted by the labels it stands for, so that the threshold means the same share of label 1 whatever was drawn.
 
 Defined results: a null or empty text has all-zero statistics and is scored like any other; repeated rows get
 equal scores; null ids are scored and not held out; labels other than 0 or 1 are ignored; without labelled
@@ -130,12 +131,13 @@ def _constant(p: float) -> QualityModel:
     return QualityModel(none, none, none, none, none, none, np.array([p]))
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: the mean score and smoothed label share of each pooled run, ascending."""
+def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: the mean score and smoothed label share of each pooled run, ascending; rows weigh ``w``, scaled to a mean of 1."""
     order = np.argsort(score, kind="stable")
+    w = np.ones(len(y)) if w is None else w / w.mean()
     runs: list[list[float]] = []
-    for s, t in zip(score[order], y[order], strict=True):
-        runs.append([s, t, 1.0])
+    for s, t, u in zip(score[order], y[order], w[order], strict=True):
+        runs.append([s * u, t * u, u])
         while len(runs) > 1 and runs[-2][1] * runs[-1][2] >= runs[-1][1] * runs[-2][2]:
             a, b, c = runs.pop()
             runs[-1] = [runs[-1][0] + a, runs[-1][1] + b, runs[-1][2] + c]
@@ -149,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     text_batches(spark)
     sample = labelled_sample(labels.select("doc_id", "quality"), "quality", per_class)
     rows = sampled_docs(docs.select("doc_id", "text"), sample)
-    rows = rows.select((fold(F.col("doc_id")) == 3).alias("calibrates"), "y", F.arrow_udf(text_statistics, "array<double>")("text").alias("x"))
-    rows = rows.select("calibrates", "y", "x").cache()
+    rows = rows.select((fold(F.col("doc_id")) == 3).alias("calibrates"), "y", "w", F.arrow_udf(text_statistics, "array<double>")("text").alias("x"))
+    rows = rows.select("calibrates", "y", "w", "x").cache()
     try:
         return _fit(rows, features, seed)
     finally:
@@ -192,9 +194,9 @@ def _fit(rows: DataFrame, features: int, seed: int) -> QualityModel:
     d = features + 1
     total = sum(np.frombuffer(p["part"]).reshape(d, d + 1) for p in parts)
     beta = np.linalg.solve(total[:, :d] + RIDGE * np.eye(d), total[:, d])
-    held = rows.filter("calibrates").select("x", "y").collect() or rows.select("x", "y").collect()
+    held = rows.filter("calibrates").select("x", "y", "w").collect() or rows.select("x", "y", "w").collect()
     score = model.features(np.array([r["x"] for r in held])) @ beta
-    knots, levels = isotonic(score, np.array([r["y"] for r in held], float))
+    knots, levels = isotonic(score, np.array([r["y"] for r in held], float), np.array([r["w"] for r in held], float))
     return QualityModel(mean, scale, model.w, model.phase, beta, knots, np.maximum.accumulate(levels))
 
 

@@ -202,6 +202,24 @@ def test_isotonic_is_monotone():
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) >= 0).all()
 
 
+def test_quality_means_the_same_when_classes_are_drawn_down(spark):
+    """Texts that are good four times in five are scored so, whether six good labels to a bad one are all taken or not."""
+    rng = random.Random(5)
+    kinds = [("good", 1)] * 880 + [("either", 1)] * 320 + [("either", 0)] * 80 + [("bad", 0)] * 120
+    rng.shuffle(kinds)
+    loud = {"good": 0, "either": 0.5, "bad": 1}
+    text = lambda k: " ".join(f"{w.upper()}$$$ ###" if rng.random() < loud[k] else w for w in (rng.choice(WORDS["en"]) for _ in range(60)))
+    df = docs_of(spark, [(i, text(k), "en", "a") for i, (k, _) in enumerate(kinds)])
+    labels = _labels(spark, [(i, y, 0) for i, (_, y) in enumerate(kinds)])
+    for per_class in (6000, 150):
+        got = {r["doc_id"]: r["score"] for r in quality.score(df, labels, per_class=per_class).collect()}
+        mean = {k: np.mean([got[i] for i, (x, _) in enumerate(kinds) if x == k]) for k in loud}
+        assert mean["good"] > 0.9 and mean["bad"] < 0.2 and abs(mean["either"] - 0.8) < 0.1, (per_class, mean)
+    learnt = sum(y for i, (_, y) in enumerate(kinds) if zlib.crc32(str(i).encode()) % 4 != 2)
+    drawn = frames.labelled_sample(labels, "quality", 150).filter("y = 1").agg(F.count("y"), F.sum("w")).collect()[0]
+    assert drawn[0] < learnt / 3 and abs(drawn[1] - learnt) < 0.25 * learnt
+
+
 # 3, 5
 
 
