@@ -2,10 +2,12 @@
 
 URLs that a hand-written rule fits are the labelled transactions: their host labels and path segments, and the verdict
 as one more item. FP-growth mines token combinations; rules {tokens} -> verdict are pruned by support and confidence,
-filed in an inverted index under their rarest token, and matched against the tokens of every other URL. The rule
+then those that a shorter rule makes redundant (no verdict depends on them), filed in an inverted index under their rarest token, and matched against the tokens of every other URL. The rule
 of highest confidence (then support, then fewer tokens) decides; without one the more common label does.
 
-Everything is DataFrame operations. The mined model is bounded by ``MAX_TOKENS`` and ``MAX_RULES``, whatever the input.
+Everything is DataFrame operations. Support and confidence alone decide what is mined: a labelled url of t tokens holds 2^t
+combinations, so at most their mean / MIN_SUPPORT combinations are frequent, whatever the number of urls. Up to ``LITERAL_RULES``
+rules are one constant; more are a broadcast table, joined to the distinct token lists.
 
 Defined results: a null url or one without ``://`` has empty host and path, hence no tokens, and gets the default
 verdict (``allow`` if no url is labelled); every row gives one row, repeated rows too. Extra columns are left alone.
@@ -13,6 +15,7 @@ verdict (``allow`` if no url is labelled); every row gives one row, repeated row
 
 from __future__ import annotations
 
+import itertools
 import json
 from dataclasses import dataclass, field
 
@@ -24,9 +27,8 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.6
-#: Tokens that may enter rules: those that tell the verdicts apart best; and the rules kept, best first.
-MAX_TOKENS = 40
-MAX_RULES = 1000
+#: So many rules are matched as a constant, more as a table; the verdicts are the same.
+LITERAL_RULES = 1000
 
 _LABEL = "verdict="
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,8 +76,33 @@ class UrlModel:
         best = F.array_max(F.transform(fired, lambda r: F.struct(r["c"].alias("c"), r["s"].alias("s"), (-F.size(r["t"])).alias("n"), r["v"].alias("v"))))
         return F.coalesce(best["v"], F.lit(self.default))
 
+    def judged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a column ``_mined``: the verdict on the column ``_tokens``."""
+        rules = [(k, *r) for k, under in self.index.items() for r in under]
+        if len(rules) <= LITERAL_RULES:
+            return rows.withColumn("_mined", self.verdict(F.col("_tokens")))
+        table = F.broadcast(rows.sparkSession.createDataFrame(rules, "token string, t array<string>, v string, c double, s double"))
+        lists = rows.select("_tokens").distinct()
+        fired = lists.select("_tokens", F.explode("_tokens").alias("token")).join(table, "token").filter(F.size(F.array_except("t", "_tokens")) == 0)
+        best = fired.groupBy("_tokens").agg(F.max(F.struct("c", "s", (-F.size("t")).alias("n"), "v"))["v"].alias("_mined"))
+        return rows.join(best, "_tokens", "left").withColumn("_mined", F.coalesce("_mined", F.lit(self.default)))
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> UrlModel:
+
+def irredundant(rules: list[tuple[frozenset, str, float]]) -> list[bool]:
+    """For each (tokens, verdict, confidence): whether no rule on fewer of its tokens gives the verdict at least as surely."""
+    sure = {(t, v): c for t, v, c in rules}
+    known: dict[tuple[frozenset, str], float] = {}
+
+    def within(t: frozenset, v: str) -> float:
+        """Highest confidence of a rule for v on tokens of t, all or some."""
+        if (t, v) not in known:
+            known[t, v] = max([sure.get((t, v), 0.0)] + [within(t - {x}, v) for x in t])
+        return known[t, v]
+
+    return [max((within(t - {x}, v) for x in t), default=0.0) < c for t, v, c in rules]
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> UrlModel:
     """Learn from a table (tokens, verdict)."""
     counts = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
@@ -84,28 +111,18 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     default = max(sorted(counts), key=counts.get)
     if len(counts) < 2:
         return UrlModel(default)
-    seen = labelled.select(F.explode("tokens").alias("token"), "verdict").groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == default).alias("hit")
-    )
-    base = counts[default] / total
-    gain = F.abs(F.col("hit") - F.col("n") * base) / F.sqrt(F.col("n"))
-    kept = seen.filter((F.col("n") >= min_support * total) & (F.col("n") < total)).orderBy(gain.desc(), "token").limit(max_tokens).collect()
-    if not kept:
+    seen = labelled.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    often = {r["token"]: r["n"] for r in seen.filter(F.col("n") >= min_support * total).collect()}  # mean tokens / min_support at most
+    if not often:
         return UrlModel(default)
-    often = {r["token"]: r["n"] for r in kept}
-    vocabulary = F.array(*[F.lit(t) for t in sorted(often)])
-    baskets = labelled.select(F.array_append(F.array_intersect("tokens", vocabulary), F.concat(F.lit(_LABEL), "verdict")).alias("items"))
+    baskets = labelled.select(F.array_append(F.array_distinct("tokens"), F.concat(F.lit(_LABEL), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     mined = model.associationRules.filter(F.element_at("consequent", 1).startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
     best = mined.select(F.array_sort("antecedent").alias("t"), F.substring(F.element_at("consequent", 1), len(_LABEL) + 1, 1000).alias("v"), "confidence", "support")
-    best = best.orderBy(F.desc("confidence"), F.desc("support"), F.size("t"), F.array_join("t", " ")).limit(max_rules).collect()
+    best = sorted(best.collect(), key=lambda r: (-r["confidence"], -r["support"], len(r["t"]), r["t"]))
+    needed = irredundant([(frozenset(r["t"]), r["v"], r["confidence"]) for r in best])
     index: dict[str, list] = {}
-    strong: list[tuple[frozenset, str, float]] = []
-    for r in sorted(best, key=lambda r: len(r["t"])):
-        of = frozenset(r["t"])
-        if any(a < of and c >= r["confidence"] and v == r["v"] for a, v, c in strong):
-            continue  # a shorter rule says the same at least as surely
-        strong.append((of, r["v"], r["confidence"]))
+    for r in itertools.compress(best, needed):
         index.setdefault(min(r["t"], key=lambda t: (often[t], t)), []).append((list(r["t"]), r["v"], r["confidence"], r["support"]))
     return UrlModel(default, index)
 
@@ -116,7 +133,9 @@ def judged(pages: DataFrame, rules=RULES, **mining) -> DataFrame:
     parsed = parsed.withColumn("_fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_tokens", tokens_of(F.col("host"), F.col("path")))
     labelled = parsed.filter(F.col("_fit").isNotNull()).select(F.col("_tokens").alias("tokens"), F.col("_fit.verdict").alias("verdict"))
     model = mine(labelled, **mining)
-    return parsed.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.verdict"), model.verdict(F.col("_tokens"))).alias("verdict"))
+    ruled = parsed.filter(F.col("_fit").isNotNull()).withColumn("_mined", F.lit(None).cast("string"))
+    out = ruled.unionByName(model.judged(parsed.filter(F.col("_fit").isNull())))
+    return out.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", "_mined").alias("verdict"))
 
 
 def op7_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:

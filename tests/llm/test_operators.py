@@ -445,6 +445,17 @@ def test_url_mining_against_brute_force(spark):
     assert [r["v"] for r in judged] == ["block", "allow", "allow"]
 
 
+def test_every_frequent_host_gets_its_rule(spark, monkeypatch):
+    """60 hosts, each on 0.6 % of the labelled urls, seen under com/de/ only; by the constant and by the table of rules."""
+    labelled = [f"http://h{k}.com/de/{j}" for k in range(60) for j in range(3)] + [f"http://w{k}.org/{k}" for k in range(320)]
+    asked = [f"http://h{k}.net/x" for k in range(60)] + ["http://w1.net/x", "http://other.net", None, None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(labelled + asked + asked[:1])], "page_id bigint, url string")
+    want = ["block"] * 180 + ["allow"] * 320 + ["block"] * 60 + ["allow"] * 4 + ["block"]
+    for literal in (1000, 5):
+        monkeypatch.setattr(urlrules, "LITERAL_RULES", literal, raising=False)
+        assert [r["verdict"] for r in sorted(urlrules.judged(df).collect(), key=lambda r: r["page_id"])] == want
+
+
 # 8
 
 
