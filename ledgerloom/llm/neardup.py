@@ -6,7 +6,10 @@ substrings, each the key of one table. Two vectors are compared if they share a
 such table; the cosine of the original vectors, in double precision, decides.
 
 The length of substrings follows log2 of the number of vectors, so buckets of unrelated vectors stay small; the number of
-tables follows from the wanted recall at the threshold itself (closer pairs are found more surely).
+tables follows from the wanted recall at the threshold itself (closer pairs are found more surely). Centring widens the angle
+of a pair where vectors share a direction, so tables are counted by the angles that the sample's centred vectors have; where
+that would take ``DEARER`` times the tables, less of the mean is taken off. Pairs at the threshold, made from the sample, then
+show the recall, and tables of random directions are added until it is the wanted one.
 
 Equal vectors are one row with a count. Buckets of more than ``GROUP`` rows are split into sub-lists whose pairs are
 groups of their own. Tasks return link counts and spanning edges, never all pairs of a group.
@@ -36,6 +39,9 @@ MAX_BITS = 64
 ROUNDS = 30
 #: Wanted share of pairs found at the threshold itself, for signs of independent projections.
 RECALL = 0.97
+#: Times the tables of uncentred vectors that centring may cost, before less is centred; and vectors of the sample that get a partner.
+DEARER = 4
+PARTNERS = 2048
 GROUP = 1024
 BROADCAST_BUCKETS = 100_000
 
@@ -57,20 +63,50 @@ class HammingIndex:
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float, recall: float = RECALL, seed: int = 7):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.mean = unit.mean(axis=0)
         bits = min(MAX_BITS, sample.shape[1])
         self.length = min(bits, 30, max(8, math.ceil(math.log2(max(n, 2)))))
-        same = (1 - math.acos(threshold) / math.pi) ** self.length
-        self.tables = math.ceil(math.log(1 - recall) / math.log(1 - same)) if same < 1 else 1
+        for part in (1.0, 0.5, 0.25, 0.0):
+            self.mean = part * unit.mean(axis=0)
+            self.tables = self._tables(np.linalg.norm(unit - self.mean, axis=1), threshold, recall)
+            if self.tables <= DEARER * self._tables(np.ones(1), threshold, recall):
+                break
         each = max(bits // self.length, 1)
         rng = np.random.default_rng(seed)
         self.rotations = [learn_rotation(unit - self.mean, bits, rng)[:, : each * self.length] for _ in range(math.ceil(self.tables / each))]
+        one = unit[rng.permutation(len(unit))[:PARTNERS]]
+        aside = rng.normal(size=one.shape)
+        aside -= np.sum(aside * one, axis=1, keepdims=True) * one
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+        other = threshold * one + math.sqrt(1 - threshold * threshold) * aside
+        found = (self.keys(one) == self.keys(other)).any(axis=1)
+        while found.mean() < recall:
+            self.rotations.append(np.linalg.qr(rng.normal(size=(sample.shape[1], bits)))[0][:, : each * self.length])
+            new = [self._signs(x, self.rotations[-1:]).reshape(len(x), each, self.length) for x in (one, other)]
+            found |= (new[0] == new[1]).all(axis=2).any(axis=1)
+            self.tables = each * len(self.rotations)
+
+    def _tables(self, norms: np.ndarray, threshold: float, recall: float) -> float:
+        """Tables that find the wanted share of pairs at the threshold, whose two vectors have these norms, by signs of independent projections."""
+        half = math.sqrt((1 - threshold) / 2) / np.maximum(norms, 1e-300)
+        same = (1 - 2 * np.arcsin(np.minimum(half, 1)) / math.pi) ** self.length
+        few, many = 0, 1
+        reached = lambda tables: np.mean(1 - (1 - same) ** tables) >= recall
+        while not reached(many):
+            few, many = many, 2 * many
+            if many > 1 << 24:
+                return math.inf
+        while many - few > 1:
+            middle = (few + many) // 2
+            few, many = (few, middle) if reached(middle) else (middle, many)
+        return many
+
+    def _signs(self, x: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
+        return np.concatenate([unit @ r >= 0 for r in rotations], axis=1)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables) of int32."""
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
-        signs = np.concatenate([unit @ r >= 0 for r in self.rotations], axis=1)
-        signs = signs[:, : self.tables * self.length].reshape(len(x), -1, self.length)
+        signs = self._signs(x, self.rotations)[:, : self.tables * self.length].reshape(len(x), -1, self.length)
         return (signs @ (1 << np.arange(self.length))).astype(np.int32)[:, : self.tables]
 
 

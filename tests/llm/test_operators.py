@@ -285,6 +285,20 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(_vectors(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shared, dim, n", [(0.0, 64, 20_000), (0.7, 64, 20_000), (0.7, 64, 2_000_000), (0.89, 64, 20_000), (0.999, 64, 20_000), (0.0, 2, 20_000)])
+def test_recall_where_vectors_share_a_direction(shared, dim, n):
+    """Pairs at the threshold itself, of vectors whose mean has about the norm ``shared``."""
+    rng = np.random.default_rng(6)
+    own = rng.normal(size=(6000, dim))
+    x = shared * np.eye(dim)[0] + np.sqrt(1 - shared**2) * own / np.linalg.norm(own, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = neardup.HammingIndex(x[:4000], n, 0.95)
+    one, aside = x[4000:], rng.normal(size=(2000, dim))
+    aside -= np.sum(aside * one, axis=1, keepdims=True) * one
+    other = 0.95 * one + np.sqrt(1 - 0.95**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    assert (index.keys(one) == index.keys(other)).any(axis=1).mean() >= 0.95, index.tables
+
+
 # 4
 
 
