@@ -58,11 +58,11 @@ def abstentions_by_check(outcomes: DataFrame) -> DataFrame:
 
 
 def risk_coverage(truth: DataFrame, fields: DataFrame, floors: list[float]) -> DataFrame:
-    """The gate run again at each confidence floor (a short list): the totals by floor."""
-    swept = fields.withColumn("floor", F.explode(F.array(*map(F.lit, floors))))
-    j = truth.join(judged(swept, F.col("floor")), ["doc_id", "key"])
+    """The gate run again at each confidence floor (a short list): the totals by floor. A true field without a verdict counts at every floor."""
+    at = F.explode(F.array(*map(F.lit, floors)))
+    j = truth.withColumn("floor", at).join(judged(fields.withColumn("floor", at), F.col("floor")), ["doc_id", "key", "floor"], "left")
     right = agrees(F.col("type"), F.col("value"), F.col("text"))
-    admitted = F.col("verdict.admitted")
+    admitted = F.coalesce(F.col("verdict.admitted"), F.lit(False))
     outcome = F.when(admitted, F.when(right, "admitted_right").otherwise("admitted_wrong")).otherwise(F.when(right, "abstained_would_be_right").otherwise("abstained_would_be_wrong"))
     return extraction_totals(j.select("floor", outcome.alias("outcome")), ["floor"])
 

@@ -206,6 +206,15 @@ def test_scores(spark):
     assert (lat["separable"], lat["gap"], lat["spread"], lat["faster"]) == (True, 99, 1, "x")
 
 
+def test_risk_coverage_counts_fields_without_a_verdict(spark):
+    truth = spark.createDataFrame([("d", "a", "5"), ("d", "b", "7"), ("e", "a", "9")], "doc_id string, key string, text string")
+    seen = spark.createDataFrame([("d", "a", "integer", "5", "region", None, 0.6, None)], "doc_id string, key string, type string, value string, status string, source string, confidence double, arithmetic_ok boolean")
+    got = {r["floor"]: r for r in scoring.risk_coverage(truth, seen, [0.5, 0.9]).collect()}
+    assert {f: (r["fields"], r["admitted_right"], r["abstained_would_be_right"], r["abstained_would_be_wrong"]) for f, r in got.items()} == {0.5: (3, 1, 0, 2), 0.9: (3, 0, 1, 2)}
+    assert abs(got[0.5]["coverage"] - 1 / 3) < 1e-9 and got[0.9]["coverage"] == 0
+    assert {r["fields"] for r in scoring.risk_coverage(truth, seen.limit(0), [0.5]).collect()} == {3}
+
+
 # Traces, certificates
 
 
