@@ -1,6 +1,6 @@
 """N-gram Jaccard join as a blocked sparse matrix product of documents by word n-grams.
 
-A document's row holds its distinct 5-word shingles, as 64-bit hashes. Two documents link when 100 * overlap >=
+The product runs on prefix columns and finds candidate pairs; overlaps are counted in ``verified``. A document's row holds its distinct 5-word shingles, as 64-bit hashes. Two documents link when 100 * overlap >=
 80 * union. The product of the incidence matrix with its transpose gives overlaps; it is cut down without loss:
 
 * rows with equal shingle sets are one row, and near-copies found cheaply are joined first: rows that share one of four
@@ -11,7 +11,7 @@ A document's row holds its distinct 5-word shingles, as 64-bit hashes. Two docum
   say which are taken over all documents (by partition, merged), and affect only the order, never the result.
 * columns are cut into blocks by hash. A block's task multiplies its part: for each column, all pairs of rows whose sizes
   allow a link and whose remaining columns could still reach the least overlap that the sizes ask for. Counts are summed over
-  blocks, and pairs whose count is below the size-derived bound are discarded.
+  blocks to make each pair one row; they decide nothing, as in prefixes this short every pair that met reaches the size-derived bound.
 * a sketch of parities bounds from below in how many elements two sets differ, and rules out most pairs left over.
 * what then is left is counted exactly over the whole sets, rebuilt from the texts of just these documents.
 
