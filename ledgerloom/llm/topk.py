@@ -10,7 +10,7 @@ Scores are integers: in doubles while every sum is below 2**53 (checked), else i
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a vector is compared with
 those of its own length; ties go to the smaller vec_id; null vec_ids take no part; a row is nobody's own candidate
-(equal vec_id), and a repeated vec_id counts once, by its largest vector. No query, or no candidate: no rows.
+(equal vec_id); rows of a repeated vec_id are candidates each, and as queries share one ranking. No query, or no candidate: no rows.
 """
 
 from __future__ import annotations
@@ -93,12 +93,11 @@ def _exact(ids, c, q_ids, q, k):
 
 def topk(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """vectors: (vec_id, v array<long>). (query_id, rank, vec_id, score) of each query's k best other rows."""
-    rows = vectors.filter(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.max("v").alias("v"))
-    rows = rows.select("vec_id", "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = vectors.filter(F.col("vec_id").isNotNull()).select("vec_id", "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).collect()[0]
     blocks, q_blocks = max(1, -(-n["n"] // CANDIDATE_BLOCK)), max(1, -(-n["q"] // QUERY_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    block = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+    block = lambda m, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(m)).cast("int")
     c = rows.select("dim", every(q_blocks).alias("qb"), block(blocks, 1).alias("cb"), F.lit(False).alias("asks"), "vec_id", "v")
     q = rows.filter("is_query").select("dim", block(q_blocks, 2).alias("qb"), every(blocks).alias("cb"), F.lit(True).alias("asks"), "vec_id", "v")
 

@@ -249,6 +249,13 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.topk(good.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_keeps_rows_of_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 2)
+    rows = [(0, [1, 0]), (0, [0, 1]), (1, [2, 0]), (1, [0, 3]), (2, [1, 1])]
+    got = topk.topk(spark.createDataFrame(rows, "vec_id bigint, v array<bigint>"), F.col("vec_id") == 0)
+    assert sorted(tuple(r) for r in got.select("rank", "vec_id", "score").collect()) == [(1, 1, 3), (2, 1, 2), (3, 2, 1), (4, 2, 1), (5, 1, 0)]
+
+
 def test_threshold_algorithm_stops_early():
     rng = np.random.default_rng(2)
     c = np.abs(rng.normal(0, 1, (4000, 3)))
