@@ -119,3 +119,19 @@ def blocks(offs: np.ndarray, most: int = 2 << 20) -> list[tuple[int, int]]:
         out.append((i, j))
         i = j
     return out
+
+
+def cut_before(b: np.ndarray, offs: np.ndarray, marks: np.ndarray, most: int) -> np.ndarray:
+    """``offs`` and, within texts of more than ``most`` bytes, the positions of the first byte in ``marks`` after each ``most`` bytes."""
+    long = np.flatnonzero(np.diff(offs) > most)
+    more = []
+    for k in long:
+        at, end = int(offs[k]) + most, int(offs[k + 1])
+        while at < end:
+            near = np.flatnonzero(marks[b[at : min(at + most, end)]])
+            if len(near):
+                more.append(at + int(near[0]))
+                at = more[-1] + most
+            else:
+                at += most
+    return np.unique(np.concatenate([offs, np.array(more, np.int64)])) if more else offs

@@ -8,15 +8,18 @@ all that packing depends on, so it is planned on that histogram (at most CAPACIT
 * the smaller lengths, from the longest down, each go to the tightest gap that holds them, else open new sequences.
 
 Both steps act on whole classes of equal sequences at once. The plan is a list of runs: the pieces of one length whose
-rank is in a range go to consecutive sequences at a given offset. Ranks come from counts of hashed salts of each length,
-so no length, however common, meets in one task; full pieces need no rank.
+rank is in a range go to consecutive sequences at a given offset. Every stored piece has a number of its own (``at``); ranks
+come from counts of its hashed salts within each length, so no length and no group of equal rows, however common, meets in one
+task; full pieces need no rank.
 
 Defined results: null or empty text is one piece of one token (the closing id); rows are pieces of their own, also when
-doc_ids repeat or are null; no documents: no rows. Extra columns are left alone.
+doc_ids repeat or are null; no documents: no rows. A text that holds a special token's text gets that token's id there, as the
+tokenizer does by itself. Very long texts are encoded in parts cut at blanks, with the ids of the whole. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -36,6 +39,8 @@ END_ID = 1
 CACHE_UNITS = 400_000
 #: Pieces of one length and salt (about): the size of a ranking group.
 SALT_ROWS = 20_000
+#: Bytes of a text that are encoded at a time, up to the next blank.
+PART_BYTES = 2 << 20
 
 _LETTER, _DIGIT, _BLANK = (np.zeros(256, bool) for _ in range(3))
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -48,15 +53,18 @@ class UnitTokens:
 
     The tokenizer lower-cases, drops white space and merges only within runs of letters, runs of other marks and single digits.
     These runs are the units; a white-space-bounded word that holds an apostrophe is one unit, as its contractions are cut
-    otherwise. Only texts of ASCII and the letters from U+00C0 to U+00FF take this way; all others are encoded whole.
+    otherwise. Only texts of ASCII and the letters from U+00C0 to U+00FF without a special token's text take this way; all others
+    are encoded as they are. No unit, no special token and no normal form reaches over a blank, so texts of more than ``PART_BYTES``
+    are cut before blanks and a worker's memory follows the ids, not the encoding's own structures; only a longer word stays whole.
     """
 
     def __init__(self, path: str, most: int = CACHE_UNITS):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         vocabulary = self.model.get_vocab()
+        marks = [re.escape(t.content.encode()) for t in self.model.get_added_tokens_decoder().values()]
+        self.marks = re.compile(b"|".join(marks)) if marks else None
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.most = most
@@ -176,18 +184,19 @@ class UnitTokens:
         ids = self.flat[np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[np.searchsorted(s, offs)]
 
-    def ids(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text (null: none), as unsigned 32-bit numbers."""
-        b, offs = bs.buffer_of(texts)
+    def _ids(self, b: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """Ids of each part [offs[k], offs[k + 1])."""
         other = (b >= 0x80) | (b < 32) & ~_BLANK[b] | (b == 127)
         high = np.flatnonzero(b[:-1] == 0xC3) if len(b) else np.zeros(0, np.int64)
         other[high] = other[high + 1] = False
+        if self.marks is not None:
+            other[[m.start() for m in self.marks.finditer(b)]] = True
         hard = np.diff(np.searchsorted(np.flatnonzero(other), offs)) > 0
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(hard)
         easy = np.flatnonzero(~hard)
         if hard.any():
-            whole = texts.filter(pa.array(hard)).to_pylist()
-            for k, x in zip(np.flatnonzero(hard).tolist(), self._encode(whole), strict=True):
+            at = np.flatnonzero(hard).tolist()
+            for k, x in zip(at, self._encode([b[offs[k] : offs[k + 1]].tobytes().decode() for k in at]), strict=True):
                 out[k] = x
             b = np.concatenate([b[offs[k] : offs[k + 1]] for k in easy] + [b[:0]])
             offs = np.concatenate([[0], np.cumsum(np.diff(offs)[easy])])
@@ -197,6 +206,18 @@ class UnitTokens:
                 out[easy[i + k]] = ids[bounds[k] : bounds[k + 1]]
         return out
 
+    def ids(self, texts: pa.Array, part_bytes: int = PART_BYTES) -> list[np.ndarray]:
+        """Ids of each text (null: none), as unsigned 32-bit numbers."""
+        b, offs = bs.buffer_of(texts)
+        cuts = bs.cut_before(b, offs, _BLANK, part_bytes)
+        if cuts is offs:
+            return self._ids(b, offs)
+        parts: list[np.ndarray] = []
+        for k in range(len(cuts) - 1):
+            parts += self._ids(b[cuts[k] : cuts[k + 1]], np.array([0, cuts[k + 1] - cuts[k]]))
+        at = np.searchsorted(cuts, offs)
+        return [np.concatenate([*parts[i:j], np.zeros(0, np.uint32)]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
 
 _loaded: dict[str, UnitTokens] = {}
 
@@ -322,14 +343,15 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
-    return assigned(stored(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    cut = pieces(docs, tokenizer_path, capacity).withColumn("at", F.monotonically_increasing_id())
+    return assigned(stored(cut, "pieces"), capacity)
 
 
 def assigned(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a stored table of pieces."""
+    """Adds sequence_id and offset to a stored table of pieces, whose rows are told apart by ``at`` (from 0)."""
     n = cut.count()
     salts = max(1, -(-n // SALT_ROWS))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")
     short = cut.filter(F.col("length") < capacity).withColumn("salt", salt)
     by_salt = short.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
@@ -339,7 +361,7 @@ def assigned(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     key = runs[:, 0] << 44 | runs[:, 1]
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     starts = by_salt.select("length", "salt", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("at")) - 1
     ranked = short.withColumn("within", within).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
 
     def seat(length: pa.Array, rank: pa.Array) -> pa.Array:
@@ -352,8 +374,8 @@ def assigned(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     seated = ranked.select(*names, F.arrow_udf(seat, "struct<sequence_id:bigint,offset:bigint>")("length", "rank").alias("_s"))
     seated = seated.select(*names, "_s.sequence_id", "_s.offset")
-    # full pieces: a sequence each, numbered below zero by nothing but themselves
-    full = cut.filter(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # full pieces: a sequence each, numbered below zero
+    full = cut.filter(F.col("length") == capacity).select(*names, (-1 - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return seated.unionByName(full)
 
 

@@ -360,14 +360,16 @@ def test_units_equal_whole_encoding():
 
     path = public_tokenizers.path(packing.TOKENIZER)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     texts = [
+        "a <|endoftext|> b", "x<|startoftext|>y's <|EndOfText|> <|endoftext", "it's<|endoftext|>'s", "<|endoftext|>", "é<|endoftext|>É <|endoftext|><|endoftext|>",
         None, "", "  ", "it's John's DON'T a.b c,d .,. x., É. é, ﬁ. İstanbul, ΣΑΣ. word word. 12, 3.4 <|endoftext|>. ǅ, \x1cx\x1f, x\x85y.", "́abc, a ́b. ʼn, ªº", "'", "''", "a'", "\n", "é" * 50,
         "It's 'the 'se x's. !'s a'b 123 a1b2c 4,5 ÉCOLE é×2÷3 Öl_x __ -- a--b 'tis ''s rock'n'roll don't\tx\ny\r\nz", "Straße, NAÏVE! \x7f", "你好 world",
     ]
+    texts += [" ".join(t or "" for t in texts) * 3, "one-word" * 40]
     tokens = packing.UnitTokens(path)
-    for _ in range(2):
-        got = tokens.ids(pa.array(texts, pa.string()))
+    assert tokens.ids(pa.array(["a <|endoftext|> b"]))[0].tolist() == [320, 49407, 321]
+    for part in (packing.PART_BYTES, packing.PART_BYTES, 7, 64):
+        got = tokens.ids(pa.array(texts, pa.string()), part)
         assert [x.tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
@@ -409,7 +411,8 @@ def test_packing(spark, prose, monkeypatch):
     monkeypatch.setattr(packing, "SALT_ROWS", 40)
     path = public_tokenizers.path(packing.TOKENIZER)
     rows = [*prose, (900, None, "en", "a"), (901, "", "en", "a"), (902, "word " * 2600, "en", "a"), (903, "x", "en", "a"), (903, "x", "en", "a"), (None, "y", "en", "a")]
-    df = docs_of(spark, rows).withColumn("length", F.lit("clash"))
+    rows += [(904, "x <|endoftext|> y", "en", "a")] + [(905, "equal rows", "en", "a")] * 300 + [(None, "equal rows", "en", "a")] * 300
+    df = docs_of(spark, rows).withColumn("length", F.lit("clash")).withColumn("at", F.lit("clash"))
     cap = 256
     got = packing.packed(df, path, cap).collect()
     tok = Tokenizer.from_file(path)
