@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch for columns of whole texts; bounds a worker's memory.
 TEXT_BATCH_ROWS = 500
+#: Rows of one key and salt (about): the size of a ranking group.
+SALT_ROWS = 20_000
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
@@ -125,3 +127,23 @@ def drop_ids(df: DataFrame, key: str, ids: DataFrame, once: DataFrame) -> DataFr
     near = rows.filter("_hit").drop("_hit").join(ids, key, "left_anti")
     twice = near.join(once, key, "left_semi").dropDuplicates([key])
     return rows.filter("not _hit").drop("_hit").unionByName(near.join(once, key, "left_anti")).unionByName(twice)
+
+
+def numbered(rows: DataFrame, key: str, again: DataFrame, name: str, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Adds ``name``: 0, 1, ... among the rows of one ``key``; ``again`` holds the keys of several rows (one column of that name, not null).
+
+    Only rows whose key may be among ``again`` move. They are stored with a number of their own, whose hash salts them, so
+    that one key's rows are ranked over many tasks.
+    """
+    if again.isEmpty():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    near = marked(rows, key, again)
+    hit = stored(near.filter("_hit").drop("_hit").withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    salts = max(1, -(-hit.count() // salt_rows))
+    hit = hit.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)).cast("int"))
+    counts = hit.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_salt")) - F.col("_n")
+    starts = counts.select(key, "_salt", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy(key, "_salt").orderBy("_at")) - 1
+    ranked = hit.withColumn("_within", within).join(starts, [key, "_salt"]).withColumn(name, F.col("_before") + F.col("_within"))
+    return near.filter("not _hit").drop("_hit").withColumn(name, F.lit(0).cast("long")).unionByName(ranked.select(*rows.columns, name))

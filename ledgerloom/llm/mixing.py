@@ -10,11 +10,13 @@ is range-sorted by position.
 
 The hashed order is kept as sums of ``BUCKETS`` hash ranges of each source: a document's place is its range's start plus
 its hash's share of the range. So no document order is ever computed in one task: placing is a map over documents
-with the table of ranges, whose size depends on the number of sources alone.
+with the table of ranges, whose size depends on the number of sources alone. A document's hash is that of its id, text and source,
+and of its number among rows equal in all three, so that repeated and null ids spread over the order like any others.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; documents of size 0 and of sources
-without words are taken by the same rule (0 words); a null doc_id hashes as the text ``null``; rows of one doc_id
-are taken alike. Sources of one weight class share a schedule. Extra columns pass through ``curriculum``.
+without words are taken by the same rule (0 words); rows are documents of their own, also when doc_ids repeat or are null;
+rows equal in id, text and source share what is taken of them in any order. Very long texts are counted within
+Spark's expressions. Sources of one weight class share a schedule. Extra columns pass through ``curriculum``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import numbered, stored
 
 WEIGHTS = (5, 2, 1)
 #: (weight at the start, weight at the end) of training, of each weight class: heavy sources rise, light ones fall.
@@ -39,9 +41,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place(doc_id: Column) -> Column:
-    """A number from 0 to 2**32 - 1 fixed by the id."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
+def identity(doc_id: Column, text: Column, source: Column) -> Column:
+    """A digest of what makes rows equal."""
+    of = [F.coalesce(F.md5(x.cast("string")), F.lit("null")) for x in (doc_id, text, source)]
+    return F.md5(F.concat_ws("/", *of))
+
+
+def place(same: Column, nth: Column) -> Column:
+    """A number from 0 to 2**32 - 1 fixed by a row's identity and its number among equal rows."""
+    return F.conv(F.substring(F.md5(F.concat(same, F.lit("/"), nth.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS) -> DataFrame:
@@ -61,8 +69,8 @@ def targets(totals: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS) -> Da
 
 
 def ranges(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS, buckets: int = BUCKETS) -> DataFrame:
-    """sizes: (doc_id, source, size). For each source and hash range: words in it and before it, and the source's figures."""
-    sums = sizes.groupBy("source", F.floor(place(F.col("doc_id")) * buckets / 2.0**32).cast("int").alias("bucket")).agg(F.sum("size").alias("inside"))
+    """sizes: (source, size, place). For each source and hash range: words in it and before it, and the source's figures."""
+    sums = sizes.groupBy("source", F.floor(F.col("place") * buckets / 2.0**32).cast("int").alias("bucket")).agg(F.sum("size").alias("inside"))
     sums = stored(sums, "mix-ranges")
     of = targets(sums.groupBy("source").agg(F.sum("inside").alias("source_size")), weights, most)
     before = F.coalesce(F.sum("inside").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -71,17 +79,17 @@ def ranges(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS, buckets
     return joined.select(F.col("r.source").alias("source"), "bucket", "inside", "before", "source_size", "nth", "target")
 
 
-def placed(sizes: DataFrame, table: DataFrame, most: int = MAX_REPEATS, buckets: int = BUCKETS) -> DataFrame:
-    """Adds _source_size, _target, _nth, _mid (the document's place in its source's order, in words) and _copies."""
+def placed(rows: DataFrame, table: DataFrame, most: int = MAX_REPEATS, buckets: int = BUCKETS) -> DataFrame:
+    """rows: with source and _place. Adds _source_size, _target, _nth, _mid (the document's place in its source's order, in words) and _copies."""
     table = stored(table, "mix-table")
     small = table.count() <= BROADCAST_ROWS
     table = table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
-    at = place(F.col("doc_id")) * buckets / 2.0**32
+    at = F.col("_place") * buckets / 2.0**32
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.floor(at).cast("int") == F.col("_bucket"))
     mid = F.col("_before") + F.col("_inside") * (at - F.floor(at))
     taken = [F.when(F.col("_mid") + k * F.col("_source_size") < F.col("_target"), 1).otherwise(0) for k in range(most)]
-    rows = sizes.join(F.broadcast(table) if small else table, on).withColumn("_mid", mid).withColumn("_copies", sum(taken[1:], taken[0]))
-    return rows.drop("_source", "_bucket", "_before", "_inside")
+    rows = rows.join(F.broadcast(table) if small else table, on).withColumn("_mid", mid).withColumn("_copies", sum(taken[1:], taken[0]))
+    return rows.drop("_source", "_bucket", "_before", "_inside", "_place")
 
 
 def position(share: Column, nth: Column, schedules=SCHEDULES) -> Column:
@@ -97,40 +105,49 @@ def position(share: Column, nth: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", words(F.col("text")))
+def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, _same, _place) of every document, stored; and the identities of several rows."""
+    same = identity(F.col("doc_id"), F.col("text"), F.col("source"))
+    sizes = stored(docs.select("doc_id", "source", words(F.col("text")).alias("size"), same.alias("_same")), "mix-sizes")
+    again = stored(sizes.groupBy("_same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_same"), "mix-repeats")
+    return numbered(sizes, "_same", again, "_number").withColumn("_place", place(F.col("_same"), F.col("_number"))), again
 
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = MAX_REPEATS) -> DataFrame:
     """Every copy of a document that the mix takes, with its columns, ``mix_copy`` and ``mix_position``, range-sorted by position."""
-    sizes = stored(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
-    p = placed(docs, ranges(sizes, weights, most), most).filter("_copies > 0")
+    sizes, again = _sized(docs)
+    table = ranges(sizes.select("source", "size", F.col("_place").alias("place")), weights, most)
+    rows = numbered(docs.withColumn("_same", identity(F.col("doc_id"), F.col("text"), F.col("source"))), "_same", again, "_number")
+    rows = rows.withColumn("_place", place(F.col("_same"), F.col("_number")))
+    p = placed(rows, table, most).filter("_copies > 0")
     p = p.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = F.try_divide(F.col("_mid") + F.col("mix_copy") * F.col("_source_size"), F.col("_target"))
-    out = p.select(*docs.columns, "mix_copy", position(share, F.col("_nth"), schedules).alias("mix_position"))
-    return out.repartitionByRange(F.col("mix_position"), F.xxhash64("doc_id")).sortWithinPartitions("mix_position", "doc_id")
+    out = p.select(*docs.columns, "mix_copy", position(share, F.col("_nth"), schedules).alias("mix_position"), "_same")
+    return out.repartitionByRange(F.col("mix_position"), F.col("_same")).sortWithinPartitions("mix_position", "_same").drop("_same")
 
 
 def taken(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, position of the first copy or null), range-sorted by that position."""
-    sizes = stored(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
-    p = placed(sizes, ranges(sizes, weights, most), most)
+    sizes, _ = _sized(docs)
+    sizes = stored(sizes.drop("_number"), "mix-places")
+    p = placed(sizes, ranges(sizes.select("source", "size", F.col("_place").alias("place")), weights, most), most)
     at = F.when(F.col("_copies") > 0, position(F.col("_mid") / F.col("_target"), F.col("_nth")))
-    out = p.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"), at.alias("position"))
-    return out.repartitionByRange(F.col("position"), F.xxhash64("doc_id")).sortWithinPartitions("position", "doc_id")
+    out = p.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"), at.alias("position"), "_same")
+    return out.repartitionByRange(F.col("position"), F.col("_same")).sortWithinPartitions("position", "_same").drop("_same")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_PLACE = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)"
 _CASES = " ".join(f"WHEN {k} THEN (sqrt({a * a}::DOUBLE + ({b * b - a * a})::DOUBLE * s) - {a}::DOUBLE) / ({b - a})::DOUBLE" for k, (a, b) in enumerate(SCHEDULES) if a != b)
 OP9_SQL = f"""
-WITH d AS (
+WITH i AS (
   SELECT doc_id, source, coalesce(length(regexp_replace(regexp_replace(text, '[^\\x20\\x09-\\x0D]+', 'x', 'g'), '[\\x20\\x09-\\x0D]+', '', 'g')), 0)::BIGINT AS size,
-         {_PLACE} * {BUCKETS} / 4294967296.0::DOUBLE AS spot
+         md5(coalesce(md5(doc_id::VARCHAR), 'null') || '/' || coalesce(md5(text), 'null') || '/' || coalesce(md5(source), 'null')) AS same
   FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY same) - 1 AS number FROM i),
+d AS (SELECT doc_id, source, size, CAST('0x' || substr(md5(same || '/' || number), 1, 8) AS BIGINT) * {BUCKETS} / 4294967296.0::DOUBLE AS spot FROM n),
 b AS (SELECT source, floor(spot)::INT AS bucket, sum(size)::BIGINT AS inside FROM d GROUP BY ALL),
 r AS (SELECT *, coalesce(sum(inside) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b),
 s AS (

@@ -611,6 +611,35 @@ def test_mixing(spark, prose):
     assert mixing.taken(df.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_ids(spark, monkeypatch):
+    """Sources of 1,000 rows under one id or none come within one document of their target; numbers of equal rows are dealt over salts."""
+    monkeypatch.setattr(frames.numbered, "__defaults__", (64,))
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice(WORDS["en"]) for _ in range(n))
+    rows = [(7, "one two three four five", "en", "a")] * 1000 + [(None, "one two three four five", "en", "b")] * 1000
+    rows += [(8, text(1 + k % 9), "en", "c") for k in range(1000)] + [(9, text(5), "en", s) for s in "abcd" for _ in range(20)]
+    df = docs_of(spark, rows)
+    got = mixing.taken(df).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    by = collections.Counter()
+    for r in got:
+        by[r["source_size"], r["target"]] += r["taken"]
+    assert len(by) >= 3 and all(abs(n - t) <= 9 + 0.02 * t for (_, t), n in by.items()), by
+    again = mixing.taken(docs_of(spark, rows[::-1]).repartition(7)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+    mix = mixing.curriculum(df)
+    assert mix.count() == sum(r["taken"] // r["size"] for r in got)
+    at = [r["mix_position"] for r in mix.filter("doc_id = 7").collect()]
+    assert len(set(at)) > 0.9 * len(at)
+
+
+def test_numbered_rows(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(500)] + [("b", 1), ("c", 2), ("c", 3)], "k string, x int")
+    again = rows.groupBy("k").count().filter("count > 1").select("k")
+    got = frames.numbered(rows, "k", again, "n", 40).collect()
+    assert sorted(r["n"] for r in got if r["k"] == "a") == list(range(500)) and sorted(r["n"] for r in got if r["k"] == "c") == [0, 1] and [r["n"] for r in got if r["k"] == "b"] == [0]
+
+
 def test_position_inverts_demand(spark):
     u = spark.createDataFrame([(k / 20, n) for k in range(20) for n in range(3)], "u double, n int")
     for r in u.select("u", "n", mixing.position(F.col("u"), F.col("n")).alias("t")).collect():
