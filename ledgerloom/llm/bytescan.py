@@ -83,8 +83,11 @@ def span_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray =
     out = np.empty(len(s), np.uint64)
     i = 0
     while i < len(s):
+        if e[i] - s[i] > SPAN:
+            out[i] = _long_hash(b[s[i] : e[i]], table)
+            i += 1
+            continue
         j = int(np.searchsorted(e, s[i] + SPAN, "right"))
-        j = max(j, i + 1)
         a, z = int(s[i]), int(e[j - 1])
         r, inv = powers(z - a + 1)
         c = np.zeros(z - a + 1, np.uint64)
@@ -95,6 +98,18 @@ def span_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray =
     return out
 
 
+def _long_hash(b: np.ndarray, table: np.ndarray) -> np.uint64:
+    """The same hash of one span, ``SPAN`` bytes at a time."""
+    r, _ = powers(SPAN)
+    total, base = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    step = r[SPAN - 1 : SPAN] * np.uint64(_R)
+    for a in range(0, len(b), SPAN):
+        part = b[a : a + SPAN]
+        total += base * (table[part] * r[: len(part)]).sum(dtype=np.uint64)
+        base = base * step
+    return mixed(total + np.uint64(len(b)))[0]
+
+
 def owners(offs: np.ndarray, s: np.ndarray) -> np.ndarray:
     """For sorted positions, the number of the text that holds each."""
     return np.searchsorted(offs, s, "right") - 1
@@ -121,6 +136,11 @@ def blocks(offs: np.ndarray, most: int = 2 << 20) -> list[tuple[int, int]]:
     return out
 
 
+def windows(n: int, most: int = SPAN) -> list[tuple[int, int]]:
+    """Ranges [a, z) of at most ``most`` numbers that make up [0, n)."""
+    return [(a, min(a + most, n)) for a in range(0, n, most)]
+
+
 def cut_before(b: np.ndarray, offs: np.ndarray, marks: np.ndarray, most: int) -> np.ndarray:
     """``offs`` and, within texts of more than ``most`` bytes, the positions of the first byte in ``marks`` after each ``most`` bytes."""
     long = np.flatnonzero(np.diff(offs) > most)

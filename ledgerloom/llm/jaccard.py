@@ -1,25 +1,29 @@
 """N-gram Jaccard join as a blocked sparse matrix product of documents by word n-grams.
 
-The product runs on prefix columns and finds candidate pairs; overlaps are counted in ``verified``. A document's row holds its distinct 5-word shingles, as 64-bit hashes. Two documents link when 100 * overlap >=
-80 * union. The product of the incidence matrix with its transpose gives overlaps; it is cut down without loss:
+The product runs on prefix columns and finds candidate pairs; overlaps are counted in ``verified``. A document's row holds its
+distinct 5-word shingles, as 64-bit hashes. Two documents link when 100 * overlap >= 80 * union. The product of the incidence
+matrix with its transpose gives overlaps; it is cut down without loss:
 
 * rows with equal shingle sets are one row, and near-copies found cheaply are joined first: rows that share one of four
   min-hash keys are compared with the smallest row of that key (a star, not all pairs). Pairs already known to be in one
   component are left out of the product; components are all that is asked for.
 * in a global order of the columns, rarest first, two rows that link share a column among the first
   n - ceil(0.8 n) + 1 of each, so only these columns enter. Columns common in the corpus come last; the counts that
-  say which are taken over all documents (by partition, merged), and affect only the order, never the result.
+  say which affect only the order, never the result.
 * columns are cut into blocks by hash. A block's task multiplies its part: for each column, all pairs of rows whose sizes
   allow a link and whose remaining columns could still reach the least overlap that the sizes ask for. Counts are summed over
   blocks to make each pair one row; they decide nothing, as in prefixes this short every pair that met reaches the size-derived bound.
 * a sketch of parities bounds from below in how many elements two sets differ, and rules out most pairs left over.
-* what then is left is counted exactly over the whole sets, rebuilt from the texts of just these documents.
+* what then is left is counted exactly over the whole sets, rebuilt from the texts of just these rows.
 
-A column held by more than ``LIST_ROWS`` rows is split into salted pairs of sub-lists over several tasks.
+A column that more than ``LIST_ROWS`` prefixes hold, by its count over all of them, is split into salted pairs of sub-lists over several tasks.
+
+Rows of the table are told apart by a number given when the texts are stored, so ids may repeat: a doc_id is one document, and
+links with whatever any of its rows links with.
 
 Defined results: null, empty or blank text: 0 shingles, linked with nothing, its own component; fewer than 5 words: one
-shingle of all of them; repeated rows share a class; rows of a null doc_id link with nothing and have a null component.
-Extra columns are left alone.
+shingle of all of them; repeated rows share a class, as do different texts of one doc_id; rows of a null doc_id link with nothing
+and have a null component. A very long text passes in windows: a worker needs about 40 bytes for each of its words. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -40,8 +44,13 @@ LEAST = 80  # per cent
 #: Columns whose place in the order is by count: the most common ones, at most; each at least so many rows of a partition.
 COMMON_COLUMNS = 1 << 17
 COMMON_ROWS = 3
-BLOCK_ENTRIES = 1 << 20
-LIST_ROWS = 20_000
+BLOCK_ENTRIES = 1 << 18
+LIST_ROWS = 8192
+#: Hash ranges over which columns are counted first, and how many columns are split at most.
+COUNT_RANGES = 1 << 16
+MOST_SPLIT = 1 << 20
+#: Bytes of a text that are cut into words at a time.
+WINDOW_BYTES = 2 << 20
 #: Documents compared with one copy of another's set before it is sent again.
 FAN_OUT = 256
 
@@ -57,27 +66,38 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - needed(n) + 1, 0)
 
 
+def word_hashes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words end to end, and each text's n + 1 bounds; a long text goes through in windows between words."""
+    cuts = bs.cut_before(b, offs, bs.SPACE, WINDOW_BYTES)
+    many, parts = np.zeros(len(offs), np.int64), []
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True) if cuts is not offs else [(0, len(b))]:
+        inner = offs if cuts is offs else np.array([0, z - a])
+        s, e = bs.word_spans(b[a:z], inner, ~bs.SPACE)
+        parts.append(bs.span_hashes(b[a:z], s, e, bs.FOLDED))
+        if cuts is offs:
+            return parts[0], bs.slices(bs.owners(offs, s), len(offs) - 1)
+        many[np.searchsorted(offs, a, "right")] += len(s)
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.cumsum(many)
+
+
 def shingle_sets(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All texts' sorted distinct shingle hashes end to end, and n + 1 bounds."""
     n = len(offs) - 1
-    s, e = bs.word_spans(b, offs, ~bs.SPACE)
-    w = bs.span_hashes(b, s, e, bs.FOLDED)
-    at = bs.slices(bs.owners(offs, s), n)
+    w, at = word_hashes(b, offs)
     count = np.diff(at)
     power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(N - 1, _STEP)]))
     size = np.where(count >= N, count - N + 1, np.minimum(count, 1))
     bounds = np.concatenate([[0], np.cumsum(size)])
     out = np.empty(bounds[-1], np.uint64)
-    if len(w) >= N:
-        h = w[: len(w) - N + 1].copy()
-        for k in range(1, N):
-            h += w[k : len(w) - N + 1 + k] * power[k]
-        h = bs.mixed(h + np.uint64(N))
     for d in range(n):
         a, z, c = bounds[d], bounds[d + 1], count[d]
         if c >= N:
             part = out[a:z]
-            part[:] = h[at[d] : at[d] + z - a]
+            for i, j in bs.windows(z - a):
+                h = w[at[d] + i : at[d] + j].copy()
+                for k in range(1, N):
+                    h += w[at[d] + i + k : at[d] + j + k] * power[k]
+                part[i:j] = bs.mixed(h + np.uint64(N))
             part.sort()
         elif c:
             out[a] = bs.mixed(np.array([(w[at[d] : at[d + 1]] * power[:c]).sum() + np.uint64(c)], np.uint64))[0]
@@ -96,8 +116,8 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield i, j, *shingle_sets(b[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
 
 
-def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the most common shingles, rarest first, and their counts over all documents (in partitions where they are common)."""
+def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> np.ndarray:
+    """The hashes of the most common shingles, rarest first, by their counts in partitions where they are common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, kept, counts, waiting, size = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
@@ -126,7 +146,7 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> tuple[np.ndar
 
     found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "h").limit(most).toArrow()
-    return top.column("h").to_numpy().view(np.uint64)[::-1].copy(), top.column("n").to_numpy()[::-1].copy()
+    return top.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
 def parity(h: np.ndarray) -> bytes:
@@ -134,8 +154,14 @@ def parity(h: np.ndarray) -> bytes:
     m = 64
     while m < len(h):
         m *= 2
-    odd = np.bincount((bs.mixed(h + np.uint64(17)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    odd = np.zeros(m, np.uint8)
+    for a, z in bs.windows(len(h)):
+        at = (bs.mixed(h[a:z] + np.uint64(17)) & np.uint64(m - 1)).astype(np.int64)
+        if m <= bs.SPAN:
+            odd ^= (np.bincount(at, minlength=m) & 1).astype(np.uint8)
+        else:
+            np.add.at(odd, at, 1)
+    return np.packbits(odd & 1, bitorder="little").tobytes()
 
 
 def parity_difference(a: bytes, b: bytes) -> int:
@@ -151,83 +177,97 @@ def parity_difference(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-_ROW = "doc_id long, n long, f1 long, f2 long, keys array<long>, prefix binary, sketch binary"
+_ROW = "row long, doc_id long, n long, f1 long, f2 long, keys array<long>, prefix binary, sketch binary"
+
 
+def _minima_and_sums(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set: four min-hash keys, (sets, 4), and two sums over all elements that tell sets apart, (2, sets)."""
+    n = len(at) - 1
+    low, sums = np.full((8, n), np.uint64(2**64 - 1)), np.zeros((2, n), np.uint64)
+    for a, z in bs.windows(len(h)):
+        part = h[a:z]
+        owner = np.searchsorted(at, np.arange(a, z), "right") - 1
+        mixed = bs.mixed(part * np.uint64(2) + np.uint64(1))
+        for c in range(8):
+            pick = np.flatnonzero(mixed & np.uint64(7) == c)
+            if len(pick):
+                first = np.flatnonzero(np.diff(owner[pick], prepend=-1))
+                of = owner[pick][first]
+                low[c, of] = np.minimum(low[c, of], np.minimum.reduceat(mixed[pick], first))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        for f, k in zip(sums, (11, 13), strict=True):
+            f[owner[first]] += np.add.reduceat(bs.mixed(part + np.uint64(k)), first)
+    keys = np.stack([bs.mixed(low[2 * c] + low[2 * c + 1] * np.uint64(3) + np.uint64(c)).view(np.int64) for c in range(4)], axis=1)
+    return keys, sums.view(np.int64)
 
-def rows_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, keys, prefix, sketch): set size, fingerprint, four min-hash keys, first columns in the global order, parities."""
-    spread = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common).astype(np.int64)))  # at most COMMON_COLUMNS
+
+def rows_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """texts: (row, doc_id, text). (row, doc_id, n, f1, f2, keys, prefix, sketch): set size, fingerprint, four min-hash keys, first columns in the global order, parities."""
+    spread = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common).astype(np.int64)))  # at most COMMON_COLUMNS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, rank = spread.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            row, ids = batch.column("row"), batch.column("doc_id")
             for i, j, h, at in _sets(batch):
                 n = np.diff(at)
-                place = np.searchsorted(ordered, h) if len(ordered) else np.zeros(len(h), np.int64)
-                place = np.minimum(place, max(len(ordered) - 1, 0))
-                hot = ordered[place] == h if len(ordered) else np.zeros(len(h), bool)
+                hot, ranks = np.zeros(len(h), bool), [np.zeros(0, np.int64)]
+                for a, z in bs.windows(len(h)) if len(ordered) else []:
+                    place = np.minimum(np.searchsorted(ordered, h[a:z]), len(ordered) - 1)
+                    hot[a:z] = ordered[place] == h[a:z]
+                    ranks.append(rank[place[hot[a:z]]])
+                rank_at = np.concatenate([[0], np.cumsum(hot)])[at]
+                ranks = np.concatenate(ranks)
                 take = prefix_length(n)
-                prefix, sketch, keys = [], [], np.zeros((j - i, 4), np.int64)
-                mixed, low = bs.mixed(h * np.uint64(2) + np.uint64(1)), np.full((8, j - i), np.uint64(2**64 - 1))
-                owner = np.repeat(np.arange(j - i), n)
-                for c in range(8):
-                    pick = np.flatnonzero(mixed & np.uint64(7) == c)
-                    if len(pick):
-                        first = np.flatnonzero(np.diff(owner[pick], prepend=-1))
-                        low[c, owner[pick][first]] = np.minimum.reduceat(mixed[pick], first)
-                for c in range(4):
-                    keys[:, c] = bs.mixed(low[2 * c] + low[2 * c + 1] * np.uint64(3) + np.uint64(c)).view(np.int64)
+                prefix, sketch = [], []
                 for d in range(j - i):
-                    part, is_hot = h[at[d] : at[d + 1]], hot[at[d] : at[d + 1]]
-                    rare = part[~is_hot][: take[d]] if is_hot.any() else part[: take[d]]
+                    part = h[at[d] : at[d + 1]]
+                    rare = part[np.flatnonzero(~hot[at[d] : at[d + 1]])[: take[d]]]
                     if len(rare) < take[d]:
-                        r = np.sort(rank[place[at[d] : at[d + 1]][is_hot]])[: take[d] - len(rare)]
+                        r = np.sort(ranks[rank_at[d] : rank_at[d + 1]])[: take[d] - len(rare)]
                         rare = np.concatenate([rare, common[r]])
                     prefix.append(rare.tobytes())
                     sketch.append(parity(part))
-                bounds = at.astype(np.int64)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(bs.mixed(h + np.uint64(k)))]) for k in (11, 13)]
-                f = [(c[bounds[1:]] - c[bounds[:-1]]).view(np.int64) for c in sums]
-                cols = [ids.slice(i, j - i), pa.array(n), pa.array(f[0]), pa.array(f[1])]
+                keys, f = _minima_and_sums(h, at)
+                cols = [row.slice(i, j - i), ids.slice(i, j - i), pa.array(n), pa.array(f[0]), pa.array(f[1])]
                 cols += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "keys", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "f1", "f2", "keys", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _ROW)
+    return texts.select("row", "doc_id", "text").mapInArrow(build, _ROW)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of distinct ids that link, counted over whole sets.
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs: (a, b) of rows; texts: (row, doc_id, text). The (a, b) of doc_ids whose rows' texts link, counted over whole sets.
 
-    Texts of the ids met are dealt to the pairs' first ids, an id with many partners in several parts, and cut into shingles there.
+    Texts of the rows met are dealt to the pairs' first rows, a row with many partners in several parts, and cut into shingles there.
+    Both sides of each join are stored tables, so that adaptive execution can split a row with very many partners.
     """
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("fan"))
-    right = pairs.join(fan, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), F.lit(False).alias("own"))
-    left = fan.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(True).alias("own"))
-    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids).filter("_hit").select("doc_id", "text")
-    rows = texts.dropDuplicates(["doc_id"]).join(right.unionAll(left), "doc_id")
+    ids = stored(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct(), "pair-rows")
+    fan = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("fan")), "pair-fans")
+    right = pairs.join(fan, "a").select(F.col("b").alias("row"), "a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), F.lit(False).alias("own"))
+    left = fan.select(F.col("a").alias("row"), "a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(True).alias("own"))
+    rows = marked(texts, "row", ids).filter("_hit").select("row", "doc_id", "text").join(right.unionAll(left), "row")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(0, np.uint64)
+        mine, its = np.zeros(0, np.uint64), None
         for batch in batches:
-            a, b, own = (batch.column(c).to_pylist() for c in ("a", "doc_id", "own"))
+            ids, own = batch.column("doc_id").to_pylist(), batch.column("own").to_pylist()
             found: tuple[list, list] = ([], [])
             for i, j, h, at in _sets(batch):
                 for k in range(i, j):
                     other = h[at[k - i] : at[k - i + 1]]
                     if own[k]:
-                        mine = other.copy()
+                        mine, its = other.copy(), ids[k]
                         continue
                     if not len(mine) or not len(other):
                         continue
                     small, large = (mine, other) if len(mine) <= len(other) else (other, mine)
-                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    both = sum(int((large[np.minimum(np.searchsorted(large, small[a:z]), len(large) - 1)] == small[a:z]).sum()) for a, z in bs.windows(len(small)))
                     if 100 * both >= LEAST * (len(mine) + len(other) - both):
-                        found[0].append(a[k])
-                        found[1].append(b[k])
+                        found[0].append(its)
+                        found[1].append(ids[k])
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
@@ -236,26 +276,62 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches don't rule out a link: sets that link differ in (na + nb) / 9 elements at most.
 
-    rows: (doc_id, n, sketch), one for each id.
+    rows: (row, n, sketch), one for each row.
     """
 
     def may_link(na: pa.Array, nb: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
         most = (100 - LEAST) * (na.to_numpy() + nb.to_numpy()) // (100 + LEAST)
         return pa.array([parity_difference(x, y) <= k for x, y, k in zip(sa.to_pylist(), sb.to_pylist(), most.tolist(), strict=True)], pa.bool_())
 
-    a, b = (rows.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    a, b = (rows.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
     return both.filter(F.arrow_udf(may_link, "boolean")("na", "nb", "sa", "sb")).select("a", "b")
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): each row with the smallest row of each of its min-hash keys, where sizes allow a link."""
-    keyed = rows.filter("n > 0").select("doc_id", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    low = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    pairs = keyed.join(low, "key").select(F.col("low.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
+    keyed = rows.filter("n > 0").select("row", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    low = stored(keyed.groupBy("key").agg(F.min(F.struct("row", "n")).alias("low"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "star-centres")
+    pairs = keyed.join(low, "key").select(F.col("low.row").alias("a"), F.col("row").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
     return pairs.filter((F.col("a") != F.col("b")) & (LEAST * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).select("a", "b").distinct()
 
 
+def split_columns(rows: DataFrame, entries: int, list_rows: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that more than ``list_rows`` prefixes hold, by their counts over all rows, ascending; and into how many lists each is split.
+
+    Counts of ``COUNT_RANGES`` hash ranges rule most columns out; those of the other ranges are counted one by one. With more than
+    MOST_SPLIT * list_rows entries the lists get longer, so that at most MOST_SPLIT columns (16 MB) are split.
+    """
+    list_rows = max(list_rows, entries // MOST_SPLIT)
+    shift = np.uint64(64 - int(np.log2(COUNT_RANGES)))
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_RANGES, np.int64)
+        for batch in batches:
+            key = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64)
+            total += np.bincount((key >> shift).astype(np.int64), minlength=COUNT_RANGES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["h", "n"])
+
+    over = lambda counts: counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > list_rows)
+    full = np.array([r["h"] for r in over(rows.select("prefix").mapInArrow(by_range, "h long, n long")).collect()], np.int64)  # COUNT_RANGES at most
+    if not len(full):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    likely = np.zeros(COUNT_RANGES, bool)
+    likely[full] = True
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64)
+            u, n = np.unique(key[likely[(key >> shift).astype(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    found = over(rows.select("prefix").mapInArrow(one_by_one, "h long, n long")).toArrow()
+    keys, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], -(-counts[order] // list_rows)
+
+
 def _multiply(key, comp, n, pos) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of entries that one column after the other brings together, where the bounds allow a link."""
     order = np.lexsort((n, key))
@@ -280,19 +356,18 @@ def _multiply(key, comp, n, pos) -> Iterator[tuple[np.ndarray, ...]]:
                 yield x[p], y[q]
 
 
-def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np.ndarray, block_entries: int = BLOCK_ENTRIES, list_rows: int = LIST_ROWS) -> DataFrame:
-    """rows: (doc_id, comp, n, prefix). (a, b) of rows in different components that the first columns don't rule out.
+def product_pairs(rows: DataFrame, entries: int, block_entries: int = BLOCK_ENTRIES, list_rows: int = LIST_ROWS) -> DataFrame:
+    """rows: (row, comp, n, prefix). (a, b) of rows in different components that the first columns don't rule out.
 
-    entries: how many columns all prefixes hold; columns, counts: the common columns; those in more than ``list_rows`` rows are split.
+    entries: how many columns all prefixes hold; columns in more than ``list_rows`` of them are split.
     Within a block columns are told apart by 32 bits more: a chance meeting only makes a pair to be checked.
     """
     blocks = max(16, -(-entries // block_entries))
-    order = np.argsort(columns)[counts[np.argsort(columns)] > list_rows]
-    split_keys, split_into = columns[order], -(-counts[order] // list_rows)
+    split_keys, split_into = split_columns(rows, entries, list_rows)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n"))
+            doc, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "comp", "n"))
             parts = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("prefix")]
             size = np.array([len(x) for x in parts], np.int64)
             key = np.concatenate([*parts, np.zeros(0, np.uint64)])
@@ -317,26 +392,23 @@ def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np
             for k in which:
                 pick = order[at[k] : at[k + 1]]
                 used, local = np.unique(row[pick], return_inverse=True)
-                moved = np.flatnonzero(comp[used] != doc[used])
-                head = np.array([len(used), len(moved), len(pick)], np.int64)
+                head = np.array([len(used), len(pick)], np.int64)
                 within = (bs.mixed(key[pick]) >> np.uint64(32)).astype(np.uint32)
                 at_most = np.minimum(pos[pick], 65535).astype(np.uint16)
-                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used[moved]], within, moved.astype(np.uint32), n[used].astype(np.uint32), local.astype(np.uint16), at_most)))
+                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used], within, n[used].astype(np.uint32), local.astype(np.uint16), at_most)))
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(packs, pa.binary())], ["block", "pack"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(packs: list[bytes]) -> pa.RecordBatch:
+        def result(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             base = 0
             for raw in packs:
-                docs, moves, many = np.frombuffer(raw, np.int64, 3)
-                at, got = 24, []
-                for kind, size in ((np.int64, docs), (np.int64, moves), (np.uint32, many), (np.uint32, moves), (np.uint32, docs), (np.uint16, many), (np.uint16, many)):
+                docs, many = np.frombuffer(raw, np.int64, 2)
+                at, got = 16, []
+                for kind, size in ((np.int64, docs), (np.int64, docs), (np.uint32, many), (np.uint32, docs), (np.uint16, many), (np.uint16, many)):
                     got.append(np.frombuffer(raw, kind, size, at))
                     at += size * np.dtype(kind).itemsize
-                comp = got[0].copy()
-                comp[got[3]] = got[1]
-                for c, x in zip(cols, (got[0], comp, got[4].astype(np.int64), got[2], got[5].astype(np.int64) + base, got[6].astype(np.int64)), strict=True):
+                for c, x in zip(cols, (got[0], got[1], got[3].astype(np.int64), got[2], got[4].astype(np.int64) + base, got[5].astype(np.int64)), strict=True):
                     c.append(x)
                 base += docs
             doc, comp, n, key, row, pos = (np.concatenate(c) for c in cols)
@@ -351,6 +423,11 @@ def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np
                     seen, many = [u], [np.bincount(at, np.concatenate(many)).astype(np.int64)]
                 pending = 0
 
+            def out() -> pa.RecordBatch:
+                a, b = seen[0] // len(doc), seen[0] % len(doc)
+                lo, hi = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc[lo], doc[hi], n[lo], n[hi], many[0])], ["a", "b", "na", "nb", "met"])
+
             for x, y in _multiply(key, comp[row], n[row], pos):
                 a, b = row[x], row[y]
                 seen.append(np.minimum(a, b) * len(doc) + np.maximum(a, b))
@@ -358,25 +435,25 @@ def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np
                 pending += len(a)
                 if pending > 1_000_000:
                     fold()
+                    if len(seen[0]) > 1_000_000:  # the counts of one pair are added up again below
+                        yield out()
+                        seen, many = [], []
             fold()
-            pair = seen[0] if seen else np.zeros(0, np.int64)
-            a, b = pair // max(len(doc), 1), pair % max(len(doc), 1)
-            lo, hi = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
-            cols_out = (doc[lo], doc[hi], n[lo], n[hi], many[0] if many else pair)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols_out], ["a", "b", "na", "nb", "met"])
+            if seen:
+                yield out()
 
         now, packs = None, []
         for batch in batches:
             for k, raw in zip(batch.column("block").to_pylist(), batch.column("pack"), strict=True):
                 if now is not None and k != now:
-                    yield result(packs)
+                    yield from result(packs)
                     packs = []
                 now = k
                 packs.append(raw.as_py())
         if packs:
-            yield result(packs)
+            yield from result(packs)
 
-    dealt = rows.select("doc_id", "comp", "n", "prefix").mapInArrow(deal, "block int, pack binary")
+    dealt = rows.select("row", "comp", "n", "prefix").mapInArrow(deal, "block int, pack binary")
     dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block")
     met = dealt.mapInArrow(multiply, "a long, b long, na long, nb long, met long").groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # at most (na + nb) / 9 elements may differ in all, so in the shorter prefix all but those must have met
@@ -385,31 +462,42 @@ def product_pairs(rows: DataFrame, entries: int, columns: np.ndarray, counts: np
     return met.filter(F.col("met") >= bound).select("a", "b")
 
 
+def same_id_edges(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): each doc_id that several different sets carry, with the document that stands for each of these sets."""
+    of = F.struct("n", "f1", "f2")
+    several = stored(known.groupBy("doc_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).filter("lo != hi").select("doc_id"), "ids-of-several-sets")
+    held = known.select("doc_id", "n", "f1", "f2").join(several, "doc_id", "left_semi").distinct()
+    return held.join(sets.select("n", "f1", "f2", F.col("doc_id").alias("b")), ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     text_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    columns, counts = common_columns(docs)
-    rows = stored(rows_of(docs, columns), "shingle-rows")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    texts = stored(texts, "texts")
+    rows = stored(rows_of(texts, common_columns(texts)), "shingle-rows")
     known = rows.filter("n > 0 and doc_id is not null")
-    sets = stored(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("low")).select("n", "f1", "f2", "low.*"), "shingle-sets")
-    sketches = sets.select("doc_id", "n", "sketch")
-    near = stored(verified(plausible(star_pairs(sets), sketches), docs), "near-links")
+    sets = known.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "row", "keys", "sketch")).alias("low"))
+    sets = stored(sets.select("n", "f1", "f2", "low.*"), "shingle-sets")
+    sketches = sets.select("row", "n", "sketch")
+    near = verified(plausible(star_pairs(sets), sketches), texts).unionAll(same_id_edges(known, sets))
+    near = stored(near, "near-links")
     joined = stored(components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "comp"), "near-components")
-    copies = known.select("doc_id").distinct().join(sets.select("doc_id"), "doc_id", "left_anti")
+    copies = known.select("row").join(sets.select("row"), "row", "left_anti")
     # most rows are the only one of their set and in no component yet: they stay where they are
-    some = marked(known.select("doc_id", "n", "prefix"), "doc_id", copies.union(joined.select("doc_id")).distinct())
-    reps = sets.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    entries = some.filter("not _hit").select("doc_id", F.col("doc_id").alias("comp"), "n", "prefix")
-    entries = entries.unionByName(some.filter("_hit").join(reps, "doc_id").select("doc_id", "comp", "n", "prefix"))
+    moved = copies.union(sets.select("row", "doc_id").join(joined, "doc_id", "left_semi").select("row"))
+    some = marked(known.select("row", "doc_id", "n", "prefix"), "row", stored(moved, "moved-rows"))
+    reps = sets.select("row", "doc_id").join(joined, "doc_id", "left").select("row", F.coalesce("comp", "doc_id").alias("comp"))
+    entries = some.filter("not _hit").select("row", F.col("doc_id").alias("comp"), "n", "prefix")
+    entries = stored(entries.unionByName(some.filter("_hit").join(reps, "row").select("row", "comp", "n", "prefix")), "prefixes")
     many = sets.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1), F.lit(0))).collect()[0][0]
-    far = verified(plausible(product_pairs(entries, int(many), columns, counts), sketches), docs)
+    far = verified(plausible(product_pairs(entries, int(many)), sketches), texts)
     whole = components(near.unionAll(far))
     of = sets.select("n", "f1", "f2", "doc_id").join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    of = of.select("n", "f1", "f2", F.coalesce("component", "doc_id").alias("class_id"))
-    out = rows.select("doc_id", "n", "f1", "f2").join(of, ["n", "f1", "f2"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    of = stored(of.select("n", "f1", "f2", F.coalesce("component", "doc_id").alias("component_id")), "set-classes")
+    out = known.select("doc_id", "n", "f1", "f2").join(of, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.filter("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n + y.n)
 linked AS (SELECT a, b FROM met WHERE 100 * k >= 80 * (n - k)),
 edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 {_REACHED.format(id="doc_id")}
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id FROM sets s LEFT JOIN lowest ON id = s.doc_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) > 0 THEN coalesce(component_id, s.doc_id) ELSE s.doc_id END AS component_id FROM sets s LEFT JOIN lowest ON id = s.doc_id
 """
 
 ORACLE = {"op3_topk": OP3_SQL, "op4_chat": OP4_SQL, "op5_neardup": OP5_SQL, "op8_jaccard": OP8_SQL, "op9_mixing": OP9_SQL}

@@ -540,12 +540,15 @@ def test_jaccard_against_brute_force(spark, copies, monkeypatch):
     monkeypatch.setattr(jaccard, "FAN_OUT", 2)
     monkeypatch.setattr(jaccard, "COMMON_ROWS", 2)
     monkeypatch.setattr(jaccard.product_pairs, "__defaults__", (64, 3))  # small blocks, columns of more than three rows split
+    monkeypatch.setattr(jaccard, "COUNT_RANGES", 16)
+    monkeypatch.setattr(jaccard, "WINDOW_BYTES", 40)
+    monkeypatch.setattr(bytescan.windows, "__defaults__", (50,))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(df).collect()}
     assert got == brute_classes(copies)
 
 
 def test_product_alone_finds_every_link(spark, copies, monkeypatch):
-    monkeypatch.setattr(jaccard, "star_pairs", lambda rows: rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).filter("a < b"))
+    monkeypatch.setattr(jaccard, "star_pairs", lambda rows: rows.select(F.col("row").alias("a"), F.col("row").alias("b")).filter("a < b"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs_of(spark, copies)).collect()}
     assert got == brute_classes(copies)
 
@@ -556,6 +559,37 @@ def test_jaccard_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows) == [(0, 2, 0), (1, 2, 1), (1, 2, 1)]
 
 
+def test_jaccard_of_one_id_with_several_texts(spark):
+    """Ids 1 (texts A and B), 2 (near A), 3 (near B), 5 (C and D), 4 (near D): each text's links count, and the id joins them."""
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (5, c), (5, d), (4, d + " more"), (6, c), (7, text()), (7, None), (None, a)]
+    df = docs_of(spark, [(i, t, "en", "s") for i, t in rows] + [(5, d, "en", "s")] * 40)
+    got = sorted({(r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.classes(df).collect()})
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)]
+    assert jaccard.classes(df).count() == len(rows) + 40
+
+
+def test_long_texts_pass_in_windows(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(n)) for n in (0, 3, 4000, 5, 900)] + ["x" * 300 + " y z"]
+    import pyarrow as pa
+
+    b, offs = bytescan.buffer_of(pa.array(texts))
+    want = jaccard.shingle_sets(b, offs)
+    h = bytescan._long_hash(b, bytescan.EXACT)
+    extra = jaccard._minima_and_sums(*want), [jaccard.parity(want[0][i:j]) for i, j in zip(want[1][:-1], want[1][1:], strict=True)]
+    monkeypatch.setattr(jaccard, "WINDOW_BYTES", 100)
+    monkeypatch.setattr(bytescan, "SPAN", 64)
+    monkeypatch.setattr(bytescan.windows, "__defaults__", (64,))
+    got = jaccard.shingle_sets(b, offs)
+    assert all((x == y).all() for x, y in zip(want, got, strict=True))
+    again = jaccard._minima_and_sums(*got), [jaccard.parity(got[0][i:j]) for i, j in zip(got[1][:-1], got[1][1:], strict=True)]
+    assert all((x == y).all() for x, y in zip(extra[0], again[0], strict=True)) and extra[1] == again[1]
+    assert h == bytescan._long_hash(b, bytescan.EXACT)
+
+
 def test_parity_sketch_is_a_lower_bound():
     rng = np.random.default_rng(5)
     for _ in range(200):
