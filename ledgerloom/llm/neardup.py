@@ -14,8 +14,12 @@ show the recall, and tables of random directions are added until it is the wante
 Equal vectors are one row with a count. Buckets of more than ``GROUP`` rows are split into sub-lists whose pairs are
 groups of their own. Tasks return link counts and spanning edges, never all pairs of a group.
 
+Vectors keep their own precision (floats or doubles) and are scaled by their largest component before any norm is taken, so that very
+large and very small ones neither overflow nor vanish.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows of null vec_id, link with nothing
-(component_id: the own vec_id); vectors of different length don't link; rows repeating a vector link with each other.
+(component_id: the own vec_id); vectors of different length don't link; rows repeating a vector link with each other. Extra columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytescan as bs
 from .components import components
 from .frames import share, stored
 from .topk import finite
 
 THRESHOLD = 0.95
-#: Distinct vectors (of each length) that the rotations are learned from, at most (about).
+#: Distinct vectors (of each length) that the rotations are learned from, at most (about), and bits of one rotation's code.
 SAMPLE = 8192
 MAX_BITS = 64
 ROUNDS = 30
@@ -58,13 +63,20 @@ def learn_rotation(x: np.ndarray, bits: int, rng: np.random.Generator, rounds: i
     return w @ r
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class HammingIndex:
     """Rotations and the cut of their codes into table keys, for vectors of one length."""
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float, recall: float = RECALL, seed: int = 7):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = unit_rows(sample)
         bits = min(MAX_BITS, sample.shape[1])
-        self.length = min(bits, 30, max(8, math.ceil(math.log2(max(n, 2)))))
+        self.length = min(bits, 62, max(8, math.ceil(math.log2(max(n, 2)))))
+        self.kind = np.dtype(np.int32 if self.length < 32 else np.int64)
         for part in (1.0, 0.5, 0.25, 0.0):
             self.mean = part * unit.mean(axis=0)
             self.tables = self._tables(np.linalg.norm(unit - self.mean, axis=1), threshold, recall)
@@ -101,53 +113,70 @@ class HammingIndex:
         return many
 
     def _signs(self, x: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
+        unit = unit_rows(x) - self.mean
         return np.concatenate([unit @ r >= 0 for r in rotations], axis=1)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """(rows, tables) of int32."""
+        """(rows, tables) of whole numbers."""
         signs = self._signs(x, self.rotations)[:, : self.tables * self.length].reshape(len(x), -1, self.length)
-        return (signs @ (1 << np.arange(self.length))).astype(np.int32)[:, : self.tables]
+        return (signs @ (1 << np.arange(self.length))).astype(self.kind)[:, : self.tables]
 
 
-def _matrix(column, dim: int, kind=np.float64) -> np.ndarray:
+def _matrix(column, dim: int) -> np.ndarray:
+    """Doubles of an array column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    """A binary column of the rows of x: cheaper to move through Spark than arrays."""
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int64) * (x.shape[1] * x.itemsize)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)]).cast(pa.binary())
+
+
+def _unpacked(column, kind) -> np.ndarray:
+    b, offs = bs.buffer_of(column)
+    return np.frombuffer(b.tobytes(), kind).reshape(len(offs) - 1, -1)
 
 
 def indexes(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, recall: float = RECALL) -> dict[int, HammingIndex]:
-    """vectors: (vec_id, v, dim). An index for each length of vector."""
-    out = {}
-    for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each length
-        rows = vectors.filter((F.col("dim") == r["dim"]) & (share(F.col("vec_id"), 31) < sample / r["n"])).select("vec_id", "v").toArrow()
-        if not rows.num_rows:
-            rows = vectors.filter(F.col("dim") == r["dim"]).select("vec_id", "v").orderBy("vec_id").limit(sample).toArrow()
-        out[r["dim"]] = HammingIndex(_matrix(rows.sort_by("vec_id").column("v"), r["dim"]), r["n"], threshold, recall)
-    return out
+    """vectors: (vec_id, v, dim). An index for each length of vector, learned from one pass over all lengths."""
+    counts = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
+    if not counts:
+        return {}
+    part = F.create_map(*[F.lit(x) for dim, n in counts.items() for x in (dim, sample / n)])
+    rows = vectors.filter(share(F.col("vec_id"), 31) < part[F.col("dim")]).select("vec_id", "v", "dim").toArrow().sort_by([("dim", "ascending"), ("vec_id", "ascending")])
+    dims = rows.column("dim").to_numpy()
+    return {dim: HammingIndex(_matrix(rows.filter(pa.array(dims == dim)).column("v"), dim), n, threshold, recall) for dim, n in counts.items()}
 
 
 def links(vectors: DataFrame, index: dict[int, HammingIndex], threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """vectors: (vec_id, v, dim, copies), distinct. Rows (a, b, copies): where b is null, a links with so many rows more; else an edge."""
+    kind = np.float32 if vectors.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    key_kinds = {dim: x.kind for dim, x in index.items()}
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                keys = index[int(dim)].keys(_matrix(part.column("v"), dim))
-                column = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.ravel())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("vec_id", "v", "dim", "copies")] + [column], ["vec_id", "v", "dim", "copies", "keys"])
-
-    coded = stored(vectors.mapInArrow(index_rows, "vec_id long, v array<float>, dim int, copies long, keys array<int>"), "coded")
-    slim = coded.select("vec_id", "dim", F.posexplode("keys").alias("t", "key"))
+                x = _matrix(part.column("v"), dim)
+                keys = index[int(dim)].keys(x)
+                column = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.astype(np.int64).ravel())
+                cols = [part.column("vec_id"), _packed(x.astype(kind)), part.column("dim"), part.column("copies"), column, _packed(keys)]
+                yield pa.RecordBatch.from_arrays(cols, ["vec_id", "v", "dim", "copies", "keys", "code"])
+
+    coded = stored(vectors.mapInArrow(index_rows, "vec_id long, v binary, dim int, copies long, keys array<long>, code binary"), "coded")
+    slim = coded.select("dim", F.posexplode("keys").alias("t", "key"))
     large = stored(slim.groupBy("dim", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group), "large-buckets")
     large = large.select("dim", "t", "key", F.ceil(F.col("n") / group).cast("int").alias("ways"))
     if large.count() <= BROADCAST_BUCKETS:
         large = F.broadcast(large)
-    rows = coded.select("vec_id", "v", "dim", "copies", "keys", F.posexplode("keys").alias("t", "key")).join(large, ["dim", "t", "key"], "left")
+    rows = coded.select("vec_id", "v", "dim", "copies", "code", F.posexplode("keys").alias("t", "key")).join(large, ["dim", "t", "key"], "left")
     rows = rows.withColumn("own", F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("ways")), F.lit(0)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)))
-    rows = rows.select("dim", "t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "v", "copies", "keys")
+    rows = rows.select("dim", "t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "v", "copies", "code")
     by = ["dim", "t", "key", "lo", "hi"]
     rows = rows.repartition(*by).sortWithinPartitions(*by)
 
@@ -161,14 +190,14 @@ def links(vectors: DataFrame, index: dict[int, HammingIndex], threshold: float =
             heads = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1]) if table.num_rows else np.zeros(1, int)
             rest = table.slice(heads[-1])
             if heads[-1]:
-                yield from _compared(table.slice(0, heads[-1]), heads, threshold)
+                yield from _compared(table.slice(0, heads[-1]), heads, threshold, kind, key_kinds)
         if rest is not None and rest.num_rows:
-            yield from _compared(rest, np.array([0, rest.num_rows]), threshold)
+            yield from _compared(rest, np.array([0, rest.num_rows]), threshold, kind, key_kinds)
 
     return rows.mapInArrow(compare, "a long, b long, copies long")
 
 
-def _compared(table: pa.Table, heads: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+def _compared(table: pa.Table, heads: np.ndarray, threshold: float, kind, key_kinds: dict) -> Iterator[pa.RecordBatch]:
     """Links within each run [heads[k], heads[k + 1]) of rows."""
     size = np.diff(heads)
     keep = np.flatnonzero(size > 1)
@@ -183,10 +212,8 @@ def _compared(table: pa.Table, heads: np.ndarray, threshold: float) -> Iterator[
     for dim in np.unique(dims):  # runs of one length lie together
         a, z = np.searchsorted(dims, dim), np.searchsorted(dims, dim, "right")
         part = table.slice(a, z - a)
-        x = _matrix(part.column("v"), dim)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        keys = part.column("keys").combine_chunks()
-        keys = _matrix(keys, len(keys[0]), np.int32)
+        x = unit_rows(_unpacked(part.column("v"), kind).astype(np.float64))
+        keys = _unpacked(part.column("code"), key_kinds[int(dim)])
         edges = np.searchsorted(bounds, [a, z])
         run = bounds[edges[0] : edges[1] + 1] - a
         p, q = _pairs(x, keys, run, t[a:z], own[a:z], halves[a:z], threshold)
@@ -259,20 +286,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vectors: (vec_id, embedding). (vec_id, n_links, component_id, kept) of every row."""
     v = F.col("embedding")
     good = F.coalesce(finite(v) & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("v"), good.alias("good"))
-    key = [F.when(F.col("good"), F.xxhash64("v", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
-    distinct = rows.filter("good").select("vec_id", "v", *key).groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("low"), F.count(F.lit(1)).alias("copies"))
+    if vectors.schema["embedding"].dataType.elementType.typeName() != "float":
+        v = v.cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), good.alias("good"))
+    linked = rows.filter("good").select("vec_id", "v", *[F.xxhash64("v", F.lit(k)).alias(f"h{k}") for k in (1, 2)])
+    distinct = linked.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("low"), F.count(F.lit(1)).alias("copies"))
     distinct = stored(distinct.select("h1", "h2", "low.vec_id", "low.v", F.size("low.v").alias("dim"), "copies"), "vectors")
     met = stored(links(distinct.select("vec_id", "v", "dim", "copies"), indexes(distinct, threshold), threshold), "links")
     counts = met.filter("b is null").groupBy("a").agg(F.sum("copies").alias("more")).withColumnRenamed("a", "vec_id")
     comps = components(met.filter("b is not null").select("a", "b")).withColumnRenamed("id", "vec_id")
     of = distinct.select("h1", "h2", "vec_id", "copies").join(counts, "vec_id", "left").join(comps, "vec_id", "left")
-    of = of.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "vec_id").alias("lowest"))
-    out = rows.select("vec_id", *key).join(of, ["h1", "h2"], "left")
-    component = F.coalesce("lowest", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
-    )
+    of = stored(of.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), "vector-classes")
+    out = linked.select("vec_id", "h1", "h2").join(of, ["h1", "h2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,8 +262,31 @@ def test_threshold_algorithm_stops_early():
     c[:6] += 9
     s, i = topk.threshold_topk(np.arange(4000), c, np.array([-5]), np.ones((1, 3)), 5)
     assert set(i[0]) == set(np.argsort(-c.sum(axis=1))[:5]) and np.allclose(s[0], np.sort(c.sum(axis=1))[::-1][:5])
-    big = topk._exact(np.array([1, 2]), [[2**60], [2**61]], np.array([9]), [[2**10]], 1)
-    assert big == ([[2**71]], [[2]])
+
+
+@pytest.mark.parametrize("size", [2.0**20, 2.0**30, 1e18, 1e38, 1e200])
+def test_exact_topk_beyond_doubles(size, monkeypatch):
+    monkeypatch.setattr(topk, "FIRST_DEPTH", 3)
+    rng = np.random.default_rng(4)
+    c = np.floor(rng.normal(0, size, (300, 6)))
+    c[5:20] = c[5]
+    c[20, 0] = np.nextafter(c[5, 0], np.inf)
+    c[21] = 1.0
+    q, q_ids = np.concatenate([c[:4], np.floor(rng.normal(0, 3, (2, 6)))]), np.array([0, 1, 2, 3, 900, 901])
+    want = [sorted((-sum(int(x) * int(y) for x, y in zip(v, w, strict=True)), i) for i, w in enumerate(c) if i != qi)[:5] for qi, v in zip(q_ids, q, strict=True)]
+    assert [[(-s, i) for s, i in b] for b in topk.exact_topk(np.arange(300), c, q_ids, q, 5)] == want
+
+
+def test_topk_of_huge_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 8)
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 0.0]), (2, [1e18, 0.5]), (3, [-1e18, 2.0]), (4, [3e-5, 1.0]), (5, [1e300, 0.0]), (6, [1e308, 1.0]), (50, [1.0, 1.0]), (51, [1e16, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    good = df.filter(topk.finite(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.topk(good, F.col("vec_id") % 50 == 0, 9).collect()}
+    long = 2**63 - 1
+    assert [got[0, k] for k in range(1, 7)] == [(5, long), (2, long), (1, long), (51, long), (50, long), (4, 65536)] and got[0, 7] == (3, -long - 1) and (0, 8) not in got
+    assert [got[50, k][0] for k in range(1, 8)] == [5, 0, 2, 1, 51, 4, 3] and got[50, 5][1] == long and got[50, 6][1] == 65536
+    assert topk.topk(spark.createDataFrame([(0, [2**61, 1]), (1, [3, 1]), (2, [3, 2])], "vec_id bigint, v array<bigint>"), F.col("vec_id") == 0).collect()[0]["score"] == 3 * 2**61 + 2
 
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
@@ -292,6 +315,23 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(_vectors(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_any_size(spark):
+    """Doubles keep what floats lose: cosines at the threshold, tiny and huge vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= np.sum(aside * x, axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cos = np.where(np.arange(40) % 2, 0.95 + 1e-12, 0.95 - 1e-12)[:, None]
+    y = cos * x + np.sqrt(1 - cos**2) * aside
+    size = 10.0 ** rng.choice([-300, -60, 0, 60, 300], (40, 1))
+    rows = [(i, [float(a) for a in r]) for i, r in enumerate(np.concatenate([x * size, y / np.abs(size).clip(1e-8, 1e8)]))] + [(500, [0.0] * 8), (501, [-0.0] * 8), (502, [5e-324] + [0.0] * 7)]
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    near = [i for i in range(40) if got[40 + i]["component_id"] == got[i]["component_id"]]
+    assert set(near) <= set(range(1, 40, 2)) and len(near) >= 18 and got[500]["n_links"] == got[501]["n_links"] == 0 and len(got) == 83
+
+
 @pytest.mark.parametrize("shared, dim, n", [(0.0, 64, 20_000), (0.7, 64, 20_000), (0.7, 64, 2_000_000), (0.89, 64, 20_000), (0.999, 64, 20_000), (0.0, 2, 20_000)])
 def test_recall_where_vectors_share_a_direction(shared, dim, n):
     """Pairs at the threshold itself, of vectors whose mean has about the norm ``shared``."""
