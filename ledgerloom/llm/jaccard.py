@@ -18,8 +18,8 @@ matrix with its transpose gives overlaps; it is cut down without loss:
 
 A column that more than ``LIST_ROWS`` prefixes hold, by its count over all of them, is split into salted pairs of sub-lists over several tasks.
 
-Rows of the table are told apart by a number given when the texts are stored, so ids may repeat: a doc_id is one document, and
-links with whatever any of its rows links with.
+Rows are told apart by a number given when their shingle sets are stored, and texts are known again by the sets' fingerprints, so ids
+may repeat: a doc_id is one document, and links with whatever any of its rows links with.
 
 Defined results: null, empty or blank text: 0 shingles, linked with nothing, its own component; fewer than 5 words: one
 shingle of all of them; repeated rows share a class, as do different texts of one doc_id; rows of a null doc_id link with nothing
@@ -44,7 +44,7 @@ LEAST = 80  # per cent
 #: Columns whose place in the order is by count: the most common ones, at most; each at least so many rows of a partition.
 COMMON_COLUMNS = 1 << 17
 COMMON_ROWS = 3
-BLOCK_ENTRIES = 1 << 18
+BLOCK_ENTRIES = 1 << 20
 LIST_ROWS = 8192
 #: Hash ranges over which columns are counted first, and how many columns are split at most.
 COUNT_RANGES = 1 << 16
@@ -177,38 +177,43 @@ def parity_difference(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-_ROW = "row long, doc_id long, n long, f1 long, f2 long, keys array<long>, prefix binary, sketch binary"
+_ROW = "doc_id long, n long, f1 long, f2 long, keys array<long>, prefix binary, sketch binary"
 
 
-def _minima_and_sums(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set: four min-hash keys, (sets, 4), and two sums over all elements that tell sets apart, (2, sets)."""
-    n = len(at) - 1
-    low, sums = np.full((8, n), np.uint64(2**64 - 1)), np.zeros((2, n), np.uint64)
+def fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(2, sets): two sums over all elements that tell sets apart."""
+    sums = np.zeros((2, len(at) - 1), np.uint64)
     for a, z in bs.windows(len(h)):
-        part = h[a:z]
         owner = np.searchsorted(at, np.arange(a, z), "right") - 1
-        mixed = bs.mixed(part * np.uint64(2) + np.uint64(1))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        for f, k in zip(sums, (11, 13), strict=True):
+            f[owner[first]] += np.add.reduceat(bs.mixed(h[a:z] + np.uint64(k)), first)
+    return sums.view(np.int64)
+
+
+def min_hash_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(sets, 4)"""
+    low = np.full((8, len(at) - 1), np.uint64(2**64 - 1))
+    for a, z in bs.windows(len(h)):
+        owner = np.searchsorted(at, np.arange(a, z), "right") - 1
+        mixed = bs.mixed(h[a:z] * np.uint64(2) + np.uint64(1))
         for c in range(8):
             pick = np.flatnonzero(mixed & np.uint64(7) == c)
             if len(pick):
                 first = np.flatnonzero(np.diff(owner[pick], prepend=-1))
                 of = owner[pick][first]
                 low[c, of] = np.minimum(low[c, of], np.minimum.reduceat(mixed[pick], first))
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        for f, k in zip(sums, (11, 13), strict=True):
-            f[owner[first]] += np.add.reduceat(bs.mixed(part + np.uint64(k)), first)
-    keys = np.stack([bs.mixed(low[2 * c] + low[2 * c + 1] * np.uint64(3) + np.uint64(c)).view(np.int64) for c in range(4)], axis=1)
-    return keys, sums.view(np.int64)
+    return np.stack([bs.mixed(low[2 * c] + low[2 * c + 1] * np.uint64(3) + np.uint64(c)).view(np.int64) for c in range(4)], axis=1)
 
 
-def rows_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """texts: (row, doc_id, text). (row, doc_id, n, f1, f2, keys, prefix, sketch): set size, fingerprint, four min-hash keys, first columns in the global order, parities."""
-    spread = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common).astype(np.int64)))  # at most COMMON_COLUMNS
+def rows_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(doc_id, n, f1, f2, keys, prefix, sketch): set size, fingerprint, four min-hash keys, first columns in the global order, parities."""
+    spread = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common).astype(np.int64)))  # at most COMMON_COLUMNS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, rank = spread.value
         for batch in batches:
-            row, ids = batch.column("row"), batch.column("doc_id")
+            ids = batch.column("doc_id")
             for i, j, h, at in _sets(batch):
                 n = np.diff(at)
                 hot, ranks = np.zeros(len(h), bool), [np.zeros(0, np.int64)]
@@ -228,35 +233,49 @@ def rows_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
                         rare = np.concatenate([rare, common[r]])
                     prefix.append(rare.tobytes())
                     sketch.append(parity(part))
-                keys, f = _minima_and_sums(h, at)
-                cols = [row.slice(i, j - i), ids.slice(i, j - i), pa.array(n), pa.array(f[0]), pa.array(f[1])]
+                keys, f = min_hash_keys(h, at), fingerprints(h, at)
+                cols = [ids.slice(i, j - i), pa.array(n), pa.array(f[0]), pa.array(f[1])]
                 cols += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "f1", "f2", "keys", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "keys", "prefix", "sketch"])
 
-    return texts.select("row", "doc_id", "text").mapInArrow(build, _ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _ROW)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs: (a, b) of rows; texts: (row, doc_id, text). The (a, b) of doc_ids whose rows' texts link, counted over whole sets.
+def one_text_each(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """(doc_id, text) of rows with an id, equal rows of the doc_ids in ``again`` once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    if again.isEmpty():
+        return docs
+    near = marked(docs, "doc_id", again)
+    twice = near.filter("_hit").withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1))).dropDuplicates(["doc_id", "h1", "h2"])
+    return near.filter("not _hit").select("doc_id", "text").unionByName(twice.select("doc_id", "text"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs: (a, b) of rows; sets: (row, doc_id, f1, f2), stored; texts: (doc_id, text). The (a, b) of doc_ids whose rows' texts link, counted over whole sets.
 
     Texts of the rows met are dealt to the pairs' first rows, a row with many partners in several parts, and cut into shingles there.
-    Both sides of each join are stored tables, so that adaptive execution can split a row with very many partners.
+    What is joined on a row is a stored table or dealt anew, so that adaptive execution can split a row with very many partners.
     """
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct(), "pair-rows")
     fan = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("fan")), "pair-fans")
     right = pairs.join(fan, "a").select(F.col("b").alias("row"), "a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), F.lit(False).alias("own"))
     left = fan.select(F.col("a").alias("row"), "a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(True).alias("own"))
-    rows = marked(texts, "row", ids).filter("_hit").select("row", "doc_id", "text").join(right.unionAll(left), "row")
+    sides = stored(right.unionAll(left).join(sets.select("row", "doc_id", "f1", "f2"), "row").drop("row"), "pair-sides")
+    ids = stored(sides.select("doc_id").distinct(), "pair-ids")
+    rows = marked(texts, "doc_id", ids).filter("_hit").select("doc_id", "text").join(sides, "doc_id")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, its = np.zeros(0, np.uint64), None
         for batch in batches:
-            ids, own = batch.column("doc_id").to_pylist(), batch.column("own").to_pylist()
+            ids, own, f1, f2 = (batch.column(c).to_pylist() for c in ("doc_id", "own", "f1", "f2"))
             found: tuple[list, list] = ([], [])
             for i, j, h, at in _sets(batch):
+                f = fingerprints(h, at).tolist()
                 for k in range(i, j):
+                    if (f[0][k - i], f[1][k - i]) != (f1[k], f2[k]):  # another text of this id
+                        continue
                     other = h[at[k - i] : at[k - i + 1]]
                     if own[k]:
                         mine, its = other.copy(), ids[k]
@@ -296,6 +315,16 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return pairs.filter((F.col("a") != F.col("b")) & (LEAST * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).select("a", "b").distinct()
 
 
+def slots(spark: SparkSession, n: int) -> np.ndarray:
+    """For each partition of a repartitioning by one int column into n, a number that goes there: 4 bytes for each BLOCK_ENTRIES entries."""
+    tried, found = 4 * n, []
+    while len(found) < n:
+        tried *= 2
+        at = spark.range(tried).select(F.col("id").cast("int").alias("id"))
+        found = at.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
+    return np.array([r["id"] for r in found], np.int32)
+
+
 def split_columns(rows: DataFrame, entries: int, list_rows: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The columns that more than ``list_rows`` prefixes hold, by their counts over all rows, ascending; and into how many lists each is split.
 
@@ -356,14 +385,15 @@ def _multiply(key, comp, n, pos) -> Iterator[tuple[np.ndarray, ...]]:
                 yield x[p], y[q]
 
 
-def product_pairs(rows: DataFrame, entries: int, block_entries: int = BLOCK_ENTRIES, list_rows: int = LIST_ROWS) -> DataFrame:
-    """rows: (row, comp, n, prefix). (a, b) of rows in different components that the first columns don't rule out.
+def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries: int = BLOCK_ENTRIES, list_rows: int = LIST_ROWS) -> DataFrame:
+    """rows: (row, comp, n, prefix), comp the number of some row. (a, b) of rows in different components that the first columns don't rule out.
 
-    entries: how many columns all prefixes hold; columns in more than ``list_rows`` of them are split.
+    held: a stored table with all prefixes; entries: how many columns they hold; columns in more than ``list_rows`` of them are split.
     Within a block columns are told apart by 32 bits more: a chance meeting only makes a pair to be checked.
     """
     blocks = max(16, -(-entries // block_entries))
-    split_keys, split_into = split_columns(rows, entries, list_rows)
+    split_keys, split_into = split_columns(held, entries, list_rows)
+    slot = slots(rows.sparkSession, blocks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,23 +422,26 @@ def product_pairs(rows: DataFrame, entries: int, block_entries: int = BLOCK_ENTR
             for k in which:
                 pick = order[at[k] : at[k + 1]]
                 used, local = np.unique(row[pick], return_inverse=True)
-                head = np.array([len(used), len(pick)], np.int64)
+                moved = np.flatnonzero(comp[used] != doc[used])
+                head = np.array([len(used), len(moved), len(pick)], np.int64)
                 within = (bs.mixed(key[pick]) >> np.uint64(32)).astype(np.uint32)
                 at_most = np.minimum(pos[pick], 65535).astype(np.uint16)
-                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used], within, n[used].astype(np.uint32), local.astype(np.uint16), at_most)))
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(packs, pa.binary())], ["block", "pack"])
+                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used[moved]], within, moved.astype(np.uint32), n[used].astype(np.uint32), local.astype(np.uint16), at_most)))
+            yield pa.RecordBatch.from_arrays([pa.array(slot[which]), pa.array(packs, pa.binary())], ["block", "pack"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             base = 0
             for raw in packs:
-                docs, many = np.frombuffer(raw, np.int64, 2)
-                at, got = 16, []
-                for kind, size in ((np.int64, docs), (np.int64, docs), (np.uint32, many), (np.uint32, docs), (np.uint16, many), (np.uint16, many)):
+                docs, moves, many = np.frombuffer(raw, np.int64, 3)
+                at, got = 24, []
+                for kind, size in ((np.int64, docs), (np.int64, moves), (np.uint32, many), (np.uint32, moves), (np.uint32, docs), (np.uint16, many), (np.uint16, many)):
                     got.append(np.frombuffer(raw, kind, size, at))
                     at += size * np.dtype(kind).itemsize
-                for c, x in zip(cols, (got[0], got[1], got[3].astype(np.int64), got[2], got[4].astype(np.int64) + base, got[5].astype(np.int64)), strict=True):
+                comp = got[0].copy()
+                comp[got[3]] = got[1]
+                for c, x in zip(cols, (got[0], comp, got[4].astype(np.int64), got[2], got[5].astype(np.int64) + base, got[6].astype(np.int64)), strict=True):
                     c.append(x)
                 base += docs
             doc, comp, n, key, row, pos = (np.concatenate(c) for c in cols)
@@ -462,10 +495,8 @@ def product_pairs(rows: DataFrame, entries: int, block_entries: int = BLOCK_ENTR
     return met.filter(F.col("met") >= bound).select("a", "b")
 
 
-def same_id_edges(known: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): each doc_id that several different sets carry, with the document that stands for each of these sets."""
-    of = F.struct("n", "f1", "f2")
-    several = stored(known.groupBy("doc_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).filter("lo != hi").select("doc_id"), "ids-of-several-sets")
+def same_id_edges(known: DataFrame, several: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): each doc_id in ``several``, with the documents that stand for its different sets."""
     held = known.select("doc_id", "n", "f1", "f2").join(several, "doc_id", "left_semi").distinct()
     return held.join(sets.select("n", "f1", "f2", F.col("doc_id").alias("b")), ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b")
 
@@ -473,25 +504,30 @@ def same_id_edges(known: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     text_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
-    texts = stored(texts, "texts")
-    rows = stored(rows_of(texts, common_columns(texts)), "shingle-rows")
+    docs = docs.select("doc_id", "text")
+    rows = stored(rows_of(docs, common_columns(docs)).withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
     known = rows.filter("n > 0 and doc_id is not null")
     sets = known.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "row", "keys", "sketch")).alias("low"))
     sets = stored(sets.select("n", "f1", "f2", "low.*"), "shingle-sets")
     sketches = sets.select("row", "n", "sketch")
-    near = verified(plausible(star_pairs(sets), sketches), texts).unionAll(same_id_edges(known, sets))
-    near = stored(near, "near-links")
-    joined = stored(components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "comp"), "near-components")
+    of = F.struct("n", "f1", "f2")
+    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), (F.min(of) != F.max(of)).alias("differ")).filter("k > 1")
+    again = stored(again.select("doc_id", "differ"), "repeated-ids")
+    texts = one_text_each(docs, again.select("doc_id"))
+    near = verified(plausible(star_pairs(sets), sketches), sets, texts)
+    near = stored(near.unionAll(same_id_edges(known, again.filter("differ").select("doc_id"), sets)), "near-links")
+    joined = components(near).withColumnRenamed("id", "doc_id")
+    joined = stored(sets.select("row", "doc_id").join(joined, "doc_id"), "near-components")
+    joined = joined.join(joined.groupBy("component").agg(F.min("row").alias("comp")), "component").select("row", "comp")
     copies = known.select("row").join(sets.select("row"), "row", "left_anti")
     # most rows are the only one of their set and in no component yet: they stay where they are
-    moved = copies.union(sets.select("row", "doc_id").join(joined, "doc_id", "left_semi").select("row"))
-    some = marked(known.select("row", "doc_id", "n", "prefix"), "row", stored(moved, "moved-rows"))
-    reps = sets.select("row", "doc_id").join(joined, "doc_id", "left").select("row", F.coalesce("comp", "doc_id").alias("comp"))
-    entries = some.filter("not _hit").select("row", F.col("doc_id").alias("comp"), "n", "prefix")
-    entries = stored(entries.unionByName(some.filter("_hit").join(reps, "row").select("row", "comp", "n", "prefix")), "prefixes")
-    many = sets.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1), F.lit(0))).collect()[0][0]
-    far = verified(plausible(product_pairs(entries, int(many)), sketches), texts)
+    moved = stored(copies.withColumn("comp", F.lit(None).cast("long")).union(joined), "moved-rows")
+    some = marked(known.select("row", "n", "prefix"), "row", moved.select("row"))
+    there = some.filter("_hit").join(moved, "row", "left_anti").select("row", F.col("row").alias("comp"), "n", "prefix")
+    there = there.unionByName(some.filter("_hit").join(moved.filter("comp is not null"), "row").select("row", "comp", "n", "prefix"))
+    entries = some.filter("not _hit").select("row", F.col("row").alias("comp"), "n", "prefix").unionByName(there)
+    many = known.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).collect()[0][0]
+    far = verified(plausible(product_pairs(entries, known, int(many)), sketches), sets, texts)
     whole = components(near.unionAll(far))
     of = sets.select("n", "f1", "f2", "doc_id").join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     of = stored(of.select("n", "f1", "f2", F.coalesce("component", "doc_id").alias("component_id")), "set-classes")

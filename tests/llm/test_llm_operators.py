@@ -619,13 +619,13 @@ def test_long_texts_pass_in_windows(monkeypatch):
     b, offs = bytescan.buffer_of(pa.array(texts))
     want = jaccard.shingle_sets(b, offs)
     h = bytescan._long_hash(b, bytescan.EXACT)
-    extra = jaccard._minima_and_sums(*want), [jaccard.parity(want[0][i:j]) for i, j in zip(want[1][:-1], want[1][1:], strict=True)]
+    extra = (jaccard.fingerprints(*want), jaccard.min_hash_keys(*want)), [jaccard.parity(want[0][i:j]) for i, j in zip(want[1][:-1], want[1][1:], strict=True)]
     monkeypatch.setattr(jaccard, "WINDOW_BYTES", 100)
     monkeypatch.setattr(bytescan, "SPAN", 64)
     monkeypatch.setattr(bytescan.windows, "__defaults__", (64,))
     got = jaccard.shingle_sets(b, offs)
     assert all((x == y).all() for x, y in zip(want, got, strict=True))
-    again = jaccard._minima_and_sums(*got), [jaccard.parity(got[0][i:j]) for i, j in zip(got[1][:-1], got[1][1:], strict=True)]
+    again = (jaccard.fingerprints(*got), jaccard.min_hash_keys(*got)), [jaccard.parity(got[0][i:j]) for i, j in zip(got[1][:-1], got[1][1:], strict=True)]
     assert all((x == y).all() for x, y in zip(extra[0], again[0], strict=True)) and extra[1] == again[1]
     assert h == bytescan._long_hash(b, bytescan.EXACT)
 
