@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,12 @@ _tables: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a temporary folder is taken instead.
+    Where it is unset, a temporary folder is taken if driver and tasks are one process (a local master); a cluster must set it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found and app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="ledgerloom-")
     return (found or _own_dirs[app]).rstrip("/")
@@ -100,6 +103,11 @@ def sampled_docs(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(sample), "doc_id")
 
 
+def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df``, marked for broadcasting if it has ``rows`` rows at most; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_bits: int = 1 << 28) -> DataFrame:
     """Adds ``_hit``: false only where ``key`` is surely not among ``ids`` (one column of that name, distinct, not null).
 
