@@ -5,11 +5,13 @@ its sentences. Only documents carry labels; the gradient of the noisy-or likelih
 sentences that explain it, so the trained sentence scores locate the offending sentences.
 
 Defined results: a null or empty text has no sentence and scores 0; repeated rows score alike; null ids are
-scored and not held out; without labelled rows of both classes every text scores 0. Extra columns are left alone.
+scored and not held out; without labelled rows of both classes every text scores 0. A very long text passes in windows between words: a
+worker needs about 40 bytes for each of its sentences. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .frames import held_out, labelled_sample, learnable, sampled_docs, stored, text_batches
+from .frames import held_out, labelled_sample, learnable, sampled_docs, share, stored, text_batches
 
 #: Labelled documents of each class that the model learns from, at most (about).
 PER_CLASS = 3000
@@ -28,6 +30,10 @@ MIN_DOCS = 3
 MIN_Z = 4.0
 #: Lengths in bytes of the word beginnings that count as features beside whole words.
 STEMS = (4, 5, 6, 7, 8)
+#: Numbers that the learner on the driver holds for all sentences of its documents, at most (about); with more, fewer documents are drawn.
+MOST_NUMBERS = 20_000_000
+#: Bytes of one text that are looked at together.
+WINDOW_BYTES = 2 << 20
 EPOCHS = 120
 THRESHOLD = 0.3
 
@@ -61,17 +67,48 @@ def features(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows(b: np.ndarray, offs: np.ndarray, most: int = 0) -> Iterator[tuple]:
+    """Words, their sentences and the sentences' texts, starts and ends as ``sentence_words`` gives them, window by window.
+
+    A window holds several texts, or a part of a long one; a sentence that goes on in the next window is numbered on there:
+    (bytes, words' starts, ends and sentences, number of the window's first sentence, texts, starts, ends).
+    """
+    many, last = 0, (-1, -1)
+    for i, j in bs.blocks(offs, most or WINDOW_BYTES):
+        cuts = bs.cut_before(b[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ~bs.ALNUM, most or WINDOW_BYTES) + offs[i]
+        spans = [(offs[i], offs[j])] if len(cuts) == j - i + 1 else list(zip(cuts[:-1], cuts[1:], strict=True))
+        passed = 0
+        for a, z in spans:
+            inner = offs[i : j + 1] - a if len(spans) == 1 else np.array([0, z - a])
+            s, e, sentence, owner, start, end = sentence_words(b[a:z], inner)
+            if len(start):
+                here = (i + int(owner[0]), passed + int(_ENDS[b[a : a + start[0]]].sum()))
+                many -= here == last
+                yield b[a:z], s, e, sentence, many, owner + i, start + a, end + a
+                many += len(start)
+                last = (i + int(owner[-1]), passed + int(_ENDS[b[a : a + start[-1]]].sum()))
+            passed += int(_ENDS[b[a:z]].sum())
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     weight: np.ndarray  # of each bucket, float32
     bias: float
 
-    def sentences(self, b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    def sentences(self, b: np.ndarray, offs: np.ndarray, most: int = 0) -> tuple[np.ndarray, ...]:
         """log(1 - p) of each sentence, with its text number, start and end."""
-        s, e, sentence, owner, start, end = sentence_words(b, offs)
-        at = np.append(np.flatnonzero(np.diff(sentence, prepend=-1)), len(s))
-        logit = bs.run_sums(self.weight[features(b, s, e)].sum(axis=0), at) + self.bias if len(s) else np.zeros(0)
-        return -np.logaddexp(0, logit), owner, start, end
+        number, logit, owner, start, end = ([np.zeros(0, np.int64)] for _ in range(5))
+        for part, s, e, sentence, first, of, a, z in windows(b, offs, most):
+            at = np.append(np.flatnonzero(np.diff(sentence, prepend=-1)), len(s))
+            logit.append(bs.run_sums(self.weight[features(part, s, e)].sum(axis=0), at))
+            for c, x in ((number, first + np.arange(len(a))), (owner, of), (start, a), (end, z)):
+                c.append(x)
+        number, logit, owner, start, end = (np.concatenate(c) for c in (number, logit, owner, start, end))
+        head = np.flatnonzero(np.diff(number, prepend=-1))
+        if len(head) < len(number):  # sentences that went on in a next window
+            tail = np.append(head[1:], len(number)) - 1
+            logit, owner, start, end = np.add.reduceat(logit, head), owner[head], start[head], end[tail]
+        return -np.logaddexp(0, logit + self.bias), owner, start, end
 
     def probability(self, b: np.ndarray, offs: np.ndarray) -> np.ndarray:
         clean, owner, _, _ = self.sentences(b, offs)
@@ -109,15 +146,32 @@ def _presence(batches):
     for batch in batches:
         b, offs = bs.buffer_of(batch.column("text"))
         y = batch.column("y").to_numpy(zero_copy_only=False)
-        s, e, *_ = sentence_words(b, offs)
-        doc = bs.owners(offs, s)
-        seen = np.unique((features(b, s, e).astype(np.int64) << 32 | doc).ravel())
-        total[0] += np.bincount(seen >> 32, minlength=BUCKETS + 1)
-        total[1] += np.bincount((seen >> 32)[y[seen & 0xFFFFFFFF] > 0], minlength=BUCKETS + 1)
+        for i, j in bs.blocks(offs):
+            seen = [np.zeros(0, np.int64)]
+            for part, s, e, sentence, _, owner, _, _ in windows(b[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+                doc = owner[sentence] + i
+                seen.append(np.unique((features(part, s, e).astype(np.int64) << 32 | doc).ravel()))
+            seen = np.unique(np.concatenate(seen))
+            total[0] += np.bincount(seen >> 32, minlength=BUCKETS + 1)
+            total[1] += np.bincount((seen >> 32)[y[seen & 0xFFFFFFFF] > 0], minlength=BUCKETS + 1)
     at = np.flatnonzero(total[0][:BUCKETS])
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["feature", "docs", "toxic"])
 
 
+def bag(b: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """What is learned from one text, as 32-bit numbers: how many sentences it has, then the chosen features met, then the sentence of each."""
+    many, of, which = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part, s, e, sentence, first, owner, _, _ in windows(b, np.array([0, len(b)])):
+        f = features(part, s, e)
+        k, word = np.nonzero(chosen[f])
+        of.append(f[k, word])
+        which.append(sentence[word] + first)
+        many = first + len(owner)
+    of, which = np.concatenate(of), np.concatenate(which)
+    order = np.argsort(which, kind="stable")
+    return np.concatenate([[many], of[order], which[order]]).astype(np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **training) -> ToxicityModel:
     """Learn from about ``per_class`` labelled documents of each class, held-out ids excluded.
 
@@ -131,74 +185,76 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **traini
     if len(n) < 2:
         return ToxicityModel(np.zeros(BUCKETS + 1, np.float32), -1e6)
     found = rows.mapInArrow(_presence, "feature long, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("d"), F.sum("toxic").alias("t"))
-    share = F.col("d") / (n[0] + n[1])
-    spread = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
+    held_by = F.col("d") / (n[0] + n[1])
+    spread = F.sqrt(held_by * (1 - held_by) * (1 / n[0] + 1 / n[1]))
     apart = F.abs(F.col("t") / n[1] - (F.col("d") - F.col("t")) / n[0])
     kept = found.filter((F.col("d") >= MIN_DOCS) & (apart >= MIN_Z * spread)).select("feature").collect()  # BUCKETS rows at most
     chosen = np.zeros(BUCKETS + 1, bool)
     chosen[[r["feature"] for r in kept]] = True
 
     def bags(texts: pa.Array) -> pa.Array:
-        """The number of sentences, then the chosen features, then the sentence of each."""
         b, offs = bs.buffer_of(texts)
-        s, e, sentence, owner, _, _ = sentence_words(b, offs)
-        at = bs.slices(owner, len(offs) - 1)
-        f = features(b, s, e)
-        k, word = np.nonzero(chosen[f])
-        order = np.argsort(word, kind="stable")
-        f, of = f[k[order], word[order]], sentence[word[order]]
-        cut = np.searchsorted(of, at)
-        rows = [np.concatenate([[at[i + 1] - at[i]], f[cut[i] : cut[i + 1]], of[cut[i] : cut[i + 1]] - at[i]]) for i in range(len(offs) - 1)]
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        return pa.ListArray.from_arrays(bounds, np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int32))
-
-    got = rows.select("y", F.arrow_udf(bags, "array<int>")("text").alias("bag")).toArrow().to_pydict()
-    order = sorted(range(len(got["y"])), key=lambda i: (got["y"][i], got["bag"][i]))
-    ids, sentences, sizes, base = [], [], [], 0
-    for i in order:
-        bag = np.array(got["bag"][i], np.int64)
-        half = 1 + (len(bag) - 1) // 2
-        ids.append(bag[1:half])
-        sentences.append(bag[half:] + base)
-        sizes.append(int(bag[0]))
-        base += int(bag[0])
-    y = np.array([got["y"][i] for i in order], float)
+        return pa.array([bag(b[i:j], chosen).tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
+
+    held = stored(rows.select("y", F.arrow_udf(bags, "binary")("text").alias("bag")), "toxicity-bags")
+    size = held.agg(F.coalesce(F.sum(F.length("bag") / 4), F.lit(0))).collect()[0][0]
+    if size > MOST_NUMBERS:
+        held = held.filter(share(F.col("bag"), 13) < MOST_NUMBERS / size)
+    got = held.toArrow()
+    got = sorted(zip(got.column("y").to_pylist(), (x.as_py() for x in got.column("bag")), strict=True))
+    ids, sentences, sizes, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
+    for _, raw in got:
+        x = np.frombuffer(raw, np.int32)
+        half = 1 + (len(x) - 1) // 2
+        ids.append(x[1:half])
+        sentences.append(x[half:].astype(np.int64) + base)
+        sizes.append(int(x[0]))
+        base += int(x[0])
+    y = np.array([y for y, _ in got], float)
     return train(np.concatenate(ids), np.concatenate(sentences), np.repeat(np.arange(len(y)), sizes), y, prior, **training)
 
 
+_SPANS = "array<struct<start:bigint,end:bigint,p:double>>"
+
+
+def examined(text: Column, model: ToxicityModel, threshold: float = THRESHOLD) -> Column:
+    """struct<score, sentences>: the probability that a whole text is toxic, and its offending sentences, as ``located`` gives them."""
+
+    @F.arrow_udf(f"struct<score:double,sentences:{_SPANS}>")
+    def toxicity(texts: pa.Array) -> pa.Array:
+        b, offs = bs.buffer_of(texts)
+        clean, owner, start, end = model.sentences(b, offs)
+        score = np.clip(-np.expm1(bs.run_sums(clean, bs.slices(owner, len(offs) - 1))), 0, 1)
+        p = -np.expm1(clean)
+        bad = np.flatnonzero(p >= threshold)
+        base = offs[owner[bad]]
+        spans = pa.StructArray.from_arrays([pa.array(start[bad] - base), pa.array(end[bad] - base), pa.array(p[bad])], names=["start", "end", "p"])
+        spans = pa.ListArray.from_arrays(bs.slices(owner[bad], len(offs) - 1).astype(np.int32), spans)
+        return pa.StructArray.from_arrays([pa.array(score), spans], names=["score", "sentences"])
+
+    return toxicity(text)
+
+
 def scored(text: Column, model: ToxicityModel) -> Column:
     """Probability that a whole text is toxic."""
 
     @F.arrow_udf("double")
     def toxicity_score(texts: pa.Array) -> pa.Array:
-        b, offs = bs.buffer_of(texts)
-        parts = [model.probability(b[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in bs.blocks(offs)]
-        return pa.array(np.clip(np.concatenate([*parts, np.zeros(0)]), 0, 1))
+        return pa.array(np.clip(model.probability(*bs.buffer_of(texts)), 0, 1))
 
     return toxicity_score(text)
 
 
 def located(text: Column, model: ToxicityModel, threshold: float = THRESHOLD) -> Column:
     """The offending sentences of a text: start and end byte in its UTF-8 form, and probability."""
-
-    @F.arrow_udf("array<struct<start:bigint,end:bigint,p:double>>")
-    def toxic_sentences(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
-            clean, _, start, end = model.sentences(raw, np.array([0, len(raw)]))
-            p = -np.expm1(clean)
-            out.append([{"start": int(start[k]), "end": int(end[k]), "p": float(p[k])} for k in np.flatnonzero(p >= threshold)])
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))
-
-    return toxic_sentences(text)
+    return examined(text, model, threshold)["sentences"]
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted, sentences) of every document: its offending sentences, with start and end byte and probability."""
     model = fit(docs, labels, **fitting)
-    out = docs.select("doc_id", scored(F.col("text"), model).alias("score"))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = docs.select("doc_id", examined(F.col("text"), model, threshold).alias("x")).select("doc_id", "x.score", "x.sentences")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:
