@@ -3,12 +3,13 @@
 The features are D cosines that approximate a Gaussian kernel over the standardised statistics of a text.
 Each partition of the training rows sums its part of Z'Z and Z'y; the sums (fixed in size, one set for each of at
 most ``FIT_PARTITIONS`` partitions) are added and solved once. Learnable rows of fold 3 don't enter the fit: a
-monotone step function from ridge score to probability is fitted on them by pooling adjacent violators, each row
-weighted by the labels it stands for, so that the threshold means the same share of label 1 whatever was drawn.
+monotone function from ridge score to probability, linear between pooled runs, is fitted on them by pooling adjacent violators, each
+row weighted by the labels it stands for, so that the threshold means the same share of label 1 whatever was drawn.
 
 Defined results: a null or empty text has all-zero statistics and is scored like any other; repeated rows get
 equal scores; null ids are scored and not held out; labels other than 0 or 1 are ignored; without labelled
-rows of both classes every score is the share of label 1 (0.5 without any). Extra columns are left alone.
+rows of both classes every score is the share of label 1 (0.5 without any). A very long text is counted in windows; a worker needs
+about 40 bytes for each of its distinct words and word pairs. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ RIDGE = 1e-2
 FIT_PARTITIONS = 16
 THRESHOLD = 0.7
 N_STATS = 24
+#: Standard deviations from the mean within which the kernel tells statistics apart; those further out count as that far.
+REACH = 8
+#: Bytes of one text that are counted at a time.
+WINDOW_BYTES = 2 << 20
 
 _UPPER, _DIGIT, _PUNCT, _OTHER = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -41,62 +46,111 @@ _LINE = np.ones(256, bool)
 _LINE[10] = _LINE[13] = False
 
 
-def statistics(b: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """N_STATS numbers for each text of a buffer."""
+_CLASSES = (_UPPER, _DIGIT, _PUNCT, _OTHER, bs.SPACE, np.arange(256) >= 128, *(np.arange(256) == ord(c) for c in "!|."))
+#: Places among the counts of ``_word_counts``.
+_WORDS, _LENGTH, _SQUARES, _LONG, _SHORT, _AGAIN, _ALNUM, _ODD_END, _CAPITAL, _COUNTS = range(9, 19)
+
+
+def _word_counts(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of each text that may be added up over its parts; all words' hashes, and their texts."""
     n = len(offs) - 1
-    out = np.zeros((n, N_STATS))
-    size = np.diff(offs).astype(float)
-    per_byte = np.maximum(size, 1)
-    for k, of in enumerate((_UPPER, _DIGIT, _PUNCT, _OTHER, bs.SPACE)):
-        out[:, k] = np.diff(np.searchsorted(np.flatnonzero(of[b]), offs)) / per_byte
-    out[:, 5] = np.diff(np.searchsorted(np.flatnonzero(b >= 128), offs)) / per_byte
-    out[:, 6] = np.log1p(size)
-    for mark, k in ((ord("!"), 7), (ord("|"), 8), (ord("."), 9)):
-        out[:, k] = np.diff(np.searchsorted(np.flatnonzero(b == mark), offs)) / per_byte
+    out = np.zeros((n, _COUNTS))
+    for k, of in enumerate(_CLASSES):
+        out[:, k] = np.diff(np.searchsorted(np.flatnonzero(of[b]), offs))
     s, e = bs.word_spans(b, offs, ~bs.SPACE)
     owner = bs.owners(offs, s)
     at = bs.slices(owner, n)
-    words = np.diff(at).astype(float)
-    per_word = np.maximum(words, 1)
     length = (e - s).astype(float)
-    out[:, 10] = np.log1p(words)
-    out[:, 11] = bs.run_sums(length, at) / per_word
-    out[:, 12] = np.sqrt(np.maximum(bs.run_sums(length**2, at) / per_word - out[:, 11] ** 2, 0))
-    out[:, 13] = bs.run_sums(length > 20, at) / per_word
-    out[:, 14] = bs.run_sums(length <= 3, at) / per_word
     h = bs.span_hashes(b, s, e, bs.FOLDED)
-    if len(h):
-        same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-        out[:, 15] = np.bincount(owner[1:][same], minlength=n) / per_word
-        pair = bs.mixed(h[:-1] + h[1:] * np.uint64(3))
-        for k, values, of in ((16, h, owner), (17, pair[owner[1:] == owner[:-1]], owner[1:][owner[1:] == owner[:-1]])):
-            order = np.lexsort((values, of))
-            v, o = values[order], of[order]
-            new = np.ones(len(v), bool)
-            new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-            out[:, k] = np.bincount(o[new], minlength=n) / np.maximum(np.bincount(of, minlength=n), 1)
+    out[:, _WORDS] = np.diff(at)
+    for k, x in ((_LENGTH, length), (_SQUARES, length**2), (_LONG, length > 20), (_SHORT, length <= 3)):
+        out[:, k] = bs.run_sums(x, at)
+    if len(s):
         first, last = b[s], b[e - 1]
-        out[:, 18] = np.bincount(owner[bs.ALNUM[first]], minlength=n) / per_word
-        out[:, 19] = np.bincount(owner[_OTHER[last]], minlength=n) / per_word
-        out[:, 20] = np.bincount(owner[_UPPER[first] & _UPPER[last]], minlength=n) / per_word
+        out[:, _AGAIN] = np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=n)
+        for k, of in ((_ALNUM, bs.ALNUM[first]), (_ODD_END, _OTHER[last]), (_CAPITAL, _UPPER[first] & _UPPER[last])):
+            out[:, k] = np.bincount(owner[of], minlength=n)
+    return out, h, owner
+
+
+def _pairs(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words, and their texts."""
+    same = owner[1:] == owner[:-1]
+    return bs.mixed(h[:-1] + h[1:] * np.uint64(3))[same], owner[1:][same]
+
+
+def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many different values each text has."""
+    order = np.lexsort((values, owner))
+    v, o = values[order], owner[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[new], minlength=n).astype(float)
+
+
+def _lines(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lines that are not empty, and their texts."""
     s, e = bs.word_spans(b, offs, _LINE)
-    line_owner = bs.owners(offs, s)
-    lines = np.bincount(line_owner, minlength=n).astype(float)
+    return bs.span_hashes(b, s, e), bs.owners(offs, s)
+
+
+def _shares(size, counts, words, pairs, lines, different_lines) -> np.ndarray:
+    """N_STATS numbers of each text from its counts, its different words and word pairs, its lines and different lines."""
+    out = np.zeros((len(size), N_STATS))
+    per_byte, per_word = np.maximum(size, 1)[:, None], np.maximum(counts[:, _WORDS], 1)
+    out[:, :6] = counts[:, :6] / per_byte
+    out[:, 6] = np.log1p(size)
+    out[:, 7:10] = counts[:, 6:9] / per_byte
+    out[:, 10] = np.log1p(counts[:, _WORDS])
+    out[:, 11] = counts[:, _LENGTH] / per_word
+    out[:, 12] = np.sqrt(np.maximum(counts[:, _SQUARES] / per_word - out[:, 11] ** 2, 0))
+    for k, of in ((13, _LONG), (14, _SHORT), (15, _AGAIN), (18, _ALNUM), (19, _ODD_END), (20, _CAPITAL)):
+        out[:, k] = counts[:, of] / per_word
+    out[:, 16] = words / per_word
+    out[:, 17] = pairs / np.maximum(counts[:, _WORDS] - 1, 1)
     out[:, 21] = np.log1p(lines)
     out[:, 22] = np.log1p(size / np.maximum(lines, 1))
-    if len(s):
-        h = bs.span_hashes(b, s, e)
-        order = np.lexsort((h, line_owner))
-        v, o = h[order], line_owner[order]
-        again = np.zeros(len(v), bool)
-        again[1:] = (v[1:] == v[:-1]) & (o[1:] == o[:-1])
-        out[:, 23] = np.bincount(o[again], minlength=n) / np.maximum(lines, 1)
+    out[:, 23] = (lines - different_lines) / np.maximum(lines, 1)
     return out
 
 
-def _of_column(texts: pa.Array) -> np.ndarray:
+def statistics(b: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """N_STATS numbers for each text of a buffer."""
+    n = len(offs) - 1
+    counts, h, owner = _word_counts(b, offs)
+    lines, line_owner = _lines(b, offs)
+    many = np.bincount(line_owner, minlength=n).astype(float)
+    return _shares(np.diff(offs).astype(float), counts, _distinct(h, owner, n), _distinct(*_pairs(h, owner), n), many, _distinct(lines, line_owner, n))
+
+
+def long_statistics(b: np.ndarray, window: int) -> np.ndarray:
+    """The same of one text, which passes in windows between words and between lines."""
+    cuts = lambda marks: bs.cut_before(b, np.array([0, len(b)]), marks, window)
+    counts, words, pairs, before = np.zeros((1, _COUNTS)), [], [], np.zeros(0, np.uint64)
+    at = cuts(bs.SPACE)
+    for a, z in zip(at[:-1], at[1:], strict=True):
+        some, h, _ = _word_counts(b[a:z], np.array([0, z - a]))
+        counts += some
+        if len(h):
+            counts[0, _AGAIN] += len(before) > 0 and before[0] == h[0]
+            words.append(np.unique(h))
+            pairs.append(np.unique(_pairs(np.concatenate([before, h]), np.zeros(len(before) + len(h), np.int64))[0]))
+            before = h[-1:]
+    at, many, lines = cuts(~_LINE), 0, []
+    for a, z in zip(at[:-1], at[1:], strict=True):
+        h, _ = _lines(b[a:z], np.array([0, z - a]))
+        many += len(h)
+        lines.append(np.unique(h))
+    different = [len(np.unique(np.concatenate([*x, np.zeros(0, np.uint64)]))) for x in (words, pairs, lines)]
+    return _shares(np.array([float(len(b))]), counts, different[0], different[1], np.array([float(many)]), different[2])
+
+
+def _of_column(texts: pa.Array, window: int = WINDOW_BYTES) -> np.ndarray:
     b, offs = bs.buffer_of(texts)
-    parts = [statistics(b[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in bs.blocks(offs)]
+    parts = []
+    for i, j in bs.blocks(offs, window):
+        part = b[offs[i] : offs[j]]
+        parts.append(long_statistics(part, window) if len(part) > window else statistics(part, offs[i : j + 1] - offs[i]))
     return np.concatenate(parts) if parts else np.zeros((0, N_STATS))
 
 
@@ -116,7 +170,7 @@ class QualityModel:
     levels: np.ndarray  # probability from that score on
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        z = np.clip((x - self.mean) / self.scale, -REACH, REACH)
         z = np.sqrt(2 / len(self.phase)) * np.cos(z @ self.w + self.phase)
         return np.concatenate([z, np.ones((len(z), 1))], axis=1)
 
