@@ -7,12 +7,14 @@ Template, for each turn: ``<|turn|>role<|sep|>text<|end|>``. The three marks are
 crosses a text's edge. Control strings (``<|``, ``</s>``, ``<s>``, ``[INST]``, ``[/INST]``) inside roles and texts get one
 ``~`` after their first character (those that already have some get one more), which ``unescape`` takes out again.
 
-Rows are dealt by conv_id and sorted by turn, and pass through a task as a stream. A conversation of more than
-``CHUNK_CHARS`` is rendered in several chunks that end between turns; the ids are those of one encoding, as
-the marks divide it anyway. Hence a task holds a batch and a chunk, not a conversation.
+Rows are dealt by conv_id and sorted by turn, and pass through a task as a stream: a task holds some conversations of about
+``BATCH_CHARS`` together, or one longer conversation (about 150 bytes for each of its tokens). Where a conversation may be too long for
+that, ``chunk_chars`` renders it in several rows that end between turns; ids, spans within a row and masks are those of one
+encoding, as the marks divide it anyway, and what ``digests`` reads back is the same.
 
 Defined results: null role or text: empty; ties of turn are ordered by role, then text, and repeated rows are turns of
-their own; rows of null conv_id are one conversation; null turns come first. Extra columns are left alone.
+their own; rows of null conv_id are one conversation; null turns come first; very long turns are rendered whole. Extra columns are
+left alone.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,8 @@ from .frames import text_batches
 TOKENIZER = "byte_bpe_50k.json"
 TURN, SEP, END = "<|turn|>", "<|sep|>", "<|end|>"
 LOSS_ROLE = "assistant"
-CHUNK_CHARS = 1 << 20
+#: Characters of conversations that are encoded together.
+BATCH_CHARS = 1 << 19
 
 _CONTROL = re.compile(r"([<\[])(~*)(\||/s>|s>|INST\]|/INST\])")
 _ESCAPED = re.compile(r"([<\[])~(~*)(\||/s>|s>|INST\]|/INST\])")
@@ -80,7 +84,7 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.nda
 
 def token_spans(encoding, chars: int) -> tuple[np.ndarray, np.ndarray]:
     """Spans that tile the text: each token from the end of those before it, for white space that offsets leave out."""
-    off = np.array(encoding.offsets, np.int64).reshape(-1, 2)
+    off = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(encoding)).reshape(-1, 2)
     ends = np.maximum.accumulate(off[:, 1]) if len(off) else off[:, 1]
     starts = np.minimum(off[:, 0], np.concatenate([[0], ends[:-1]])) if len(off) else off[:, 0]
     return starts, ends
@@ -89,10 +93,10 @@ def token_spans(encoding, chars: int) -> tuple[np.ndarray, np.ndarray]:
 _SCHEMA = "conv_id long, chunk int, text string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 
 
-def formatted(conversations: DataFrame, tokenizer_path: str, loss_role: str = LOSS_ROLE) -> DataFrame:
+def formatted(conversations: DataFrame, tokenizer_path: str, loss_role: str = LOSS_ROLE, chunk_chars: int | None = None) -> DataFrame:
     """(conv_id, chunk, text, ids, starts, ends, loss): rendered text, token ids, their spans in code points, loss mask.
 
-    Chunks of a conversation follow each other in one partition.
+    One row (chunk 0) for each conversation; with ``chunk_chars``, rows of about so many characters follow each other in one partition.
     """
     text_batches(conversations.sparkSession)
     rows = conversations.select(
@@ -113,15 +117,16 @@ def formatted(conversations: DataFrame, tokenizer_path: str, loss_role: str = LO
             names = ["conv_id", "chunk", "text", "ids", "starts", "ends", "loss"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+        most = chunk_chars or float("inf")
         chunks, size, now = [], 0, None
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]
             for conv, role, text in zip(*cols, strict=True):
-                if now is None or now[0] != conv or now[3] > CHUNK_CHARS:
+                if now is None or now[0] != conv or now[3] > most:
                     if now is not None:
                         chunks.append((now[0], now[1], now[2]))
                         size += now[3]
-                        if size > CHUNK_CHARS:
+                        if size > BATCH_CHARS:
                             yield out(chunks)
                             chunks, size = [], 0
                     now = [conv, now[1] + 1 if now is not None and now[0] == conv else 0, [], 0]

@@ -121,24 +121,79 @@ def test_backpropagation_gives_the_gradient():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in langid._init(3, 4, 1).items()}
     x, y = rng.integers(97, 110, (7, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
-    mask = rng.random((7, 5)) < 0.8
-    _, g = langid.gradients(p, x, mask, y)
-    for k in p:
+    for k, lead in [(k, lead) for k in p for lead in (0, 2)]:
+        mask = rng.random((7 - 2 * lead, 5)) < 0.8
+        _, g = langid.gradients(p, x, mask, y, lead)
         for _ in range(4):
             at = tuple(rng.integers(0, n) for n in p[k].shape)
             if k[0] == "x":
                 at = (at[0], int(x[rng.integers(0, 7), rng.integers(0, 5)]))
             old = p[k][at]
             p[k][at] = old + 1e-3
-            up = langid.gradients(p, x, mask, y)[0]
+            up = langid.gradients(p, x, mask, y, lead)[0]
             p[k][at] = old - 1e-3
-            down = langid.gradients(p, x, mask, y)[0]
+            down = langid.gradients(p, x, mask, y, lead)[0]
             p[k][at] = old
             assert abs((up - down) / 2e-3 - g[k][at]) < 2e-4 + 0.02 * abs(g[k][at])
 
 
+def _language_model(texts, langs, **training):
+    import pyarrow as pa
+
+    b, offs = bytescan.buffer_of(pa.array(texts))
+    start, stop, owner = langid.segments(b, offs)
+    x, mask = langid.windows(b, offs, start, stop, owner)
+    names = sorted(set(langs))
+    return langid.train(x, mask, np.searchsorted(names, langs)[owner], names, **training)
+
+
+def _plain_network(model, text):
+    """Probabilities of one text, byte by byte in plain Python: each segment with LEAD bytes around it, mean over letters."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    raw = text.lower().encode()
+    is_letter = [c.isalpha() for c in text.lower() for _ in c.encode()]
+    inside = [False] + [raw[k] & 0xC0 == 0x80 for k in range(1, len(raw))]
+    cuts = list(range(0, len(raw), langid.SEGMENT)) + [len(raw)]
+    for n in range(1, len(cuts) - 1):
+        while inside[cuts[n]]:
+            cuts[n] -= 1
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    byte = lambda k: raw[k] if 0 <= k < len(raw) else 0
+    total, many = np.zeros(len(model.languages)), 0
+    for a, z in zip(cuts, cuts[1:]):
+        states = {}
+        for d, order in (("f", range(a - langid.LEAD, a + langid.BODY)), ("b", range(a + langid.BODY + langid.LEAD - 1, a - 1, -1))):
+            h = np.zeros(langid.HIDDEN)
+            for k in order:
+                gx, gu = p["x" + d][:, byte(k)], p["u" + d] @ h
+                zg, r = sigmoid(gx[:8] + gu[:8]), sigmoid(gx[8:16] + gu[8:16])
+                h = (1 - zg) * h + zg * np.tanh(gx[16:] + r * gu[16:])
+                states[d, k] = h
+        for k in range(a, z):
+            if is_letter[k]:
+                e = np.exp(p["of"] @ states["f", k] + p["ob"] @ states["b", k] + p["c"][:, 0])
+                total, many = total + e / e.sum(), many + 1
+    return total / max(many, 1)
+
+
+def test_network_against_brute_force():
+    import pyarrow as pa
+
+    model = _language_model([" ".join(WORDS["en"])] * 8 + [" ".join(WORDS["fr"])] * 8, ["en"] * 8 + ["fr"] * 8, steps=40)
+    texts = ["the", "", "été où " * 40 + "the and", "😀、 123 là", "x" * 130 + "é" * 70, "…" * 90 + "ça"]
+    b, offs = bytescan.buffer_of(pa.array([t.lower() for t in texts]))
+    prob = langid.probabilities(model, b, offs)
+    assert all(np.allclose(prob[k], _plain_network(model, t), atol=1e-4) for k, t in enumerate(texts))
+
+
+def test_letters_of_bytes():
+    text = "aZ9 é×ÿ… 漢、ひ😀𝒜ʼñ\u0301ª"
+    b = np.frombuffer(text.encode(), np.uint8)
+    assert langid.letters(b).tolist() == [c.isalpha() for c in text for _ in c.encode()]
+
+
 def test_every_byte_of_a_long_text_counts(spark):
-    model = langid.train([" ".join(WORDS["en"])] * 8 + [" ".join(WORDS["de"])] * 8, ["en"] * 8 + ["de"] * 8, steps=60)
+    model = _language_model([" ".join(WORDS["en"])] * 8 + [" ".join(WORDS["de"])] * 8, ["en"] * 8 + ["de"] * 8, steps=60)
     import pyarrow as pa
 
     long = " ".join(WORDS["en"]) * 300 + " " + " ".join(WORDS["de"]) * 900
@@ -197,6 +252,97 @@ def test_quality(spark, prose):
     assert quality.good(df, _labels(spark, labels)).columns == df.columns
 
 
+def test_statistics_of_long_texts():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["", "one", "A a A a  b", "\n\nline one\nline one\r\nline 2 $$ 99\n" * 9, " ".join(rng.choice(WORDS["fr"]) + rng.choice(["", "!", "\n", " |"]) for _ in range(500)), "x" * 400 + " y"]
+    want = quality._of_column(pa.array(texts))
+    for window in (7, 30, 200):
+        assert np.allclose(quality._of_column(pa.array(texts), window), want)
+
+
+def _plain_statistics(text):
+    """The statistics from their meaning, in plain Python."""
+    raw = text.encode()
+    share = lambda f: sum(map(f, raw)) / max(len(raw), 1)
+    alnum = lambda c: chr(c).isalnum() if c < 128 else True
+    odd = lambda c: 32 < c < 127 and not alnum(c) and chr(c) not in ".,;:!?'\"()-"
+    space = lambda c: c in (32, 9, 10, 11, 12, 13)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [w.lower() for w in words]
+    lines = re.findall(rb"[^\n\r]+", raw)
+    n, m, k = max(len(words), 1), max(len(low) - 1, 1), max(len(lines), 1)
+    size = [len(w) for w in words]
+    mean = sum(size) / n
+    upper = lambda c: 65 <= c <= 90
+    return [
+        share(upper), share(lambda c: 48 <= c <= 57), share(lambda c: c < 128 and chr(c) in ".,;:!?'\"()-"), share(odd), share(space), share(lambda c: c >= 128), np.log1p(len(raw)),
+        share(lambda c: c == ord("!")), share(lambda c: c == ord("|")), share(lambda c: c == ord(".")), np.log1p(len(words)), mean, max(sum(x * x for x in size) / n - mean**2, 0) ** 0.5,
+        sum(x > 20 for x in size) / n, sum(x <= 3 for x in size) / n, sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n, len(set(zip(low, low[1:]))) / m,
+        sum(alnum(w[0]) for w in words) / n, sum(odd(w[-1]) for w in words) / n, sum(upper(w[0]) and upper(w[-1]) for w in words) / n, np.log1p(len(lines)), np.log1p(len(raw) / k), (len(lines) - len(set(lines))) / k,
+    ]
+
+
+def test_quality_against_a_plain_scorer(spark, prose):
+    rows = [(i, t if i % 3 else t.upper().replace(" ", "$ #|"), lang, s) for i, t, lang, s in prose] + [(900, None, "en", "a"), (901, "A b\nA b\r\n\tÉ 9 9", "en", "a")]
+    df, labels = docs_of(spark, rows), _labels(spark, [(i, int(i % 3 > 0), 0) for i, *_ in prose])
+    model = quality.fit(df, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, labels).collect()}
+    for i, text, *_ in rows:
+        z = [min(max((x - m) / s, -quality.REACH), quality.REACH) for x, m, s in zip(_plain_statistics(text or ""), model.mean, model.scale, strict=True)]
+        wave = [np.sqrt(2 / len(model.phase)) * np.cos(np.dot(z, w) + p) for w, p in zip(model.w.T, model.phase, strict=True)] + [1.0]
+        assert abs(got[i] - np.interp(np.dot(wave, model.beta), model.knots, model.levels)) < 1e-6, i
+
+
+def _plain_toxicity(model, text, sentences=False):
+    """Sentence by sentence in plain Python: weights of words and their beginnings, joined by noisy-or."""
+    import pyarrow as pa
+
+    clean, spots, at = 1.0, [], 0
+    for part in re.split(rb"([.!?\n\r])", text.encode()):
+        words = [m for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", part)]
+        logit = model.bias
+        for m in words:
+            b, offs = bytescan.buffer_of(pa.array([m[0].decode("latin-1").encode("latin-1")], pa.binary()))
+            logit += float(model.weight[toxicity.features(b, np.array([0]), np.array([len(b)]))].sum())
+        if words:
+            p = 1 / (1 + np.exp(-logit))
+            clean *= 1 - p
+            if p >= toxicity.THRESHOLD:
+                spots.append((at + words[0].start(), at + words[-1].end()))
+        at += len(part)
+    return 1 - clean, spots
+
+
+def test_toxicity_against_a_plain_scorer(spark, prose):
+    rng = random.Random(2)
+    rows = [(i, t.replace(". ", f" {rng.choice(['scumbag', 'filthy', 'filth'])}! ", 2) if i % 4 == 0 else t, lang, s) for i, t, lang, s in prose]
+    rows += [(900, "..!\n", "en", "a"), (901, "Filth. " * 40 + "The end? filthy\r\nand of", "en", "a"), (902, None, "en", "a")]
+    df, labels = docs_of(spark, rows), _labels(spark, [(i, 1, int(i % 4 == 0)) for i, *_ in prose])
+    model = toxicity.fit(df, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(df, labels).collect()}
+    for i, text, *_ in rows:
+        p, spots = _plain_toxicity(model, text or "")
+        assert abs(got[i]["score"] - p) < 1e-5 and [(x["start"], x["end"]) for x in got[i]["sentences"]] == spots, i
+    import pyarrow as pa
+
+    b, offs = bytescan.buffer_of(pa.array([t for _, t, *_ in rows]))
+    want = model.sentences(b, offs)
+    chosen = model.weight != 0
+    bags = [toxicity.bag(b[i:j], chosen).tolist() for i, j in zip(offs[:-1], offs[1:], strict=True)]
+    for most in (9, 50, 400):
+        part = model.sentences(b, offs, most)
+        assert all(np.allclose(x, y) for x, y in zip(want, part, strict=True)), most
+    old, toxicity.WINDOW_BYTES = toxicity.WINDOW_BYTES, 20
+    try:
+        assert bags == [toxicity.bag(b[i:j], chosen).tolist() for i, j in zip(offs[:-1], offs[1:], strict=True)]
+    finally:
+        toxicity.WINDOW_BYTES = old
+    one = _labels(spark, [(i, 1, 1) for i, *_ in prose])
+    assert toxicity.score(df, one).agg(F.max("score")).collect()[0][0] == 0
+
+
 def test_isotonic_is_monotone():
     knots, levels = quality.isotonic(np.array([0.1, 0.2, 0.2, 0.4, 0.9]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) >= 0).all()
@@ -362,7 +508,7 @@ def test_escaping_is_reversible(text):
 def test_chat_reads_back(spark, monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(chat, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(chat, "BATCH_CHARS", 900)
     rng = random.Random(5)
     rows, talks = [], collections.defaultdict(list)
     for conv in range(30):
@@ -377,7 +523,9 @@ def test_chat_reads_back(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("ids", F.lit(1))
     path = public_tokenizers.path(chat.TOKENIZER)
     got = {r["conv_id"]: r for r in chat.digests(chat.formatted(df, path)).collect()}
-    assert set(got) == set(talks)
+    assert set(got) == set(talks) and chat.formatted(df, path).count() == len(talks)
+    parts = chat.formatted(df, path, chunk_chars=300)
+    assert parts.count() > len(talks) and {r["conv_id"]: r for r in chat.digests(parts).collect()} == got
     for conv, turns in talks.items():
         loss = "".join(t for r, t in turns if r == "assistant")
         assert got[conv]["n_turns"] == len(turns) and got[conv]["loss_chars"] == len(loss)
