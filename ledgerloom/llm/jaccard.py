@@ -11,8 +11,8 @@ matrix with its transpose gives overlaps; it is cut down without loss:
   n - ceil(0.8 n) + 1 of each, so only these columns enter. Columns common in the corpus come last; the counts that
   say which affect only the order, never the result.
 * columns are cut into blocks by hash. A block's task multiplies its part: for each column, all pairs of rows whose sizes
-  allow a link and whose remaining columns could still reach the least overlap that the sizes ask for. Counts are summed over
-  blocks to make each pair one row; they decide nothing, as in prefixes this short every pair that met reaches the size-derived bound.
+  allow a link and whose remaining columns could still reach the least overlap that the sizes ask for. Very similar rows, which would
+  meet in most blocks, meet once, where their first columns are the same. Met pairs are summed over blocks to make each one row.
 * a sketch of parities bounds from below in how many elements two sets differ, and rules out most pairs left over.
 * what then is left is counted exactly over the whole sets, rebuilt from the texts of just these rows.
 
@@ -41,8 +41,13 @@ from .frames import drop_ids, marked, stored, text_batches
 
 N = 5
 LEAST = 80  # per cent
-#: Columns whose place in the order is by count: the most common ones, at most; each at least so many rows of a partition.
+#: Columns whose place in the order is by count: the most common ones, at most, of so many documents at least.
 COMMON_COLUMNS = 1 << 17
+COMMON_DOCS = 4
+#: The part of all columns, from the smallest hash on, that is counted over all documents, and bytes of text for each block of the count;
+#: others count if they are in so many rows of a partition.
+COUNTED = 0.375
+COUNT_BYTES = 24 << 20
 COMMON_ROWS = 3
 BLOCK_ENTRIES = 1 << 20
 LIST_ROWS = 8192
@@ -116,11 +121,41 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield i, j, *shingle_sets(b[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
 
 
+def slots(spark: SparkSession, n: int) -> np.ndarray:
+    """For each partition of a repartitioning by one int column into n, a number that goes there: 4 bytes for each block of many entries."""
+    tried, found = 4 * n, []
+    while len(found) < n:
+        tried *= 2
+        at = spark.range(tried).select(F.col("id").cast("int").alias("id"))
+        found = at.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
+    return np.array([r["id"] for r in found], np.int32)
+
+
 def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> np.ndarray:
-    """The hashes of the most common shingles, rarest first, by their counts in partitions where they are common."""
+    """The hashes of the most common shingles, rarest first.
+
+    Prefixes are filled with the smallest hashes, so hashes in the first ``COUNTED`` of their range are counted one by one over all
+    documents, in blocks; of the others those that are common within a partition.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    blocks = max(16, -(-size // COUNT_BYTES))
+    slot = slots(docs.sparkSession, blocks)
+    cut = np.uint64(int(COUNTED * 2**64))
+
+    def packed(u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        block = (u % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        at = np.searchsorted(block[order], np.arange(blocks + 1))
+        which, packs = np.flatnonzero(np.diff(at)), []
+        for k in which:
+            pick = order[at[k] : at[k + 1]]
+            again = np.flatnonzero(n[pick] > 1)
+            head = np.array([len(pick), len(again)], np.int64)
+            packs.append(b"".join(x.tobytes() for x in (head, u[pick], n[pick][again].astype(np.int64), again.astype(np.uint32))))
+        return pa.RecordBatch.from_arrays([pa.array(slot[which]), pa.array(packs, pa.binary())], ["block", "pack"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, kept, counts, waiting, size = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        docs, kept, counts, waiting, size, low, low_size = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, [], 0
 
         def merge():
             nonlocal kept, counts, waiting, size
@@ -136,16 +171,47 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> np.ndarray:
         for batch in batches:
             docs += batch.num_rows
             for _, _, h, _ in _sets(batch):
-                waiting.append(h)
-                size += len(h)
+                first = h < cut
+                low.append(h[first])
+                low_size += len(low[-1])
+                waiting.append(h[~first])
+                size += len(waiting[-1])
                 if size > 500_000:
                     merge()
+                if low_size > 2_000_000:
+                    yield packed(*np.unique(np.concatenate(low), return_counts=True))
+                    low, low_size = [], 0
         merge()
         often = counts >= max(COMMON_ROWS, docs // 4000)
-        yield pa.RecordBatch.from_arrays([pa.array(kept[often].view(np.int64)), pa.array(counts[often])], ["h", "n"])
+        u, n = np.unique(np.concatenate([*low, np.zeros(0, np.uint64)]), return_counts=True)
+        yield packed(np.concatenate([u, kept[often]]), np.concatenate([n, counts[often]]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(packs: list[bytes]) -> pa.RecordBatch:
+            keys, many = [], []
+            for raw in packs:
+                n, m = np.frombuffer(raw, np.int64, 2)
+                keys.append(np.frombuffer(raw, np.uint64, n, 16))
+                many.append(np.ones(n, np.int64))
+                many[-1][np.frombuffer(raw, np.uint32, m, 16 + 8 * n + 8 * m)] = np.frombuffer(raw, np.int64, m, 16 + 8 * n)
+            u, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, np.concatenate(many), len(u)).astype(np.int64)
+            often = n >= COMMON_DOCS
+            return pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(most).toArrow()
+        now, packs = None, []
+        for batch in batches:
+            for k, raw in zip(batch.column("block").to_pylist(), batch.column("pack"), strict=True):
+                if now is not None and k != now:
+                    yield result(packs)
+                    packs = []
+                now = k
+                packs.append(raw.as_py())
+        if packs:
+            yield result(packs)
+
+    dealt = docs.select("text").mapInArrow(count, "block int, pack binary").repartition(blocks, "block").sortWithinPartitions("block")
+    top = dealt.mapInArrow(add, "h long, n long").orderBy(F.desc("n"), "h").limit(most).toArrow()
     return top.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
@@ -315,16 +381,6 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return pairs.filter((F.col("a") != F.col("b")) & (LEAST * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).select("a", "b").distinct()
 
 
-def slots(spark: SparkSession, n: int) -> np.ndarray:
-    """For each partition of a repartitioning by one int column into n, a number that goes there: 4 bytes for each BLOCK_ENTRIES entries."""
-    tried, found = 4 * n, []
-    while len(found) < n:
-        tried *= 2
-        at = spark.range(tried).select(F.col("id").cast("int").alias("id"))
-        found = at.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
-    return np.array([r["id"] for r in found], np.int32)
-
-
 def split_columns(rows: DataFrame, entries: int, list_rows: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The columns that more than ``list_rows`` prefixes hold, by their counts over all rows, ascending; and into how many lists each is split.
 
@@ -361,8 +417,11 @@ def split_columns(rows: DataFrame, entries: int, list_rows: int = LIST_ROWS) ->
     return keys[order], -(-counts[order] // list_rows)
 
 
-def _multiply(key, comp, n, pos) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of entries that one column after the other brings together, where the bounds allow a link."""
+def _multiply(key, comp, n, pos, mark, anchors) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of entries that one column after the other brings together, where the bounds allow a link.
+
+    A pair whose first columns of one half of the hashes (``anchors``; ``mark`` tells the entries) are the same is met there, and only there.
+    """
     order = np.lexsort((n, key))
     key = key[order]
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -378,7 +437,10 @@ def _multiply(key, comp, n, pos) -> Iterator[tuple[np.ndarray, ...]]:
             x, y = rows[i : i + width], rows[i : stop[min(i + width, len(rows)) - 1]]
             least = -(-LEAST * (n[x][:, None] + n[y][None, :]) // (100 + LEAST))
             rest = np.minimum((n[x] - pos[x])[:, None], (n[y] - pos[y])[None, :])
-            ok = (rest >= least) & (comp[x][:, None] != comp[y][None, :]) & (np.arange(len(x))[:, None] < np.arange(len(y))[None, :])
+            ok = rest >= least
+            for k, anchor in enumerate(anchors, 1):
+                ok = np.where(anchor[x][:, None] == anchor[y][None, :], (mark[x] == k)[:, None] & (mark[y] == k)[None, :], ok)
+            ok &= (comp[x][:, None] != comp[y][None, :]) & (np.arange(len(x))[:, None] < np.arange(len(y))[None, :])
             ok &= 100 * n[x][:, None] >= LEAST * n[y][None, :]
             p, q = np.nonzero(ok)
             if len(p):
@@ -403,6 +465,13 @@ def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries:
             key = np.concatenate([*parts, np.zeros(0, np.uint64)])
             row = np.repeat(np.arange(len(doc)), size)
             pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+            anchors, mark = np.empty((2, len(doc)), np.uint64), np.zeros(len(key), np.uint16)
+            for k in range(2):
+                half = np.flatnonzero(key >> np.uint64(40) & np.uint64(1) == k)
+                of, first = np.unique(row[half], return_index=True)
+                anchors[k] = bs.mixed(doc.astype(np.uint64) * np.uint64(2) + np.uint64(k))  # nobody else's
+                anchors[k][of] = key[half[first]]
+                mark[half[first]] = k + 1
             if len(split_keys) and len(key):
                 at = np.minimum(np.searchsorted(split_keys, key), len(split_keys) - 1)
                 hit = np.flatnonzero(split_keys[at] == key)
@@ -413,7 +482,7 @@ def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries:
                 lo, hi = np.minimum(mine, other), np.maximum(mine, other)
                 dealt = bs.mixed(key[again] + bs.mixed((lo << 32 | hi).astype(np.uint64)))
                 rest = np.setdiff1d(np.arange(len(key)), hit, assume_unique=True)
-                key, row, pos = (np.concatenate([x[rest], y]) for x, y in ((key, dealt), (row, row[again]), (pos, pos[again])))
+                key, row, pos, mark = (np.concatenate([x[rest], y]) for x, y in ((key, dealt), (row, row[again]), (pos, pos[again]), (mark, mark[again])))
             block = (key % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             at = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -425,54 +494,43 @@ def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries:
                 moved = np.flatnonzero(comp[used] != doc[used])
                 head = np.array([len(used), len(moved), len(pick)], np.int64)
                 within = (bs.mixed(key[pick]) >> np.uint64(32)).astype(np.uint32)
-                at_most = np.minimum(pos[pick], 65535).astype(np.uint16)
-                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used[moved]], within, moved.astype(np.uint32), n[used].astype(np.uint32), local.astype(np.uint16), at_most)))
+                at_most = np.minimum(pos[pick], 16383).astype(np.uint16) | mark[pick] << np.uint16(14)
+                packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used[moved]], within, moved.astype(np.uint32), n[used].astype(np.uint32), local.astype(np.uint16), at_most, anchors[0][used], anchors[1][used])))
             yield pa.RecordBatch.from_arrays([pa.array(slot[which]), pa.array(packs, pa.binary())], ["block", "pack"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             base = 0
             for raw in packs:
                 docs, moves, many = np.frombuffer(raw, np.int64, 3)
                 at, got = 24, []
-                for kind, size in ((np.int64, docs), (np.int64, moves), (np.uint32, many), (np.uint32, moves), (np.uint32, docs), (np.uint16, many), (np.uint16, many)):
+                for kind, size in ((np.int64, docs), (np.int64, moves), (np.uint32, many), (np.uint32, moves), (np.uint32, docs), (np.uint16, many), (np.uint16, many), (np.uint64, docs), (np.uint64, docs)):
                     got.append(np.frombuffer(raw, kind, size, at))
                     at += size * np.dtype(kind).itemsize
                 comp = got[0].copy()
                 comp[got[3]] = got[1]
-                for c, x in zip(cols, (got[0], comp, got[4].astype(np.int64), got[2], got[5].astype(np.int64) + base, got[6].astype(np.int64)), strict=True):
+                for c, x in zip(cols, (got[0], comp, got[4].astype(np.int64), got[2], got[5].astype(np.int64) + base, got[6], got[7], got[8]), strict=True):
                     c.append(x)
                 base += docs
-            doc, comp, n, key, row, pos = (np.concatenate(c) for c in cols)
-            seen: list[np.ndarray] = []
-            many: list[np.ndarray] = []
-            pending = 0
-
-            def fold():
-                nonlocal seen, many, pending
-                if len(seen) > 1:
-                    u, at = np.unique(np.concatenate(seen), return_inverse=True)
-                    seen, many = [u], [np.bincount(at, np.concatenate(many)).astype(np.int64)]
-                pending = 0
+            doc, comp, n, key, row, pos, *anchors = (np.concatenate(c) for c in cols)
+            mark, pos = pos >> np.uint16(14), (pos & np.uint16(16383)).astype(np.int64)
+            seen, pending = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
 
             def out() -> pa.RecordBatch:
-                a, b = seen[0] // len(doc), seen[0] % len(doc)
-                lo, hi = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc[lo], doc[hi], n[lo], n[hi], many[0])], ["a", "b", "na", "nb", "met"])
+                a, b = doc[seen // len(doc)], doc[seen % len(doc)]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-            for x, y in _multiply(key, comp[row], n[row], pos):
+            for x, y in _multiply(key, comp[row], n[row], pos, mark, [a[row] for a in anchors]):
                 a, b = row[x], row[y]
-                seen.append(np.minimum(a, b) * len(doc) + np.maximum(a, b))
-                many.append(np.ones(len(a), np.int64))
-                pending += len(a)
-                if pending > 1_000_000:
-                    fold()
-                    if len(seen[0]) > 1_000_000:  # the counts of one pair are added up again below
+                pending.append(np.minimum(a, b) * len(doc) + np.maximum(a, b))
+                if sum(map(len, pending)) > 1_000_000:
+                    seen, pending = np.unique(np.concatenate([seen, *pending])), [np.zeros(0, np.int64)]
+                    if len(seen) > 1_000_000:
                         yield out()
-                        seen, many = [], []
-            fold()
-            if seen:
+                        seen = np.zeros(0, np.int64)
+            seen = np.unique(np.concatenate([seen, *pending]))
+            if len(seen):
                 yield out()
 
         now, packs = None, []
@@ -488,11 +546,7 @@ def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries:
 
     dealt = rows.select("row", "comp", "n", "prefix").mapInArrow(deal, "block int, pack binary")
     dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block")
-    met = dealt.mapInArrow(multiply, "a long, b long, na long, nb long, met long").groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # at most (na + nb) / 9 elements may differ in all, so in the shorter prefix all but those must have met
-    first = lambda n: F.col(n) - F.floor((LEAST * F.col(n) + 99) / 100) + 1
-    bound = F.least(first("na"), first("nb")) - F.floor((100 - LEAST) * (F.col("na") + F.col("nb")) / (100 + LEAST))
-    return met.filter(F.col("met") >= bound).select("a", "b")
+    return dealt.mapInArrow(multiply, "a long, b long").distinct()
 
 
 def same_id_edges(known: DataFrame, several: DataFrame, sets: DataFrame) -> DataFrame:
