@@ -12,8 +12,25 @@ from .text import SPACE
 CODES = ("ARS", "USD", "USDT", "EUR", "BRL", "CLP", "COP", "MXN", "PEN", "UYU", "GBP", "NOK", "SEK", "DKK", "CHF", "AUD", "CAD")
 SYMBOLS = (("R$", "BRL"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"))
 
-_MARKS = r"R\$|[$€£]"
 _CODE = f"(?i)(?<![A-Za-z0-9_])({'|'.join(CODES)})(?![A-Z])"
+_BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+#: One leading minus, then digits with or without separators, of which the last is the decimal one before one or two digits, or all are one kind before three.
+_READABLE = r"^-?(?:[0-9]+|[0-9.,]*[0-9][0-9.,]*[.,][0-9]{1,2}|[0-9.]*\.[0-9]{3}|[0-9,]*,[0-9]{3})$"
+
+
+def _around_code(raw: Column) -> Column:
+    """What stands before and after the first currency code; one part if there is none. Texts without letters skip the search."""
+    return F.when(F.regexp_like(raw, F.lit("[A-Za-z]")), F.split(raw, _CODE, 2)).otherwise(F.array(raw))
+
+
+def _currency(raw: Column) -> Column:
+    symbol = F.lit(None).cast("string")
+    for mark, iso in reversed(SYMBOLS):
+        symbol = F.when(F.contains(raw, F.lit(mark)), iso).otherwise(symbol)
+    code = F.when(F.regexp_like(raw, F.lit("[A-Za-z]")), F.nullif(F.upper(F.regexp_extract(raw, _CODE, 1)), F.lit("")))
+    return F.coalesce(code, symbol)
 
 
 def parse_amount(raw: Column, decimals: int = 2) -> Column:
@@ -22,45 +39,21 @@ def parse_amount(raw: Column, decimals: int = 2) -> Column:
     The last separator is the decimal one, except that three digits after the only kind of separator are thousands.
     Only the first currency code is taken out, so a second one makes the text unreadable; the sign counts at the very start.
     """
-    signless = F.regexp_replace(F.regexp_replace(raw, f"(?s)^(.*?){_CODE}", "$1"), _MARKS, "")
-    body = F.regexp_replace(signless, f"^{SPACE}*-|{SPACE}+", "")
-    # what is used many times is bound by one-element transforms, which evaluate it a single time
-    read = F.element_at(F.transform(F.array(body), lambda b: _read(b, decimals)), 1)
-    code = F.upper(F.regexp_extract(raw, _CODE, 1))
-    symbol = F.lit(None).cast("string")
-    for mark, iso in reversed(SYMBOLS):
-        symbol = F.when(F.contains(raw, F.lit(mark)), iso).otherwise(symbol)
-    negative = F.regexp_like(raw, F.lit(f"^{SPACE}*-"))
-    return F.element_at(
-        F.transform(
-            F.array(read),
-            lambda r: F.when(
-                r["minor"].isNotNull(),
-                F.struct(
-                    F.when(negative, -r["minor"]).otherwise(r["minor"]).cast(EXACT).alias("minor"), F.when(code != "", code).otherwise(symbol).alias("currency"), r["convention"].alias("convention")
-                ),
-            ),
-        ),
-        1,
-    )
-
-
-def _read(body: Column, decimals: int) -> Column:
-    """struct<minor, convention> of bare digits and separators; minor is null for anything else."""
-    last = F.instr(F.reverse(F.translate(body, ",", ".")), ".")  # of the last separator from the end, 0 without any
-    parts = F.struct(body.alias("body"), F.translate(body, ".,", "").alias("digits"), last.alias("last"))
-
-    def minor(r: Column) -> Column:
-        one_kind = ~(F.contains(r["body"], F.lit(".")) & F.contains(r["body"], F.lit(",")))
-        thousands = (r["last"] == 0) | ((r["last"] == 4) & one_kind)
-        tail = F.when(thousands, 0).otherwise(r["last"] - 1)
-        bare = (r["digits"] != "") & (F.translate(r["digits"], "0123456789", "") == "")
-        fits = thousands | (tail.between(1, 2) & (F.length(r["digits"]) > tail))
-        scaled = F.concat(r["digits"], F.lit("0" * decimals)).substr(F.lit(1), F.length(r["digits"]) - tail + decimals)
-        convention = F.when(r["last"] == 0, "integer").when(r["body"].substr(-r["last"], F.lit(1)) == ",", "latin").otherwise("anglo")
-        return F.struct(F.when(bare & fits, scaled.try_cast(EXACT)).alias("minor"), convention.alias("convention"))
-
-    return F.element_at(F.transform(F.array(parts), minor), 1)
+    # without code, symbols and white space; what is used many times is bound by one-element transforms, which evaluate it a single time
+    body = F.translate(F.replace(F.array_join(_around_code(raw), ""), F.lit("R$"), F.lit("")), "$€£" + _BLANKS, "")
+    sign = F.when(F.startswith(F.ltrim(raw, F.lit(_BLANKS)), F.lit("-")), "-").otherwise("")
+
+    def read(b: Column) -> Column:
+        missing = F.lit(decimals) - F.length(F.regexp_extract(b, "[.,]([0-9]{1,2})$", 1))
+        digits = F.concat(sign, F.translate(b, "-.,", ""), F.repeat(F.lit("0"), missing))
+        if decimals < 2:  # more digits than the currency has are cut
+            digits = digits.substr(F.lit(1), F.length(digits) + F.least(missing, F.lit(0)))
+        last = F.regexp_extract(b, "([.,])[0-9]*$", 1)
+        convention = F.when(last == "", "integer").when(last == ",", "latin").otherwise("anglo")
+        return F.when(F.regexp_like(b, F.lit(_READABLE)), F.struct(digits.try_cast(EXACT).alias("minor"), _currency(raw).alias("currency"), convention.alias("convention")))
+
+    found = F.filter(F.transform(F.array(body), read), lambda r: r["minor"].isNotNull())
+    return F.get(found, F.lit(0))
 
 
 def sign_suspect(raw: Column) -> Column:

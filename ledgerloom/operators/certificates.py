@@ -98,15 +98,31 @@ def _joined(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _common_problems() -> Column:
-    """Disjoint sections, and what was declared against what is accounted for."""
+def _set_rules() -> dict[str, Column]:
+    """Keys that are both admitted and refused; declared and neither; neither declared nor expected (only where something is declared)."""
     fields = F.map_keys("c.fields")
     refused = F.array_distinct(F.transform("c.abstentions", lambda a: a["key"]))
     declared, accounted = F.array_distinct(F.coalesce("c.declared", F.array().cast("array<string>"))), F.array_union(fields, refused)
-    both = F.transform(F.array_intersect(fields, refused), lambda k: _joined('"', k, '" appears in both fields and abstentions'))
-    lost = F.transform(F.array_except(declared, accounted), lambda k: _joined('"', k, '" was declared and is neither admitted nor abstained'))
-    extra = F.transform(F.array_except(accounted, declared), lambda k: _joined('"', k, '" appears in the certificate and was never declared'))
-    return F.concat(both, lost, F.when(F.size(declared) > 0, extra).otherwise(F.array().cast("array<string>")))
+    extra = F.when(F.size(declared) > 0, F.array_except(accounted, declared)).otherwise(F.array().cast("array<string>"))
+    return {"in_both": F.array_intersect(fields, refused), "unaccounted": F.array_except(declared, accounted), "undeclared": extra}
+
+
+def set_problems(parsed: DataFrame) -> DataFrame:
+    """parsed: (id, c struct with fields, abstentions, declared). (id, in_both, unaccounted, undeclared): the keys that break each rule."""
+    return parsed.select("id", *[keys.alias(name) for name, keys in _set_rules().items()])
+
+
+def _common_problems() -> Column:
+    """Disjoint sections, and what was declared against what is accounted for."""
+    rules = _set_rules()
+    said = {"in_both": '" appears in both fields and abstentions', "unaccounted": '" was declared and is neither admitted nor abstained', "undeclared": '" appears in the certificate and was never declared'}
+    about = lambda keys, text: F.transform(keys, lambda key: _joined('"', key, text))
+    return F.concat(*[about(rules[k], text) for k, text in said.items()])
+
+
+def _plain(x: Column) -> Column:
+    """A coordinate without the fraction that is none."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
 
 
 def _unplaced(e) -> Column:
@@ -129,15 +145,15 @@ def validated(certificates: DataFrame) -> DataFrame:
         return (
             (amount & ~F.coalesce(f["minor"].rlike("^-?[0-9]+$"), F.lit(False)), _joined("fields.", e["key"], ".minor is not minor units as decimal digits")),
             (_unplaced(e), _joined("fields.", e["key"], " was admitted with no region and is not marked unbound")),
-            (b.isNotNull() & w.isNotNull() & h.isNotNull() & off, _joined("fields.", e["key"], " has a region that is not inside the page")),
+            (b.isNotNull() & w.isNotNull() & h.isNotNull() & off, _joined("fields.", e["key"], " has a region [", F.array_join(F.transform(b, _plain), ", "), "] that is not inside the ", _plain(w), " by ", _plain(h), " page")),
         )
 
     refusals = _each(c("c.abstentions"), lambda a: (
         (a["check"].isNull() | (a["check"] == ""), _joined('abstentions["', a["key"], '"] names no check that refused it')),
-        (a["declined"].isNull(), _joined('abstentions["', a["key"], '"] carries no declined value')),
+        (a["declined"].isNull(), _joined('abstentions["', a["key"], '"] carries no declined value, so it cannot be scored')),
     ))
-    descriptor = F.array_compact(F.array(*[F.when(c(f"c.replay.{k}").isNull(), F.lit(f"replay.{k} is missing")) for k in DESCRIPTOR]))
-    route = F.when(~F.coalesce(c("c.document.route").isin(*ROUTES), F.lit(False)), F.array(F.lit("document.route is not a route this reader produces")))
+    descriptor = F.array_compact(F.array(*[F.when(c(f"c.replay.{k}").isNull(), F.lit(f"replay.{k} is missing, so the descriptor is not sufficient to reproduce the run")) for k in DESCRIPTOR]))
+    route = F.when(~F.coalesce(c("c.document.route").isin(*ROUTES), F.lit(False)), F.array(_joined('document.route is "', F.coalesce("c.document.route", F.lit("undefined")), f'", which is not a route this reader produces ({", ".join(ROUTES)})')))
     root = F.when(~F.coalesce(c("c.trace.root").rlike("^[0-9a-f]{64}$"), F.lit(False)), F.array(F.lit("trace.root is not a sha-256 digest")))
     none = F.array().cast("array<string>")
     rest = F.concat(_common_problems(), _each(F.map_entries("c.fields"), field_rules), refusals, descriptor, F.coalesce(route, none), F.coalesce(root, none))

@@ -42,20 +42,24 @@ def page_text(text: Column) -> Column:
 
 
 def routed(files: DataFrame) -> DataFrame:
-    """files: (path, exists, length, text, failed). Adds kind, reason and the text that the text route hands on."""
+    """files: (path, exists, length bytes, text, failure: why the text layer could not be read, or null).
+
+    Adds kind, reason - the fact that decided: the missing file, the failure, the characters found, the extension - and the
+    text that the text route hands on.
+    """
     c = F.col
     ext, text = extension(c("path")), page_text(F.coalesce(c("text"), F.lit("")))
-    pdf = ext == ".pdf"
-    large, short = c("length") > MOST_BYTES, F.length(text) < LEAST_TEXT
-    kind = (
-        F.when(~c("exists"), "unsupported").when(ext.isin(*IMAGES), "image").when(~pdf, "unsupported").when(large | c("failed") | short, "pdf-needs-render").otherwise("text")
-    )
+    image, pdf = ext.isin(*IMAGES), ext == ".pdf"
+    size = F.round(c("length") / 1e6).cast("bigint").cast("string")
+    too_large = F.when(c("length") > MOST_BYTES, F.concat(F.lit("PDF is "), size, F.lit(" MB, too large to parse safely")))
+    failure = F.coalesce(too_large, c("failure"))
+    characters = F.length(text)
+    kind = F.when(~c("exists"), "unsupported").when(image, "image").when(~pdf, "unsupported").when(failure.isNotNull() | (characters < LEAST_TEXT), "pdf-needs-render").otherwise("text")
     reason = (
-        F.when(~c("exists"), "the file is missing")
-        .when(pdf & large, "the file is larger than 25 MiB")
-        .when(pdf & c("failed"), "the text layer could not be read")
-        .when(pdf & short, "the text layer is too short")
-        .when(~pdf & ~ext.isin(*IMAGES), "no reader for this kind of file")
+        F.when(~c("exists"), "file not found")
+        .when(pdf & failure.isNotNull(), F.concat(F.lit("text extraction failed ("), failure, F.lit(")")))
+        .when(pdf & (characters < LEAST_TEXT), F.concat(F.lit("only "), characters.cast("string"), F.lit(" characters of text, treating it as a scan")))
+        .when(~pdf & ~image, F.concat(F.lit("unsupported file type "), F.when(ext == "", "(none)").otherwise(ext)))
     )
     return files.withColumn("kind", kind).withColumn("reason", reason).withColumn("page_text", F.when(kind == "text", F.substring(text, 1, MOST_TEXT)))
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import exact, truncated_quotient, within_tolerance
 
-# Identity names, in the order in which they are judged.
+# The fields that identities touch, and identity names in the order in which they are judged.
+FIELDS = ("subtotal", "tax", "total")
 LINES, TOTAL, RATE = "line items sum to the subtotal", "subtotal + tax = total", "tax = subtotal x rate"
 
 
@@ -44,9 +45,15 @@ def checked(values: DataFrame, rate: Column | None = None) -> DataFrame:
 
 def by_field(found: DataFrame) -> DataFrame:
     """(doc_id, field, ok, identity): the first failing identity of each field it touches, else that it passed."""
-    rows = found.select("doc_id", F.posexplode("identities").alias("pos", "i")).select("doc_id", "pos", F.explode("i.fields").alias("field"), "i.ok", "i.name")
-    bad = F.min(F.when(~F.col("ok"), F.struct("pos", "name")))
-    return rows.groupBy("doc_id", "field").agg(F.bool_and("ok").alias("ok"), bad["name"].alias("identity"))
+    touching = lambda field: F.filter("identities", lambda i: F.array_contains(i["fields"], F.lit(field)))
+    bad = lambda of: F.filter(of, lambda i: ~i["ok"])
+
+    def of(field: str) -> Column:
+        first = F.get(bad(touching(field)), F.lit(0))
+        return F.struct(F.lit(field).alias("field"), F.size(touching(field)).alias("n"), first.isNull().alias("ok"), first["name"].alias("identity"))
+
+    rows = found.select("doc_id", F.inline(F.array(*map(of, FIELDS))))
+    return rows.filter("n > 0").drop("n")
 
 
 def runs(found: DataFrame) -> DataFrame:

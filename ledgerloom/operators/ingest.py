@@ -45,8 +45,7 @@ def validated(rows: DataFrame) -> DataFrame:
     rows that pass all, later ones of the same vendor and reference are duplicates of the first line.
     """
     t = {f: trimmed(F.col(f)) for f in FIELDS}
-    parsed = parse_amount(t["amount"])
-    rows = rows.withColumn("_p", parsed).withColumn("_d", coerce_date(t["issued_on"]))
+    rows = rows.withColumn("_p", parse_amount(t["amount"])).withColumn("_d", coerce_date(t["issued_on"]))
     currency = F.coalesce(F.nullif(t["currency"], F.lit("")), F.col("_p.currency"))
     empty = lambda f: F.coalesce(t[f], F.lit("")) == ""
     size = F.size("cells")
@@ -59,8 +58,10 @@ def validated(rows: DataFrame) -> DataFrame:
         .when(~empty("issued_on") & F.col("_d").isNull(), F.concat(F.lit("date is not readable: "), _quoted(t["issued_on"])))
     )
     rows = rows.withColumn("reason", reason)
-    same = Window.partitionBy("file", F.col("reason").isNull(), F.when(F.col("reason").isNull(), F.concat_ws(" ", t["vendor"], t["reference"])).otherwise(F.xxhash64("line").cast("string")))
-    rows = rows.withColumn("_first", F.min("line").over(same))
+    # a grouped minimum combines before its shuffle, where a window would bring one vendor's rows together
+    rows = rows.withColumn("_key", F.when(F.col("reason").isNull(), F.concat_ws(" ", t["vendor"], t["reference"])))
+    first = rows.filter("reason is null").groupBy("file", "_key").agg(F.min("line").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    rows = rows.join(first, ["file", "_key"], "left")
     again = F.col("reason").isNull() & (F.col("line") > F.col("_first"))
     rows = rows.withColumn("reason", F.when(again, F.concat(F.lit("duplicate reference, first seen at line "), F.col("_first").cast("string"))).otherwise(F.col("reason")))
     return rows.select(

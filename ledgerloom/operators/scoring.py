@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from ..functions.money import parse_amount
 from ..functions.numbers import half_up, ratio
-from ..functions.text import bounded_by_space
-from ..functions.values import agrees, same_text
+from ..functions.text import bounded_by_space, collapsed, trimmed, words
+from ..functions.values import agrees
 from .gate import judged
 from .reconcile import DECISIONS
 
@@ -85,14 +87,26 @@ def separability(readings: DataFrame, by: list[str] | None = None) -> DataFrame:
 def localised(truth: DataFrame, regions: DataFrame, rows: DataFrame) -> DataFrame:
     """truth: (doc_id, key, text, bbox); regions: (doc_id, text, bbox); rows: (doc_id, text) of visual rows.
 
-    correct if a region that covers the text lies where it should, mislocated if only the text is there, else missed.
+    correct if a region that covers the text lies where it should, mislocated if only the text is there, else missed. A region
+    covers a text that it equals, read as an amount or without case and spacing, or that it holds between spaces: it is met through
+    that reading, or through the text's first word, by equi-joins.
     """
-    spots = regions.select("doc_id", F.col("text").alias("seen"), F.col("bbox").alias("at")).unionByName(rows.select("doc_id", F.col("text").alias("seen"), F.lit(None).cast(regions.schema["bbox"].dataType).alias("at")))
-    j = truth.join(spots, "doc_id", "left")
-    covers = F.coalesce(same_text(F.col("seen"), F.col("text")) | bounded_by_space(F.col("seen"), F.col("text")), F.lit(False))
-    there = covers & F.coalesce(iou(F.col("bbox"), F.col("at")) >= SAME_PLACE, F.lit(False))
-    rank = F.max(F.when(there, 2).when(covers, 1).otherwise(0))
-    return j.groupBy("doc_id", "key").agg(F.element_at(F.array(F.lit("missed"), F.lit("mislocated"), F.lit("correct")), rank + 1).alias("outcome"))
+    box = regions.schema["bbox"].dataType
+    spots = regions.select("doc_id", F.col("text").alias("seen"), F.col("bbox").alias("at")).unionByName(rows.select("doc_id", F.col("text").alias("seen"), F.lit(None).cast(box).alias("at")))
+
+    def reading(text: Column) -> Column:
+        minor = parse_amount(text)["minor"].cast("string")
+        return F.coalesce(F.concat(F.lit("amount "), minor), F.concat(F.lit("text "), F.lower(collapsed(text))))
+
+    word = lambda w: F.concat(F.lit("word "), w)
+    asked = truth.withColumn("meet", F.explode(F.array(reading(F.col("text")), word(F.get(words(trimmed(F.col("text"))), F.lit(0))))))
+    met = spots.withColumn("meet", F.explode(F.array_distinct(F.array_append(F.transform(words(F.col("seen")), word), reading(F.col("seen"))))))
+    j = asked.join(met, ["doc_id", "meet"])
+    covers = ~F.startswith("meet", F.lit("word ")) | bounded_by_space(F.col("seen"), F.col("text"))
+    there = F.coalesce(iou(F.col("bbox"), F.col("at")) >= SAME_PLACE, F.lit(False))
+    found = j.filter(covers).groupBy("doc_id", "key").agg(F.bool_or(there).alias("there"))
+    out = truth.select("doc_id", "key").distinct().join(found, ["doc_id", "key"], "left")
+    return out.select("doc_id", "key", F.when(F.col("there"), "correct").when(F.col("there").isNotNull(), "mislocated").otherwise("missed").alias("outcome"))
 
 
 CALLS = "array<struct<turn:int,name:string,arguments:map<string,string>,returned:map<string,string>,error:string>>"
@@ -148,36 +162,65 @@ def outcome_counts(trials: DataFrame) -> DataFrame:
     return joined.select("outcome", F.coalesce("n", F.lit(0)).alias("n"), ratio(F.coalesce("n", F.lit(0)), F.col("total")).alias("rate"))
 
 
+def medians(trials: DataFrame) -> DataFrame:
+    """trials: (arm, ms). (arm, median), exact: by counts of equal values, which combine before the shuffle."""
+    counts = trials.filter("ms is not null").groupBy("arm", "ms").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("arm")
+    ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("ms"))).withColumn("all", F.sum("n").over(w))
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1  # the middle ranks, the same if odd
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("ms")))
+    return ranked.groupBy("arm").agg(half_up((at(low) + at(high)) / 2).cast("bigint").alias("median"))
+
+
 def latency(trials: DataFrame) -> DataFrame:
     """trials: (arm, ms). One row: whether the gap of medians is beyond the drift within an arm, and the faster arm."""
-    exact = F.percentile("ms", 0.5)
-    arms = trials.groupBy("arm").agg(half_up(exact).cast("bigint").alias("median"), (F.max("ms") - F.min("ms")).alias("spread"))
+    arms = medians(trials).join(trials.groupBy("arm").agg((F.max("ms") - F.min("ms")).alias("spread")), "arm")
     out = arms.agg((F.max("median") - F.min("median")).alias("gap"), F.max("spread").alias("spread"), F.min_by("arm", F.struct("median", "arm")).alias("faster"))
     return out.select((F.col("gap") > F.col("spread")).alias("separable"), "gap", "spread", "faster")
 
 
-def medians(trials: DataFrame) -> DataFrame:
-    return trials.groupBy("arm").agg(half_up(F.percentile("ms", 0.5)).cast("bigint").alias("median"))
-
-
-def upper_bound(failures: int, trials: int, confidence: float = 0.95) -> float:
-    """One-sided Clopper-Pearson bound of a failure rate, by bisection of the binomial tail."""
-    if trials == 0:
-        return 1.0
-
-    def at_most(p: float) -> float:
-        return sum(math.comb(trials, k) * p**k * (1 - p) ** (trials - k) for k in range(failures + 1))
-
-    low, high = failures / trials, 1.0
-    while high - low > 1e-15 and low < (low + high) / 2 < high:
+def _at_most(failures: np.ndarray, trials: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X <= failures) of a binomial X, failures < trials, by the continued fraction of the incomplete beta function."""
+    a, b, x = trials - failures, failures + 1.0, 1.0 - p
+    swap = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    log = np.frompyfunc(math.lgamma, 1, 1)
+    scale = (log(a + b) - log(a) - log(b)).astype(float) + a * np.log(np.maximum(x, 1e-300)) + b * np.log1p(-np.minimum(x, 1 - 1e-16))
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
+    f = d.copy()
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            c = 1 + step / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            f = f * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
+            break
+    part = np.exp(scale) * f / a
+    return np.where(swap, 1 - part, part)
+
+
+def upper_bound(failures: np.ndarray, trials: np.ndarray, confidence: float = 0.95) -> np.ndarray:
+    """One-sided Clopper-Pearson bounds of failure rates, by bisection of the binomial tail; 1 without trials or without a success."""
+    failures, trials = (np.atleast_1d(np.asarray(x, float)) for x in (failures, trials))
+    out = np.ones(len(trials))
+    open_ = np.flatnonzero(failures < trials)
+    f, n = failures[open_], trials[open_]
+    low, high = f / n, np.ones(len(n))
+    for _ in range(60 if len(n) else 0):
         mid = (low + high) / 2
-        low, high = (mid, high) if at_most(mid) > 1 - confidence else (low, mid)
-    return (low + high) / 2
+        over = _at_most(f, n, mid) > 1 - confidence
+        low, high = np.where(over, mid, low), np.where(over, high, mid)
+    out[open_] = (low + high) / 2
+    return out
 
 
 def upper_bounds(failures: Column, trials: Column, confidence: float = 0.95) -> Column:
     def bound(f: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array([None if a is None or b is None else upper_bound(a, b, confidence) for a, b in zip(f.to_pylist(), n.to_pylist(), strict=True)], pa.float64())
+        known = np.array([a.is_valid and b.is_valid for a, b in zip(f, n, strict=True)], bool)
+        x, y = (v.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for v in (f, n))
+        return pa.array(upper_bound(x, y, confidence), pa.float64(), mask=~known)
 
     return F.arrow_udf(bound, "double")(failures, trials)
 

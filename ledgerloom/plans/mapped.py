@@ -78,13 +78,13 @@ def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as fields to judge: (doc_id, key, type, value, status, source, confidence, arithmetic_ok)."""
     x = table(spark, sf_dir, "lineitem")
-    k = F.col("l_orderkey") + F.col("l_linenumber")
+    k, part = F.col("l_orderkey") + F.col("l_linenumber"), F.col("l_partkey").cast("string")
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
     return x.select(
         F.col("l_orderkey").alias("doc_id"),
         F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("key"),
         pick(("string", "amount", "date", "integer"), k).alias("type"),
-        F.when(k % 19 != 0, F.col("l_partkey").cast("string")).alias("value"),
+        F.when(k % 19 != 0, F.when(k % 4 == 0, F.concat(F.lit("Part "), part)).when(k % 4 == 2, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("l_partkey") % 1000).cast("int")).cast("string")).otherwise(part)).alias("value"),
         pick(("region", "span", "region", "unbound", "region"), F.col("l_partkey")).alias("status"),
         F.when(F.col("l_suppkey") % 6 == 0, "text-layer").alias("source"),
         F.when(F.col("l_partkey") % 23 != 0, F.col("l_quantity") / 50).alias("confidence"),
@@ -110,13 +110,13 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as runs of the plan, interrupted at some step: (run_id, seq, key, type, value, provenance)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", minor_of(F.col("o_totalprice")).cast("string").alias("minor"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", minor_of(F.col("o_totalprice")).alias("minor"))
     k = F.col("o_orderkey")
     row = lambda seq, key, kind, value, source: F.struct(F.lit(seq).alias("seq"), F.lit(key).alias("key"), F.lit(kind).alias("type"), value.alias("value"), F.lit(source).alias("provenance"))
     all_ = F.array(
         row(0, "doc.reference", "string", F.concat(F.lit("PO-"), k.cast("string")), "document-asserted"),
-        row(1, "doc.total", "amount", F.col("minor"), "document-asserted"),
-        row(2, "record.amount", "amount", F.col("minor"), "source-attested"),
+        row(1, "doc.total", "amount", (F.col("minor") + k % 5 - 2).cast("string"), "document-asserted"),
+        row(2, "record.amount", "amount", F.col("minor").cast("string"), "source-attested"),
         row(3, "variance", "amount", F.lit("0"), "host-computed"),
     )
     return o.select(k.alias("run_id"), F.explode(F.slice(all_, 1, (k % 4 + 1).cast("int"))).alias("s")).select("run_id", "s.*")
@@ -161,14 +161,14 @@ amounts AS (
 differences AS (SELECT *, lines - subtotal AS d1, subtotal + tax - total AS d2, tax - subtotal * tax_rate * 100 // 10000 AS d3 FROM amounts),
 fields AS (
   SELECT l_orderkey AS doc_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, (['string', 'amount', 'date', 'integer'])[((l_orderkey + l_linenumber) % 4 + 1)::INT] AS type,
-    CASE WHEN (l_orderkey + l_linenumber) % 19 <> 0 THEN l_partkey::VARCHAR END AS value, (['region', 'span', 'region', 'unbound', 'region'])[(l_partkey % 5 + 1)::INT] AS status,
+    CASE WHEN (l_orderkey + l_linenumber) % 19 <> 0 THEN CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'Part ' || l_partkey WHEN 2 THEN strftime(DATE '2020-01-01' + (l_partkey % 1000)::INTEGER, '%Y-%m-%d') ELSE l_partkey::VARCHAR END END AS value, (['region', 'span', 'region', 'unbound', 'region'])[(l_partkey % 5 + 1)::INT] AS status,
     CASE WHEN l_suppkey % 6 = 0 THEN 'text-layer' END AS source, CASE WHEN l_partkey % 23 <> 0 THEN l_quantity / 50 END AS confidence,
     CASE l_returnflag WHEN 'R' THEN FALSE WHEN 'A' THEN TRUE END AS arithmetic_ok, l_partkey FROM lineitem),
 judged AS (
   SELECT *, CASE WHEN value IS NULL THEN 'absent' WHEN status = 'unbound' THEN 'binding'
     WHEN source IS NULL AND coalesce(confidence < (CASE type WHEN 'string' THEN 0.35::DOUBLE WHEN 'date' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) + (CASE WHEN status = 'span' THEN 0.15::DOUBLE ELSE 0 END), TRUE) THEN 'confidence'
     WHEN arithmetic_ok = FALSE THEN 'arithmetic' END AS chk FROM fields),
-slots AS (SELECT o_orderkey AS run_id, s.seq, s.key, s.type, s.provenance FROM orders, (VALUES (0, 'doc.reference', 'string', 'document-asserted'), (1, 'doc.total', 'amount', 'document-asserted'),
+slots AS (SELECT o_orderkey AS run_id, s.seq, s.key, s.type, s.provenance, CAST(round(o_totalprice * 100) AS BIGINT) + o_orderkey % 5 - 2 AS minor FROM orders, (VALUES (0, 'doc.reference', 'string', 'document-asserted'), (1, 'doc.total', 'amount', 'document-asserted'),
   (2, 'record.amount', 'amount', 'source-attested'), (3, 'variance', 'amount', 'host-computed')) s(seq, key, type, provenance) WHERE s.seq <= o_orderkey % 4)
 """
 

@@ -1,6 +1,7 @@
 """The operators on small inputs with known answers."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ DOC = "doc_id string, reference string, vendor string, currency string, amount_m
 def _reconciled(spark, docs, ledger):
     d = spark.createDataFrame([(k, ref, v, cur, t, seen, cs, None, t, ts, None) for k, ref, v, cur, t, seen, cs, ts in docs], DOC)
     x = spark.createDataFrame(ledger, LEDGER)
-    return {r["doc_id"]: r for r in reconcile.reconciled(d, candidates.chosen(candidates.tiered(d, x))).collect()}
+    return {r["doc_id"]: r for r in reconcile.reconciled(d, candidates.chosen(d, x)).collect()}
 
 
 def test_reconcile(spark):
@@ -175,9 +176,12 @@ def test_documents(spark, tmp_path):
     docs = spark.createDataFrame([("a", "p2", "text", 2), ("a", "p1", "text", 1), ("b", "p3", "image", 3)], "digest string, path string, route string, read_at int")
     new = documents.unseen(docs, spark.createDataFrame([("b",)], "digest string")).collect()
     assert [(r["digest"], r["path"]) for r in new] == [("a", "p1")]
-    files_ = [("x.PNG", True, 5, None, False), ("x.pdf", True, 5, "w " * 200, False), ("x.pdf", True, 5, "short", False), ("x.pdf", True, 30 * 2**20, "w " * 200, False), ("x.doc", True, 5, None, False), ("y.pdf", False, 0, None, False)]
-    kinds = documents.routed(spark.createDataFrame(files_, "path string, exists boolean, length bigint, text string, failed boolean")).collect()
-    assert [r["kind"] for r in kinds] == ["image", "text", "pdf-needs-render", "pdf-needs-render", "unsupported", "unsupported"]
+    files_ = [("x.PNG", True, 5, None, None), ("x.pdf", True, 5, "w " * 200, None), ("x.pdf", True, 5, "short", None), ("x.pdf", True, 30 * 2**20, "w " * 200, None), ("x.pdf", True, 5, None, "bad xref"), ("x.doc", True, 5, None, None), ("y.pdf", False, 0, None, None)]
+    kinds = documents.routed(spark.createDataFrame(files_, "path string, exists boolean, length bigint, text string, failure string")).collect()
+    assert [r["kind"] for r in kinds] == ["image", "text", "pdf-needs-render", "pdf-needs-render", "pdf-needs-render", "unsupported", "unsupported"]
+    assert [r["reason"] for r in kinds] == [
+        None, None, "only 5 characters of text, treating it as a scan", "text extraction failed (PDF is 31 MB, too large to parse safely)", "text extraction failed (bad xref)", "unsupported file type .doc", "file not found",
+    ]
     (tmp_path / "one").write_bytes(b"abc")
     (tmp_path / "two").write_bytes(b"abd")
     wanted = spark.createDataFrame([("ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad",)], "digest string")
@@ -194,7 +198,10 @@ def test_regions_source(spark, tmp_path):
 
 
 def test_scores(spark):
-    assert abs(scoring.upper_bound(0, 10) - 0.2588655508) < 1e-9 and scoring.upper_bound(0, 0) == 1 and 0.39 < scoring.upper_bound(1, 10) < 0.4
+    many = scoring.upper_bound([0, 0, 1, 10, 500, 100_000, 3], [10, 0, 10, 10, 2000, 1_000_000, 1_000_000])
+    assert abs(many[0] - 0.2588655508) < 1e-9 and many[1] == many[3] == 1 and 0.39 < many[2] < 0.4 and 0.1004 < many[5] < 0.1006 and 7e-6 < many[6] < 8e-6
+    tail = lambda f, n, p: sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(f + 1))
+    assert abs(tail(500, 2000, many[4]) - 0.05) < 1e-9 and abs(tail(3, 1_000_000, many[6]) - 0.05) < 1e-9
     df = spark.createDataFrame([(0, 10), (1, 10)], "f int, n int").select(scoring.upper_bounds(F.col("f"), F.col("n")).alias("b"), scoring.upper_bound_without_failures(F.col("n")).alias("z")).collect()
     assert abs(df[0]["b"] - df[0]["z"]) < 1e-12
     box = lambda *b: dict(zip(("x0", "y0", "x1", "y1"), map(float, b), strict=True))
