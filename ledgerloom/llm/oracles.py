@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import urlrules
 from .mixing import OP9_SQL
 
 _GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND vec_id IS NOT NULL"
@@ -48,4 +49,21 @@ edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) > 0 THEN coalesce(component_id, s.doc_id) ELSE s.doc_id END AS component_id FROM sets s LEFT JOIN lowest ON id = s.doc_id
 """
 
-ORACLE = {"op3_topk": OP3_SQL, "op4_chat": OP4_SQL, "op5_neardup": OP5_SQL, "op8_jaccard": OP8_SQL, "op9_mixing": OP9_SQL}
+_SEGMENTS = r"list_transform(list_filter(string_split({text}, '{by}'), lambda x: x <> ''), lambda x: '{mark}' || CASE WHEN regexp_matches(x, '^[0-9]+(\.[a-z]+)?$') THEN '#' ELSE x END)"
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in urlrules.RULES)
+_SUBSETS = "unnest(list_transform(range(1, CAST(pow(2, len(t)) AS BIGINT)), lambda m: list_filter(t, lambda x, i: (m >> (i - 1)) % 2 = 1)))"
+OP7_SQL = f"""
+WITH u AS (SELECT page_id, row_number() OVER () AS row, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fit AS (SELECT row, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM u JOIN (VALUES {_RULES}) r(v, h, p) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row),
+tokens AS (SELECT u.*, rule, verdict, list_distinct(list_concat({_SEGMENTS.format(text="host", by=".", mark="h:")}, {_SEGMENTS.format(text="path", by="/", mark="p:")})) AS tokens FROM u LEFT JOIN fit USING (row)),
+total AS (SELECT count(*) AS n, ceil({urlrules.MIN_SUPPORT}::DOUBLE * count(*)) AS least, coalesce(CASE WHEN count(*) FILTER (verdict = 'block') > count(*) FILTER (verdict = 'allow') THEN 'block' END, 'allow') AS usual FROM fit),
+often AS (SELECT coalesce(list(x), []) AS items FROM (SELECT x FROM (SELECT unnest(tokens) AS x FROM tokens WHERE verdict IS NOT NULL) GROUP BY x HAVING count(*) >= (SELECT least FROM total))),
+kept AS (SELECT row, verdict, list_sort(list_filter(tokens, lambda x: list_contains(items, x))) AS t FROM tokens, often),
+subsets AS (SELECT row, verdict, {_SUBSETS} AS s FROM kept),
+seen AS (SELECT s, count(*) AS n, count(*) FILTER (verdict = 'allow') AS allow, count(*) FILTER (verdict = 'block') AS block FROM subsets WHERE verdict IS NOT NULL GROUP BY s),
+mined AS (SELECT s, v, k / seen.n::DOUBLE AS c, k / total.n::DOUBLE AS f FROM (SELECT s, n, unnest(['allow', 'block']) AS v, unnest([allow, block]) AS k FROM seen) seen, total WHERE k >= least AND k / seen.n::DOUBLE >= {urlrules.MIN_CONFIDENCE}::DOUBLE),
+best AS (SELECT row, arg_max(v, (c, f, -len(s), v)) AS v FROM subsets JOIN mined USING (s) WHERE verdict IS NULL GROUP BY row)
+SELECT page_id, host, path, rule, coalesce(verdict, v, usual) AS verdict FROM tokens LEFT JOIN best USING (row), total
+"""
+
+ORACLE = {"op7_urlrules": OP7_SQL, "op3_topk": OP3_SQL, "op4_chat": OP4_SQL, "op5_neardup": OP5_SQL, "op8_jaccard": OP8_SQL, "op9_mixing": OP9_SQL}

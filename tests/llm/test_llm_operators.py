@@ -883,7 +883,7 @@ def test_queries_against_sql(spark):
     if not Path(data).exists():
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, data)
