@@ -41,13 +41,15 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Learned scores and greedy packing have no SQL form; tests/llm holds the rows against brute force.
+#: Learned scores and greedy packing have no SQL form; tests/llm holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What a stage stored on its way is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else frames.stored(out, f"stage{k}")
-    return docs
+    first = frames.tables_stored(spark)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = frames.stored(stage(spark, docs, sf_dir), f"stage{k}")
+        frames.drop_stored(spark, first, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
