@@ -2,7 +2,8 @@
 
 Each round is two joins and aggregations over the edges, which never outgrow the input's; nodes with many neighbours are
 aggregated before they meet and joined on a key that skew handling can split. Rounds grow with the logarithm of the
-longest path. Every round is a table in the shared folder, so lineage stays short.
+longest path, and go on until the edges no longer change. Every round is a table in the shared folder, so lineage stays short;
+the last round's is deleted.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import drop, stored
 
-MAX_ROUNDS = 60
+#: Rounds after which something must be wrong: 2**60 nodes on one path settle earlier.
+MAX_ROUNDS = 120
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -43,8 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not now[0]:
             break
-        e = stored(_small_star(_large_star(e)), "edges")
+        old, e = e, stored(_small_star(_large_star(e)), "edges")
         before, now = now, _signature(e)
+        drop(old)
         if now == before:
             break
     else:

@@ -48,15 +48,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables that ``stored`` wrote for this application, once their results have been written elsewhere."""
-    paths = _tables.pop(spark.sparkContext.applicationId, [])
+def tables_stored(spark: SparkSession) -> int:
+    """How many tables ``stored`` has written for this application and not deleted."""
+    return len(_tables.get(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    _tables[table.sparkSession.sparkContext.applicationId].remove(table.stored_at)
+    _delete(table.sparkSession, table.stored_at)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the tables that ``stored`` wrote for this application, from the ``since``-th on and but for ``keep``, once their results are written elsewhere."""
+    tables = _tables.get(spark.sparkContext.applicationId, [])
+    paths = [x for x in tables[since:] if keep is None or x != keep.stored_at]
     for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        tables.remove(path)
+        _delete(spark, path)
     return len(paths)
 
 

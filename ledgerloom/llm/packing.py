@@ -38,7 +38,7 @@ END_ID = 1
 #: Units whose ids a Python worker remembers, about 50 bytes each.
 CACHE_UNITS = 400_000
 #: Pieces of one length and salt (about): the size of a ranking group.
-SALT_ROWS = 20_000
+SALT_ROWS = 5_000
 #: Bytes of a text that are encoded at a time, up to the next blank.
 PART_BYTES = 2 << 20
 
