@@ -5,7 +5,7 @@ distinct 5-word shingles, as 64-bit hashes. Two documents link when 100 * overla
 matrix with its transpose gives overlaps; it is cut down without loss:
 
 * rows with equal shingle sets are one row, and near-copies found cheaply are joined first: rows that share one of four
-  min-hash keys are compared with the smallest row of that key (a star, not all pairs). Pairs already known to be in one
+  min-hash keys are compared with that key's row of smallest doc_id (a star, not all pairs). Pairs already known to be in one
   component are left out of the product; components are all that is asked for.
 * in a global order of the columns, rarest first, two rows that link share a column among the first
   n - ceil(0.8 n) + 1 of each, so only these columns enter. Columns common in the corpus come last; the counts that
@@ -374,9 +374,12 @@ def plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): each row with the smallest row of each of its min-hash keys, where sizes allow a link."""
-    keyed = rows.filter("n > 0").select("row", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    low = stored(keyed.groupBy("key").agg(F.min(F.struct("row", "n")).alias("low"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "star-centres")
+    """(a, b): each row with that of the smallest doc_id under each of its min-hash keys, where sizes allow a link.
+
+    Copies are more like what they were copied from than like each other, and an original's id is often the smallest.
+    """
+    keyed = rows.filter("n > 0").select("doc_id", "row", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    low = stored(keyed.groupBy("key").agg(F.min(F.struct("doc_id", "row", "n")).alias("low"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "star-centres")
     pairs = keyed.join(low, "key").select(F.col("low.row").alias("a"), F.col("row").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
     return pairs.filter((F.col("a") != F.col("b")) & (LEAST * F.greatest("na", "nb") <= 100 * F.least("na", "nb"))).select("a", "b").distinct()
 
