@@ -174,3 +174,19 @@ def numbered(rows: DataFrame, key: str, again: DataFrame, name: str, salt_rows:
     within = F.row_number().over(Window.partitionBy(key, "_salt").orderBy("_at")) - 1
     ranked = hit.withColumn("_within", within).join(starts, [key, "_salt"]).withColumn(name, F.col("_before") + F.col("_within"))
     return near.filter("not _hit").drop("_hit").withColumn(name, F.lit(0).cast("long")).unionByName(ranked.select(*rows.columns, name))
+
+
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds the sum of each of ``sums`` over all rows up to and including a row, in the given order (of which no two rows are equal).
+
+    Rows are range-sorted and stored; a partition's rows are summed up by themselves, and what is before a partition comes from
+    the sums of the partitions, one row each. So no task sees all rows.
+    """
+    values = rows.withColumns({f"_{k}": v for k, v in sums.items()})
+    values = stored(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "running")
+    parts = values.groupBy("_part").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums])
+    up_to = Window.orderBy("_part")  # one row for each partition
+    parts = parts.select(F.col("_part").alias("_before"), *[(F.sum(f"_{k}").over(up_to) - F.col(f"_{k}")).alias(f"_b{k}") for k in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = values.select("*", *[F.sum(f"_{k}").over(within).alias(f"_w{k}") for k in sums]).join(F.broadcast(parts), F.col("_part") == F.col("_before"))
+    return out.select(*rows.columns, *[(F.col(f"_b{k}") + F.col(f"_w{k}")).alias(k) for k in sums])

@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Targets: every source has a weight; the sources share the total size by weight, none above ``MAX_REPEATS`` times its own
-size, the excess reshared by weight among the rest (water-filling, one pass over a table of sources).
+size, the excess reshared by weight among the rest (water-filling, by running sums over a range-sorted table of sources).
 
 Positions: within a source documents follow each other in a hashed order, epoch after epoch, up to the target. A
 copy's place in that order, as a share of the target, is the source's cumulative token demand; the demand is the integral
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import numbered, stored
+from .frames import numbered, running, stored
 
 WEIGHTS = (5, 2, 1)
 #: (weight at the start, weight at the end) of training, of each weight class: heavy sources rise, light ones fall.
@@ -54,18 +54,15 @@ def place(same: Column, nth: Column) -> Column:
 
 def targets(totals: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS) -> DataFrame:
     """totals: (source, source_size). Adds nth (from 0, by code point, null last), weight and target."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row for each source
-    t = totals.withColumn("nth", F.row_number().over(by_name) - 1)
+    t = running(totals.select("source", "source_size"), [F.col("source").asc_nulls_last()], nth=F.lit(1)).withColumn("nth", (F.col("nth") - 1).cast("long"))
     t = t.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int")))
     t = t.withColumn("cap", most * F.col("source_size").cast("double"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "nth")
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum(F.col("source_size").cast("double")).over(Window.partitionBy())
+    t = running(t, [F.col("cap") / F.col("weight"), F.col("nth")], caps=F.col("cap"), weights=F.col("weight"))
+    whole = t.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).collect()[0]
     # with the smaller ratios capped the others share the rest; the level peaks where no more cap is met
-    t = t.withColumn("level", (total - before) / rest)
-    level = F.max("level").over(Window.partitionBy())
-    return t.select("source", "source_size", "nth", "weight", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
+    level = (F.lit(whole[0]) - (F.col("caps") - F.col("cap"))) / (F.lit(whole[1]) - F.col("weights") + F.col("weight"))
+    peak = t.agg(F.max(level)).collect()[0][0]
+    return t.select("source", "source_size", "nth", "weight", F.least(F.col("cap"), F.lit(peak).cast("double") * F.col("weight")).alias("target"))
 
 
 def ranges(sizes: DataFrame, weights=WEIGHTS, most: float = MAX_REPEATS, buckets: int = BUCKETS) -> DataFrame:

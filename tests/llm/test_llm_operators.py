@@ -855,6 +855,17 @@ def test_mix_of_repeated_ids(spark, monkeypatch):
     assert len(set(at)) > 0.9 * len(at)
 
 
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(f"k{k:04d}" if k else None, rng.randrange(100)) for k in range(500)]
+    got = frames.running(spark.createDataFrame(rows, "k string, x int").repartition(6), [F.col("k").asc_nulls_last()], upto=F.col("x"), nth=F.lit(1)).collect()
+    total = 0
+    for n, (r, (k, x)) in enumerate(zip(sorted(got, key=lambda r: r["nth"]), sorted(rows, key=lambda r: (r[0] is None, r[0])), strict=True), 1):
+        total += x
+        assert (r["k"], r["upto"], r["nth"]) == (k, total, n)
+    assert frames.running(spark.createDataFrame([], "k string, x int"), [F.col("k")], s=F.col("x")).count() == 0
+
+
 def test_numbered_rows(spark):
     rows = spark.createDataFrame([("a", k) for k in range(500)] + [("b", 1), ("c", 2), ("c", 3)], "k string, x int")
     again = rows.groupBy("k").count().filter("count > 1").select("k")
