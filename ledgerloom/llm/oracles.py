@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import urlrules
+from .exactdedup import OP11_SQL
+from .infill import OP12_SQL
+from .merkle import OP13_SQL
 from .mixing import OP9_SQL
 
 _GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND vec_id IS NOT NULL"
@@ -66,4 +69,7 @@ best AS (SELECT row, arg_max(v, (c, f, -len(s), v)) AS v FROM subsets JOIN mined
 SELECT page_id, host, path, rule, coalesce(verdict, v, usual) AS verdict FROM tokens LEFT JOIN best USING (row), total
 """
 
-ORACLE = {"op7_urlrules": OP7_SQL, "op3_topk": OP3_SQL, "op4_chat": OP4_SQL, "op5_neardup": OP5_SQL, "op8_jaccard": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLE = {
+    "op3_topk": OP3_SQL, "op4_chat": OP4_SQL, "op5_neardup": OP5_SQL, "op7_urlrules": OP7_SQL, "op8_jaccard": OP8_SQL, "op9_mixing": OP9_SQL,
+    "op11_exactdedup": OP11_SQL, "op12_infill": OP12_SQL, "op13_merkle": OP13_SQL,
+}

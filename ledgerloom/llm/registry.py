@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, langid, mixing, neardup, oracles, packing, quality, topk, toxicity, urlrules
+from . import chat, exactdedup, infill, jaccard, langid, merkle, mixing, neardup, oracles, packing, quality, topk, toxicity, urlrules
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
+        "op11_exactdedup": exactdedup.op11_exactdedup,
+        "op12_infill": infill.op12_infill,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
