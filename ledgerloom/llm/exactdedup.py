@@ -28,7 +28,11 @@ from . import frames
 
 #: Bytes of source files that one micro-batch takes.
 BATCH_BYTES = 1 << 40
+#: Rows for each partition of the state at its first start (8 partitions at least), which fixes their number: each is a database of its own,
+#: of some 4 MB when empty and about 200 bytes a digest.
+STATE_ROWS = 1_000_000
 _ROW = "doc_id long, chars int, sha256 binary, file string, row long"
+_STATE_PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -67,10 +71,10 @@ def arrivals(spark: SparkSession, source: str, store: str, batch_bytes: int = BA
     writer.start(f"{store}/arrivals").awaitTermination()
 
 
-def entries(spark: SparkSession, store: str, key: Callable[[Column], Column], batch_bytes: int = BATCH_BYTES) -> None:
+def entries(spark: SparkSession, store: str, key: Callable[[Column], Column], state_partitions: int, batch_bytes: int = BATCH_BYTES) -> None:
     """Pass new arrivals through the state; each micro-batch writes the entries it changed to ``store``/entries."""
     session = spark.newSession()  # the state's settings stay there
-    for k, v in _STATE.items():
+    for k, v in (_STATE | {_STATE_PARTITIONS: state_partitions}).items():
         session.conf.set(k, v)
     new = session.readStream.schema(_ROW).option("maxFileAge", "36500d").option("maxBytesPerTrigger", batch_bytes).parquet(f"{store}/arrivals")
     state = new.groupBy(key(F.col("sha256")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min(keeper()).alias("keeper"))
@@ -104,7 +108,7 @@ def collided(hits: DataFrame) -> DataFrame:
     return ends.filter("low != high").select("key")
 
 
-def deduplicated(spark: SparkSession, source: str, store: str | None = None, key: Callable[[Column], Column] = lambda sha256: sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def deduplicated(spark: SparkSession, source: str, store: str | None = None, key: Callable[[Column], Column] = lambda sha256: sha256, batch_bytes: int = BATCH_BYTES, state_partitions: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, file, row) of every row of the Parquet files at ``source``.
 
     ``store`` is a folder that driver and executors share and that keeps the streams' state between calls; without one, a new folder
@@ -114,8 +118,8 @@ def deduplicated(spark: SparkSession, source: str, store: str | None = None, key
     if spark.read.parquet(source).isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, file string, row long")
     arrivals(spark, source, store, batch_bytes)
-    entries(spark, store, key, batch_bytes)
     rows = spark.read.schema(_ROW).parquet(f"{store}/arrivals").withColumn("key", key(F.col("sha256")))
+    entries(spark, store, key, state_partitions or max(8, rows.count() // STATE_ROWS), batch_bytes)
     known = frames.stored(latest(spark, store), "entries")
     again = frames.stored(rows.join(known.filter("n > 1").select("key"), "key", "left_semi"), "hits")
     hits = contents(spark, source, again)
