@@ -2,12 +2,15 @@
 
 URLs that a hand-written rule fits are the labelled transactions: their host labels and path segments, and the verdict
 as one more item. FP-growth mines token combinations; rules {tokens} -> verdict are pruned by support and confidence,
-then those that a shorter rule makes redundant (no verdict depends on them), filed in an inverted index under their rarest token, and matched against the tokens of every other URL. The rule
+filed in an inverted index under their rarest token, and matched against the tokens of every other URL. The rule
 of highest confidence (then support, then fewer tokens) decides; without one the more common label does.
 
-Everything is DataFrame operations. Support and confidence alone decide what is mined: a labelled url of t tokens holds 2^t
-combinations, so at most their mean / MIN_SUPPORT combinations are frequent, whatever the number of urls. Up to ``LITERAL_RULES``
-rules are one constant; more are a broadcast table, joined to the distinct token lists.
+Everything is DataFrame operations, and support and confidence alone decide what is mined. Tokens found in exactly the same labelled rows
+are one item: a rule on it fires on any of them. Combinations are mined under their rarest item, over that item's rows,
+without the items that all those rows hold: adding one of these changes neither support nor confidence, only the length. So a long path
+that many urls share, whole or cut at any depth, gives one rule for each segment and not one for each subset.
+Rules that one of their items, or all but one, gives as surely are dropped by joins (no verdict depends on them). Up to
+``LITERAL_RULES`` rules are one constant; more are a table, joined to the distinct token lists, broadcast if small.
 
 Defined results: a null url or one without ``://`` has empty host and path, hence no tokens, and gets the default
 verdict (``allow`` if no url is labelled); every row gives one row, repeated rows too. Extra columns are left alone.
@@ -15,14 +18,16 @@ verdict (``allow`` if no url is labelled); every row gives one row, repeated row
 
 from __future__ import annotations
 
-import itertools
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .frames import bounded, stored
+
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_SUPPORT = 0.005
@@ -30,7 +35,6 @@ MIN_CONFIDENCE = 0.6
 #: So many rules are matched as a constant, more as a table; the verdicts are the same.
 LITERAL_RULES = 1000
 
-_LABEL = "verdict="
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,72 +63,127 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(part("h:", host, r"\."), part("p:", path, "/")))
 
 
+def _constant(value, kind: str) -> Column:
+    """One constant, folded once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 @dataclass(frozen=True)
 class UrlModel:
     default: str = "allow"
-    #: (tokens, verdict, confidence, support), each under its rarest token
-    index: dict[str, list[tuple[list[str], str, float, float]]] = field(default_factory=dict)
+    #: each frequent token's item: the first of the tokens that the same labelled rows hold
+    items: dict[str, str] = field(default_factory=dict)
+    #: (token, t, v, c, s): rules {items t} -> verdict v with confidence and support, each under its rarest item; stored
+    rules: DataFrame | None = None
+
+    @property
+    def index(self) -> dict[str, list[tuple[list[str], str, float, float]]]:
+        """The rules by their rarest items, if they are few."""
+        out: dict[str, list] = {}
+        for r in [] if self.rules is None else self.rules.limit(LITERAL_RULES).collect():
+            out.setdefault(r["token"], []).append((r["t"], r["v"], r["c"], r["s"]))
+        return out
+
+    def held(self, tokens: Column) -> Column:
+        """The distinct items of some tokens."""
+        of = _constant(self.items, "map<string,string>")
+        return F.array_distinct(F.filter(F.transform(tokens, lambda t: of[t]), lambda x: x.isNotNull()))
 
     def verdict(self, tokens: Column) -> Column:
-        if not self.index:
+        return self._best(self.held(tokens), self.index)
+
+    def _best(self, items: Column, index: dict) -> Column:
+        if not index:
             return F.lit(self.default)
-        kind = "map<string,array<struct<t:array<string>,v:string,c:double,s:double>>>"
-        text = json.dumps({k: [dict(zip("tvcs", r, strict=True)) for r in rows] for k, rows in self.index.items()})
-        index = F.from_json(F.lit(text), kind)  # one constant, folded once
-        near = F.flatten(F.filter(F.transform(tokens, lambda t: index[t]), lambda x: x.isNotNull()))
-        fired = F.filter(near, lambda r: F.size(F.array_except(r["t"], tokens)) == 0)
+        index = _constant({k: [dict(zip("tvcs", r, strict=True)) for r in rows] for k, rows in index.items()}, "map<string,array<struct<t:array<string>,v:string,c:double,s:double>>>")
+        near = F.flatten(F.filter(F.transform(items, lambda t: index[t]), lambda x: x.isNotNull()))
+        fired = F.filter(near, lambda r: F.size(F.array_except(r["t"], items)) == 0)
         best = F.array_max(F.transform(fired, lambda r: F.struct(r["c"].alias("c"), r["s"].alias("s"), (-F.size(r["t"])).alias("n"), r["v"].alias("v"))))
         return F.coalesce(best["v"], F.lit(self.default))
 
     def judged(self, rows: DataFrame) -> DataFrame:
         """``rows`` with a column ``_mined``: the verdict on the column ``_tokens``."""
-        rules = [(k, *r) for k, under in self.index.items() for r in under]
-        if len(rules) <= LITERAL_RULES:
-            return rows.withColumn("_mined", self.verdict(F.col("_tokens")))
-        table = F.broadcast(rows.sparkSession.createDataFrame(rules, "token string, t array<string>, v string, c double, s double"))
-        lists = rows.select("_tokens").distinct()
-        fired = lists.select("_tokens", F.explode("_tokens").alias("token")).join(table, "token").filter(F.size(F.array_except("t", "_tokens")) == 0)
-        best = fired.groupBy("_tokens").agg(F.max(F.struct("c", "s", (-F.size("t")).alias("n"), "v"))["v"].alias("_mined"))
-        return rows.join(best, "_tokens", "left").withColumn("_mined", F.coalesce("_mined", F.lit(self.default)))
-
-
-def irredundant(rules: list[tuple[frozenset, str, float]]) -> list[bool]:
-    """For each (tokens, verdict, confidence): whether no rule on fewer of its tokens gives the verdict at least as surely."""
-    sure = {(t, v): c for t, v, c in rules}
-    known: dict[tuple[frozenset, str], float] = {}
-
-    def within(t: frozenset, v: str) -> float:
-        """Highest confidence of a rule for v on tokens of t, all or some."""
-        if (t, v) not in known:
-            known[t, v] = max([sure.get((t, v), 0.0)] + [within(t - {x}, v) for x in t])
-        return known[t, v]
-
-    return [max((within(t - {x}, v) for x in t), default=0.0) < c for t, v, c in rules]
+        if self.rules is None:
+            return rows.withColumn("_mined", F.lit(self.default))
+        rows = rows.withColumn("_items", F.array_sort(self.held(F.col("_tokens"))))
+        if self.rules.count() <= LITERAL_RULES:
+            return rows.withColumn("_mined", self._best(F.col("_items"), self.index)).drop("_items")
+        lists = rows.select("_items").distinct()
+        fired = lists.select("_items", F.explode("_items").alias("token")).join(bounded(self.rules), "token").filter(F.size(F.array_except("t", "_items")) == 0)
+        best = fired.groupBy("_items").agg(F.max(F.struct("c", "s", (-F.size("t")).alias("n"), "v"))["v"].alias("_mined"))
+        return rows.join(best, "_items", "left").withColumn("_mined", F.coalesce("_mined", F.lit(self.default))).drop("_items")
+
+
+def frequent_items(labelled: DataFrame, least: int) -> tuple[dict[str, str], dict[str, int]]:
+    """Each token of at least ``least`` rows with its item, and each item's number of rows, the rarest first. Row sets are told apart by counts and two sums of row hashes."""
+    of = lambda seed: F.bit_xor(F.xxhash64("at", F.lit(seed)))
+    seen = labelled.withColumn("at", F.monotonically_increasing_id()).select("at", F.explode(F.array_distinct("tokens")).alias("token"))
+    often = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), of(1).alias("x"), of(2).alias("y")).filter(F.col("n") >= least)
+    often = often.select("token", "n", F.min("token").over(Window.partitionBy("n", "x", "y")).alias("item")).collect()  # mean tokens / min_support at most
+    return {r["token"]: r["item"] for r in often}, dict(sorted({r["item"]: r["n"] for r in often}.items(), key=lambda x: (x[1], x[0])))
+
+
+def combinations(rows: DataFrame, counts: list[int], verdicts: list[str], least: int) -> DataFrame:
+    """rows: (items: numbers, ascending, rarest first; verdict). (t, v, n, k): combinations of two items and more that ``k`` rows of
+    verdict v hold, of ``n``; without those in which the rarest item's rows all hold another one."""
+    width = len(counts) + len(verdicts)
+    later = lambda i: F.slice("items", i + 2, F.size("items"))
+    pairs = F.transform("items", lambda x, i: F.transform(later(i), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    met = rows.select(F.inline(F.flatten(pairs))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    implied = met.filter(F.col("n") == _constant(counts, "array<long>")[F.col("x").cast("int")]).groupBy("x").agg(F.collect_set("y").alias("always"))
+    label = F.array_position(_constant(verdicts, "array<string>"), F.col("verdict")) - 1 + len(counts)
+    under = rows.select(label.alias("label"), "items", F.posexplode("items").alias("i", "x")).select("label", "x", later(F.col("i")).alias("rest"))
+    under = under.join(bounded(stored(implied, "url-implied")), "x", "left")
+    under = under.select("label", "x", F.array_except("rest", F.coalesce("always", F.array().cast("array<long>"))).alias("rest")).filter(F.size("rest") > 0)
+    baskets = stored(under.select(F.transform(F.array_append("rest", F.col("label")), lambda y: F.col("x") * width + y).alias("basket")), "url-baskets")
+    many = baskets.count()
+    if not many:
+        return rows.sparkSession.createDataFrame([], "t array<long>, v string, n long, k long")
+    sets = FPGrowth(itemsCol="basket", minSupport=(least - 0.5) / many).fit(baskets).freqItemsets
+    parts = F.array_sort(F.transform("items", lambda i: i % width))
+    sets = sets.select(F.floor(F.element_at("items", 1) / width).alias("x"), parts.alias("y"), F.col("freq").alias("k"))
+    sets = sets.select(F.concat(F.array("x"), F.filter("y", lambda y: y < len(counts))).alias("t"), (F.element_at("y", -1) - len(counts)).alias("label"), "k")
+    sets = stored(sets.filter(F.size("t") > 1), "url-sets")
+    name = _constant(verdicts, "array<string>")
+    of = sets.filter("label < 0").select("t", F.col("k").alias("n"))
+    return sets.filter("label >= 0").select("t", name[F.col("label").cast("int")].alias("v"), "k").join(of, "t").select("t", "v", "n", "k")
+
+
+def irredundant(rules: DataFrame) -> DataFrame:
+    """The rules (t, v, c, ...) but those that one item of theirs, or all but one, gives at least as surely."""
+    known = rules.select(F.col("t").alias("less"), "v", F.col("c").alias("sure"))
+    several = rules.filter(F.size("t") > 1)
+    fewer = F.transform("t", lambda x, i: F.concat(F.slice("t", 1, i), F.slice("t", i + 2, F.size("t"))))
+    less = several.select("t", "v", "c", F.explode(F.array_distinct(F.concat(fewer, F.transform("t", lambda x: F.array(x))))).alias("less"))
+    same = less.join(known, ["less", "v"]).filter("sure >= c").select("t", "v").distinct()
+    return rules.join(same, ["t", "v"], "left_anti")
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> UrlModel:
     """Learn from a table (tokens, verdict)."""
-    counts = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
+    found = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(found.values())
     if not total:
         return UrlModel()
-    default = max(sorted(counts), key=counts.get)
-    if len(counts) < 2:
+    default = max(sorted(found), key=found.get)
+    if len(found) < 2:
         return UrlModel(default)
-    seen = labelled.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    often = {r["token"]: r["n"] for r in seen.filter(F.col("n") >= min_support * total).collect()}  # mean tokens / min_support at most
-    if not often:
+    least = max(1, math.ceil(min_support * total))
+    items, counts = frequent_items(labelled, least)
+    if not items:
         return UrlModel(default)
-    baskets = labelled.select(F.array_append(F.array_distinct("tokens"), F.concat(F.lit(_LABEL), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    mined = model.associationRules.filter(F.element_at("consequent", 1).startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
-    best = mined.select(F.array_sort("antecedent").alias("t"), F.substring(F.element_at("consequent", 1), len(_LABEL) + 1, 1000).alias("v"), "confidence", "support")
-    best = sorted(best.collect(), key=lambda r: (-r["confidence"], -r["support"], len(r["t"]), r["t"]))
-    needed = irredundant([(frozenset(r["t"]), r["v"], r["confidence"]) for r in best])
-    index: dict[str, list] = {}
-    for r in itertools.compress(best, needed):
-        index.setdefault(min(r["t"], key=lambda t: (often[t], t)), []).append((list(r["t"]), r["v"], r["confidence"], r["support"]))
-    return UrlModel(default, index)
+    names, counts, verdicts = list(counts), list(counts.values()), sorted(found)
+    number = _constant({t: names.index(x) for t, x in items.items()}, "map<string,long>")
+    numbers = F.array_sort(F.array_distinct(F.filter(F.transform("tokens", lambda t: number[t]), lambda x: x.isNotNull())))
+    rows = stored(labelled.select(numbers.alias("items"), "verdict"), "url-items")
+    single = rows.select(F.explode("items").alias("x"), F.col("verdict").alias("v")).groupBy("x", "v").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least)
+    single = single.select(F.array("x").alias("t"), "v", _constant(counts, "array<long>")[F.col("x").cast("int")].alias("n"), "k")
+    rules = single.unionByName(combinations(rows, counts, verdicts, least)).withColumn("c", F.col("k") / F.col("n")).filter(F.col("c") >= min_confidence)
+    rules = irredundant(stored(rules, "url-rules"))
+    name = _constant(names, "array<string>")
+    named = F.transform("t", lambda x: name[x.cast("int")])
+    rules = rules.select(named[0].alias("token"), F.array_sort(named).alias("t"), "v", "c", (F.col("k") / F.lit(total)).alias("s"))
+    return UrlModel(default, items, stored(rules, "url-rules"))
 
 
 def judged(pages: DataFrame, rules=RULES, **mining) -> DataFrame:
