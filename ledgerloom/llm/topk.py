@@ -11,7 +11,7 @@ their error say which scores may be among the best k, and when to stop; these fe
 
 Defined results: vectors that are null or hold null or non-finite components, or a component whose 256-fold is beyond a double, take
 no part; a vector is compared with those of its own length; ties go to the smaller vec_id; null vec_ids take no part; a row is nobody's
-own candidate (equal vec_id); rows of a repeated vec_id are candidates each, and as queries share one ranking. Ranks follow the exact
+own candidate (equal vec_id); rows of a repeated vec_id are candidates each, and queries with a ranking each. Ranks follow the exact
 scores; a score beyond a long is shown as the nearest long. No query, or no candidate: no rows.
 """
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .frames import stored
+
 K = 5
 QUERY_EVERY = 50
 CANDIDATE_BLOCK = 16384
@@ -152,11 +154,13 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     blocks, q_blocks = max(1, -(-n["n"] // CANDIDATE_BLOCK)), max(1, -(-n["q"] // QUERY_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     block = lambda m, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(m)).cast("int")
-    c = rows.select("dim", every(q_blocks).alias("qb"), block(blocks, 1).alias("cb"), F.lit(False).alias("asks"), "vec_id", "v")
-    q = rows.filter("is_query").select("dim", block(q_blocks, 2).alias("qb"), every(blocks).alias("cb"), F.lit(True).alias("asks"), "vec_id", "v")
+    asking = stored(rows.filter("is_query").withColumn("row", F.monotonically_increasing_id()), "queries")
+    c = rows.select("dim", every(q_blocks).alias("qb"), block(blocks, 1).alias("cb"), F.lit(-1).cast("long").alias("row"), "vec_id", "v")
+    q = asking.select("dim", F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int").alias("qb"), every(blocks).alias("cb"), "row", "vec_id", "v")
 
     def search(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
+        row = group.column("row").to_numpy()
+        asks = row >= 0
         ids = group.column("vec_id").to_numpy()
         v = group.column("v").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         big = np.abs(v.astype(np.float64)).max(initial=0)
@@ -164,16 +168,18 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         if v.shape[1] == 0 or big < 2.0**53 / big / v.shape[1]:
             s, i = threshold_topk(args[0], args[1].astype(np.float64), args[2], args[3].astype(np.float64), k)
             has = ~np.isneginf(s)
-            found = (np.repeat(args[2], has.sum(axis=1)), i[has], s[has].astype(np.int64), [None] * int(has.sum()))
+            many = has.sum(axis=1)
+            found = (np.repeat(row[asks], many), np.repeat(args[2], many), i[has], s[has].astype(np.int64), [None] * int(has.sum()))
         else:
             best = exact_topk(*args, k)
             shown = [_shown(s) for b in best for s, _ in b]
-            found = (np.repeat(args[2], [len(b) for b in best]), [i for b in best for _, i in b], [s for s, _ in shown], [b for _, b in shown])
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "beyond": pa.binary()}
+            many = [len(b) for b in best]
+            found = (np.repeat(row[asks], many), np.repeat(args[2], many), [i for b in best for _, i in b], [s for s, _ in shown], [b for _, b in shown])
+        kinds = {"row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "beyond": pa.binary()}
         return pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), found, strict=True)})
 
-    found = c.unionAll(q).groupBy("dim", "qb", "cb").applyInArrow(search, "query_id long, vec_id long, score long, beyond binary")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
+    found = c.unionAll(q).groupBy("dim", "qb", "cb").applyInArrow(search, "row long, query_id long, vec_id long, score long, beyond binary")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
