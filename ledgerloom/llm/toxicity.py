@@ -196,11 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **traini
         b, offs = bs.buffer_of(texts)
         return pa.array([bag(b[i:j], chosen).tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
 
-    held = stored(rows.select("y", F.arrow_udf(bags, "binary")("text").alias("bag")), "toxicity-bags")
-    size = held.agg(F.coalesce(F.sum(F.length("bag") / 4), F.lit(0))).collect()[0][0]
-    if size > MOST_NUMBERS:
-        held = held.filter(share(F.col("bag"), 13) < MOST_NUMBERS / size)
-    got = held.toArrow()
+    held = stored(rows.select("y", F.arrow_udf(bags, "binary")("text").alias("bag")).withColumn("at", F.monotonically_increasing_id()), "toxicity-bags")
+    drawn = F.struct(share(F.col("bag"), 13).alias("share"), "at")
+    sizes = held.groupBy("y").agg(F.sum(F.length("bag") / 4).alias("size"), F.min(drawn).alias("first")).collect()  # a row for each class
+    if sum(r["size"] for r in sizes) > MOST_NUMBERS:  # half for each class, and its first document in any case
+        picks = [(F.col("y") == r["y"]) & ((share(F.col("bag"), 13) < MOST_NUMBERS / 2 / r["size"]) | (F.col("at") == r["first"]["at"])) for r in sizes]
+        held = held.filter(picks[0] | picks[1])
+    got = held.select("y", "bag").toArrow()
     got = sorted(zip(got.column("y").to_pylist(), (x.as_py() for x in got.column("bag")), strict=True))
     ids, sentences, sizes, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
     for _, raw in got:
@@ -224,7 +226,7 @@ def examined(text: Column, model: ToxicityModel, threshold: float = THRESHOLD) -
     def toxicity(texts: pa.Array) -> pa.Array:
         b, offs = bs.buffer_of(texts)
         clean, owner, start, end = model.sentences(b, offs)
-        score = np.clip(-np.expm1(bs.run_sums(clean, bs.slices(owner, len(offs) - 1))), 0, 1)
+        score = np.clip(-np.expm1(bs.run_sums(clean, bs.slices(owner, len(offs) - 1))), 0, 1) + 0.0  # no -0.0
         p = -np.expm1(clean)
         bad = np.flatnonzero(p >= threshold)
         base = offs[owner[bad]]
@@ -240,7 +242,7 @@ def scored(text: Column, model: ToxicityModel) -> Column:
 
     @F.arrow_udf("double")
     def toxicity_score(texts: pa.Array) -> pa.Array:
-        return pa.array(np.clip(model.probability(*bs.buffer_of(texts)), 0, 1))
+        return pa.array(np.clip(model.probability(*bs.buffer_of(texts)), 0, 1) + 0.0)
 
     return toxicity_score(text)
 
