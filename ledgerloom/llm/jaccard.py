@@ -243,7 +243,7 @@ def parity_difference(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-_ROW = "doc_id long, n long, f1 long, f2 long, keys array<long>, prefix binary, sketch binary"
+_ROW = "doc_id long, h1 long, h2 long, n long, f1 long, f2 long, keys array<long>, prefix binary, sketch binary"
 
 
 def fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -273,13 +273,13 @@ def min_hash_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def rows_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, keys, prefix, sketch): set size, fingerprint, four min-hash keys, first columns in the global order, parities."""
+    """(doc_id, h1, h2, n, f1, f2, keys, prefix, sketch): two hashes of the text, set size, fingerprint, four min-hash keys, first columns in the global order, parities."""
     spread = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common).astype(np.int64)))  # at most COMMON_COLUMNS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, rank = spread.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            names = ["doc_id", "h1", "h2"]
             for i, j, h, at in _sets(batch):
                 n = np.diff(at)
                 hot, ranks = np.zeros(len(h), bool), [np.zeros(0, np.int64)]
@@ -300,25 +300,29 @@ def rows_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     prefix.append(rare.tobytes())
                     sketch.append(parity(part))
                 keys, f = min_hash_keys(h, at), fingerprints(h, at)
-                cols = [ids.slice(i, j - i), pa.array(n), pa.array(f[0]), pa.array(f[1])]
+                cols = [*(batch.column(c).slice(i, j - i) for c in names), pa.array(n), pa.array(f[0]), pa.array(f[1])]
                 cols += [pa.array(list(keys), pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "keys", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays(cols, [*names, "n", "f1", "f2", "keys", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _ROW)
+    return _hashed(docs).mapInArrow(build, _ROW)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h1, h2): two hashes that tell the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
 
 
 def one_text_each(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """(doc_id, text) of rows with an id, equal rows of the doc_ids in ``again`` once."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    """(doc_id, text, h1, h2) of rows with an id, equal rows of the doc_ids in ``again`` once."""
+    docs = _hashed(docs).filter("doc_id is not null")
     if again.isEmpty():
         return docs
     near = marked(docs, "doc_id", again)
-    twice = near.filter("_hit").withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1))).dropDuplicates(["doc_id", "h1", "h2"])
-    return near.filter("not _hit").select("doc_id", "text").unionByName(twice.select("doc_id", "text"))
+    return near.filter("not _hit").drop("_hit").unionByName(near.filter("_hit").drop("_hit").dropDuplicates(["doc_id", "h1", "h2"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs: (a, b) of rows; sets: (row, doc_id, f1, f2), stored; texts: (doc_id, text). The (a, b) of doc_ids whose rows' texts link, counted over whole sets.
+    """pairs: (a, b) of rows; sets: (row, doc_id, h1, h2, f1, f2), stored; texts: (doc_id, text, h1, h2). The (a, b) of doc_ids whose rows' texts link, counted over whole sets.
 
     Texts of the rows met are dealt to the pairs' first rows, a row with many partners in several parts, and cut into shingles there.
     What is joined on a row is a stored table or dealt anew, so that adaptive execution can split a row with very many partners.
@@ -327,9 +331,9 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     fan = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("fan")), "pair-fans")
     right = pairs.join(fan, "a").select(F.col("b").alias("row"), "a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), F.lit(False).alias("own"))
     left = fan.select(F.col("a").alias("row"), "a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(True).alias("own"))
-    sides = stored(right.unionAll(left).join(sets.select("row", "doc_id", "f1", "f2"), "row").drop("row"), "pair-sides")
+    sides = stored(right.unionAll(left).join(sets.select("row", "doc_id", "h1", "h2", "f1", "f2"), "row").drop("row"), "pair-sides")
     ids = stored(sides.select("doc_id").distinct(), "pair-ids")
-    rows = marked(texts, "doc_id", ids).filter("_hit").select("doc_id", "text").join(sides, "doc_id")
+    rows = marked(texts, "doc_id", ids).filter("_hit").drop("_hit").join(sides, ["doc_id", "h1", "h2"]).drop("h1", "h2")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,7 +568,7 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = stored(rows_of(docs, common_columns(docs)).withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
     known = rows.filter("n > 0 and doc_id is not null")
-    sets = known.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "row", "keys", "sketch")).alias("low"))
+    sets = known.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "row", "h1", "h2", "keys", "sketch")).alias("low"))
     sets = stored(sets.select("n", "f1", "f2", "low.*"), "shingle-sets")
     sketches = sets.select("row", "n", "sketch")
     of = F.struct("n", "f1", "f2")
