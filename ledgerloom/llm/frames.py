@@ -127,8 +127,19 @@ def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_bits: int = 1 << 28) -> DataFrame:
-    """Adds ``_hit``: false only where ``key`` is surely not among ``ids`` (one column of that name, distinct, not null).
+def free(df: DataFrame, *names: str) -> list[str]:
+    """For each name, one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_bits: int = 1 << 28, hit: str = "_hit") -> DataFrame:
+    """Adds ``hit``, a name that no column has: false only where ``key`` is surely not among ``ids`` (one column of that name, distinct, not null).
 
     A bit table of the ids, at most ``max_bits`` / 8 bytes (32 MB) whatever the input, is broadcast in slices of 4 KB.
     """
@@ -137,12 +148,13 @@ def marked(df: DataFrame, key: str, ids: DataFrame, bits_per_id: int = 10, max_b
     while bits < min(max_bits, bits_per_id * n):
         bits *= 2
     p = F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(bits))
-    marks = ids.select((p % 32768).alias("_p"), F.floor(p / 32768).cast("long").alias("_slice"))
-    marks = marks.groupBy("_slice").agg(F.bitmap_construct_agg("_p").alias("_bits"))
-    byte = F.conv(F.hex(F.col("_bits").substr(F.floor((p % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), p % 8)) % 2 == 1, F.lit(False))
-    joined = df.join(F.broadcast(marks), F.floor(p / 32768).cast("long") == F.col("_slice"), "left")
-    return joined.withColumn("_hit", hit).drop("_slice", "_bits")
+    part, held = free(df, "_slice", "_bits")
+    marks = ids.select((p % 32768).alias("_p"), F.floor(p / 32768).cast("long").alias(part))
+    marks = marks.groupBy(part).agg(F.bitmap_construct_agg("_p").alias(held))
+    byte = F.conv(F.hex(F.col(held).substr(F.floor((p % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), p % 8)) % 2 == 1, F.lit(False))
+    joined = df.join(F.broadcast(marks), F.floor(p / 32768).cast("long") == F.col(part), "left")
+    return joined.withColumn(hit, found).drop(part, held)
 
 
 def drop_ids(df: DataFrame, key: str, ids: DataFrame, once: DataFrame) -> DataFrame:
@@ -150,10 +162,11 @@ def drop_ids(df: DataFrame, key: str, ids: DataFrame, once: DataFrame) -> DataFr
 
     Rows that the bit table of both clears stay where they are; only the others are joined.
     """
-    rows = marked(df, key, ids.union(once).distinct())
-    near = rows.filter("_hit").drop("_hit").join(ids, key, "left_anti")
+    (hit,) = free(df, "_hit")
+    rows = marked(df, key, ids.union(once).distinct(), hit=hit)
+    near = rows.filter(F.col(hit)).drop(hit).join(ids, key, "left_anti")
     twice = near.join(once, key, "left_semi").dropDuplicates([key])
-    return rows.filter("not _hit").drop("_hit").unionByName(near.join(once, key, "left_anti")).unionByName(twice)
+    return rows.filter(~F.col(hit)).drop(hit).unionByName(near.join(once, key, "left_anti")).unionByName(twice)
 
 
 def numbered(rows: DataFrame, key: str, again: DataFrame, name: str, salt_rows: int = SALT_ROWS) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import numbered, running, stored
+from .frames import free, numbered, running, stored
 
 WEIGHTS = (5, 2, 1)
 #: (weight at the start, weight at the end) of training, of each weight class: heavy sources rise, light ones fall.
@@ -111,16 +111,19 @@ def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = MAX_REPEATS) -> DataFrame:
-    """Every copy of a document that the mix takes, with its columns, ``mix_copy`` and ``mix_position``, range-sorted by position."""
+    """Every copy of a document that the mix takes, with its columns (but any of these names), ``mix_copy`` and ``mix_position``, range-sorted by position."""
+    (same,) = free(docs, "_same")
     sizes, again = _sized(docs)
     table = ranges(sizes.select("source", "size", F.col("_place").alias("place")), weights, most)
-    rows = numbered(docs.withColumn("_same", identity(F.col("doc_id"), F.col("text"), F.col("source"))), "_same", again, "_number")
+    kept = docs.select(F.struct(*docs.columns).alias("kept"), "source", identity(F.col("doc_id"), F.col("text"), F.col("source")).alias("_same"))
+    rows = numbered(kept, "_same", again, "_number")
     rows = rows.withColumn("_place", place(F.col("_same"), F.col("_number")))
     p = placed(rows, table, most).filter("_copies > 0")
     p = p.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = F.try_divide(F.col("_mid") + F.col("mix_copy") * F.col("_source_size"), F.col("_target"))
-    out = p.select(*docs.columns, "mix_copy", position(share, F.col("_nth"), schedules).alias("mix_position"), "_same")
-    return out.repartitionByRange(F.col("mix_position"), F.col("_same")).sortWithinPartitions("mix_position", "_same").drop("_same")
+    of = [F.col("kept")[c].alias(c) for c in docs.columns if c not in ("mix_copy", "mix_position")]
+    out = p.select(*of, "mix_copy", position(share, F.col("_nth"), schedules).alias("mix_position"), p["_same"].alias(same))
+    return out.repartitionByRange(F.col("mix_position"), F.col(same)).sortWithinPartitions("mix_position", same).drop(same)
 
 
 def taken(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
