@@ -222,8 +222,11 @@ class UnitTokens:
 _loaded: dict[str, UnitTokens] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document, and its columns ``keep``."""
     text_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,16 +236,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         end = np.array([END_ID], np.uint32)
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.ids(batch.column("text")), strict=True):
+            of = []
+            for n, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), tokens.ids(batch.column("text")), strict=True)):
                 ids = np.concatenate([ids, end])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
+                    of.append(n)
                     for c, x in zip(cols, (doc_id, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes())), strict=True):
                         c.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kept = [batch.column(c).take(pa.array(of, pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *kept], [*_PIECE, *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    kinds = "".join(f", `{c}` {kind}" for c, kind in docs.select(*keep).dtypes)
+    return docs.select("doc_id", "text", *keep).mapInArrow(cut, f"doc_id long, piece int, start long, length long, ids_crc32 long{kinds}")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -337,17 +344,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(runs, np.int64).reshape(-1, 6), n_seq
 
 
-def packed(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
+def packed(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece, and its document's columns ``keep`` (none of these names)."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
-    cut = pieces(docs, tokenizer_path, capacity).withColumn("at", F.monotonically_increasing_id())
-    return assigned(stored(cut, "pieces"), capacity)
+    cut = pieces(docs, tokenizer_path, capacity, keep).withColumn("at", F.monotonically_increasing_id())
+    return assigned(stored(cut, "pieces"), capacity, keep)
 
 
-def assigned(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def assigned(cut: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces, whose rows are told apart by ``at`` (from 0)."""
     n = cut.count()
     salts = max(1, -(-n // SALT_ROWS))
@@ -371,7 +378,7 @@ def assigned(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         seq, off = run[:, 3] + r // run[:, 4], run[:, 5] + r % run[:, 4] * n
         return pa.StructArray.from_arrays([pa.array(seq), pa.array(off)], names=["sequence_id", "offset"])
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = [*_PIECE, *keep]
     seated = ranked.select(*names, F.arrow_udf(seat, "struct<sequence_id:bigint,offset:bigint>")("length", "rank").alias("_s"))
     seated = seated.select(*names, "_s.sequence_id", "_s.offset")
     # full pieces: a sequence each, numbered below zero

@@ -250,6 +250,9 @@ def test_quality(spark, prose):
     assert quality.score(df, _labels(spark, [])).agg(F.avg("score")).collect()[0][0] == 0.5
     assert quality.score(docs_of(spark, []), _labels(spark, labels)).count() == 0
     assert quality.good(df, _labels(spark, labels)).columns == df.columns
+    clash = df.withColumns({c: F.lit("clash") for c in ("quality", "score", "y", "w", "x", "z", "fold", "_score", "predicted", "held_out")})
+    assert {(r["doc_id"], r["score"]) for r in quality.score(clash, _labels(spark, labels)).collect()} == {(i, r["score"]) for i, r in got.items()}
+    assert quality.good(clash, _labels(spark, labels)).columns == clash.columns
 
 
 def test_statistics_of_long_texts():
@@ -340,7 +343,17 @@ def test_toxicity_against_a_plain_scorer(spark, prose):
     finally:
         toxicity.WINDOW_BYTES = old
     one = _labels(spark, [(i, 1, 1) for i, *_ in prose])
-    assert toxicity.score(df, one).agg(F.max("score")).collect()[0][0] == 0
+    assert {str(r["score"]) for r in toxicity.score(df, one).collect()} == {"0.0"}
+
+
+def test_toxicity_draws_each_class(spark, prose, monkeypatch):
+    """However few numbers may be learnt from, each class keeps a document."""
+    rows = [(i, t.replace(". ", " filthy! ", 2) if i % 4 == 0 else t, lang, s) for i, t, lang, s in prose]
+    df, labels = docs_of(spark, rows), _labels(spark, [(i, 1, int(i % 4 == 0)) for i, *_ in prose])
+    for most in (5, 300):
+        monkeypatch.setattr(toxicity, "MOST_NUMBERS", most)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(df, labels).collect()}
+        assert np.mean([got[i] for i, *_ in rows if i % 4 == 0]) > np.mean([got[i] for i, *_ in rows if i % 4]), most
 
 
 def test_isotonic_is_monotone():
@@ -399,7 +412,17 @@ def test_topk_keeps_rows_of_a_repeated_id(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 2)
     rows = [(0, [1, 0]), (0, [0, 1]), (1, [2, 0]), (1, [0, 3]), (2, [1, 1])]
     got = topk.topk(spark.createDataFrame(rows, "vec_id bigint, v array<bigint>"), F.col("vec_id") == 0)
-    assert sorted(tuple(r) for r in got.select("rank", "vec_id", "score").collect()) == [(1, 1, 3), (2, 1, 2), (3, 2, 1), (4, 2, 1), (5, 1, 0)]
+    assert sorted(tuple(r) for r in got.select("rank", "vec_id", "score").collect()) == [(1, 1, 2), (1, 1, 3), (2, 2, 1), (2, 2, 1), (3, 1, 0), (3, 1, 0)]
+
+
+def test_topk_ranks_each_row_of_a_repeated_query_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 3)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rows = [(50, [2, 1])] * 3 + [(i, [i % 4, i]) for i in range(1, 9)]
+    got = topk.topk(spark.createDataFrame(rows, "vec_id bigint, v array<bigint>"), F.col("vec_id") == 50).collect()
+    order = sorted((-(2 * (i % 4) + i), i) for i in range(1, 9))[:5]
+    want = [(50, r, i, -s) for r, (s, i) in enumerate(order, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want * 3) and len({r["vec_id"] for r in got}) == 5
 
 
 def test_threshold_algorithm_stops_early():
@@ -668,6 +691,54 @@ def test_every_frequent_host_gets_its_rule(spark, monkeypatch):
         assert [r["verdict"] for r in sorted(urlrules.judged(df).collect(), key=lambda r: r["page_id"])] == want
 
 
+def brute_verdicts(labelled, asked, least, confidence, default):
+    """The verdict of each token set, from all subsets of its tokens."""
+    out = []
+    for tokens in asked:
+        best = None
+        for m in range(1, 1 << len(tokens)):
+            t = {x for i, x in enumerate(sorted(tokens)) if m >> i & 1}
+            on = [v for x, v in labelled if t <= x]
+            for v in set(on):
+                if on.count(v) >= least and on.count(v) / len(on) >= confidence:
+                    best = max(best or (0,), (on.count(v) / len(on), on.count(v), -len(t), v))
+        out.append(best[3] if best else default)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdicts_of_merged_and_implied_tokens(spark, seed):
+    """Tokens of equal row sets, tokens that others imply, and plain ones, against all subsets."""
+    rng = random.Random(seed)
+    labelled = []
+    for _ in range(300):
+        t = {x for x in "abcd" if rng.random() < 0.4}
+        t |= {"e", "f", "g"} if "a" in t else set()
+        t |= {"p", "q"} if t & {"b", "c"} else set()
+        t |= {f"s{k}" for k in range(rng.randrange(5))}
+        labelled.append((t, "block" if ("a" in t) == ("b" in t) and rng.random() < 0.9 or "s3" in t else "allow"))
+    asked = [{x for x in "abcdefgpq" if rng.random() < 0.4} | {f"s{k}" for k in range(4) if rng.random() < 0.4} | {"new"} for _ in range(40)]
+    model = urlrules.mine(spark.createDataFrame([(sorted(t), v) for t, v in labelled], "tokens array<string>, verdict string"), 0.05, 0.6)
+    got = spark.createDataFrame([(k, sorted(t)) for k, t in enumerate(asked)], "k int, tokens array<string>").select("k", model.verdict(F.col("tokens")).alias("v")).collect()
+    votes = [v for _, v in labelled]
+    default = max(sorted(set(votes)), key=votes.count)
+    assert [r["v"] for r in sorted(got, key=lambda r: r["k"])] == brute_verdicts(labelled, asked, 15, 0.6, default)
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_long_shared_paths_give_few_rules(spark, cut):
+    """40 segments that 2 % of the urls share, whole or each cut elsewhere: 2**40 combinations."""
+    deep = "/".join(f"seg{k}" for k in range(40)).split("/")
+    shared = [f"http://deep.com/de/{'/'.join(deep[: 40 - (j % 20 if cut else 0)])}" for j in range(40)]
+    plain = [f"http://w{k % 50}.org/{k}" for k in range(1960)]
+    asked = ["http://x.net/seg3/seg7", "http://x.net/seg19", "http://w1.net/q"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(shared + plain + asked)], "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judged(df).collect()}
+    assert [got[2000 + k] for k in range(3)] == ["block", "block", "allow"]
+    parsed = df.limit(2000).select(urlrules.tokens_of(urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url"))).alias("tokens"), F.when(F.col("page_id") < 40, "block").otherwise("allow").alias("verdict"))
+    assert urlrules.mine(parsed).rules.count() < 150
+
+
 # 8
 
 
@@ -833,6 +904,43 @@ def test_mixing(spark, prose):
     assert mixing.taken(df.limit(0)).count() == 0
 
 
+def test_columns_with_clashing_names_pass(spark):
+    """Whatever the operators name their own columns, the caller's go through."""
+    rows = [(i % 50, f"{i % 50} some words of text number {i % 50} here", "en", f"s{i % 2}") for i in range(80)]
+    names = ["_place", "_same", "_number", "_slice", "_bits", "_hit", "_source", "_mid", "_copies", "_at", "_salt", "_within", "kept", "size", "h1", "row"]
+    df = docs_of(spark, rows).withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names})
+    mix = mixing.curriculum(df).collect()
+    one = jaccard.one_of_each(df).collect()
+    assert len({r["doc_id"] for r in one}) == len(one) > 40 and len(mix) > 40
+    for r in mix + one:
+        assert all(r[c] == f"{c} {r['doc_id']}" for c in names)
+    assert mixing.curriculum(df).columns == [*df.columns, "mix_copy", "mix_position"] and jaccard.one_of_each(df).columns == df.columns
+
+
+def test_texts_of_one_id_meet_their_own_rows_only(spark, monkeypatch):
+    """Different texts under one id are joined to pair sides by their hashes: a row for each text that was met."""
+    rng = random.Random(2)
+    base = [rng.choice(WORDS["en"]) + str(k) for k in range(60)]
+    rows = [(7, " ".join(base[:k] + [f"x{k}"] + base[k:]), "en", "s") for k in range(1, 41)]
+    rows += [(k + 100, t, "en", "s") for k, (_, t, *_) in enumerate(rows[:5])]
+    sides = []
+    old = jaccard.stored
+
+    def seen(df, name):
+        out = old(df, name)
+        if name == "pair-sides":
+            sides.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    df = docs_of(spark, rows)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.classes(df).collect()}
+    assert got == {(i, 7) for i in [7, *range(100, 105)]}
+    texts = jaccard.one_text_each(df, df.filter("doc_id = 7").select("doc_id").distinct())
+    for s in sides:
+        assert s.join(texts, ["doc_id", "h1", "h2"]).count() == s.count()
+
+
 def test_mix_of_repeated_ids(spark, monkeypatch):
     """Sources of 1,000 rows under one id or none come within one document of their target; numbers of equal rows are dealt over salts."""
     monkeypatch.setattr(frames.numbered, "__defaults__", (64,))

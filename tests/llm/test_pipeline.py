@@ -137,8 +137,21 @@ def test_odd_tables(spark, tmp_path, case):
     assert bool(out) == (case == "odd rows")  # without labels half is the score of all, which the threshold refuses
 
 
+def test_training_order_reaches_the_sequences(spark, tmp_path):
+    """Pieces by mix_file and mix_row follow each other as the curriculum's positions do, copies included."""
+    rows = [(i, f"word{i} and some more words of document {i} here", "en", f"s{i % 3}", 9) for i in range(300)] + [(7, "one more", "en", "s1", 1)]
+    write(spark, tmp_path, rows, [(0, 1, 0)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = [(r["doc_id"], r["text"]) for r in mixing.curriculum(docs).orderBy("mix_position").collect()]
+    mix = frames.stored(corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)), "mix")
+    out = corpus_pipeline.packing_stage(spark, mix, str(tmp_path)).collect()
+    firsts = sorted((r["mix_file"], r["mix_row"], r["doc_id"]) for r in out if r["piece"] == 0)
+    assert [i for _, _, i in firsts] == [i for i, _ in order]
+    assert len({(f, r) for f, r, _ in firsts}) == len(firsts) == len(order) and all(f.isascii() and f[:5].isdigit() for f, _, _ in firsts)
+
+
 def test_registered_queries():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names}
