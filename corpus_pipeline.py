@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import frames, jaccard, mixing, packing, quality, toxicity
 
@@ -30,7 +31,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs.select("doc_id", "text"))
+    """Packs the mix. ``mix_file`` and ``mix_row`` say where a document stood in it: read by them, sequences are in training order, and its copies are told apart."""
+    number = F.regexp_replace(F.col("_metadata.file_name"), r"^part-(\d+)-.*?(-c\d+)?\.[^-]*$", "$1$2")
+    placed = docs.select("doc_id", "text", number.alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    return packing.packed(placed, keep=("mix_file", "mix_row"))
 
 
 STAGES = [
