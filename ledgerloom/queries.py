@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import page_queries  # noqa: F401  (registers its queries, too)
+from . import file_queries, page_queries  # noqa: F401  (register their queries, too)
 from .functions import dates, geometry, money, numbers, text
 from .operators import candidates, certificates, documents, gate, identities, ingest, planner, reconcile, scoring, trace
 from .plans import mapped
