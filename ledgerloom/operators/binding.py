@@ -1,21 +1,29 @@
 """Bind each coerced value to the place on the page that carries it.
 
 values: (doc_id, key, type, value); regions: (doc_id, idx, text, bbox, confidence, source).
-A region read as a type has a key that equals the value's key exactly if it carries the value, so exact binding is an equi-join.
+A region read as a type has a key that equals the value's key exactly if it carries the value, so exact binding is an equi-join. So is
+binding to a run of regions: an index holds, under the same keys, what the runs of each row can carry. A value in one token (or a date in
+three, or a text in its words) is carried by every run over it, of which the one from the row's start to the value's end is the first; only an
+amount cut over regions needs runs from elsewhere, and these hold nothing but parts of amounts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import loose
-from ..functions.values import TYPES, carries, region_key, value_key
+from ..functions.money import CODES
+from ..functions.text import SPACE, loose, words
+from ..functions.values import TYPES, region_key, value_key
+from ..sources.shared import settled
 from .layout import MIN_OVERLAP, clustered
 
 # Why a value is not bound.
 ABSENT, NOT_FOUND, NO_REGIONS = "declared absent by the model", "value not found on the page", "no regions were recognised for this document"
 
+#: A text of nothing but digits, separators, signs, blanks, currency symbols and codes: what an amount that is cut over regions consists of.
+AMOUNT_PART = rf"(?i)^(?:[-0-9.,$€£]|{SPACE}|R\$|{'|'.join(CODES)})*$"
+
 
 def typed_regions(placed: DataFrame) -> DataFrame:
     """One row for each region and type under which it reads as a value."""
@@ -42,31 +50,73 @@ def exact(values: DataFrame, placed: DataFrame, labels: DataFrame | None = None)
     return hits.groupBy("doc_id", "key").agg(first.alias("region"), F.count(F.lit(1)).alias("matches"))
 
 
+def rows_of(placed: DataFrame) -> DataFrame:
+    """(doc_id, row_id, cells) of every visual row."""
+    return placed.groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "bbox", "confidence", "source"))).alias("cells"))
+
+
+def _keys(kind: str, keys: Column) -> Column:
+    """An array of struct<match_key, s, e> as index entries of a type, without those that read as nothing."""
+    entries = F.transform(keys, lambda k: F.struct(F.lit(kind).alias("type"), k["match_key"].alias("match_key"), k["s"].cast("int").alias("s"), k["e"].cast("int").alias("e")))
+    return F.filter(entries, lambda k: k["match_key"].isNotNull())
+
+
+def span_index(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, row_id, type, match_key, s, e): the first run of each row, from cell s to e, that carries what the key says.
+
+    rows: (doc_id, row_id, cells); wanted: open values (doc_id, type, match_key), of which a page's types, and its longest amount and the
+    lengths of its texts, say what is worth an entry.
+    """
+    needs = wanted.groupBy("doc_id").agg(
+        F.collect_set("type").alias("types"), F.max(F.when(F.col("type") == "amount", F.length(F.regexp_replace("match_key", "[^0-9]", "")))).alias("digits"),
+        F.collect_set(F.when(F.col("type") == "string", F.size(F.split("match_key", " ")))).alias("lengths"),
+    )
+    texts = F.transform("cells", lambda c: F.coalesce(c["text"], F.lit("")))
+    of_cell = lambda split: F.flatten(F.transform(texts, lambda t, i: F.transform(F.filter(split(t), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).alias("e")))))
+    rows = rows.join(needs, "doc_id").select("doc_id", "row_id", "types", "digits", "lengths", texts.alias("texts"), of_cell(words).alias("tokens"), of_cell(lambda t: F.split(loose(t), " ")).alias("words"))
+    rows = rows.withColumn("like", F.transform("texts", lambda t: F.regexp_like(t, F.lit(AMOUNT_PART))))
+    entry = lambda key, e, s=1: F.struct(key.alias("match_key"), (F.lit(s) if isinstance(s, int) else s).alias("s"), e.alias("e"))
+    with_digit = F.filter("tokens", lambda t: F.regexp_like(t["w"], F.lit("[0-9]")))
+    amounts = F.transform(with_digit, lambda t: entry(region_key(F.lit("amount"), t["w"]), t["e"]))
+    integers = F.transform(with_digit, lambda t: entry(region_key(F.lit("integer"), t["w"]), t["e"]))
+    dates = F.transform(with_digit, lambda t: entry(region_key(F.lit("date"), t["w"]), t["e"]))
+    three = F.transform("tokens", lambda t, i: F.slice("tokens", i + 1, F.lit(3)))
+    three = F.filter(three, lambda p: (F.size(p) == 3) & F.regexp_like(p[0]["w"], F.lit("[0-9]")))
+    three = F.transform(three, lambda p: entry(region_key(F.lit("date"), F.concat_ws(" ", F.transform(p, lambda t: t["w"]))), p[2]["e"]))
+    said = F.transform("lengths", lambda n: F.transform(F.filter(F.transform("words", lambda w, i: F.slice("words", i + 1, n)), lambda p: F.size(p) == n), lambda p: entry(F.concat_ws(" ", F.transform(p, lambda w: w["w"])), F.element_at(p, -1)["e"])))
+    # runs of two regions and more that hold parts of amounts only, up to the digits of the longest amount
+    stop = lambda s: F.coalesce(F.nullif(F.array_position(F.slice("like", s, F.size("like")), False), F.lit(0)) + s - 1, F.size("like") + 1)
+    ends = F.transform("like", lambda x, i: F.transform(F.when(stop(i + 1) > i + 2, F.sequence(i + 2, stop(i + 1) - 1)).otherwise(F.array().cast("array<bigint>")), lambda e: F.struct((i + 1).alias("s"), e.alias("e"))))
+    runs = F.transform(F.flatten(ends), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.concat_ws(" ", F.slice("texts", r["s"], (r["e"] - r["s"] + 1).cast("int"))).alias("text")))
+    short = F.filter(runs, lambda r: F.length(F.ltrim(F.regexp_replace(r["text"], "[^0-9]", ""), F.lit("0"))) <= F.col("digits"))
+    cut = F.transform(short, lambda r: entry(region_key(F.lit("amount"), r["text"]), r["e"], r["s"]))
+    none = F.array().cast("array<struct<type:string,match_key:string,s:int,e:int>>")
+    kinds = (("amount", F.concat(amounts, cut)), ("integer", integers), ("date", F.concat(dates, three)), ("string", F.flatten(said)))
+    index = F.concat(*[F.when(F.array_contains("types", kind), _keys(kind, keys)).otherwise(none) for kind, keys in kinds])
+    return rows.select("doc_id", "row_id", F.inline(index))
+
+
 def spans(values: DataFrame, placed: DataFrame) -> DataFrame:
-    """(doc_id, key, span): the first run of regions in a row, by row, start and length, that carries the value joined or in part."""
-    row = placed.groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "bbox", "confidence", "source"))).alias("cells"))
-    row = row.withColumn("s", F.explode(F.sequence(F.lit(1), F.size("cells")))).withColumn("e", F.explode(F.sequence(F.col("s"), F.size("cells"))))
-    part = F.slice("cells", F.col("s"), F.col("e") - F.col("s") + 1)
-    runs = row.select("doc_id", "row_id", "s", "e", part.alias("cells"), F.array_join(F.transform(part, lambda c: c["text"]), " ").alias("text"))
-    v = values.filter("value is not null").select("doc_id", "key", "type", "value")
-    joined = v.join(runs, "doc_id")
-    whole = F.coalesce(region_key(F.col("type"), F.col("text")) == value_key(F.col("type"), F.col("value")), F.lit(False))
-    joined = joined.filter(whole | carries(F.col("type"), F.col("text"), F.col("value")))
+    """(doc_id, key, span): the first run of regions in a row, by row, start and length, that carries the value joined or in part. ``placed`` is read twice."""
+    rows = rows_of(placed)
+    v = values.filter("value is not null").select("doc_id", "key", "type", value_key(F.col("type"), F.col("value")).alias("match_key")).filter("match_key != ''")
+    hits = v.join(span_index(rows, v), ["doc_id", "type", "match_key"]).groupBy("doc_id", "key").agg(F.min(F.struct("row_id", "s", "e")).alias("at"))
+    found = hits.select("doc_id", "key", "at.*").join(rows, ["doc_id", "row_id"]).withColumn("cells", F.slice("cells", F.col("s"), F.col("e") - F.col("s") + 1))
     edge = lambda k, f: f(F.transform("cells", lambda c: c["bbox"][k])).alias(k)
     span = F.struct(
-        "text",
+        F.array_join(F.transform("cells", lambda c: c["text"]), " ").alias("text"),
         F.struct(edge("x0", F.array_min), edge("y0", F.array_min), edge("x1", F.array_max), edge("y1", F.array_max)).alias("bbox"),
         F.array_min(F.filter(F.transform("cells", lambda c: c["confidence"]), lambda x: x.isNotNull())).alias("confidence"),
         F.element_at("cells", 1)["source"].alias("source"),
     )
-    return joined.groupBy("doc_id", "key").agg(F.min_by(span, F.struct("row_id", "s", "e")).alias("span"))
+    return found.select("doc_id", "key", span.alias("span"))
 
 
 def bound(values: DataFrame, regions: DataFrame, labels: DataFrame | None = None, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """values with (status, bbox, text, confidence, source, contested, reason): region, else span, else unbound."""
-    placed = clustered(regions, min_overlap).filter("row_id is not null")
+    placed = settled(clustered(regions, min_overlap).filter("row_id is not null"), "placed")
     v = values.withColumn("doc_id", F.col("doc_id").cast("string"))
-    hit = exact(v, placed, labels)
+    hit = settled(exact(v, placed, labels), "bound")
     rest = v.join(hit, ["doc_id", "key"], "left_anti")
     out = v.join(hit, ["doc_id", "key"], "left").join(spans(rest, placed), ["doc_id", "key"], "left")
     out = out.join(placed.select("doc_id").distinct().withColumn("has_regions", F.lit(True)), "doc_id", "left")

@@ -2,12 +2,15 @@
 
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.geometry import BOX
 from ledgerloom.functions import text
+from ledgerloom.functions import values as values_of
 from ledgerloom.operators import binding, candidates, certificates, documents, gate, identities, ingest, layout, planner, reconcile, run, scoring, signing, trace
 from ledgerloom.schemas import INVOICE, REGIONS
 from ledgerloom.sources import delimited, files, sinks
@@ -383,3 +386,96 @@ def test_line_up_and_runs(spark):
     assert got["m"]["ms"] == 30 and got["m"]["tok_per_sec"] == 2.0 and got["n"]["tok_per_sec"] is None
     amounts = spark.createDataFrame([("a", 100, 21, 121, 21, None), ("b", 100, 21, 150, None, 100)], "doc_id string, subtotal bigint, tax bigint, total bigint, tax_rate bigint, lines bigint")
     assert {r["name"]: (r["judged"], r["failed"]) for r in identities.runs(identities.checked(amounts)).collect()} == {identities.LINES: (1, 0), identities.TOTAL: (2, 1), identities.RATE: (1, 0)}
+
+
+# Pages against plain versions
+
+
+def plain_rows(page, least=layout.MIN_OVERLAP):
+    """Rows of one page, region by region."""
+    rows = []
+    for r in sorted((r for r in page if r[3] is not None), key=lambda r: (r[3][1] + r[3][3]) / 2):
+        fits = (row for row in rows if min(row[0][3][3] - row[0][3][1], r[3][3] - r[3][1]) > 0 and max(0, min(row[0][3][3], r[3][3]) - max(row[0][3][1], r[3][1])) / min(row[0][3][3] - row[0][3][1], r[3][3] - r[3][1]) >= least)
+        home = next(fits, None)
+        rows.append([r]) if home is None else home.append(r)
+    return [sorted(row, key=lambda r: r[3][0]) for row in rows]
+
+
+def random_pages(seed, pages=60):
+    """Skewed lines with cells of several heights, ties, overlapping rows, flat boxes and regions without one."""
+    rng = random.Random(seed)
+    out = []
+    for p in range(pages):
+        skew, cells = rng.uniform(-0.06, 0.06), []
+        for line in range(rng.choice([0, 1, 3, 12])):
+            for col in range(rng.randrange(1, 6)):
+                x, y, h = 100.0 * col + rng.choice([0, 5, 30]), 30.0 * line + skew * 100 * col, rng.choice([8.0, 10.0, 10.0, 24.0, 0.0])
+                text = rng.choice(["12,", "40", "1.", "014,30", "Total", "x,  ", "7", None, "12,34", ""])
+                cells.append((text, None if rng.random() < 0.1 else (x, y, x + rng.choice([20.0, 60.0, 96.0]), y + h), rng.choice([None, 0.5, 0.75]), rng.choice([None, "layer"])))
+        rng.shuffle(cells)
+        out += [(f"p{p}", i, *c) for i, c in enumerate(cells)]
+    return [(d, i, t, b, c, s) for d, i, t, b, c, s in out]
+
+
+@pytest.mark.parametrize("together", [1, 7, 50_000])
+def test_rows_of_skewed_pages_equal_plain(spark, monkeypatch, together):
+    monkeypatch.setattr(layout, "BATCH_REGIONS", together)
+    monkeypatch.setattr(layout, "ANCHOR_ENTRIES", 40)
+    page = random_pages(together)
+    r = _regions(spark, page)
+    by = {}
+    for x in page:
+        by.setdefault(x[0], []).append(x)
+    want, order, texts, joined = {}, [], {}, []
+    for d, xs in by.items():
+        rows = plain_rows(xs)
+        want |= {(d, x[1]): (i, j) for i, row in enumerate(rows) for j, x in enumerate(row)} | {(d, x[1]): (None, None) for x in xs if x[3] is None}
+        reading = [x for row in rows for x in row] + [x for x in xs if x[3] is None]
+        order += [(d, x[1], k) for k, x in enumerate(reading)]
+        if rows:
+            texts[d] = "\n".join("  ".join(x[2] for x in row if x[2] is not None) for row in rows)
+        out = []
+        for x in reading:
+            a, b = out[-1][1] if out else None, x[3]
+            tall = max(a[3] - a[1], b[3] - b[1]) if a and b else 0
+            low = min(a[3] - a[1], b[3] - b[1]) if a and b else 0
+            near = low > 0 and max(0, min(a[3], b[3]) - max(a[1], b[1])) / low > 0.5 and (b[0] - a[2]) / tall < 0.6
+            if near and re.search(r"[.,]\s*$", out[-1][0] or "") and re.fullmatch(r"[0-9]{1,2}|[0-9]{3}([.,][0-9]{1,2})?", (x[2] or "").strip()):
+                sure = min(1.0 if c is None else c for c in (out[-1][2], x[4]))
+                out[-1] = (out[-1][0].strip() + x[2].strip(), (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), sure, None)
+            else:
+                out.append((x[2], b, x[4], x[5]))
+        joined += [(d, k, *x) for k, x in enumerate(out)]
+    got = layout.reading_order(r).collect()
+    assert {(x["doc_id"], x["idx"]): (x["row_id"], x["pos"]) for x in got} == want and sorted((x["doc_id"], x["idx"], x["place"]) for x in got) == sorted(order)
+    assert {x["doc_id"]: x["text"] for x in layout.page_text(r).collect()} == texts
+    assert sorted(((x["doc_id"], x["idx"], x["text"], x["bbox"] and tuple(x["bbox"]), x["confidence"], x["source"]) for x in layout.joined_numbers(r).collect()), key=repr) == sorted(joined, key=repr)
+    assert sum(a[2] != b[2] for a, b in zip(sorted(joined), sorted((x[0], x[1], x[2]) for x in page))) > 0
+    assert layout.page_text(r.limit(0)).count() == 0
+
+
+def test_spans_by_index_equal_all_spans(spark):
+    """The first run that carries a value, from all runs of each row and the value-by-value test."""
+    rng = random.Random(12)
+    tokens = ["2.831,", "40", "1", "234,50", "EUR", "$", "-5", "21%", "21", "%", "18", "May", "2026", "2026-05-18", "Total", "North", "wind", "north-wind", "007", "12,34", "", "  ", "10 5,00", "Due: 18", "May 2026", "USDT"]
+    page = []
+    for p in range(150):
+        for line in range(2):
+            for col in range(rng.randrange(1, 6)):
+                text = rng.choice(tokens) + (rng.choice(["", " ", f" {rng.choice(tokens)}"]))
+                page.append((f"p{p}", len(page), text, (100.0 * col, 50.0 * line, 100.0 * col + 90, 50.0 * line + 10), 0.5, None))
+    kinds = {"amount": ["283140", "123450", "1234", "500", "-500", "700", "100050", "1200", "4000"], "integer": ["21", "5", "7", "40", "18"], "date": ["2026-05-18", "2026-05-19"], "string": ["North wind", "Total", "wind EUR", "May 2026", "Due", "40 1"]}
+    values = [(f"p{p}", f"{k}{n}", k, v) for p in range(150) for k, vs in kinds.items() for n, v in enumerate(vs)]
+    v = spark.createDataFrame(values, "doc_id string, key string, type string, value string")
+    placed = layout.clustered(_regions(spark, page)).cache()
+    hit = binding.exact(v, placed)
+    rest = v.join(hit, ["doc_id", "key"], "left_anti")
+    cells = binding.rows_of(placed).withColumn("s", F.explode(F.sequence(F.lit(1), F.size("cells")))).withColumn("e", F.explode(F.sequence(F.col("s"), F.size("cells"))))
+    runs = cells.select("doc_id", "row_id", "s", "e", F.array_join(F.transform(F.slice("cells", F.col("s"), F.col("e") - F.col("s") + 1), lambda c: c["text"]), " ").alias("text"))
+    both = rest.join(runs, "doc_id").filter(F.coalesce(values_of.region_key(F.col("type"), F.col("text")) == values_of.value_key(F.col("type"), F.col("value")), F.lit(False)) | values_of.carries(F.col("type"), F.col("text"), F.col("value")))
+    want = {(r["doc_id"], r["key"]): (r["at"]["text"]) for r in both.groupBy("doc_id", "key").agg(F.min(F.struct("row_id", "s", "e", "text")).alias("at")).collect()}
+    found = binding.spans(rest, placed)
+    got = {(r["doc_id"], r["key"]): r["span"]["text"] for r in found.collect()}
+    assert got == want and len({k[1] for k in got}) > 12
+    plan = binding.span_index(binding.rows_of(placed), rest.select("doc_id", "type", values_of.value_key(F.col("type"), F.col("value")).alias("match_key")))._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
