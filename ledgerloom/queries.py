@@ -313,15 +313,15 @@ _FOUR = """count(*) FILTER (adm AND ok) AS admitted_right, count(*) FILTER (adm
 
 def _truth(spark, d):
     """What the page prints for each field, in the manner of its type; every tenth part is printed as another value."""
-    x = mapped.fields(spark, d)
-    part, wrong = F.split("key", "-")[1].cast("bigint"), F.split("key", "-")[1].cast("bigint") % 10 == 0
+    x = mapped.fields(spark, d).select("doc_id", "key", "type").distinct().withColumn("part", F.split_part("key", F.lit("-"), F.lit(2)).cast("bigint"))
+    part, wrong = c("part"), c("part") % 10 == 0
     number = F.when(wrong, part + 1).otherwise(part)
     day = F.date_add(F.lit("2020-01-01").cast("date"), (part % 1000).cast("int") + F.when(wrong, 1).otherwise(0))
     text_ = (
         F.when(c("type") == "string", F.concat(F.lit(" PART-"), number.cast("string"))).when(c("type") == "amount", F.concat(money.latin(number), F.lit(" EUR")))
         .when(c("type") == "date", F.date_format(day, "d MMMM yyyy")).otherwise(F.concat(F.lit(" "), number.cast("string"), F.lit("%")))
     )
-    return x.select("doc_id", "key", text_.alias("text")).distinct()
+    return x.select("doc_id", "key", text_.alias("text"))
 
 
 _SCORED = """, once AS (SELECT DISTINCT doc_id, key FROM judged),
