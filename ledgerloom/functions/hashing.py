@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import to_fixed  # noqa: F401  (numbers as text, next to number_text)
+
 
 def digest(c: Column) -> Column:
     return F.sha2(c, 256)
@@ -88,12 +90,3 @@ def canonical_json(text: Column, without: tuple[str, ...] = ()) -> Column:
         return pa.array([canonical_of(t, without) for t in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(convert, "string")(text)
-
-
-def to_fixed(x: Column, places: int) -> Column:
-    """Rounded from the exact binary value, as ``toFixed`` does and Spark's decimal cast does not."""
-
-    def convert(xs: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else f"{v:.{places}f}" for v in xs.to_pylist()], pa.string())
-
-    return F.arrow_udf(convert, "string")(x.cast("double"))

@@ -277,6 +277,31 @@ def first_differences(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("differences"))
 
 
+def replayed(recorded: DataFrame, files: DataFrame, regenerated: DataFrame, sdk_version: str, model: str) -> DataFrame:
+    """(id, outcome, detail) of replaying each certificate: ``not comparable``, ``input missing``, ``match`` or ``mismatch``, asked in this order.
+
+    recorded, regenerated: (id, certificate), made by the same construction; files: (digest) of the documents at hand.
+    The verdict is the recorded one in both, as the records it was reached against are not in a certificate.
+    """
+    c = F.col
+    able = comparability(recorded, sdk_version, model).withColumnRenamed("reason", "why")
+    of = parsed(recorded).select("id", c("c.document.digest").alias("digest"))
+    there = of.join(files.select("digest").distinct(), "digest", "left_semi").select("id").withColumn("there", F.lit(True))
+    ready = able.filter("comparable").select("id").join(there, "id", "left_semi")
+    apart = differences(recorded.join(ready, "id", "left_semi"), regenerated.join(ready, "id", "left_semi"), (*VOLATILE, "verdict"))
+    first = apart.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "recorded", "regenerated")).alias("first"))
+    made = parsed(regenerated).select("id", F.size("c.fields").alias("fields"), F.left("c.trace.root", F.lit(12)).alias("root"))
+    out = able.join(of, "id").join(there, "id", "left").join(first, "id", "left").join(made, "id", "left")
+    outcome = F.when(~c("comparable"), "not comparable").when(c("there").isNull(), "input missing").when(c("n") > 0, "mismatch").otherwise("match")
+    shown = lambda side: F.coalesce(c("first")[side], F.lit("undefined"))
+    detail = (
+        F.when(~c("comparable"), c("why")).when(c("there").isNull(), _joined("no file digests to ", F.left("digest", F.lit(12))))
+        .when(c("n") > 0, _joined(c("n").cast("string"), " differences, first at ", c("first.path"), ": ", shown("recorded"), " against ", shown("regenerated")))
+        .otherwise(_joined(c("fields").cast("string"), " fields, root ", c("root")))
+    )
+    return out.select("id", outcome.alias("outcome"), detail.alias("detail"))
+
+
 # Named mutations and the step that must catch each.
 TAMPERS = {
     "an altered total": "arithmetic",

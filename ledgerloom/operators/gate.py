@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import to_fixed
+from ..functions.numbers import to_fixed
 
 # Confidence floors by type, and what a wider binding adds.
 FLOORS = (("string", 0.35), ("amount", 0.5), ("date", 0.4), ("integer", 0.5))

@@ -29,6 +29,15 @@ def state_of(key: Column, admitted: Column) -> Column:
     return F.when(key.isNull(), "missing").when(~admitted, "withheld").otherwise("have")
 
 
+def raw_state(fields: Column, key: str) -> Column:
+    """struct<state, value, by> of a field in a raw JSON object of judged fields: missing if the key is not there, withheld if it is there but null or
+    not admitted (``by`` is the check that refused it), else have. A variant tells null from missing, which a struct does not."""
+    of = lambda path, kind: F.try_variant_get(F.try_parse_json(fields), f"$['{key}']{path}", kind)
+    got, admitted = of("", "variant"), F.coalesce(of(".admitted", "boolean"), F.lit(False))
+    state = F.when(got.isNull(), "missing").when(F.is_variant_null(got) | ~admitted, "withheld").otherwise("have")
+    return F.struct(state.alias("state"), of(".value", "string").alias("value"), of(".check", "string").alias("by"))
+
+
 def decided(*outcomes: Column) -> Column:
     """One failure is a mismatch, else one check left open leaves all open. Built on outcomes alone, so unused details are pruned."""
     has = lambda outcome: F.array_contains(F.array(*outcomes), outcome)

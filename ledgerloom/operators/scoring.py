@@ -14,7 +14,8 @@ from ..functions.money import parse_amount
 from ..functions.numbers import half_up, ratio
 from ..functions.text import bounded_by_space, collapsed, trimmed, words
 from ..functions.values import agrees
-from .gate import judged
+from ..sources.shared import running, settled
+from .gate import SPAN_PENALTY, judged
 from .reconcile import DECISIONS
 
 # What a trial can come to.
@@ -69,6 +70,24 @@ def risk_coverage(truth: DataFrame, fields: DataFrame, floors: list[float]) -> D
     return extraction_totals(j.select("floor", outcome.alias("outcome")), ["floor"])
 
 
+def risk_curve(truth: DataFrame, fields: DataFrame) -> DataFrame:
+    """(floor, admitted_right, admitted_wrong, coverage, precision) for every confidence floor at which what is admitted changes, in one pass.
+
+    A field that the gate's other checks pass is admitted up to a floor of its own: its confidence, less what a wider binding asks for. Fields
+    without a confidence to check are admitted at every floor (the row of floor infinity), the others at none.
+    """
+    c = F.col
+    j = truth.join(fields, ["doc_id", "key"], "left")
+    passed = judged(j, F.lit(float("-inf"))).withColumn("right", agrees(c("type"), c("value"), c("text")))
+    exempt = F.coalesce(c("source") == "text-layer", F.lit(False))
+    upto = F.when(exempt, float("inf")).otherwise(c("confidence") - F.when(c("status") == "span", SPAN_PENALTY).otherwise(0.0))
+    counted = passed.groupBy(F.when(c("verdict.admitted"), upto).alias("floor")).agg(F.count_if("right").alias("r"), F.count(F.lit(1)).alias("n"))
+    counted = settled(counted, "floors")
+    all_fields = counted.agg(F.sum("n")).collect()[0][0]
+    sums = running(counted.filter("floor is not null"), [c("floor").desc()], admitted_right=c("r"), admitted=c("n"))
+    return sums.select("floor", "admitted_right", (c("admitted") - c("admitted_right")).alias("admitted_wrong"), ratio(c("admitted"), F.lit(all_fields)).alias("coverage"), ratio(c("admitted_right"), c("admitted")).alias("precision"))
+
+
 def cells(pairs: DataFrame, by: list[str]) -> DataFrame:
     """pairs: (..., expected, actual, present): right cells of all. An absent cell is wrong even where null is expected."""
     right = F.col("present") & F.col("expected").eqNullSafe(F.col("actual"))

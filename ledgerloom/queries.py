@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import file_queries, page_queries  # noqa: F401  (register their queries, too)
+from . import file_queries, page_queries, run_queries  # noqa: F401  (register their queries, too)
 from .functions import dates, geometry, money, numbers, text
 from .operators import candidates, certificates, documents, gate, identities, ingest, planner, reconcile, scoring, trace
 from .plans import mapped
@@ -515,10 +515,14 @@ def route_documents(spark, d):
     return documents.routed(files).select("page_id", "kind", "reason", F.length("page_text").alias("shown"))
 
 
-def _records(spark, d):
-    x = table(spark, d, "conversations")
+def trace_records_of(x):
+    """The conversations' turns as trace records, batch or stream."""
     body = F.concat(F.lit('{"action":"'), c("role"), F.lit('","digest":"'), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit('","reads":[],"stage":"turn-'), c("turn").cast("string"), F.lit('","writes":"text"}'))
-    return x.select(c("conv_id").alias("run_id"), c("turn").alias("pos"), body.alias("body"))
+    return x.select(c("conv_id").alias("run_id"), c("turn").cast("bigint").alias("pos"), body.alias("body"))
+
+
+def _records(spark, d):
+    return trace_records_of(table(spark, d, "conversations"))
 
 
 _CHAIN = f"""WITH r AS (SELECT conv_id AS run_id, list('{{"action":"' || role || '","digest":"' || sha256(coalesce(text, '')) || '","reads":[],"stage":"turn-' || turn || '","writes":"text"}}' ORDER BY turn) AS b FROM conversations GROUP BY conv_id)

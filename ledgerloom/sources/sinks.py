@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,34 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def stream_into(rows: DataFrame, path: str, checkpoint: str, made: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, form: str = "parquet") -> None:
+    """Write a stream's micro-batches exactly once, as partitions ``batch=<id>`` of the table at ``path``; returns when all there is has been written.
+
+    A batch that is repeated after a failure replaces what it wrote before, and no other partition. ``made``, if given, makes a batch's rows
+    from what arrived and from the table as earlier batches left it (None before the first), so that ids and skipped rows come out the same
+    when it is repeated.
+    """
+
+    def write(arrived: DataFrame, batch: int) -> None:
+        spark = arrived.sparkSession
+        out = arrived
+        if made is not None:
+            out = made(arrived, spark.read.parquet(path).filter(F.col("batch") < batch).drop("batch") if batch else None)
+        out.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").format(form).save(path)
+
+    rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def stream_documents(docs: DataFrame, path: str, checkpoint: str) -> None:
+    """``put_documents`` for a stream of (digest, path, route, read_at): each digest once, with consecutive ids."""
+
+    def new(arrived: DataFrame, stored: DataFrame | None) -> DataFrame:
+        known = arrived.sparkSession.createDataFrame([], "id bigint, digest string") if stored is None else stored
+        return with_ids(unseen(arrived, known), ["digest"], known, "id").select("id", "digest", "path", "route", "read_at")
+
+    stream_into(docs, path, checkpoint, new)
+
+
 def import_rows(rows: DataFrame, vendors: DataFrame, records: DataFrame, staging: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Write new vendors and records to a staging folder, to be moved into place together; returns what was written and skipped.
 
