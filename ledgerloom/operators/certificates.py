@@ -204,7 +204,7 @@ def _trace_ok(text: Column, genesis: str) -> Column:
 def verified(certificates: DataFrame, digests: DataFrame | None = None, genesis: str = GENESIS, signed: Column | None = None) -> DataFrame:
     """certificates: (id, certificate); digests: (id, digest) of the documents at hand. (id, step, outcome), a row for each step.
 
-    signed: whether the signature verifies (see ``signing``); without it a signature whose digest is right is ``not checked``.
+    signed: whether the signature verifies (see ``signing.holds``); without it, or where it is null, a signature whose digest is right is ``not checked``.
     """
     p = parsed(certificates)
     if digests is not None:
@@ -213,7 +213,7 @@ def verified(certificates: DataFrame, digests: DataFrame | None = None, genesis:
         p = p.withColumn("_own", F.lit(None).cast("string"))
     c = F.col
     right = certificate_digest(c("certificate")) == c("c.signature.digest")
-    checked = F.lit("not checked") if signed is None else F.when(signed, "pass").otherwise("fail")
+    checked = F.lit("not checked") if signed is None else F.when(signed.isNull(), "not checked").when(signed, "pass").otherwise("fail")
     signature = F.when(c("c.signature").isNull() | ~c("c.signature.alg").eqNullSafe(F.lit("ed25519")) | ~F.coalesce(right, F.lit(False)), "fail").otherwise(checked)
     outcome = {
         "signature": signature,

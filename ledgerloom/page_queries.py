@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import money, text
 from .functions.geometry import box
 from .functions.numbers import minor_of
-from .operators import binding, certificates, ingest, layout, scoring
+from .operators import binding, certificates, ingest, layout, scoring, signing
 from .operators.trace import GENESIS
 from .plans.mapped import table
 from .registry import named
@@ -187,12 +187,33 @@ def certificate_problems(spark, d):
     return certificates.validated(_certificates(spark, d)).withColumn("problems", F.array_join("problems", "; "))
 
 
-@named(f"""WITH {_CERT} SELECT id, unnest(['signature', 'provenance', 'attestations', 'arithmetic', 'trace', 'sections', 'descriptor', 'replay']) AS step, unnest(['fail', CASE WHEN k % 23 = 0 THEN 'not checked' WHEN k % 23 = 1 THEN 'fail' ELSE 'pass' END, 'not applicable',
-  CASE WHEN NOT taxed THEN 'not checked' WHEN k % 7 = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN k % 29 = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN k % 13 = 0 OR sets IS NOT NULL OR unnamed THEN 'fail' ELSE 'pass' END,
+@named(f"""WITH {_CERT} SELECT id, unnest(['signature', 'provenance', 'attestations', 'arithmetic', 'trace', 'sections', 'descriptor', 'replay']) AS step, unnest([CASE WHEN k % 8 <> 0 OR k % 24 = 0 THEN 'fail' WHEN k % 5 = 0 THEN 'not checked' ELSE 'pass' END, CASE WHEN k % 23 = 0 THEN 'not checked' WHEN k % 23 = 1 THEN 'fail' ELSE 'pass' END, 'not applicable',
+  CASE WHEN NOT taxed THEN 'not checked' WHEN k % 7 = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN k % 29 = 0 OR k % 43 = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN k % 13 = 0 OR sets IS NOT NULL OR unnamed THEN 'fail' ELSE 'pass' END,
   CASE WHEN k % 37 = 0 THEN 'fail' ELSE 'pass' END, 'not checked']) AS outcome FROM s""")
 def certificate_steps(spark, d):
     own = _orders(spark, d).filter("k % 23 != 0").select(c("doc_id").alias("id"), F.when(c("k") % 23 == 1, "other").otherwise(F.sha2("doc_id", 256)).alias("digest"))
-    return certificates.verified(_certificates(spark, d), own)
+    k = c("id").cast("bigint")
+    return certificates.verified(_signed(_traced(_certificates(spark, d))), own, signed=F.when(k % 5 != 0, signing.holds(c("certificate"))))
+
+
+def _traced(rows):
+    """Certificates with three linked records; in some the root, in some the records' order is wrong."""
+    k = c("id").cast("bigint")
+    bodies = [F.concat(F.lit('{"action":"read","digest":"'), F.sha2(F.concat("id", F.lit(str(n))), 256), F.lit(f'","reads":["total"],"stage":"s{n}","writes":"total"}}')) for n in range(3)]
+    heads = [F.sha2(F.concat(F.lit(_START), bodies[0]), 256)]
+    heads += [F.sha2(F.concat("h0", bodies[1]), 256), F.sha2(F.concat("h1", bodies[2]), 256)]
+    for n in range(3):
+        rows = rows.withColumn(f"h{n}", heads[n]).withColumn(f"r{n}", F.concat(F.rtrim(bodies[n], F.lit("}")), F.lit(',"head":"'), c(f"h{n}"), F.lit('"}')))
+    order = F.when(k % 43 == 0, F.concat_ws(",", "r1", "r0", "r2")).otherwise(F.concat_ws(",", "r0", "r1", "r2"))
+    trace = F.concat(F.lit('"trace":{"root":"'), F.when(k % 29 == 0, "feed").otherwise(c("h2")), F.lit('","records":['), order, F.lit("]}"))
+    return rows.select("id", F.regexp_replace("certificate", F.lit(r'"trace":\{[^}]*\}'), trace).alias("certificate"))
+
+
+def _signed(rows):
+    """One certificate in eight is signed, a third of these altered after it."""
+    k = c("id").cast("bigint")
+    made = rows.withColumn("signed", signing.signed(F.when(k % 8 == 0, c("certificate")), b"a seed of the test certificates..")).withColumn("certificate", F.coalesce("signed", "certificate"))
+    return made.select("id", F.when(k % 24 == 0, F.regexp_replace("certificate", '"inputDigest": "ab"', '"inputDigest": "ac"')).otherwise(c("certificate")).alias("certificate"))
 
 
 @named("""SELECT c_custkey AS id, sha256('{"a":[1,{"name":"' || c_name || '","nation":' || c_nationkey || '}],"z":"' || c_mktsegment || '"}') AS digest FROM customer""")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, numbers, sql
-from ledgerloom.operators import certificates, gate, reconcile, scoring, trace
+from ledgerloom.operators import certificates, gate, reconcile, scoring, signing, trace
 from ledgerloom.sources import shared, sinks
 from ledgerloom.streaming import traces
 
@@ -168,3 +168,51 @@ def test_replay_outcomes(spark):
     got = {r["id"]: (r["outcome"], r["detail"]) for r in certificates.replayed(recorded, files, made, "1.0", "m").collect()}
     assert got["same"] == ("match", "1 fields, root abababababab") and got["other"] == ("mismatch", '1 differences, first at fields.total.minor: "5" against "6"')
     assert got["old"][0] == "not comparable" and got["gone"] == ("input missing", f"no file digests to {hashlib.sha256(b'y').hexdigest()[:12]}") and len(got) == 4
+
+
+#: RFC 8032, section 7.1: public key, message, signature.
+VECTORS = (
+    ("d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+    ("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+    ("fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", "af82", "6291d657deec24024827e69c3abe01a30ce548a284743a445e3680d7db5ac3ac18ff9b538d16f290ae67f760984dc6594a7c15e9716ed28dc027beceea1ec40a"),
+)
+
+
+@pytest.mark.parametrize("public, message, signature", VECTORS)
+def test_signature_vectors(public, message, signature):
+    public, message, signature = map(bytes.fromhex, (public, message, signature))
+    assert signing.verified(public, message, signature)
+    assert not signing.verified(public, message + b"x", signature) and not signing.verified(public, message, signature[:40])
+    for k in (0, 31, 32, 63):
+        assert not signing.verified(public, message, signature[:k] + bytes([signature[k] ^ 1]) + signature[k + 1 :])
+    high = (int.from_bytes(signature[32:], "little") + signing.ORDER).to_bytes(32, "little")
+    assert not signing.verified(public, message, signature[:32] + high)
+
+
+def test_many_signatures_are_verified_in_tasks(spark):
+    """Those that the JVM made, and what it says of each, on certificates altered after they were signed."""
+    key, other = signing.new_key(spark), signing.new_key(spark)
+    rows = []
+    for k in range(12):
+        made = signing.sign(spark, {"version": "1", "n": k, "name": "é" * k}, key if k % 2 else other)
+        if k % 4 == 1:
+            made["n"] = -1
+        if k % 4 == 2:
+            made["signature"]["sig"] = rows[-1][1]["signature"]["sig"]
+        if k == 3:
+            made["signature"]["publicKey"] = made["signature"]["publicKey"].replace("A", "B")
+        if k == 4:
+            del made["signature"]
+        rows.append((k, made))
+    df = spark.createDataFrame([(k, json.dumps(m)) for k, m in rows] + [(99, "no json"), (100, None), (101, "[1]")], "k int, certificate string")
+    got = {r["k"]: r["h"] for r in df.select("k", signing.holds(F.col("certificate")).alias("h")).collect()}
+    assert got == {k: signing.signature_holds(spark, json.dumps(m)) for k, m in rows} | {99: False, 100: False, 101: False}
+    assert sum(got.values()) >= 4
+
+
+def test_signed_in_tasks_is_what_the_jvm_accepts(spark):
+    rows = [(json.dumps({"version": "1", "n": k, "x": 0.5}),) for k in range(4)] + [(None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(signing.signed(F.col("t"), bytes(range(32))).alias("s")).collect()]
+    assert got[4] is None and all(signing.signature_holds(spark, t) and signing.certificate_holds(t) for t in got[:4])
+    for public, message, signature in VECTORS[:1]:
+        assert signing.signature_of(bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60"), bytes.fromhex(message)) == (bytes.fromhex(public), bytes.fromhex(signature))
