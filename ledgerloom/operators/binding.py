@@ -9,7 +9,7 @@ amount cut over regions needs runs from elsewhere, and these hold nothing but pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import CODES
@@ -27,8 +27,9 @@ AMOUNT_PART = rf"(?i)^(?:[-0-9.,$€£]|{SPACE}|R\$|{'|'.join(CODES)})*$"
 
 def typed_regions(placed: DataFrame) -> DataFrame:
     """One row for each region and type under which it reads as a value."""
-    kinds = F.array(*[F.struct(F.lit(t).alias("type"), region_key(F.lit(t), F.col("text")).alias("match_key")) for t in TYPES])
-    return placed.withColumn("_k", F.explode(F.filter(kinds, lambda k: k["match_key"].isNotNull()))).select(*placed.columns, "_k.type", "_k.match_key")
+    keyed = placed.withColumns({f"_{t}": region_key(F.lit(t), F.col("text")) for t in TYPES})  # plain columns, which compiled code computes
+    kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"_{t}").alias("match_key")) for t in TYPES])
+    return keyed.select(*placed.columns, F.inline(kinds)).filter("match_key is not null")
 
 
 def labelled_rows(placed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,12 +56,6 @@ def rows_of(placed: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "bbox", "confidence", "source"))).alias("cells"))
 
 
-def _keys(kind: str, keys: Column) -> Column:
-    """An array of struct<match_key, s, e> as index entries of a type, without those that read as nothing."""
-    entries = F.transform(keys, lambda k: F.struct(F.lit(kind).alias("type"), k["match_key"].alias("match_key"), k["s"].cast("int").alias("s"), k["e"].cast("int").alias("e")))
-    return F.filter(entries, lambda k: k["match_key"].isNotNull())
-
-
 def span_index(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, row_id, type, match_key, s, e): the first run of each row, from cell s to e, that carries what the key says.
 
@@ -75,25 +70,23 @@ def span_index(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     of_cell = lambda split: F.flatten(F.transform(texts, lambda t, i: F.transform(F.filter(split(t), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).alias("e")))))
     rows = rows.join(needs, "doc_id").select("doc_id", "row_id", "types", "digits", "lengths", texts.alias("texts"), of_cell(words).alias("tokens"), of_cell(lambda t: F.split(loose(t), " ")).alias("words"))
     rows = rows.withColumn("like", F.transform("texts", lambda t: F.regexp_like(t, F.lit(AMOUNT_PART))))
-    entry = lambda key, e, s=1: F.struct(key.alias("match_key"), (F.lit(s) if isinstance(s, int) else s).alias("s"), e.alias("e"))
+    entry = lambda kind, text, e, s=1: F.struct(F.lit(kind).alias("type"), text.alias("text"), (F.lit(s) if isinstance(s, int) else s).cast("int").alias("s"), e.cast("int").alias("e"))
     with_digit = F.filter("tokens", lambda t: F.regexp_like(t["w"], F.lit("[0-9]")))
-    amounts = F.transform(with_digit, lambda t: entry(region_key(F.lit("amount"), t["w"]), t["e"]))
-    integers = F.transform(with_digit, lambda t: entry(region_key(F.lit("integer"), t["w"]), t["e"]))
-    dates = F.transform(with_digit, lambda t: entry(region_key(F.lit("date"), t["w"]), t["e"]))
+    single = lambda kind: F.transform(with_digit, lambda t: entry(kind, t["w"], t["e"]))
     three = F.transform("tokens", lambda t, i: F.slice("tokens", i + 1, F.lit(3)))
-    three = F.filter(three, lambda p: (F.size(p) == 3) & F.regexp_like(p[0]["w"], F.lit("[0-9]")))
-    three = F.transform(three, lambda p: entry(region_key(F.lit("date"), F.concat_ws(" ", F.transform(p, lambda t: t["w"]))), p[2]["e"]))
-    said = F.transform("lengths", lambda n: F.transform(F.filter(F.transform("words", lambda w, i: F.slice("words", i + 1, n)), lambda p: F.size(p) == n), lambda p: entry(F.concat_ws(" ", F.transform(p, lambda w: w["w"])), F.element_at(p, -1)["e"])))
+    three = F.filter(three, lambda p: (F.size(p) == 3) & F.regexp_like(p[0]["w"], F.lit("^[0-9]{1,2}$")))
+    three = F.transform(three, lambda p: entry("date", F.concat_ws(" ", F.transform(p, lambda t: t["w"])), p[2]["e"]))
+    said = F.transform("lengths", lambda n: F.transform(F.filter(F.transform("words", lambda w, i: F.slice("words", i + 1, n)), lambda p: F.size(p) == n), lambda p: entry("string", F.concat_ws(" ", F.transform(p, lambda w: w["w"])), F.element_at(p, -1)["e"])))
     # runs of two regions and more that hold parts of amounts only, up to the digits of the longest amount
     stop = lambda s: F.coalesce(F.nullif(F.array_position(F.slice("like", s, F.size("like")), False), F.lit(0)) + s - 1, F.size("like") + 1)
     ends = F.transform("like", lambda x, i: F.transform(F.when(stop(i + 1) > i + 2, F.sequence(i + 2, stop(i + 1) - 1)).otherwise(F.array().cast("array<bigint>")), lambda e: F.struct((i + 1).alias("s"), e.alias("e"))))
-    runs = F.transform(F.flatten(ends), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.concat_ws(" ", F.slice("texts", r["s"], (r["e"] - r["s"] + 1).cast("int"))).alias("text")))
+    runs = F.transform(F.flatten(ends), lambda r: entry("amount", F.concat_ws(" ", F.slice("texts", r["s"], (r["e"] - r["s"] + 1).cast("int"))), r["e"], r["s"]))
     short = F.filter(runs, lambda r: F.length(F.ltrim(F.regexp_replace(r["text"], "[^0-9]", ""), F.lit("0"))) <= F.col("digits"))
-    cut = F.transform(short, lambda r: entry(region_key(F.lit("amount"), r["text"]), r["e"], r["s"]))
-    none = F.array().cast("array<struct<type:string,match_key:string,s:int,e:int>>")
-    kinds = (("amount", F.concat(amounts, cut)), ("integer", integers), ("date", F.concat(dates, three)), ("string", F.flatten(said)))
-    index = F.concat(*[F.when(F.array_contains("types", kind), _keys(kind, keys)).otherwise(none) for kind, keys in kinds])
-    return rows.select("doc_id", "row_id", F.inline(index))
+    none = F.array().cast("array<struct<type:string,text:string,s:int,e:int>>")
+    kinds = (("amount", F.concat(single("amount"), short)), ("integer", single("integer")), ("date", F.concat(single("date"), three)), ("string", F.flatten(said)))
+    entries = F.concat(*[F.when(F.array_contains("types", kind), of).otherwise(none) for kind, of in kinds])
+    keyed = rows.select("doc_id", "row_id", F.inline(entries))
+    return keyed.select("doc_id", "row_id", "type", region_key(F.col("type"), F.col("text")).alias("match_key"), "s", "e").filter("match_key is not null")
 
 
 def spans(values: DataFrame, placed: DataFrame) -> DataFrame:
