@@ -58,6 +58,8 @@ MOST_SPLIT = 1 << 20
 WINDOW_BYTES = 2 << 20
 #: Documents compared with one copy of another's set before it is sent again.
 FAN_OUT = 256
+#: Partitions that blocks are dealt to: beyond that many blocks a partition sorts several and works on one after the other.
+MOST_PARTITIONS = 1 << 15
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -122,7 +124,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def slots(spark: SparkSession, n: int) -> np.ndarray:
-    """For each partition of a repartitioning by one int column into n, a number that goes there: 4 bytes for each block of many entries."""
+    """For each partition of a repartitioning by one int column into n, a number that goes there. n: ``MOST_PARTITIONS`` at most."""
     tried, found = 4 * n, []
     while len(found) < n:
         tried *= 2
@@ -139,20 +141,20 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> np.ndarray:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(16, -(-size // COUNT_BYTES))
-    slot = slots(docs.sparkSession, blocks)
+    partitions = min(blocks, MOST_PARTITIONS)
+    slot = slots(docs.sparkSession, partitions)
     cut = np.uint64(int(COUNTED * 2**64))
 
     def packed(u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         block = (u % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        at = np.searchsorted(block[order], np.arange(blocks + 1))
-        which, packs = np.flatnonzero(np.diff(at)), []
-        for k in which:
-            pick = order[at[k] : at[k + 1]]
+        heads = np.flatnonzero(np.diff(block[order], prepend=-1))
+        which, packs = block[order[heads]], []
+        for pick in np.split(order, heads[1:]) if len(heads) else []:
             again = np.flatnonzero(n[pick] > 1)
             head = np.array([len(pick), len(again)], np.int64)
             packs.append(b"".join(x.tobytes() for x in (head, u[pick], n[pick][again].astype(np.int64), again.astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array(slot[which]), pa.array(packs, pa.binary())], ["block", "pack"])
+        return pa.RecordBatch.from_arrays([pa.array(slot[which % partitions]), pa.array(which), pa.array(packs, pa.binary())], ["slot", "block", "pack"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, kept, counts, waiting, size, low, low_size = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, [], 0
@@ -210,7 +212,7 @@ def common_columns(docs: DataFrame, most: int = COMMON_COLUMNS) -> np.ndarray:
         if packs:
             yield result(packs)
 
-    dealt = docs.select("text").mapInArrow(count, "block int, pack binary").repartition(blocks, "block").sortWithinPartitions("block")
+    dealt = docs.select("text").mapInArrow(count, "slot int, block long, pack binary").repartition(partitions, "slot").sortWithinPartitions("block")
     top = dealt.mapInArrow(add, "h long, n long").orderBy(F.desc("n"), "h").limit(most).toArrow()
     return top.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
@@ -462,7 +464,8 @@ def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries:
     """
     blocks = max(16, -(-entries // block_entries))
     split_keys, split_into = split_columns(held, entries, list_rows)
-    slot = slots(rows.sparkSession, blocks)
+    partitions = min(blocks, MOST_PARTITIONS)
+    slot = slots(rows.sparkSession, partitions)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -492,18 +495,16 @@ def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries:
                 key, row, pos, mark = (np.concatenate([x[rest], y]) for x, y in ((key, dealt), (row, row[again]), (pos, pos[again]), (mark, mark[again])))
             block = (key % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            at = np.searchsorted(block[order], np.arange(blocks + 1))
-            which = np.flatnonzero(np.diff(at))
-            packs = []
-            for k in which:
-                pick = order[at[k] : at[k + 1]]
+            heads = np.flatnonzero(np.diff(block[order], prepend=-1))
+            which, packs = block[order[heads]], []
+            for pick in np.split(order, heads[1:]) if len(heads) else []:
                 used, local = np.unique(row[pick], return_inverse=True)
                 moved = np.flatnonzero(comp[used] != doc[used])
                 head = np.array([len(used), len(moved), len(pick)], np.int64)
                 within = (bs.mixed(key[pick]) >> np.uint64(32)).astype(np.uint32)
                 at_most = np.minimum(pos[pick], 16383).astype(np.uint16) | mark[pick] << np.uint16(14)
                 packs.append(b"".join(x.tobytes() for x in (head, doc[used], comp[used[moved]], within, moved.astype(np.uint32), n[used].astype(np.uint32), local.astype(np.uint16), at_most, anchors[0][used], anchors[1][used])))
-            yield pa.RecordBatch.from_arrays([pa.array(slot[which]), pa.array(packs, pa.binary())], ["block", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot[which % partitions]), pa.array(which), pa.array(packs, pa.binary())], ["slot", "block", "pack"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -551,8 +552,8 @@ def product_pairs(rows: DataFrame, held: DataFrame, entries: int, block_entries:
         if packs:
             yield from result(packs)
 
-    dealt = rows.select("row", "comp", "n", "prefix").mapInArrow(deal, "block int, pack binary")
-    dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block")
+    dealt = rows.select("row", "comp", "n", "prefix").mapInArrow(deal, "slot int, block long, pack binary")
+    dealt = dealt.repartition(partitions, "slot").sortWithinPartitions("block")
     return dealt.mapInArrow(multiply, "a long, b long").distinct()
 
 

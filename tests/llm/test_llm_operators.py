@@ -800,6 +800,7 @@ def test_jaccard_against_brute_force(spark, copies, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON_ROWS", 2)
     monkeypatch.setattr(jaccard.product_pairs, "__defaults__", (64, 3))  # small blocks, columns of more than three rows split
     monkeypatch.setattr(jaccard, "COUNT_RANGES", 16)
+    monkeypatch.setattr(jaccard, "MOST_PARTITIONS", 3)  # many blocks in each
     monkeypatch.setattr(jaccard, "WINDOW_BYTES", 40)
     monkeypatch.setattr(bytescan.windows, "__defaults__", (50,))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(df).collect()}
