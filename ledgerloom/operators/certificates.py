@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import box, inside_page
 from ..functions.hashing import canonical, canonical_json, digest
 from ..functions.numbers import exact, truncated_quotient, within_tolerance
 from .trace import GENESIS
@@ -141,7 +142,7 @@ def validated(certificates: DataFrame) -> DataFrame:
     def field_rules(e):
         f, b = e["value"], e["value"]["bbox"]
         amount = f["type"] == "amount"
-        off = (b[0] < 0) | (b[1] < 0) | (b[2] > w) | (b[3] > h) | (b[2] <= b[0]) | (b[3] <= b[1])
+        off = ~inside_page(box(*(b[k] for k in range(4))), w, h)
         return (
             (amount & ~F.coalesce(f["minor"].rlike("^-?[0-9]+$"), F.lit(False)), _joined("fields.", e["key"], ".minor is not minor units as decimal digits")),
             (_unplaced(e), _joined("fields.", e["key"], " was admitted with no region and is not marked unbound")),
