@@ -53,7 +53,8 @@ def parse_amount(raw: Column, decimals: int = 2) -> Column:
         return F.when(F.regexp_like(b, F.lit(_READABLE)), F.struct(digits.try_cast(EXACT).alias("minor"), _currency(raw).alias("currency"), convention.alias("convention")))
 
     found = F.filter(F.transform(F.array(body), read), lambda r: r["minor"].isNotNull())
-    return F.get(found, F.lit(0))
+    # words are told first: an amount has a digit, and no code is longer than four letters or stands beside others
+    return F.when(F.regexp_like(raw, F.lit("[0-9]")) & ~F.regexp_like(raw, F.lit("[A-Za-z]{5}")), F.get(found, F.lit(0)))
 
 
 def sign_suspect(raw: Column) -> Column:

@@ -117,15 +117,15 @@ def localised(truth: DataFrame, regions: DataFrame, rows: DataFrame) -> DataFram
         minor = parse_amount(text)["minor"].cast("string")
         return F.coalesce(F.concat(F.lit("amount "), minor), F.concat(F.lit("text "), F.lower(collapsed(text))))
 
+    # outer: for an inner explode the optimizer filters by the array first, which reads every text again; null meets nothing
     word = lambda w: F.concat(F.lit("word "), w)
-    asked = truth.withColumn("meet", F.explode(F.array(reading(F.col("text")), word(F.get(words(trimmed(F.col("text"))), F.lit(0))))))
-    met = spots.withColumn("meet", F.explode(F.array_distinct(F.array_append(F.transform(words(F.col("seen")), word), reading(F.col("seen"))))))
-    j = asked.join(met, ["doc_id", "meet"])
+    asked = truth.withColumn("meet", F.explode_outer(F.array(reading(F.col("text")), word(F.get(words(trimmed(F.col("text"))), F.lit(0))))))
+    met = spots.withColumn("meet", F.explode_outer(F.array_distinct(F.array_append(F.transform(words(F.col("seen")), word), reading(F.col("seen"))))))
+    j = asked.join(met.hint("merge"), ["doc_id", "meet"], "left")  # exploded sides look small to the planner, whose broadcast the driver could not hold
     covers = ~F.startswith("meet", F.lit("word ")) | bounded_by_space(F.col("seen"), F.col("text"))
     there = F.coalesce(iou(F.col("bbox"), F.col("at")) >= SAME_PLACE, F.lit(False))
-    found = j.filter(covers).groupBy("doc_id", "key").agg(F.bool_or(there).alias("there"))
-    out = truth.select("doc_id", "key").distinct().join(found, ["doc_id", "key"], "left")
-    return out.select("doc_id", "key", F.when(F.col("there"), "correct").when(F.col("there").isNotNull(), "mislocated").otherwise("missed").alias("outcome"))
+    found = j.groupBy("doc_id", "key").agg(F.bool_or(F.when(F.col("seen").isNotNull() & covers, there)).alias("there"))
+    return found.select("doc_id", "key", F.when(F.col("there"), "correct").when(F.col("there").isNotNull(), "mislocated").otherwise("missed").alias("outcome"))
 
 
 CALLS = "array<struct<turn:int,name:string,arguments:map<string,string>,returned:map<string,string>,error:string>>"

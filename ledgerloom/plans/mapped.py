@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows dealt by a key to all tasks: a table may lie in one file of few row groups, and the work on a row costs far more than moving its few columns."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def currency(key):
     return F.element_at(F.array(*map(F.lit, CURRENCIES)), (F.pmod(key, F.lit(4)) + 1).cast("int"))
 
