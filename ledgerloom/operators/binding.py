@@ -34,19 +34,19 @@ def typed_regions(placed: DataFrame) -> DataFrame:
 
 def labelled_rows(placed: DataFrame, labels: DataFrame) -> DataFrame:
     """labels: (key, label). (doc_id, row_id, key) of visual rows that hold the label's text."""
-    hit = F.contains(loose(placed["text"]), loose(labels["label"]))
-    return placed.join(F.broadcast(labels), hit).select("doc_id", "row_id", "key").distinct()
+    said, wanted = placed.select("doc_id", "row_id", loose(F.col("text")).alias("_said")), labels.select("key", loose(F.col("label")).alias("_label"))
+    return said.join(F.broadcast(wanted), F.contains("_said", "_label")).select("doc_id", "row_id", "key").distinct()
 
 
 def exact(values: DataFrame, placed: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, region, matches): the first region that carries the value, one in a row with its label before others."""
     v = values.filter("value is not null").select("doc_id", "key", "type", value_key(F.col("type"), F.col("value")).alias("match_key"))
-    hits = v.join(typed_regions(placed), ["doc_id", "type", "match_key"])
+    hits = v.join(typed_regions(placed).hint("merge"), ["doc_id", "type", "match_key"])
     if labels is None:
         hits = hits.withColumn("labelled", F.lit(0))
     else:
         near = labelled_rows(placed, labels).withColumn("labelled", F.lit(1))
-        hits = hits.join(near, ["doc_id", "row_id", "key"], "left").withColumn("labelled", F.coalesce("labelled", F.lit(0)))
+        hits = hits.join(near.hint("merge"), ["doc_id", "row_id", "key"], "left").withColumn("labelled", F.coalesce("labelled", F.lit(0)))
     first = F.min_by(F.struct("text", "bbox", "confidence", "source"), F.struct((-F.col("labelled")).alias("n"), F.col("idx")))
     return hits.groupBy("doc_id", "key").agg(first.alias("region"), F.count(F.lit(1)).alias("matches"))
 
@@ -68,7 +68,7 @@ def span_index(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     texts = F.transform("cells", lambda c: F.coalesce(c["text"], F.lit("")))
     of_cell = lambda split: F.flatten(F.transform(texts, lambda t, i: F.transform(F.filter(split(t), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).alias("e")))))
-    rows = rows.join(needs, "doc_id").select("doc_id", "row_id", "types", "digits", "lengths", texts.alias("texts"), of_cell(words).alias("tokens"), of_cell(lambda t: F.split(loose(t), " ")).alias("words"))
+    rows = rows.join(needs.hint("merge"), "doc_id").select("doc_id", "row_id", "types", "digits", "lengths", texts.alias("texts"), of_cell(words).alias("tokens"), of_cell(lambda t: F.split(loose(t), " ")).alias("words"))
     rows = rows.withColumn("like", F.transform("texts", lambda t: F.regexp_like(t, F.lit(AMOUNT_PART))))
     entry = lambda kind, text, e, s=1: F.struct(F.lit(kind).alias("type"), text.alias("text"), (F.lit(s) if isinstance(s, int) else s).cast("int").alias("s"), e.cast("int").alias("e"))
     with_digit = F.filter("tokens", lambda t: F.regexp_like(t["w"], F.lit("[0-9]")))
@@ -85,7 +85,7 @@ def span_index(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<type:string,text:string,s:int,e:int>>")
     kinds = (("amount", F.concat(single("amount"), short)), ("integer", single("integer")), ("date", F.concat(single("date"), three)), ("string", F.flatten(said)))
     entries = F.concat(*[F.when(F.array_contains("types", kind), of).otherwise(none) for kind, of in kinds])
-    keyed = rows.select("doc_id", "row_id", F.inline(entries))
+    keyed = rows.select("doc_id", "row_id", F.inline_outer(entries))  # outer: an inner one makes all entries once more to filter by their number
     return keyed.select("doc_id", "row_id", "type", region_key(F.col("type"), F.col("text")).alias("match_key"), "s", "e").filter("match_key is not null")
 
 
@@ -93,8 +93,8 @@ def spans(values: DataFrame, placed: DataFrame) -> DataFrame:
     """(doc_id, key, span): the first run of regions in a row, by row, start and length, that carries the value joined or in part. ``placed`` is read twice."""
     rows = rows_of(placed)
     v = values.filter("value is not null").select("doc_id", "key", "type", value_key(F.col("type"), F.col("value")).alias("match_key")).filter("match_key != ''")
-    hits = v.join(span_index(rows, v), ["doc_id", "type", "match_key"]).groupBy("doc_id", "key").agg(F.min(F.struct("row_id", "s", "e")).alias("at"))
-    found = hits.select("doc_id", "key", "at.*").join(rows, ["doc_id", "row_id"]).withColumn("cells", F.slice("cells", F.col("s"), F.col("e") - F.col("s") + 1))
+    hits = v.join(span_index(rows, v).hint("merge"), ["doc_id", "type", "match_key"]).groupBy("doc_id", "key").agg(F.min(F.struct("row_id", "s", "e")).alias("at"))
+    found = hits.select("doc_id", "key", "at.*").join(rows.hint("merge"), ["doc_id", "row_id"]).withColumn("cells", F.slice("cells", F.col("s"), F.col("e") - F.col("s") + 1))
     edge = lambda k, f: f(F.transform("cells", lambda c: c["bbox"][k])).alias(k)
     span = F.struct(
         F.array_join(F.transform("cells", lambda c: c["text"]), " ").alias("text"),
@@ -110,9 +110,9 @@ def bound(values: DataFrame, regions: DataFrame, labels: DataFrame | None = None
     placed = settled(clustered(regions, min_overlap).filter("row_id is not null"), "placed")
     v = values.withColumn("doc_id", F.col("doc_id").cast("string"))
     hit = settled(exact(v, placed, labels), "bound")
-    rest = v.join(hit, ["doc_id", "key"], "left_anti")
-    out = v.join(hit, ["doc_id", "key"], "left").join(spans(rest, placed), ["doc_id", "key"], "left")
-    out = out.join(placed.select("doc_id").distinct().withColumn("has_regions", F.lit(True)), "doc_id", "left")
+    rest = v.join(hit.hint("merge"), ["doc_id", "key"], "left_anti")
+    out = v.join(hit.hint("merge"), ["doc_id", "key"], "left").join(spans(rest, placed).hint("merge"), ["doc_id", "key"], "left")
+    out = out.join(placed.select("doc_id").distinct().withColumn("has_regions", F.lit(True)).hint("merge"), "doc_id", "left")
     at = F.coalesce("region", "span")
     reason = F.when(F.col("value").isNull(), ABSENT).when(F.col("has_regions").isNull(), NO_REGIONS).otherwise(NOT_FOUND)
     return out.select(
