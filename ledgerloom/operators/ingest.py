@@ -138,16 +138,16 @@ def coerced_fields(raw: DataFrame, template: DataFrame) -> DataFrame:
     """
     article = F.create_map(*[F.lit(x) for pair in (("string", "a string"), ("amount", "an amount"), ("date", "a date"), ("integer", "an integer")) for x in pair])
     declared = raw.select("doc_id", "fields", F.explode(_constant(template)).alias("t")).select("doc_id", "fields", "t.*")
-    text = F.try_element_at("fields", F.col("key"))
-    blank = F.coalesce(trimmed(text), F.lit("")) == ""
-    value = coerced(F.col("type"), text)
-    status = F.when(blank, "absent").when(value.isNull(), "rejected").otherwise("ok")
-    known = declared.select(
-        "doc_id", "key", "type", text.alias("raw"), F.when(~blank, value).alias("value"), status.alias("status"),
-        F.when(status == "rejected", F.concat(F.lit("not "), article[F.col("type")], F.lit(": "), _quoted(text))).alias("reason"),
+    # in steps, as each expression is read several times and would be computed as often
+    read = declared.select("doc_id", "key", "type", F.try_element_at("fields", F.col("key")).alias("raw"))
+    read = read.withColumn("_blank", F.coalesce(trimmed(F.col("raw")), F.lit("")) == "").withColumn("value", F.when(~F.col("_blank"), coerced(F.col("type"), F.col("raw"))))
+    read = read.withColumn("status", F.when(F.col("_blank"), "absent").when(F.col("value").isNull(), "rejected").otherwise("ok"))
+    known = read.select(
+        "doc_id", "key", "type", "raw", "value", "status",
+        F.when(F.col("status") == "rejected", F.concat(F.lit("not "), article[F.col("type")], F.lit(": "), _quoted(F.col("raw")))).alias("reason"),
     )
     keys = F.transform(_constant(template), lambda t: t["key"])
-    other = raw.select("doc_id", F.explode(F.array_except(F.map_keys("fields"), keys)).alias("key"), "fields")
+    other = raw.select("doc_id", F.explode_outer(F.array_except(F.map_keys("fields"), keys)).alias("key"), "fields").filter("key is not null")
     other = other.select(
         "doc_id", "key", F.lit(None).cast("string").alias("type"), F.try_element_at("fields", F.col("key")).alias("raw"), F.lit(None).cast("string").alias("value"), F.lit("rejected").alias("status"),
         F.concat(F.lit('"'), F.col("key"), F.lit('" is not in the template')).alias("reason"),
