@@ -85,10 +85,14 @@ def certificate_digest(text: Column) -> Column:
     return digest(canonical_json(text, ("signature",)))
 
 
+def _struct(text: Column, schema: str) -> Column:
+    """A JSON text as a struct; exploded, so that it is parsed once: as a plain column the optimizer parses it again for each field that is read."""
+    return F.explode_outer(F.array(F.from_json(text, schema)))
+
+
 def parsed(certificates: DataFrame) -> DataFrame:
     """(id, certificate) with ``c``, the struct, and ``keys``, the sections there are."""
-    # exploded, so that a text is parsed once: as a plain column the optimizer parses it again for each field that is read
-    return certificates.withColumn("c", F.explode_outer(F.array(F.from_json("certificate", SCHEMA)))).withColumn("keys", F.coalesce(F.json_object_keys("certificate"), F.array().cast("array<string>")))
+    return certificates.withColumn("c", _struct(F.col("certificate"), SCHEMA)).withColumn("keys", F.coalesce(F.json_object_keys("certificate"), F.array().cast("array<string>")))
 
 
 def _each(items: Column, rules) -> Column:
@@ -231,47 +235,103 @@ def verified(certificates: DataFrame, digests: DataFrame | None = None, genesis:
     return steps.select("id", F.inline(rows))
 
 
-def comparability(certificates: DataFrame, sdk_version: str, model: str) -> DataFrame:
-    """(id, comparable, reason): whether a replay under this SDK and model may be compared at all."""
-    p = parsed(certificates)
+def _not_comparable(sdk_version: str, model: str) -> Column:
+    """Why a replay of ``c`` under this SDK and model may not be compared; empty if it may."""
     sdk, m = F.col("c.replay.sdkVersion"), F.col("c.replay.model")
-    why = F.concat_ws(
+    return F.concat_ws(
         "; ",
         F.when(~sdk.eqNullSafe(F.lit(sdk_version)), _joined("the certificate was produced on SDK ", F.coalesce(sdk, F.lit("undefined")), f" and this is SDK {sdk_version}")),
         F.when(~m.eqNullSafe(F.lit(model)), _joined("the certificate names ", F.coalesce(m, F.lit("undefined")), f" and this run has {model}")),
     )
-    return p.select("id", (why == "").alias("comparable"), F.when(why == "", _joined(m, " on SDK ", sdk)).otherwise(why).alias("reason"))
+
+
+def comparability(certificates: DataFrame, sdk_version: str, model: str) -> DataFrame:
+    """(id, comparable, reason): whether a replay under this SDK and model may be compared at all."""
+    why = _not_comparable(sdk_version, model)
+    able = _joined(F.col("c.replay.model"), " on SDK ", F.col("c.replay.sdkVersion"))
+    return parsed(certificates).select("id", (why == "").alias("comparable"), F.when(why == "", able).otherwise(why).alias("reason"))
+
+
+def _inside(value: dict | list, path: str) -> dict:
+    """What a JSON object or array holds, by path."""
+    return {f"{path}.{k}" if path else k: v for k, v in value.items()} if isinstance(value, dict) else {f"{path}[{i}]": v for i, v in enumerate(value)}
+
+
+def _walk(value, path: str = "") -> Iterator[tuple[str, str]]:
+    """Every scalar (and empty container) with its path; the value as JSON."""
+    if isinstance(value, dict | list) and value:
+        for at, v in _inside(value, path).items():
+            yield from _walk(v, at)
+    else:
+        yield path, canonical(value)
 
 
 def leaves(certificates: DataFrame) -> DataFrame:
     """(id, path, value): every scalar (and empty container) of a JSON text with its path; the value as JSON."""
 
-    def walk(value, path: str):
-        if isinstance(value, dict) and value:
-            for k, v in value.items():
-                yield from walk(v, f"{path}.{k}" if path else k)
-        elif isinstance(value, list) and value:
-            for i, v in enumerate(value):
-                yield from walk(v, f"{path}[{i}]")
-        else:
-            yield path, canonical(value)
-
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *leaf) for i, t in zip(batch.column("id").to_pylist(), batch.column("certificate").to_pylist(), strict=True) for leaf in walk(json.loads(t), "")]
+            rows = [(i, *leaf) for i, t in zip(batch.column("id").to_pylist(), batch.column("certificate").to_pylist(), strict=True) for leaf in _walk(json.loads(t))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows, strict=True) if rows else ([], [], []))], ["id", "path", "value"])
 
     return certificates.select(F.col("id").cast("string").alias("id"), "certificate").mapInArrow(flatten, "id string, path string, value string")
 
 
+def _apart(a, b, path: str, known: frozenset[str], booleans: bool = True) -> Iterator[tuple[str, int, str]]:
+    """(path, 0 for a or 1 for b, leaf) where two JSON values may differ, without what lies under the known paths; equal values give no leaves.
+
+    Python takes true for 1, so values that may hold booleans are equal only if they print alike, too.
+    """
+    if path in known or (a == b and not (booleans and repr(a) != repr(b))):
+        return
+    if type(a) is type(b) and isinstance(a, dict | list) and a and b:
+        x, y = _inside(a, path), _inside(b, path)
+        for at, v in x.items():
+            if at in y:
+                yield from _apart(v, y[at], at, known, booleans)
+        alone = ((0, x, y), (1, y, x))
+    else:
+        alone = ((0, {path: a}, {}), (1, {path: b}, {}))
+    for side, its, others in alone:
+        for at, v in its.items():
+            if at not in others:
+                yield from ((p, side, leaf) for p, leaf in _walk(v, at))
+
+
+APART = "array<struct<path:string,recorded:string,regenerated:string>>"
+
+
+def _differing(recorded: Column, regenerated: Column, volatile: tuple[str, ...]) -> Column:
+    """APART of two certificates: the leaves that differ outside the volatile paths, in order of their paths; a null certificate has no leaves.
+
+    A pair is walked side by side in one task, so that only what differs becomes rows; canonical values need Python.
+    """
+    known, under = frozenset(volatile), tuple(v + end for v in volatile for end in ".[")
+
+    def of(a: str | None, b: str | None) -> list[dict]:
+        texts = [t for t in (a, b) if t is not None]
+        if len(texts) == 2:
+            found = _apart(*map(json.loads, texts), "", known, any(word in t for t in texts for word in ("true", "false")))
+        else:
+            found = ((p, int(a is None), leaf) for t in texts for p, leaf in _walk(json.loads(t)))
+        leaves: dict[str, list] = {}
+        for path, side, leaf in found:  # a path may be met from either side on its own
+            if path not in known and not path.startswith(under):
+                leaves.setdefault(path, [None, None])[side] = leaf
+        return [{"path": p, "recorded": x, "regenerated": y} for p, (x, y) in sorted(leaves.items()) if x != y]
+
+    def compare(a: pa.Array, b: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(k, pa.string()) for k in ("path", "recorded", "regenerated")]))
+        return pa.array([of(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
+
+    return F.arrow_udf(compare, APART)(recorded, regenerated)
+
+
 def differences(recorded: DataFrame, regenerated: DataFrame, volatile: tuple[str, ...] = VOLATILE) -> DataFrame:
     """(id, path, recorded, regenerated) where two certificates differ outside the volatile paths."""
-    a = leaves(recorded).withColumnRenamed("value", "recorded")
-    b = leaves(regenerated).withColumnRenamed("value", "regenerated")
-    skip = F.lit(False)
-    for v in volatile:
-        skip = skip | (F.col("path") == v) | F.col("path").startswith(v + ".") | F.col("path").startswith(v + "[")
-    return a.join(b, ["id", "path"], "full_outer").filter(~F.col("recorded").eqNullSafe(F.col("regenerated")) & ~skip)
+    side = lambda rows, name: rows.select(F.col("id").cast("string").alias("id"), F.col("certificate").alias(name))
+    pairs = side(recorded, "a").join(side(regenerated, "b"), "id", "full_outer")
+    return pairs.select("id", _differing(F.col("a"), F.col("b"), volatile).alias("apart")).select("id", F.inline("apart"))
 
 
 def first_differences(found: DataFrame) -> DataFrame:
@@ -285,20 +345,21 @@ def replayed(recorded: DataFrame, files: DataFrame, regenerated: DataFrame, sdk_
     The verdict is the recorded one in both, as the records it was reached against are not in a certificate.
     """
     c = F.col
-    able = comparability(recorded, sdk_version, model).withColumnRenamed("reason", "why")
-    of = parsed(recorded).select("id", c("c.document.digest").alias("digest"))
-    there = of.join(files.select("digest").distinct(), "digest", "left_semi").select("id").withColumn("there", F.lit(True))
-    ready = able.filter("comparable").select("id").join(there, "id", "left_semi")
-    apart = differences(recorded.join(ready, "id", "left_semi"), regenerated.join(ready, "id", "left_semi"), (*VOLATILE, "verdict"))
-    first = apart.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "recorded", "regenerated")).alias("first"))
-    made = parsed(regenerated).select("id", F.size("c.fields").alias("fields"), F.left("c.trace.root", F.lit(12)).alias("root"))
-    out = able.join(of, "id").join(there, "id", "left").join(first, "id", "left").join(made, "id", "left")
-    outcome = F.when(~c("comparable"), "not comparable").when(c("there").isNull(), "input missing").when(c("n") > 0, "mismatch").otherwise("match")
+    asked = recorded.select("id", "certificate", _struct(c("certificate"), "document struct<digest:string>, replay struct<model:string,sdkVersion:string>").alias("c"))
+    asked = asked.select("id", "certificate", c("c.document.digest").alias("digest"), _not_comparable(sdk_version, model).alias("why"))
+    asked = asked.join(files.select("digest").distinct().withColumn("there", F.lit(True)), "digest", "left")
+    # certificates meet once, whole; their texts come out of expressions that look small to the planner, whose broadcast the driver could not hold
+    both = asked.join(regenerated.select("id", c("certificate").alias("again")).hint("merge"), "id", "left")
+    ready = (c("why") == "") & c("there").isNotNull()
+    both = both.withColumn("apart", _differing(F.when(ready, c("certificate")), F.when(ready, c("again")), (*VOLATILE, "verdict")))
+    both = both.withColumn("n", F.size("apart")).withColumn("first", F.get("apart", F.lit(0)))
+    out = both.select("*", _struct(F.when(ready & (c("n") == 0), c("again")), "fields map<string,string>, trace struct<root:string>").alias("made"))
+    outcome = F.when(c("why") != "", "not comparable").when(c("there").isNull(), "input missing").when(c("n") > 0, "mismatch").otherwise("match")
     shown = lambda side: F.coalesce(c("first")[side], F.lit("undefined"))
     detail = (
-        F.when(~c("comparable"), c("why")).when(c("there").isNull(), _joined("no file digests to ", F.left("digest", F.lit(12))))
+        F.when(c("why") != "", c("why")).when(c("there").isNull(), _joined("no file digests to ", F.left("digest", F.lit(12))))
         .when(c("n") > 0, _joined(c("n").cast("string"), " differences, first at ", c("first.path"), ": ", shown("recorded"), " against ", shown("regenerated")))
-        .otherwise(_joined(c("fields").cast("string"), " fields, root ", c("root")))
+        .otherwise(_joined(F.size("made.fields").cast("string"), " fields, root ", F.left("made.trace.root", F.lit(12))))
     )
     return out.select("id", outcome.alias("outcome"), detail.alias("detail"))
 

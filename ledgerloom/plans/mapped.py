@@ -8,7 +8,7 @@ Orders of numbers 0 and 1 modulo 40 share a reference, and exact documents of nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: Column | str) -> DataFrame:
     """The same rows dealt by a key to all tasks: a table may lie in one file of few row groups, and the work on a row costs far more than moving its few columns."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
