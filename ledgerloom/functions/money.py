@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import EXACT
+from .numbers import EXACT, once
 from .text import SPACE
 
 # The currency codes an amount may carry and the symbols that stand for one, in order of precedence.
@@ -39,6 +41,21 @@ def parse_amount(raw: Column, decimals: int = 2) -> Column:
     The last separator is the decimal one, except that three digits after the only kind of separator are thousands.
     Only the first currency code is taken out, so a second one makes the text unreadable; the sign counts at the very start.
     """
+
+    def whole(minor: Column, b: Column) -> Column:
+        last = F.regexp_extract(b, "([.,])[0-9]*$", 1)
+        convention = F.when(last == "", "integer").when(last == ",", "latin").otherwise("anglo")
+        return F.struct(minor.alias("minor"), _currency(raw).alias("currency"), convention.alias("convention"))
+
+    return _parsed(raw, decimals, whole)
+
+
+def minor_in(raw: Column, decimals: int = 2) -> Column:
+    """``parse_amount(raw)["minor"]``, without looking for the currency."""
+    return _parsed(raw, decimals, lambda minor, b: F.struct(minor.alias("minor")))["minor"]
+
+
+def _parsed(raw: Column, decimals: int, shown: Callable[[Column, Column], Column]) -> Column:
     # without code, symbols and white space; what is used many times is bound by one-element transforms, which evaluate it a single time
     body = F.translate(F.replace(F.array_join(_around_code(raw), ""), F.lit("R$"), F.lit("")), "$€£" + _BLANKS, "")
     sign = F.when(F.startswith(F.ltrim(raw, F.lit(_BLANKS)), F.lit("-")), "-").otherwise("")
@@ -48,9 +65,7 @@ def parse_amount(raw: Column, decimals: int = 2) -> Column:
         digits = F.concat(sign, F.translate(b, "-.,", ""), F.repeat(F.lit("0"), missing))
         if decimals < 2:  # more digits than the currency has are cut
             digits = digits.substr(F.lit(1), F.length(digits) + F.least(missing, F.lit(0)))
-        last = F.regexp_extract(b, "([.,])[0-9]*$", 1)
-        convention = F.when(last == "", "integer").when(last == ",", "latin").otherwise("anglo")
-        return F.when(F.regexp_like(b, F.lit(_READABLE)), F.struct(digits.try_cast(EXACT).alias("minor"), _currency(raw).alias("currency"), convention.alias("convention")))
+        return F.when(F.regexp_like(b, F.lit(_READABLE)), shown(digits.try_cast(EXACT), b))
 
     found = F.filter(F.transform(F.array(body), read), lambda r: r["minor"].isNotNull())
     # words are told first: an amount has a digit, and no code is longer than four letters or stands beside others
@@ -74,9 +89,12 @@ def format_minor(minor: Column, decimals: int = 2) -> Column:
 
 def grouped(minor: Column, thousands: str, point: str) -> Column:
     """Minor units with grouped thousands, as either convention prints them."""
-    text = format_minor(minor)
-    whole, cents = F.regexp_extract(text, r"^(-?[0-9]+)", 1), F.regexp_extract(text, r"([0-9]{2})$", 1)
-    return F.concat(F.regexp_replace(whole, r"(?<=[0-9])(?=([0-9]{3})+$)", thousands), F.lit(point), cents)
+
+    def shown(text: Column) -> Column:
+        whole, cents = F.regexp_extract(text, r"^(-?[0-9]+)", 1), F.regexp_extract(text, r"([0-9]{2})$", 1)
+        return F.concat(F.regexp_replace(whole, r"(?<=[0-9])(?=([0-9]{3})+$)", thousands), F.lit(point), cents)
+
+    return once(format_minor(minor), shown)
 
 
 def anglo(minor: Column) -> Column:

@@ -59,7 +59,7 @@ def milliseconds(profiled: Column, wall_ms: Column) -> Column:
     )
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: written out, its uses would each compute it anew and outgrow compiled code."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -69,7 +69,7 @@ def _product_error(a: Column, b: float) -> Column:
     top = b * 134217729.0 - (b * 134217729.0 - b)
     rest = b - top
     high = a * 134217729.0 - (a * 134217729.0 - a)
-    return _bound(F.struct(high.alias("h"), (a - high).alias("l")), lambda x: ((x["h"] * top - a * b) + x["h"] * rest + x["l"] * top) + x["l"] * rest)
+    return once(F.struct(high.alias("h"), (a - high).alias("l")), lambda x: ((x["h"] * top - a * b) + x["h"] * rest + x["l"] * top) + x["l"] * rest)
 
 
 def to_fixed(x: Column, places: int) -> Column:
@@ -84,9 +84,9 @@ def to_fixed(x: Column, places: int) -> Column:
         def rounded(v: Column) -> Column:
             product = v["part"] * scale
             up = (product - F.floor(product) - 0.5) + _product_error(v["part"], scale) >= 0
-            return _bound(F.floor(product) + F.when(up, 1).otherwise(0), lambda n: _shown(v["whole"], n))
+            return once(F.floor(product) + F.when(up, 1).otherwise(0), lambda n: _shown(v["whole"], n))
 
-        return _bound(F.struct(F.floor(size).alias("whole"), (size - F.floor(size)).alias("part")), rounded)
+        return once(F.struct(F.floor(size).alias("whole"), (size - F.floor(size)).alias("part")), rounded)
 
     def _shown(whole: Column, n: Column) -> Column:
         carried = F.when(n >= scale, 1).otherwise(0)
@@ -101,5 +101,5 @@ def to_fixed(x: Column, places: int) -> Column:
     def named(size: Column) -> Column:
         return F.when(size == float("inf"), "Infinity").otherwise(F.regexp_replace(F.regexp_replace(size.cast("string"), r"\.0E", "E"), "E", "e+"))
 
-    shown = _bound(F.abs(x.cast("double")), lambda size: F.when(size < 2.0**53, small(size)).when(size < 1e21, wide(size)).otherwise(named(size)))
+    shown = once(F.abs(x.cast("double")), lambda size: F.when(size < 2.0**53, small(size)).when(size < 1e21, wide(size)).otherwise(named(size)))
     return F.when(F.isnan(x), "NaN").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), shown))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import coerce_date
-from .money import parse_amount
+from .money import minor_in
 from .text import SPACE, collapsed, contains_words, loose, trimmed, words
 
 # The field types.
@@ -26,7 +26,7 @@ def coerce_string(raw: Column) -> Column:
 def coerced(kind: Column, raw: Column) -> Column:
     """The value of a raw text under a field type, as text: minor units, ISO date, digits or the trimmed string; null if it has none."""
     return (
-        F.when(kind == "amount", parse_amount(raw)["minor"].cast("string"))
+        F.when(kind == "amount", minor_in(raw).cast("string"))
         .when(kind == "date", coerce_date(raw))
         .when(kind == "integer", coerce_integer(raw).cast("string"))
         .when(kind == "string", coerce_string(raw))
@@ -44,7 +44,7 @@ def region_key(kind: Column, text: Column) -> Column:
     Computed once for each region and type, so that binding is an equi-join.
     """
     return (
-        F.when(kind == "amount", parse_amount(text)["minor"].cast("string"))
+        F.when(kind == "amount", minor_in(text).cast("string"))
         .when(kind == "date", coerce_date(text))
         .when(kind == "integer", printed_integer(text).cast("string"))
         .when(kind == "string", loose(text))
@@ -59,7 +59,7 @@ def value_key(kind: Column, value: Column) -> Column:
 def carries(kind: Column, text: Column, value: Column) -> Column:
     """Whether one part of the text - a token, three tokens of a date, whole words - carries the value."""
     parts = words(text)
-    any_amount = F.exists(parts, lambda t: F.coalesce(parse_amount(t)["minor"].cast("string") == value, F.lit(False)))
+    any_amount = F.exists(parts, lambda t: F.coalesce(minor_in(t).cast("string") == value, F.lit(False)))
     any_integer = F.exists(parts, lambda t: F.coalesce(printed_integer(t).cast("string") == value, F.lit(False)))
     at = F.sequence(F.lit(1), F.size(parts))
     one = F.exists(parts, lambda t: F.coalesce(coerce_date(t) == value, F.lit(False)))
@@ -74,7 +74,7 @@ def carries(kind: Column, text: Column, value: Column) -> Column:
 
 def same_text(a: Column, b: Column) -> Column:
     """Equal amounts if both are amounts, else equal but for case and white space."""
-    x, y = parse_amount(a)["minor"], parse_amount(b)["minor"]
+    x, y = minor_in(a), minor_in(b)
     return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(F.lower(collapsed(a)) == F.lower(collapsed(b)))
 
 

@@ -39,8 +39,8 @@ def costs(pairs: DataFrame) -> DataFrame:
 
 def field_outcomes(truth: DataFrame, verdicts: DataFrame) -> DataFrame:
     """truth: (doc_id, key, text); verdicts: (doc_id, key, type, value, verdict). A row for each true field, missing verdicts too."""
-    j = truth.join(verdicts, ["doc_id", "key"], "left")
-    right = agrees(F.col("type"), F.col("value"), F.col("text"))
+    j = truth.join(verdicts, ["doc_id", "key"], "left").withColumn("_right", agrees(F.col("type"), F.col("value"), F.col("text")))  # a column, as two outcomes ask for it
+    right = F.col("_right")
     admitted = F.coalesce(F.col("verdict.admitted"), F.lit(False))
     outcome = F.when(admitted, F.when(right, "admitted_right").otherwise("admitted_wrong")).otherwise(F.when(right, "abstained_would_be_right").otherwise("abstained_would_be_wrong"))
     check = F.when(F.col("verdict").isNull(), "missing").when(~admitted, F.col("verdict.check"))
