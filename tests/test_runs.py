@@ -197,7 +197,7 @@ def test_outcomes_read_a_printed_text_once(spark):
     out = scoring.field_outcomes(read.select("doc_id", "key", "text"), read.select("doc_id", "key", "type", "value", verdict.alias("verdict")))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[0-9,]*,[0-9]{3})$") == 1 and plan.count("AS _right") == 1
-    day = read.select(dates.coerce_date(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    day = read.select(dates.coerce_date(F.col("text")).alias("day"))._jdf.queryExecution().optimizedPlan().toString()
     assert day.count("regexp_replace") == 1
     assert {r["doc_id"]: r["outcome"] for r in out.collect()} == {
         1: "abstained_would_be_right", 2: "admitted_right", 3: "abstained_would_be_wrong", 4: "admitted_right", 5: "abstained_would_be_right", 6: "admitted_wrong",
