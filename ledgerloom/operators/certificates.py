@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, inside_page
-from ..functions.hashing import canonical, canonical_json, digest
+from ..functions.hashing import canonical, canonical_json, digest, read
 from ..functions.numbers import exact, truncated_quotient, within_tolerance
 from .trace import GENESIS
 
@@ -28,17 +28,19 @@ STEPS = ("signature", "provenance", "attestations", "arithmetic", "trace", "sect
 VOLATILE = ("producedAt", "document.path", "signature")
 
 CHECKS = "array<struct<name:string,outcome:string,detail:string>>"
-SCHEMA = f"""
-version string, producedAt string, declared array<string>,
-document struct<digest:string,path:string,route:string,page:int,width:double,height:double>,
-verdict struct<decision:string,checks:{CHECKS},variance:struct<minor:string,proportion:double>,record:struct<reference:string,currency:string,minor:string>>,
-fields map<string,struct<key:string,type:string,page:int,bbox:array<double>,confidence:double,unbound:boolean,width:string,source:string,minor:string,currency:string,value:string>>,
-abstentions array<struct<key:string,check:string,reason:string,type:string,page:int,bbox:array<double>,confidence:double,text:string,declined:string>>,
-attestations array<string>,
-trace struct<root:string,records:array<struct<stage:string,action:string,reads:array<string>,writes:string,digest:string,head:string>>>,
-replay struct<model:string,quantisation:string,sdkVersion:string,seed:string,inputDigest:string>,
-signature struct<alg:string,publicKey:string,sig:string,digest:string>
-"""
+SCHEMA = {
+    "version": "string", "producedAt": "string", "declared": "array<string>",
+    "document": "struct<digest:string,path:string,route:string,page:int,width:double,height:double>",
+    "verdict": f"struct<decision:string,checks:{CHECKS},variance:struct<minor:string,proportion:double>,record:struct<reference:string,currency:string,minor:string>>",
+    "fields": "map<string,struct<key:string,type:string,page:int,bbox:array<double>,confidence:double,unbound:boolean,width:string,source:string,minor:string,currency:string,value:string>>",
+    "abstentions": "array<struct<key:string,check:string,reason:string,type:string,page:int,bbox:array<double>,confidence:double,text:string,declined:string>>",
+    "attestations": "array<string>",
+    "trace": "struct<root:string,records:array<struct<stage:string,action:string,reads:array<string>,writes:string,digest:string,head:string>>>",
+    "replay": "struct<model:string,quantisation:string,sdkVersion:string,seed:string,inputDigest:string>",
+    "signature": "struct<alg:string,publicKey:string,sig:string,digest:string>",
+}
+# What the steps read of a certificate; its trace is followed in Python.
+STEP_PARTS = ("version", "declared", "document", "fields", "abstentions", "attestations", "replay", "signature")
 
 
 def built(documents: DataFrame) -> DataFrame:
@@ -90,9 +92,9 @@ def _struct(text: Column, schema: str) -> Column:
     return F.explode_outer(F.array(F.from_json(text, schema)))
 
 
-def parsed(certificates: DataFrame) -> DataFrame:
-    """(id, certificate) with ``c``, the struct, and ``keys``, the sections there are."""
-    return certificates.withColumn("c", _struct(F.col("certificate"), SCHEMA)).withColumn("keys", F.coalesce(F.json_object_keys("certificate"), F.array().cast("array<string>")))
+def parsed(certificates: DataFrame, parts: tuple[str, ...] = tuple(SCHEMA)) -> DataFrame:
+    """(id, certificate) with ``c``, the struct of these parts, and ``keys``, the sections there are."""
+    return certificates.withColumn("c", _struct(F.col("certificate"), ", ".join(f"{k} {SCHEMA[k]}" for k in parts))).withColumn("keys", F.coalesce(F.json_object_keys("certificate"), F.array().cast("array<string>")))
 
 
 def _each(items: Column, rules) -> Column:
@@ -195,9 +197,10 @@ def _trace_ok(text: Column, genesis: str) -> Column:
         out = []
         for t in texts.to_pylist():
             try:
-                trace, head, ok = json.loads(t)["trace"], start, True
+                value, written = read(t)
+                trace, head, ok = value["trace"], start, True
                 for r in trace["records"]:
-                    head = hashlib.sha256((head + canonical({k: v for k, v in r.items() if k != "head"})).encode()).hexdigest()
+                    head = hashlib.sha256((head + written({k: v for k, v in r.items() if k != "head"})).encode()).hexdigest()
                     ok = ok and head == r.get("head")
                 out.append(ok and head == trace["root"])
             except (ValueError, TypeError, KeyError, AttributeError):
@@ -212,7 +215,7 @@ def verified(certificates: DataFrame, digests: DataFrame | None = None, genesis:
 
     signed: whether the signature verifies (see ``signing.holds``); without it, or where it is null, a signature whose digest is right is ``not checked``.
     """
-    p = parsed(certificates)
+    p = parsed(certificates, STEP_PARTS)
     c = F.col
     right = certificate_digest(F.when(c("c.signature.alg") == "ed25519", c("certificate"))) == c("c.signature.digest")  # tasks' Python sees null elsewhere
     checked = F.lit("not checked") if signed is None else F.when(signed.isNull(), "not checked").when(signed, "pass").otherwise("fail")
