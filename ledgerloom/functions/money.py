@@ -15,7 +15,7 @@ CODES = ("ARS", "USD", "USDT", "EUR", "BRL", "CLP", "COP", "MXN", "PEN", "UYU",
 SYMBOLS = (("R$", "BRL"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"))
 
 _CODE = f"(?i)(?<![A-Za-z0-9_])({'|'.join(CODES)})(?![A-Z])"
-_BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 #: One leading minus, then digits with or without separators, of which the last is the decimal one before one or two digits, or all are one kind before three.
@@ -57,8 +57,8 @@ def minor_in(raw: Column, decimals: int = 2) -> Column:
 
 def _parsed(raw: Column, decimals: int, shown: Callable[[Column, Column], Column]) -> Column:
     # without code, symbols and white space; what is used many times is bound by one-element transforms, which evaluate it a single time
-    body = F.translate(F.replace(F.array_join(_around_code(raw), ""), F.lit("R$"), F.lit("")), "$€£" + _BLANKS, "")
-    sign = F.when(F.startswith(F.ltrim(raw, F.lit(_BLANKS)), F.lit("-")), "-").otherwise("")
+    body = F.translate(F.replace(F.array_join(_around_code(raw), ""), F.lit("R$"), F.lit("")), "$€£" + BLANKS, "")
+    sign = F.when(F.startswith(F.ltrim(raw, F.lit(BLANKS)), F.lit("-")), "-").otherwise("")
 
     def read(b: Column) -> Column:
         missing = F.lit(decimals) - F.length(F.regexp_extract(b, "[.,]([0-9]{1,2})$", 1))

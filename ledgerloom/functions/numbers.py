@@ -60,8 +60,12 @@ def milliseconds(profiled: Column, wall_ms: Column) -> Column:
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: written out, its uses would each compute it anew and outgrow compiled code."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)`` with the value computed once: written out, its uses would each compute it anew and outgrow compiled code.
+
+    A fold over nothing, which starts from the value and ends with its use: an element of a transformed array would look up its type,
+    through all that is nested in it, for every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
 
 
 def _product_error(a: Column, b: float) -> Column:

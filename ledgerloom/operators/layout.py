@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX
@@ -31,6 +31,8 @@ ANCHOR_ENTRIES = 1 << 21
 JOIN_GAP, JOIN_OVERLAP = 0.6, 0.5
 
 REGION = f"doc_id string, idx int, text string, bbox {BOX}, confidence double, source string"
+#: Regions of a page in one row, in the recogniser's order.
+ON_PAGE = f"array<struct<idx:int,text:string,bbox:{BOX},confidence:double,source:string>>"
 _BOX = pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")])
 
 
@@ -183,6 +185,50 @@ def joined_numbers(regions: DataFrame, min_overlap: float = MIN_OVERLAP) -> Data
     return _by_page(regions, _joined, min_overlap, REGION)
 
 
+def _flat(pages: pa.Array, columns: dict[str, pa.Array]) -> pa.Table:
+    """Columns of the elements of an array column, with the number of each one's row."""
+    size = pc.list_value_length(pages).fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.table({"doc_id": np.repeat(np.arange(len(pages)), size), **columns})
+
+
+def _offsets(page: np.ndarray, pages: int) -> pa.Array:
+    """Where each row's elements begin, from the ascending numbers of their rows."""
+    return pa.array(np.concatenate([[0], np.cumsum(np.bincount(page, minlength=pages))]).astype(np.int32))
+
+
+def row_lists(boxes: Column, min_overlap: float = MIN_OVERLAP) -> Column:
+    """For an array of a page's boxes in the recogniser's order: its visual rows from the top, each the numbers (from 0) of its regions from the left.
+
+    Boxes alone go to Python. Regions without a box are in no row; a page without any has none.
+    """
+
+    def work(pages: pa.Array) -> pa.Array:
+        table = _flat(pages, {"bbox": pages.flatten()})
+        if not table.num_rows:
+            return pa.array([[]] * len(pages), pa.list_(pa.list_(pa.int32())))
+        p = Pages(table, min_overlap)
+        order = p.order[p.boxed[p.order]]
+        page, row = table.column("doc_id").to_numpy(), p.row[order]
+        heads = np.flatnonzero((np.diff(page[order], prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        rows = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array((order - np.searchsorted(page, page[order])).astype(np.int32)))
+        return pa.ListArray.from_arrays(_offsets(page[order[heads]], len(pages)), rows)
+
+    return F.arrow_udf(work, "array<array<int>>")(boxes.cast(f"array<{BOX}>"))
+
+
+def joined_on_page(regions: Column, min_overlap: float = MIN_OVERLAP) -> Column:
+    """``joined_numbers`` for an array of a page's regions in the recogniser's order; null gives an empty array."""
+
+    def work(pages: pa.Array) -> pa.Array:
+        flat = pages.flatten()
+        table = _flat(pages, dict(zip([f.name for f in flat.type], flat.flatten(), strict=True)))
+        out = _joined(Pages(table, min_overlap)) if table.num_rows else table
+        cells = pa.StructArray.from_arrays([out.column(f.name).combine_chunks().cast(f.type) for f in flat.type], fields=list(flat.type))
+        return pa.ListArray.from_arrays(_offsets(out.column("doc_id").to_numpy(), len(pages)), cells)
+
+    return F.arrow_udf(work, ON_PAGE)(regions.cast(ON_PAGE))
+
+
 def _texts(p: Pages) -> pa.Table:
     order = p.order[p.boxed[p.order]]
     page, row = p.page[order], p.row[order]
