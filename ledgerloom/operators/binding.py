@@ -217,18 +217,23 @@ def bound_pages(pages: DataFrame, labels: DataFrame | None = None, min_overlap:
     return rows.withColumn("values", _bound(names, F.col("regions"), F.col("_rows"), F.col("values"), known, whole)).drop("_rows")
 
 
+def each(pages: DataFrame, *columns: str) -> DataFrame:
+    """A row for each bound value of a page. Pages without values are left out here, as a filter on their array would be pushed below the shuffle and make all values there."""
+    return pages.select("doc_id", *columns, F.inline_outer("values")).filter("status is not null")
+
+
 def exact(values: DataFrame, placed: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, region, matches): the first region that carries the value, one in a row with its label before others."""
-    hits = bound_pages(paged(values, placed), labels).select("doc_id", F.inline_outer("values")).filter("status = 'region'")
+    hits = each(bound_pages(paged(values, placed), labels)).filter("status = 'region'")
     return hits.select("doc_id", "key", F.struct("text", "bbox", "confidence", "source").alias("region"), F.coalesce("contested", F.lit(1)).cast("bigint").alias("matches"))
 
 
 def spans(values: DataFrame, placed: DataFrame) -> DataFrame:
     """(doc_id, key, span): the first run of regions in a row, by row, start and length, that carries the value joined or in part."""
-    found = bound_pages(paged(values, placed), whole=False).select("doc_id", F.inline_outer("values")).filter("status = 'span'")
+    found = each(bound_pages(paged(values, placed), whole=False)).filter("status = 'span'")
     return found.select("doc_id", "key", F.struct("text", "bbox", "confidence", "source").alias("span"))
 
 
 def bound(values: DataFrame, regions: DataFrame, labels: DataFrame | None = None, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """values with (status, bbox, text, confidence, source, contested, reason), from rows of values and of regions."""
-    return bound_pages(paged(values, regions), labels, min_overlap).select("doc_id", F.inline_outer("values"))
+    return each(bound_pages(paged(values, regions), labels, min_overlap))

@@ -43,8 +43,8 @@ def checked(values: DataFrame, rate: Column | None = None) -> DataFrame:
     return values.withColumn("identities", identities(rate))
 
 
-def by_field(found: DataFrame) -> DataFrame:
-    """(doc_id, field, ok, identity): the first failing identity of each field it touches, else that it passed."""
+def field_checks() -> Column:
+    """Array of struct<field, n, ok, identity> from the column ``identities``: how many touch each field, and the first failing one."""
     touching = lambda field: F.filter("identities", lambda i: F.array_contains(i["fields"], F.lit(field)))
     bad = lambda of: F.filter(of, lambda i: ~i["ok"])
 
@@ -52,7 +52,12 @@ def by_field(found: DataFrame) -> DataFrame:
         first = F.get(bad(touching(field)), F.lit(0))
         return F.struct(F.lit(field).alias("field"), F.size(touching(field)).alias("n"), first.isNull().alias("ok"), first["name"].alias("identity"))
 
-    rows = found.select("doc_id", F.inline(F.array(*map(of, FIELDS))))
+    return F.array(*map(of, FIELDS))
+
+
+def by_field(found: DataFrame) -> DataFrame:
+    """(doc_id, field, ok, identity): the first failing identity of each field it touches, else that it passed."""
+    rows = found.select("doc_id", F.inline(field_checks()))
     return rows.filter("n > 0").drop("n")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import coerce_date
 from ..functions.money import parse_amount
+from ..functions.numbers import once
 from ..functions.text import reference_key, trimmed
 from ..functions.values import coerced
 
@@ -155,6 +156,18 @@ def coerced_fields(raw: DataFrame, template: DataFrame) -> DataFrame:
     return known.unionByName(other)
 
 
+def coerced_values(fields: Column, template: DataFrame) -> Column:
+    """The declared fields of a map<string, string> that are absent (value null) or could be coerced, as an array of (key, type, value)."""
+
+    def read(t: Column) -> Column:
+        raw = F.try_element_at(fields, t["key"])
+        value = lambda x: F.when(F.coalesce(trimmed(x), F.lit("")) == "", F.struct(F.lit(False).alias("bad"), F.lit(None).cast("string").alias("value"))).otherwise(once(coerced(t["type"], x), lambda v: F.struct(v.isNull().alias("bad"), v.alias("value"))))
+        return once(once(raw, value), lambda v: F.struct(t["key"].alias("key"), t["type"].alias("type"), v["value"].alias("value"), v["bad"].alias("bad")))
+
+    good = F.filter(F.transform(_constant(template), read), lambda v: ~v["bad"])
+    return F.transform(good, lambda v: F.struct(v["key"].alias("key"), v["type"].alias("type"), v["value"].alias("value")))
+
+
 def _constant(template: DataFrame) -> Column:
     rows = sorted(template.select("pos", "key", "type").collect())
     return F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(r["type"]).alias("type")) for r in rows])
