@@ -19,7 +19,7 @@ from ..functions.geometry import BOX
 from ..functions.money import BLANKS, CODES
 from ..functions.numbers import once
 from ..functions.text import SPACE, loose
-from ..functions.values import TYPES, region_key, value_key
+from ..functions.values import region_key, value_key
 from .layout import MIN_OVERLAP, ON_PAGE, row_lists
 
 # Why a value is not bound.
@@ -125,7 +125,8 @@ def _index(regions: Column, digits: Column, rows: Column, needs: Column) -> Colu
     texts = lambda row: F.transform(row, lambda i: F.coalesce(F.get(regions, i)["text"], F.lit("")))
     numbers = lambda row: _any_in(F.array_join(F.transform(row, lambda i: F.get(digits, i)), ""), needs["parts"])
     key = lambda x, n: F.struct(n.alias("row_id"), x["s"].alias("s"), x["e"].alias("e"), x["type"].alias("type"), region_key(x["type"], x["text"]).alias("match_key"))
-    return _flat(F.transform(rows, lambda row, n: once(texts(row), lambda t: F.transform(_entries(t, needs, numbers(row)), lambda x: key(x, n)))))
+    made = lambda row, n, known: F.when(known | (F.size(needs["lengths"]) > 0), once(texts(row), lambda t: F.transform(_entries(t, needs, known), lambda x: key(x, n))))
+    return _flat(F.array_compact(F.transform(rows, lambda row, n: once(numbers(row), lambda known: made(row, n, known)))))
 
 
 def _span(regions: Column, cells: Column) -> Column:
@@ -142,27 +143,20 @@ def _span(regions: Column, cells: Column) -> Column:
 def _bound(names: list[str], regions: Column, rows: Column, values: Column, labels: list[tuple[str, str]], whole: bool) -> Column:
     """The values of a page, each with (status, bbox, text, confidence, source, contested, reason). ``whole``: single regions are tried before runs."""
     boxed = lambda r: r["bbox"]["x0"].isNotNull() & r["bbox"]["y0"].isNotNull() & r["bbox"]["x1"].isNotNull() & r["bbox"]["y1"].isNotNull()
-    of_type = lambda t: F.filter(values, lambda v: (v["type"] == t) & v["value"].isNotNull())
-
-    def keys(digits):
-        def read(t):
-            if t == "string":
-                return F.when(F.size(of_type(t)) > 0, F.transform(regions, lambda r: F.when(boxed(r), region_key(F.lit(t), r["text"]))))
-            parts = F.transform(of_type(t), lambda v: _part(F.lit(t), v["value"]))
-            return once(parts, lambda p: F.when(F.size(p) > 0, F.transform(regions, lambda r, i: F.when(_any_in(F.get(digits, i), p) & boxed(r), region_key(F.lit(t), r["text"])))))
+    numbers = F.transform(regions, lambda r, i: i)
+    none = F.array().cast("array<int>")
 
-        return F.struct(*[read(t).alias(t) for t in TYPES])
+    def exact(digits, said, every):
+        """Each value with the numbers of the regions that carry it. Of a region without the value's digits, the text is not read."""
 
-    none = F.array().cast("array<int>")
+        def hits(kind, match):
+            read = lambda i, part: F.contains(F.get(digits, i), part) & (region_key(kind, F.get(regions, i)["text"]) == match)
+            typed = once(_part(kind, match), lambda part: F.filter(every, lambda i: read(i, part)))
+            return F.coalesce(F.when(kind == "string", F.filter(every, lambda i: F.get(said, i) == match)).when(match.isNotNull(), typed), none)
 
-    def exact(keys):
         def of(v):
-            typed = F.lit(None).cast("array<string>")
-            for t in TYPES:
-                typed = F.when(v["type"] == t, keys[t]).otherwise(typed)
             match = F.when(v["value"].isNotNull(), value_key(v["type"], v["value"]))
-            hits = lambda m: F.coalesce(F.array_compact(F.transform(typed, lambda k, i: F.when(k == m, i))), none) if whole else none
-            return once(match, lambda m: F.struct(v.alias("v"), v["type"].alias("type"), m.alias("match_key"), hits(m).alias("hits")))
+            return once(match, lambda m: F.struct(v.alias("v"), v["type"].alias("type"), m.alias("match_key"), (hits(v["type"], m) if whole else none).alias("hits")))
 
         return F.transform(values, of)
 
@@ -202,8 +196,10 @@ def _bound(names: list[str], regions: Column, rows: Column, values: Column, labe
         index = once(opened, lambda o: F.when(F.size(o) > 0, once(_needs(o), lambda n: _index(regions, digits, rows, n))))
         return once(index, lambda found: F.transform(xs, lambda x: placed(x, found)))
 
-    digits = F.transform(regions, lambda r: _digits(F.coalesce(r["text"], F.lit(""))))
-    return once(digits, lambda d: once(once(keys(d), exact), lambda xs: spread(xs, d)))
+    digits = F.transform(regions, lambda r: F.when(boxed(r), _digits(r["text"])))
+    texts = F.exists(values, lambda v: (v["type"] == "string") & v["value"].isNotNull())
+    said = F.when(texts, F.transform(regions, lambda r: F.when(boxed(r), loose(r["text"]))))
+    return once(digits, lambda d: once(once(said, lambda t: once(numbers, lambda n: exact(d, t, n))), lambda xs: spread(xs, d)))
 
 
 def bound_pages(pages: DataFrame, labels: DataFrame | None = None, min_overlap: float = MIN_OVERLAP, whole: bool = True) -> DataFrame:

@@ -36,7 +36,8 @@ def judged_pages(pages: DataFrame, template: DataFrame, labels: DataFrame | None
     read = pages.select("doc_id", "lines", F.when(c("route") == "text", c("regions")).alias("_text"), layout.joined_on_page(F.when(c("route") != "text", c("regions"))).alias("_joined"), ingest.coerced_values(c("fields"), template).alias("values"))
     known = read.select("doc_id", "lines", F.coalesce(c("_text").cast(layout.ON_PAGE), c("_joined")).alias("regions"), "values")
     bound = binding.bound_pages(known, labels).select("doc_id", "lines", "values")
-    wide = identities.checked(bound.withColumns({k: _amount(k) for k in (*AMOUNTS, "tax_rate")}))
+    asked = {r["key"] for r in template.select("key").collect()}  # an amount that no template asks for is null, which the optimizer sees
+    wide = identities.checked(bound.withColumns({k: _amount(k) if k in asked else F.lit(None).cast("bigint") for k in (*AMOUNTS, "tax_rate")}))
     rows = binding.each(wide.withColumn("_checks", identities.field_checks()), "_checks").withColumnRenamed("reason", "unbound_reason")
     check = F.get(F.filter("_checks", lambda x: (x["field"] == c("key")) & (x["n"] > 0)), F.lit(0))
     out = gate.judged(rows.withColumn("_check", check).withColumns({"arithmetic_ok": c("_check.ok"), "identity": c("_check.identity")}))
